@@ -22,6 +22,11 @@ def epoch_seconds(ts: Column | str) -> Column:
     return epoch_minutes(ts) * 60 + F.second(_col(ts))
 
 
+def epoch_micros(ts: Column | str) -> Column:
+    seconds = F.extract(F.lit("SECOND"), _col(ts)).cast("decimal(18,6)")
+    return epoch_minutes(ts) * 60_000_000 + (seconds * 1_000_000).cast("long")
+
+
 def from_epoch_minutes(minutes: Column) -> Column:
     return F.lit(EPOCH).cast("timestamp_ntz") + minutes_interval(minutes)
 

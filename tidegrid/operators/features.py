@@ -51,17 +51,17 @@ def rolling(signal: str, rows: int, kind: str, minimum: int | None = None, fract
     if fraction is not None:
         minimum = math.ceil(fraction * rows)
     minimum = rows if minimum is None else minimum
-    column = {"mean": F.avg, "std_pop": F.stddev_pop, "std_samp": F.stddev_samp, "min": F.min, "max": F.max,
-              "sum": F.sum, "median": lambda c: F.percentile(c, F.lit(0.5))}[kind](signal)
+    agg = {"mean": F.avg, "std_pop": F.stddev_pop, "std_samp": F.stddev_samp, "min": F.min, "max": F.max,
+           "sum": F.sum, "median": lambda c: F.percentile(c, F.lit(0.5))}[kind]
     first = newest - rows + 1
     return Feature(label or f"{signal}__{kind}_{rows}", signal, f"rolling_{kind}", first, newest,
-                   lambda w: _guarded(signal, _frame(w, first, newest), minimum, column))
+                   lambda w: _guarded(signal, _frame(w, first, newest), minimum, agg(signal)))
 
 
 def missing_fraction(signal: str, rows: int) -> Feature:
-    gap = F.col(signal).isNull().cast("double")
+    gap = lambda: F.col(signal).isNull().cast("double")
     return Feature(f"{signal}__missing_fraction_{rows}", signal, "missing_fraction", -rows + 1, 0,
-                   lambda w: F.avg(gap).over(_frame(w, -rows + 1, 0)))
+                   lambda w: F.avg(gap()).over(_frame(w, -rows + 1, 0)))
 
 
 def difference(signal: str, rows: int) -> Feature:
@@ -111,9 +111,9 @@ def low_level_ratio(signal: str, short_rows: int, baseline_rows: int, minimum: i
 def co_direction(a: str, b: str, step_rows: int, rows: int) -> tuple[Feature, Feature, Feature]:
     """Share of recent rows in which two signals moved the same way."""
     da, db = difference(a, step_rows), difference(b, step_rows)
-    same = (F.col(da.name) * F.col(db.name) > 0).cast("double")
+    same = lambda: (F.col(da.name) * F.col(db.name) > 0).cast("double")
     return da, db, Feature(f"{a}__{b}__co_direction", f"{a}|{b}", "co_direction", -(rows - 1 + step_rows), 0,
-                           lambda w: F.avg(F.coalesce(same, F.lit(0.0))).over(_frame(w, -rows + 1, 0)), 1)
+                           lambda w: F.avg(F.coalesce(same(), F.lit(0.0))).over(_frame(w, -rows + 1, 0)), 1)
 
 
 def shifted_label(signal: str, rows: int = 1) -> Feature:
@@ -134,9 +134,9 @@ def recent_lags(signals: Sequence[str], lags: Sequence[int], means: Sequence[int
 def dwell(zone: str, cap: int, name: str) -> tuple[Feature, Feature]:
     """Consecutive rows in a 0/1 zone up to now, at most ``cap``: rows since the last one outside."""
     spot = Feature(f"{name}__row", zone, "row_position", 0, 0, lambda w: F.row_number().over(w))
-    outside = F.max(F.when(F.col(zone) == 0, F.col(spot.name)))
+    outside = lambda: F.max(F.when(F.col(zone) == 0, F.col(spot.name)))
     size = lambda w: F.count(F.lit(1)).over(_frame(w, -cap + 1, 0))
-    gap = lambda w: F.col(spot.name) - outside.over(_frame(w, -cap + 1, 0))
+    gap = lambda w: F.col(spot.name) - outside().over(_frame(w, -cap + 1, 0))
     return spot, Feature(name, zone, "dwell", -cap + 1, 0, lambda w: F.coalesce(gap(w), size(w)).cast("int"), 1)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidegrid.functions.timeline import epoch_minutes, epoch_seconds, minute_of_day, plus_minutes
+from tidegrid.functions.timeline import epoch_micros, epoch_minutes, floor_minutes, minute_of_day, plus_minutes
 from tidegrid.operators.chunks import CHUNK, drop_halo, with_halo
 
 DAY = 1440
@@ -94,8 +94,8 @@ def next_event(points: DataFrame, events: DataFrame, keys: Sequence[str], ts: st
     keys = list(keys)
     merged = points.select(*points.columns, F.lit(None).cast("timestamp_ntz").alias("_event")).unionByName(
         events.select(*keys, F.col(start).alias(ts), F.col(start).alias("_event")), allowMissingColumns=True)
-    haloed = with_halo(merged.withColumn("_s", epoch_seconds(ts)), ts, ahead=within_minutes)
-    w = Window.partitionBy(*keys, CHUNK).orderBy("_s").rangeBetween(1, within_minutes * 60)
+    haloed = with_halo(merged.withColumn("_s", epoch_micros(ts)), ts, ahead=within_minutes)
+    w = Window.partitionBy(*keys, CHUNK).orderBy("_s").rangeBetween(1, within_minutes * 60_000_000)
     found = haloed.withColumn(out, F.min("_event").over(w)).filter(F.col("_event").isNull())
     return drop_halo(found).drop("_s", "_event")
 
@@ -182,3 +182,17 @@ def alert_detection(predictions: DataFrame, episodes: DataFrame, keys: Sequence[
             .select(*keys, "episode_id", "episode_start", rows.alias("window_rows"), hits.alias("alert_rows"),
                     F.when(rows > 0, hits / rows).alias("alert_fraction"), (hits > 0).alias("detected"),
                     "earliest_lead_hours", "maximum_probability"))
+
+
+def expand_to_fine(fine: DataFrame, coarse: DataFrame, keys: Sequence[str], ts: str, step: int,
+                   horizons: Sequence[int]) -> DataFrame:
+    """Forecasts of the containing coarse origin for every fine origin, at the nearest horizon.
+
+    The horizon index of the fine origin is kept on the coarse grid: one equi-join on
+    (series, coarse origin, horizon).
+    """
+    offset = F.explode(F.array(*[F.lit(int(h)) for h in horizons])).alias("fine_horizon")
+    x = fine.select(*keys, ts, floor_minutes(ts, step).alias("origin"), offset)
+    ahead = (epoch_minutes(ts) - epoch_minutes("origin") + F.col("fine_horizon")) / step
+    nearest = F.least(F.round(ahead), F.lit(max(horizons) // step)) * step
+    return x.withColumn("horizon_minutes", nearest.cast("int")).join(coarse, [*keys, "origin", "horizon_minutes"])

@@ -16,6 +16,7 @@ from tidegrid.operators.chunks import windowed
 from tidegrid.operators.grid import bucket_sums, complete_grid, forward_fill
 from tidegrid.operators.labels import interval_means
 from tidegrid.operators.splits import Fold, validation_fold
+from tidegrid.session import stage
 from tidegrid.sources.readers import table
 
 KINDS = ("click", "error", "purchase", "signup", "view")
@@ -44,12 +45,20 @@ def observations(spark: SparkSession, sf_dir: str, step: int = HOUR) -> DataFram
 
 
 def panel(spark: SparkSession, sf_dir: str, step: int = HOUR) -> DataFrame:
+    return stage(spark, sf_dir, f"panel-{step}", lambda: build_panel(spark, sf_dir, step))
+
+
+def build_panel(spark: SparkSession, sf_dir: str, step: int = HOUR) -> DataFrame:
     grid = complete_grid(observations(spark, sf_dir, step), KEYS, "ts", step)
     return grid.withColumns({"target_part": F.col("purchase"), "target_all": observed_sum(KINDS)})
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One long series per user: the keyed-panel scale case."""
+    return stage(spark, sf_dir, "users", lambda: build_users(spark, sf_dir))
+
+
+def build_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events", ["ts", "user_id", "value"])
     rows = events.groupBy(F.concat(F.lit("u_"), F.col("user_id").cast("string")).alias("series_id"),
                           floor_minutes("ts", HOUR).alias("ts")).agg(
@@ -57,15 +66,14 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complete_grid(rows, KEYS, "ts", HOUR)
 
 
-def labels(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
-    base = panel(spark, sf_dir) if base is None else base
-    return interval_means(base, KEYS, "ts", list(TARGETS), STEP, STEP // HOUR)
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, sf_dir, "labels", lambda: interval_means(
+        panel(spark, sf_dir), KEYS, "ts", list(TARGETS), STEP, STEP // HOUR))
 
 
-def origins(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+def origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On-grid rows with the last known targets, carried over at most four missing hours."""
-    base = panel(spark, sf_dir) if base is None else base
-    filled = forward_fill(base, KEYS, "ts", list(TARGETS), 4, HOUR, suffix="__now")
+    filled = forward_fill(panel(spark, sf_dir), KEYS, "ts", list(TARGETS), 4, HOUR, suffix="__now")
     return filled.filter(on_grid("ts", STEP)).withColumnRenamed("ts", "origin")
 
 
@@ -74,10 +82,9 @@ def wide_cells(spark: SparkSession, sf_dir: str, folds=DEVELOPMENT) -> DataFrame
 
     The day-before label is a lag on the label grid, so labels are joined once.
     """
-    base = panel(spark, sf_dir)
-    o = origins(spark, sf_dir, base).withColumn("fold_id", validation_fold("origin", folds)).filter("fold_id IS NOT NULL")
+    o = origins(spark, sf_dir).withColumn("fold_id", validation_fold("origin", folds)).filter("fold_id IS NOT NULL")
     o = o.select(*KEYS, "fold_id", "origin", *[f"{t}__now" for t in TARGETS])
-    y = windowed(labels(spark, sf_dir, base), KEYS, "ts", [lambda w: {
+    y = windowed(labels(spark, sf_dir), KEYS, "ts", [lambda w: {
         f"{t}__day_before": F.lag(t, DAY // STEP).over(w) for t in TARGETS}], back=DAY)
     y = y.select(*KEYS, F.col("ts").alias("interval_start"), *TARGETS, *[f"{t}__day_before" for t in TARGETS])
     x = expand_horizons(o, HORIZONS).withColumn("interval_start", interval_start("origin", "horizon_minutes", STEP))
@@ -95,6 +102,11 @@ def cells(spark: SparkSession, sf_dir: str, targets=TARGETS, how: str = "inner",
 
 def forecasts(spark: SparkSession, sf_dir: str, targets=TARGETS) -> DataFrame:
     """Long forecast table of the two naive models on the development folds."""
+    table_ = stage(spark, sf_dir, "forecasts", lambda: build_forecasts(spark, sf_dir))
+    return table_ if tuple(targets) == TARGETS else table_.filter(F.col("target").isin(list(targets)))
+
+
+def build_forecasts(spark: SparkSession, sf_dir: str, targets=TARGETS) -> DataFrame:
     models = F.array(F.struct(F.lit("persistence").alias("model"), F.col("now").alias("prediction")),
                      F.struct(F.lit("seasonal").alias("model"), F.col("day_before").alias("prediction")))
     out = cells(spark, sf_dir, targets).select("fold_id", *KEYS, "origin", "interval_start", "target",

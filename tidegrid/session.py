@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cpus: int | str = "*", app: str = "tidegrid", **conf: str) -> SparkSession:
@@ -29,13 +31,33 @@ def build_session(cpus: int | str = "*", app: str = "tidegrid", **conf: str) ->
     return spark
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+_STAGES: dict[tuple[str, str, str], str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder every executor can see: ``spark.checkpoint.dir``, a temporary one only in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    local = tempfile.mkdtemp(prefix="spark-tidegrid-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    if context.applicationId not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="spark-tidegrid-")
+    return _LOCAL_ROOTS[context.applicationId]
+
+
+def stage(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A preparation stage as a written table, built once per application and source.
+
+    Later plans read it with column pruning and pushdown instead of repeating the scan and
+    aggregation of the raw log, and a lost executor costs a re-read, not a recomputation.
+    """
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _STAGES:
+        digest = hashlib.sha256(source.encode()).hexdigest()[:12]
+        path = f"{scratch_root(spark)}/tidegrid-{key[0]}/{name}-{digest}"
+        build().write.mode("overwrite").parquet(path)
+        _STAGES[key] = path
+    return spark.read.parquet(_STAGES[key])
