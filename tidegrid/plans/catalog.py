@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.plans import backtest, scans, windows  # noqa: F401
+from tidegrid.plans import backtest, joins, scans, windows  # noqa: F401
 from tidegrid.plans.registry import QUERIES
 
 __all__ = ["QUERIES", "flagship"]
