@@ -106,14 +106,12 @@ def odds_weight(probability: Column, low: float, high: float) -> Column:
     return clip(p / (F.lit(1.0) - p), low, high)
 
 
-def mean_one(df: DataFrame, weight: str, groups: Sequence[str], out: str,
-             group_bound: int | None = None) -> DataFrame:
+def mean_one(df: DataFrame, weight: str, groups: Sequence[str], out: str) -> DataFrame:
     """Divide a weight by its group mean.
 
     The means come from a map-side combined aggregate joined back, so no group is ever gathered
-    into one task the way an unbounded window frame would. ``group_bound`` is a proven bound on
-    the number of groups, if the caller has one.
+    into one task the way an unbounded window frame would.
     """
     means = df.groupBy(*groups).agg(F.avg(weight).alias("_mean"))
-    joined = lookup_join(df, means, list(groups), rows_bound=group_bound)
+    joined = lookup_join(df, means, list(groups))
     return joined.withColumn(out, F.col(weight) / F.col("_mean")).drop("_mean")

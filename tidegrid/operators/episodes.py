@@ -89,8 +89,7 @@ def precursor_summary(per_event: DataFrame, groups: Sequence[str], unit: str) ->
         "effect_score", F.abs("median_standardized_difference") * F.col("direction_consistency"))
 
 
-def leave_one_out_accuracy(df: DataFrame, keys: Sequence[str], value: str, label: str, out: str,
-                           group_bound: int | None = None) -> DataFrame:
+def leave_one_out_accuracy(df: DataFrame, keys: Sequence[str], value: str, label: str, out: str) -> DataFrame:
     """Balanced accuracy of the midpoint-of-medians threshold, each row judged by the others.
 
     Removing one value shifts its class median by at most one rank, so the three middle order
@@ -100,7 +99,7 @@ def leave_one_out_accuracy(df: DataFrame, keys: Sequence[str], value: str, label
     rows = (df.filter(F.col(value).isNotNull() & F.col(label).isNotNull())
             .select(*keys, F.col(label).cast("int").alias("_y"), F.col(value).cast("double").alias("_v"),
                     F.lit(1).alias("n")))
-    table = prefix_sums(rows, [*keys, "_y"], "_v", ["n"], None if group_bound is None else group_bound * 2)
+    table = prefix_sums(rows, [*keys, "_y"], "_v", ["n"])
     size, below, count = F.col("n_total"), F.col("n_below"), F.col("n")
     at = lambda spot: F.max(F.when((below <= spot) & (spot < below + count), F.col("_v")))
     half = F.floor(size / 2)
@@ -134,7 +133,7 @@ def leave_one_out_accuracy(df: DataFrame, keys: Sequence[str], value: str, label
 
 
 def outcome_discrimination(per_event: DataFrame, outcomes: DataFrame, on: Sequence[str], groups: Sequence[str],
-                           outcome: str, value: str, unit: str, group_bound: int | None = None) -> DataFrame:
+                           outcome: str, value: str, unit: str) -> DataFrame:
     """AUC, leave-one-out accuracy and screening score of every (lead, feature)."""
     merged = per_event.join(outcomes.select(*on, outcome), list(on))
     y = F.col(outcome).cast("boolean")
@@ -143,8 +142,8 @@ def outcome_discrimination(per_event: DataFrame, outcomes: DataFrame, on: Sequen
         F.count_if(~y).alias("negative_events"),
         F.percentile(F.when(y, F.col(value)), F.lit(0.5)).alias("positive_median_z"),
         F.percentile(F.when(~y, F.col(value)), F.lit(0.5)).alias("negative_median_z"))
-    auc = rank_auc(merged, groups, value, outcome, "rank_auc", group_bound).drop("positives", "negatives")
-    loo = leave_one_out_accuracy(merged, groups, value, outcome, "loo_threshold_balanced_accuracy", group_bound)
+    auc = rank_auc(merged, groups, value, outcome, "rank_auc").drop("positives", "negatives")
+    loo = leave_one_out_accuracy(merged, groups, value, outcome, "loo_threshold_balanced_accuracy")
     separation = F.abs(F.col("rank_auc") - 0.5) * 2
     return (base.join(auc, list(groups), "left").join(loo, list(groups), "left")
             .withColumn("rank_separation", separation)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidegrid.functions.numeric import clip
 from tidegrid.operators.ordering import quantile_columns
 from tidegrid.operators.sizing import lookup_join
+from tidegrid.session import cut
 
 
 def gram_sums(df: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str, weight: str | None = None) -> DataFrame:
@@ -63,24 +64,22 @@ def linear_value(xs: Sequence[str]) -> Column:
 
 
 def predict_linear(df: DataFrame, model: DataFrame, keys: Sequence[str], xs: Sequence[str], out: str,
-                   floor: float | None = 0.0, group_bound: int | None = None) -> DataFrame:
+                   floor: float | None = 0.0) -> DataFrame:
     """Score rows with the coefficients of their group; a missing input gives NULL."""
     side = model.select(*keys, "intercept", *[f"beta_{x}" for x in xs])
-    joined = lookup_join(df, side, keys, rows_bound=group_bound) if keys else df.join(F.broadcast(side))
+    joined = lookup_join(df, side, keys) if keys else df.join(F.broadcast(side))
     value = linear_value(xs)
     return joined.withColumn(out, value if floor is None else clip(value, floor)).drop(
         "intercept", *[f"beta_{x}" for x in xs])
 
 
-def fill_medians(train: DataFrame, apply_to: DataFrame, keys: Sequence[str], xs: Sequence[str],
-                 group_bound: int | None = None) -> DataFrame:
+def fill_medians(train: DataFrame, apply_to: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> DataFrame:
     """Replace missing inputs by the median of the group's training rows."""
     keys = list(keys)
     cells = train.unpivot(keys, list(xs), "_x", "_value")
-    med = quantile_columns(cells, [*keys, "_x"], "_value", {"_m": 0.5},
-                           None if group_bound is None else group_bound * len(xs))
+    med = quantile_columns(cells, [*keys, "_x"], "_value", {"_m": 0.5})
     wide = med.groupBy(*keys).agg(*[F.max(F.when(F.col("_x") == x, F.col("_m"))).alias(f"_m_{x}") for x in xs])
-    joined = lookup_join(apply_to, wide, keys, rows_bound=group_bound)
+    joined = lookup_join(apply_to, wide, keys)
     return joined.withColumns({x: F.coalesce(x, f"_m_{x}") for x in xs}).drop(*[f"_m_{x}" for x in xs])
 
 
@@ -102,27 +101,24 @@ def fit_weighted_l1(df: DataFrame, xs: Sequence[str], y: str, weight: str, round
     return model.drop("_fit")
 
 
-def robust_scaler(train: DataFrame, keys: Sequence[str], xs: Sequence[str], floor: float = 1e-6,
-                  group_bound: int | None = None) -> DataFrame:
+def robust_scaler(train: DataFrame, keys: Sequence[str], xs: Sequence[str], floor: float = 1e-6) -> DataFrame:
     """Median and floored IQR per group and column, taken on median-filled training rows: ``keys, column, center, scale``."""
     keys = list(keys)
-    bound = None if group_bound is None else group_bound * len(xs)
     cells = train.unpivot(keys, list(xs), "column_name", "_value")
-    center = quantile_columns(cells, [*keys, "column_name"], "_value", {"center": 0.5}, bound).drop("n_values")
-    filled = lookup_join(cells, center, [*keys, "column_name"], rows_bound=bound).withColumn(
+    center = cut(quantile_columns(cells, [*keys, "column_name"], "_value", {"center": 0.5}).drop("n_values"))
+    filled = cells.join(center, [*keys, "column_name"]).withColumn(
         "_filled", F.coalesce("_value", "center"))
-    iqr = quantile_columns(filled, [*keys, "column_name"], "_filled", {"_a": 0.25, "_b": 0.75}, bound).drop("n_values")
+    iqr = quantile_columns(filled, [*keys, "column_name"], "_filled", {"_a": 0.25, "_b": 0.75}).drop("n_values")
     return center.join(iqr, [*keys, "column_name"]).select(
         *keys, "column_name", "center", F.greatest(F.col("_b") - F.col("_a"), F.lit(floor)).alias("scale"))
 
 
-def apply_scaler(df: DataFrame, scaler: DataFrame, keys: Sequence[str], xs: Sequence[str],
-                 group_bound: int | None = None) -> DataFrame:
+def apply_scaler(df: DataFrame, scaler: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> DataFrame:
     keys = list(keys)
     pick = lambda x, c: F.max(F.when(F.col("column_name") == x, F.col(c)))
     wide = scaler.groupBy(*keys).agg(*[e for x in xs for e in (pick(x, "center").alias(f"_c_{x}"),
                                                               pick(x, "scale").alias(f"_s_{x}"))])
-    joined = lookup_join(df, wide, keys, rows_bound=group_bound)
+    joined = lookup_join(df, wide, keys)
     return joined.withColumns({x: (F.coalesce(x, f"_c_{x}") - F.col(f"_c_{x}")) / F.col(f"_s_{x}") for x in xs}).drop(
         *[f"_{k}_{x}" for x in xs for k in ("c", "s")])
 
@@ -142,8 +138,7 @@ def from_log_scale(z: Column, low: float, high: float) -> Column:
     return clip(F.exp(z * F.col("log_std") + F.col("log_mean")), low, high)
 
 
-def fit_profile(df: DataFrame, keys: Sequence[str], ts: str, value: str, slot: Column, slot_count: int,
-                group_bound: int | None = None) -> DataFrame:
+def fit_profile(df: DataFrame, keys: Sequence[str], ts: str, value: str, slot: Column) -> DataFrame:
     """Medians by (weekday, slot), by slot and overall: ``keys, level, dow, slot, median``.
 
     One grouping-set expansion feeds the exact distributed quantile; the table has a fixed number
@@ -156,28 +151,23 @@ def fit_profile(df: DataFrame, keys: Sequence[str], ts: str, value: str, slot: C
                        for n, d, s in (("dow_slot", F.col("dow"), F.col("slot")), ("slot", none, F.col("slot")),
                                        ("overall", none, none))])
     spread = base.select(*keys, "_v", F.explode(levels).alias("_l")).select(*keys, "_v", "_l.*")
-    bound = None if group_bound is None else group_bound * (8 * slot_count + 1)
-    return quantile_columns(spread, [*keys, "level", "dow", "slot"], "_v", {"median": 0.5}, bound)
+    return quantile_columns(spread, [*keys, "level", "dow", "slot"], "_v", {"median": 0.5})
 
 
-def lookup_profile(cells: DataFrame, profile: DataFrame, keys: Sequence[str], ts: str, slot: Column, out: str,
-                   slot_count: int, group_bound: int | None = None) -> DataFrame:
+def lookup_profile(cells: DataFrame, profile: DataFrame, keys: Sequence[str], ts: str, slot: Column, out: str) -> DataFrame:
     """(weekday, slot) median, else slot median, else overall."""
     keys = list(keys)
-    bound = None if group_bound is None else group_bound * 7 * slot_count
-    part = lambda level, name, cols: profile.filter(F.col("level") == level).select(
+    table = cut(profile)
+    part = lambda level, name, cols: table.filter(F.col("level") == level).select(
         *keys, *cols, F.col("median").alias(name))
     x = cells.withColumns({"dow": F.weekday(ts), "slot": slot})
-    x = lookup_join(x, part("dow_slot", "_a", ["dow", "slot"]), [*keys, "dow", "slot"], "left", bound)
-    x = lookup_join(x, part("slot", "_b", ["slot"]), [*keys, "slot"], "left", bound)
-    x = (lookup_join(x, part("overall", "_c", []), keys, "left", bound) if keys
-         else x.join(F.broadcast(part("overall", "_c", [])), how="left"))
+    x = x.join(part("dow_slot", "_a", ["dow", "slot"]), [*keys, "dow", "slot"], "left")
+    x = x.join(part("slot", "_b", ["slot"]), [*keys, "slot"], "left").join(part("overall", "_c", []), keys, "left")
     return x.withColumn(out, F.coalesce("_a", "_b", "_c")).drop("_a", "_b", "_c", "dow", "slot")
 
 
 def boundary_contract(history: DataFrame, keys: Sequence[str], level: str, deltas: Sequence[str], balance: str, *,
-                      reference: tuple[float, float], zone: tuple[float, float], floor: float,
-                      group_bound: int | None = None) -> DataFrame:
+                      reference: tuple[float, float], zone: tuple[float, float], floor: float) -> DataFrame:
     """Reference and zone quantiles, medians and floored IQR scales from history rows only."""
     lo, hi = reference
     zl, zh = zone
@@ -186,9 +176,8 @@ def boundary_contract(history: DataFrame, keys: Sequence[str], level: str, delta
     keys = list(keys)
     names = [level, *deltas, balance]
     cells = history.unpivot(keys, names, "_x", "_value")
-    bound = None if group_bound is None else group_bound * len(names)
     q = quantile_columns(cells, [*keys, "_x"], "_value",
-                         {"lo": lo, "zl": zl, "zh": zh, "hi": hi, "q25": 0.25, "q50": 0.5, "q75": 0.75}, bound)
+                         {"lo": lo, "zl": zl, "zh": zh, "hi": hi, "q25": 0.25, "q50": 0.5, "q75": 0.75})
     at = lambda x, c: F.max(F.when(F.col("_x") == x, F.col(c)))
     scale = lambda x: F.greatest(at(x, "q75") - at(x, "q25"), F.lit(floor))
     table = q.groupBy(*keys).agg(

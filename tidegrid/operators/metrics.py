@@ -96,19 +96,18 @@ def weighted_gain(pairs: DataFrame, keys: Sequence[str], weight: str) -> DataFra
         ((score("control") - score("candidate")) * 100.0).alias("accuracy_gain_pct"))
 
 
-def effective_size(df: DataFrame, keys: Sequence[str], weight: str, group_bound: int | None = None) -> DataFrame:
+def effective_size(df: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
     """Kish effective sample size and the top-quartile threshold of the weights."""
     w = F.col(weight)
     sizes = df.groupBy(*keys).agg((F.sum(w) * F.sum(w) / F.sum(w * w)).alias("effective_sample_size"),
                                   F.count(w).alias("row_count"))
-    cut = quantile_columns(df, keys, weight, {"top_quartile_threshold": 0.75}, group_bound).drop("n_values")
+    cut = quantile_columns(df, keys, weight, {"top_quartile_threshold": 0.75}).drop("n_values")
     return sizes.join(cut, list(keys))
 
 
-def top_share_flag(df: DataFrame, keys: Sequence[str], score: str, share: float, out: str,
-                   group_bound: int | None = None) -> DataFrame:
-    cut = quantile_columns(df, keys, score, {"_cut": 1.0 - share}, group_bound).drop("n_values")
-    return lookup_join(df, cut, keys, rows_bound=group_bound).withColumn(
+def top_share_flag(df: DataFrame, keys: Sequence[str], score: str, share: float, out: str) -> DataFrame:
+    cut = quantile_columns(df, keys, score, {"_cut": 1.0 - share}).drop("n_values")
+    return lookup_join(df, cut, keys).withColumn(
         out, (F.col(score) >= F.col("_cut")).cast("int")).drop("_cut")
 
 
@@ -125,12 +124,11 @@ def scan_weights(pairs: DataFrame, keys: Sequence[str], weights: Sequence[float]
     return table.select(*keys, best["weight"].alias("best_weight"), best["mape"].alias("best_mape"))
 
 
-def optimal_scale(df: DataFrame, keys: Sequence[str], actual: str, prediction: str, out: str,
-                  group_bound: int | None = None) -> DataFrame:
+def optimal_scale(df: DataFrame, keys: Sequence[str], actual: str, prediction: str, out: str) -> DataFrame:
     """Scale minimising MAPE: median of actual/prediction weighted by prediction/actual."""
     a, p = F.col(actual), F.col(prediction)
     ready = df.filter((a > 0) & (p > 0)).select(*keys, (a / p).alias("_ratio"), (p / a).alias("_weight"))
-    return weighted_median(ready, keys, "_ratio", "_weight", out, group_bound)
+    return weighted_median(ready, keys, "_ratio", "_weight", out)
 
 
 def floor_mape(actual: str, prediction: str, floor: float) -> Column:
@@ -153,8 +151,7 @@ def horizon_monotonicity(table: DataFrame, keys: Sequence[str]) -> DataFrame:
                  F.count(F.lit(1)).alias("horizons")))
 
 
-def binary_scores(df: DataFrame, keys: Sequence[str], probability: str, label: str, alert: str,
-                  group_bound: int | None = None) -> DataFrame:
+def binary_scores(df: DataFrame, keys: Sequence[str], probability: str, label: str, alert: str) -> DataFrame:
     """Average precision and lift, ROC-AUC, Brier score, precision and recall of the alert flag."""
     keys = list(keys)
     p, y, a = F.col(probability), F.col(label).cast("int"), F.col(alert).cast("int")
@@ -163,18 +160,17 @@ def binary_scores(df: DataFrame, keys: Sequence[str], probability: str, label: s
         F.avg(a.cast("double")).alias("alert_rate"),
         F.when(F.sum(a) > 0, F.sum(a * y) / F.sum(a)).alias("alert_precision"),
         F.when(F.sum(y) > 0, F.sum(a * y) / F.sum(y)).alias("alert_recall"))
-    ap = average_precision(df, keys, probability, label, "average_precision", group_bound)
-    auc = rank_auc(df, keys, probability, label, "roc_auc", group_bound).drop("positives", "negatives")
+    ap = average_precision(df, keys, probability, label, "average_precision")
+    auc = rank_auc(df, keys, probability, label, "roc_auc").drop("positives", "negatives")
     return (base.join(ap, keys, "left").join(auc, keys, "left")
             .withColumn("average_precision_lift", F.when(F.col("prevalence") > 0,
                                                          F.col("average_precision") / F.col("prevalence"))))
 
 
-def alert_thresholds(df: DataFrame, keys: Sequence[str], probability: str, budget: float,
-                     group_bound: int | None = None) -> DataFrame:
+def alert_thresholds(df: DataFrame, keys: Sequence[str], probability: str, budget: float) -> DataFrame:
     if not 0 < budget < 1:
         raise ValueError("budget must lie between zero and one")
-    return quantile_columns(df, keys, probability, {"alert_threshold": 1.0 - budget}, group_bound).drop("n_values")
+    return quantile_columns(df, keys, probability, {"alert_threshold": 1.0 - budget}).drop("n_values")
 
 
 def residuals_by_origin(df: DataFrame, keys: Sequence[str], bucket: str, near: str, far: str) -> DataFrame:
@@ -192,8 +188,7 @@ def residuals_by_origin(df: DataFrame, keys: Sequence[str], bucket: str, near: s
     return out.withColumn("far_minus_near_actual_ratio", change / floor)
 
 
-def pressure_relation(per_origin: DataFrame, block: str, score: str, residual: str, change: str,
-                      group_bound: int | None = None) -> DataFrame:
+def pressure_relation(per_origin: DataFrame, block: str, score: str, residual: str, change: str) -> DataFrame:
     """Score-to-residual relation, pooled and per block."""
     scoped = per_origin.select("*", F.explode(F.array(F.lit("pooled"), F.col(block))).alias("scope"))
     high, low = F.col("score_group") == "high", F.col("score_group") == "low"
@@ -204,8 +199,8 @@ def pressure_relation(per_origin: DataFrame, block: str, score: str, residual: s
         frac(low).alias("low_score_fraction"),
         frac((F.col("high_zone") == 1) | (F.col("low_zone") == 1)).alias("boundary_zone_fraction"),
         spread.alias("high_minus_low_far_residual_pct"))
-    first = spearman(scoped, ["scope"], score, residual, "pressure_residual_spearman", group_bound).drop("pair_count")
-    second = spearman(scoped, ["scope"], score, change, "pressure_target_change_spearman", group_bound).drop("pair_count")
+    first = spearman(scoped, ["scope"], score, residual, "pressure_residual_spearman").drop("pair_count")
+    second = spearman(scoped, ["scope"], score, change, "pressure_target_change_spearman").drop("pair_count")
     return base.join(first, "scope", "left").join(second, "scope", "left")
 
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidegrid.operators.sizing import lookup_join
+from tidegrid.session import cut
 
 PIVOTS = 32
 BLOCK_ROWS = 2048
@@ -75,8 +75,7 @@ def _compare(keys: Sequence[str], k: int, per_day: int, skip_self: bool):
                         break
         out = pd.DataFrame(found)
         for key in keys:
-            source = q if len(q) else lib
-            out[key] = source[key].iloc[0] if len(source) else None
+            out[key] = q[key].iloc[0] if len(q) else None
         return out
     return run
 
@@ -110,14 +109,16 @@ def nearest_neighbors(queries: DataFrame, library: DataFrame, keys: Sequence[str
         raise ValueError("the library is empty")
     home = F.array_position("_pd", F.array_min("_pd")).cast("int") - 1
     lib = pivot_distances(lib, "vector", table).withColumn("cell", home).withColumn("_near", F.array_min("_pd"))
+    lib = cut(lib.drop("_pd"))
     cells = lib.groupBy(*keys, "cell").agg(F.max("_near").alias("radius"), F.count(F.lit(1)).alias("_n"))
-    cells = cells.withColumn("_blocks", F.ceil(F.col("_n") / block_rows).cast("int"))
-    blocks = (lookup_join(lib, cells.select(*keys, "cell", "_blocks"), [*keys, "cell"])
+    # At most ``pivots`` rows per key, of known size once written.
+    cells = cut(cells.withColumn("_blocks", F.ceil(F.col("_n") / block_rows).cast("int")))
+    blocks = (lib.join(cells.select(*keys, "cell", "_blocks"), [*keys, "cell"])
               .withColumn("block", F.pmod(F.xxhash64(F.col("item_id").cast("string")), F.col("_blocks")).cast("int"))
               .select(*keys, "cell", "block", "item_id", "day", "vector"))
 
     qs = queries.select(*keys, F.col(query).alias("query_id"), F.col(vector).alias("vector"))
-    qs = pivot_distances(qs, "vector", table)
+    qs = cut(pivot_distances(qs, "vector", table))
     schema = ", ".join([f"query_id {qs.schema['query_id'].dataType.simpleString()}",
                         f"item_id {lib.schema['item_id'].dataType.simpleString()}",
                         f"day {lib.schema['day'].dataType.simpleString()}", "distance double",
@@ -134,15 +135,17 @@ def nearest_neighbors(queries: DataFrame, library: DataFrame, keys: Sequence[str
         right = (blocks.join(load, [*keys, "cell"])
                  .select(*keys, "cell", "block", "item_id", "day", "vector", upto("_batches").alias("batch")))
         on = [*keys, "cell", "block", "batch"]
-        return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(
+        right = right.select("item_id", "day", "vector", *[F.col(c).alias(f"_{c}") for c in on])
+        return left.groupBy(*on).cogroup(right.groupBy(*[f"_{c}" for c in on])).applyInPandas(
             _compare(keys, k, per_day, skip_self), schema=schema)
 
     # Pass one: the nearest non-empty cell of the query's own key.
+    # Each query meets the few cell summaries of its key, never the vectors themselves.
     ranked = (qs.join(cells.select(*keys, "cell", "radius"), keys) if keys
               else qs.join(F.broadcast(cells.select("cell", "radius"))))
     ranked = ranked.withColumn("_to", F.element_at("_pd", F.col("cell") + 1))
     own = ranked.groupBy(*keys, "query_id").agg(F.min_by("cell", F.struct("_to", "cell")).alias("cell"))
-    first = search(qs.drop("_pd").join(own, [*keys, "query_id"]))
+    first = cut(search(qs.drop("_pd").join(own, [*keys, "query_id"])))
     best = _diverse(first, keys, k, per_day)
     limit = (best.groupBy(*keys, "query_id").agg(F.max("distance").alias("_far"), F.count(F.lit(1)).alias("_k"))
              .select(*keys, "query_id", F.when(F.col("_k") == k, F.col("_far")).alias("_limit")))

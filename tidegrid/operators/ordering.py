@@ -5,6 +5,8 @@
 so both are replaced by two levels of order-preserving buckets: level one is a fixed log scale,
 level two splits each needed bucket evenly between its own minimum and maximum. Bucket totals are
 map-side combined aggregates; only rows of the few buckets that hold a wanted rank are ever sorted.
+The small tables between two passes are written out (``cut``): each pass is one scan of the input
+joined to a table whose size is known.
 """
 
 from __future__ import annotations
@@ -13,11 +15,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidegrid.operators.sizing import lookup_join
+from tidegrid.session import cut
 
 STEPS = 8        # level-one buckets per unit of log1p(|v|)
 SPLITS = 512     # level-two buckets inside one level-one bucket
-LEVEL_ONE = 2 * 710 * STEPS   # log1p of the largest double is below 710
 
 
 def _coarse(v: Column) -> Column:
@@ -31,15 +32,9 @@ def _fine(v: Column, low: Column, high: Column) -> Column:
     return F.least(F.floor(share * SPLITS), F.lit(SPLITS - 1))
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-              group_bound: int | None = None) -> DataFrame:
-    """Linearly interpolated quantiles per group: ``keys, prob, quantile, n``.
-
-    ``group_bound``: proven bound on the number of groups; it allows the tiny rank tables to be
-    broadcast, otherwise they join by key.
-    """
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Linearly interpolated quantiles per group: ``keys, prob, quantile, n``."""
     keys = list(keys)
-    bound = None if group_bound is None else group_bound * len(probs) * 2
     rows = (df.select(*keys, F.col(value).cast("double").alias("_v"))
             .filter(F.col("_v").isNotNull() & ~F.isnan("_v")).withColumn("_b1", _coarse(F.col("_v"))))
 
@@ -49,52 +44,53 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     whole = Window.partitionBy(*keys)
     level1 = level1.select("*", F.coalesce(F.sum("_c1").over(upto), F.lit(0)).alias("_o1"),
                            F.sum("_c1").over(whole).alias("n"))
-
     plist = F.array(*[F.lit(float(p)) for p in probs])
-    spot = (F.col("n") - 1) * F.col("prob")
-    targets = (level1.select(*keys, "_b1", "_c1", "_o1", "_lo", "_hi", "n", F.explode(plist).alias("prob"))
-               .withColumn("_spot", spot)
+    targets = (level1.select("*", F.explode(plist).alias("prob"))
+               .withColumn("_spot", (F.col("n") - 1) * F.col("prob"))
                .select("*", F.explode(F.array(F.floor("_spot"), F.least(F.ceil("_spot"), F.col("n") - 1)))
                        .alias("_r"))
                .filter((F.col("_r") >= F.col("_o1")) & (F.col("_r") < F.col("_o1") + F.col("_c1"))))
+    targets = cut(targets)
 
-    need1 = targets.select(*keys, "_b1", "_lo", "_hi", "_o1").distinct()
-    inner = lookup_join(rows, need1, [*keys, "_b1"], rows_bound=bound).withColumn(
-        "_b2", _fine(F.col("_v"), F.col("_lo"), F.col("_hi")))
-    level2 = inner.groupBy(*keys, "_b1", "_o1", "_b2").agg(F.count(F.lit(1)).alias("_c2"))
+    inner = _split(rows, targets.select(*keys, "_b1", "_lo", "_hi").distinct(), keys)
+    level2 = inner.groupBy(*keys, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_c2"))
     upto2 = Window.partitionBy(*keys, "_b1").orderBy("_b2").rowsBetween(Window.unboundedPreceding, -1)
-    level2 = level2.withColumn("_o2", F.col("_o1") + F.coalesce(F.sum("_c2").over(upto2), F.lit(0)))
-    wanted = (targets.select(*keys, "_b1", "_r", "prob", "_spot", "n")
-              .join(level2.drop("_o1"), [*keys, "_b1"])
+    level2 = level2.withColumn("_p2", F.coalesce(F.sum("_c2").over(upto2), F.lit(0)))
+    wanted = (targets.select(*keys, "_b1", "_lo", "_hi", "_o1", "_r", "prob", "_spot", "n")
+              .join(level2, [*keys, "_b1"]).withColumn("_o2", F.col("_o1") + F.col("_p2"))
               .filter((F.col("_r") >= F.col("_o2")) & (F.col("_r") < F.col("_o2") + F.col("_c2"))))
+    wanted = cut(wanted.drop("_o1", "_p2", "_c2"))
 
-    need2 = wanted.select(*keys, "_b1", "_b2", "_o2").distinct()
-    last = (lookup_join(inner, need2, [*keys, "_b1", "_b2"], rows_bound=bound)
-            .groupBy(*keys, "_b1", "_b2", "_o2", "_v").agg(F.count(F.lit(1)).alias("_c3")))
+    last = _split(rows, wanted.select(*keys, "_b1", "_lo", "_hi").distinct(), keys)
+    last = (last.join(wanted.select(*keys, "_b1", "_b2").distinct(), [*keys, "_b1", "_b2"], "left_semi")
+            .groupBy(*keys, "_b1", "_b2", "_v").agg(F.count(F.lit(1)).alias("_c3")))
     upto3 = Window.partitionBy(*keys, "_b1", "_b2").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    last = last.withColumn("_o3", F.col("_o2") + F.coalesce(F.sum("_c3").over(upto3), F.lit(0)))
-    hits = (wanted.select(*keys, "_b1", "_b2", "_r", "prob", "_spot", "n")
-            .join(last.drop("_o2"), [*keys, "_b1", "_b2"])
+    last = last.withColumn("_p3", F.coalesce(F.sum("_c3").over(upto3), F.lit(0)))
+    hits = (wanted.select(*keys, "_b1", "_b2", "_o2", "_r", "prob", "_spot", "n")
+            .join(last, [*keys, "_b1", "_b2"]).withColumn("_o3", F.col("_o2") + F.col("_p3"))
             .filter((F.col("_r") >= F.col("_o3")) & (F.col("_r") < F.col("_o3") + F.col("_c3"))))
-    low = F.min_by("_v", "_r")
-    high = F.max_by("_v", "_r")
+    low, high = F.min_by("_v", "_r"), F.max_by("_v", "_r")
     return (hits.groupBy(*keys, "prob", "n", "_spot").agg(low.alias("_low"), high.alias("_high"))
             .select(*keys, "prob", "n",
                     (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_spot") - F.floor("_spot")))
                     .alias("quantile")))
 
 
-def quantile_columns(df: DataFrame, keys: Sequence[str], value: str, named: dict[str, float],
-                     group_bound: int | None = None) -> DataFrame:
+def _split(rows: DataFrame, buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the given level-one buckets with their level-two bucket."""
+    return rows.join(buckets, [*keys, "_b1"]).withColumn("_b2", _fine(F.col("_v"), F.col("_lo"), F.col("_hi"))).drop(
+        "_lo", "_hi")
+
+
+def quantile_columns(df: DataFrame, keys: Sequence[str], value: str, named: dict[str, float]) -> DataFrame:
     """One row per group, one column per named quantile."""
-    long = quantiles(df, keys, value, sorted(set(named.values())), group_bound)
+    long = quantiles(df, keys, value, sorted(set(named.values())))
     pick = [F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(name)
             for name, p in named.items()]
     return long.groupBy(*keys).agg(*pick, F.max("n").alias("n_values"))
 
 
-def prefix_sums(df: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str],
-                group_bound: int | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str]) -> DataFrame:
     """Totals of additive measures per distinct value, with the sum over all smaller values.
 
     Returns ``keys, value, m, m_below, m_total`` for every measure. Equal values collapse first,
@@ -102,18 +98,15 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], value: str, measures: Sequen
     """
     keys, measures = list(keys), list(measures)
     counted = df.groupBy(*keys, value).agg(*[F.sum(m).alias(m) for m in measures])
-    counted = counted.withColumn("_b1", _coarse(F.col(value).cast("double")))
-    one = counted.groupBy(*keys, "_b1").agg(F.min(value).cast("double").alias("_lo"),
-                                            F.max(value).cast("double").alias("_hi"),
+    counted = cut(counted.withColumn("_v", F.col(value).cast("double")).withColumn("_b1", _coarse(F.col("_v"))))
+    one = counted.groupBy(*keys, "_b1").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
                                             *[F.sum(m).alias(f"_s_{m}") for m in measures])
     below = Window.partitionBy(*keys).orderBy("_b1").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    one = one.select(*keys, "_b1", "_lo", "_hi",
-                     *[F.coalesce(F.sum(f"_s_{m}").over(below), F.lit(0)).alias(f"_o_{m}") for m in measures],
-                     *[F.sum(f"_s_{m}").over(whole).alias(f"{m}_total") for m in measures])
-    bound = None if group_bound is None else group_bound * LEVEL_ONE
-    split = lookup_join(counted, one, [*keys, "_b1"], rows_bound=bound).withColumn(
-        "_b2", _fine(F.col(value).cast("double"), F.col("_lo"), F.col("_hi")))
+    one = cut(one.select(*keys, "_b1", "_lo", "_hi",
+                         *[F.coalesce(F.sum(f"_s_{m}").over(below), F.lit(0)).alias(f"_o_{m}") for m in measures],
+                         *[F.sum(f"_s_{m}").over(whole).alias(f"{m}_total") for m in measures]))
+    split = counted.join(one, [*keys, "_b1"]).withColumn("_b2", _fine(F.col("_v"), F.col("_lo"), F.col("_hi")))
     two = split.groupBy(*keys, "_b1", "_b2").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     below2 = Window.partitionBy(*keys, "_b1").orderBy("_b2").rowsBetween(Window.unboundedPreceding, -1)
     two = two.select(*keys, "_b1", "_b2",
@@ -131,14 +124,13 @@ def average_rank(count: str = "n") -> Column:
     return F.col(f"{count}_below") + (F.col(count) + 1) / 2.0
 
 
-def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str,
-             group_bound: int | None = None) -> DataFrame:
+def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str) -> DataFrame:
     """Rank correlation per group; fewer than three pairs or a constant side gives NULL."""
     keys = list(keys)
     pairs = (df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
              .filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
              .groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("n")))
-    rank = lambda c: prefix_sums(pairs, keys, c, ["n"], group_bound).select(
+    rank = lambda c: prefix_sums(pairs, keys, c, ["n"]).select(
         *keys, c, average_rank().alias(f"_r{c}"))
     ranked = pairs.join(rank("_x"), [*keys, "_x"]).join(rank("_y"), [*keys, "_y"])
     n, rx, ry = F.col("n"), F.col("_r_x"), F.col("_r_y")
@@ -153,40 +145,37 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str,
                           F.when((m >= 3) & (vx > 0) & (vy > 0), rho).alias(out))
 
 
-def rank_auc(df: DataFrame, keys: Sequence[str], score: str, label: str, out: str,
-             group_bound: int | None = None) -> DataFrame:
+def rank_auc(df: DataFrame, keys: Sequence[str], score: str, label: str, out: str) -> DataFrame:
     """Probability that a positive outranks a negative, ties counted half."""
     keys = list(keys)
     flagged = (df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
                .select(*keys, F.col(score).alias("_s"), F.lit(1).alias("n"),
                        F.col(label).cast("int").alias("pos")))
-    table = prefix_sums(flagged, keys, "_s", ["n", "pos"], group_bound)
+    table = prefix_sums(flagged, keys, "_s", ["n", "pos"])
     p, q = F.max("pos_total"), F.max("n_total") - F.max("pos_total")
     auc = (F.sum(F.col("pos") * average_rank()) - p * (p + 1) / 2.0) / (p * q)
     return table.groupBy(*keys).agg(F.when((p > 0) & (q > 0), auc).alias(out), p.alias("positives"),
                                     q.alias("negatives"))
 
 
-def average_precision(df: DataFrame, keys: Sequence[str], score: str, label: str, out: str,
-                      group_bound: int | None = None) -> DataFrame:
+def average_precision(df: DataFrame, keys: Sequence[str], score: str, label: str, out: str) -> DataFrame:
     """Sum over distinct scores, highest first, of recall gain times precision."""
     keys = list(keys)
     flagged = (df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
                .select(*keys, F.col(score).alias("_s"), F.lit(1).alias("n"),
                        F.col(label).cast("int").alias("pos")))
-    table = prefix_sums(flagged, keys, "_s", ["n", "pos"], group_bound)
+    table = prefix_sums(flagged, keys, "_s", ["n", "pos"])
     precision = (F.col("pos_total") - F.col("pos_below")) / (F.col("n_total") - F.col("n_below"))
     return table.groupBy(*keys).agg(
         F.when(F.max("pos_total") > 0, F.sum(F.col("pos") / F.col("pos_total") * precision)).alias(out),
         (F.max("pos_total") / F.max("n_total")).alias("prevalence"))
 
 
-def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str, out: str,
-                    group_bound: int | None = None) -> DataFrame:
+def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str, out: str) -> DataFrame:
     """Smallest value whose cumulative weight reaches half of the total; weights must be positive."""
     keys = list(keys)
     rows = (df.filter((F.col(weight) > 0) & F.col(value).isNotNull())
             .select(*keys, F.col(value).alias("_v"), F.col(weight).alias("w")))
-    table = prefix_sums(rows, keys, "_v", ["w"], group_bound)
+    table = prefix_sums(rows, keys, "_v", ["w"])
     return table.filter(F.col("w_below") + F.col("w") >= F.col("w_total") / 2).groupBy(*keys).agg(
         F.min("_v").alias(out))

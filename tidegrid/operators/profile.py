@@ -35,7 +35,7 @@ def column_profile(df: DataFrame, ts: str, columns: Sequence[str], huge: float =
     distinct = (cells.filter(ok).groupBy("column_name", "value").agg(F.lit(1).alias("_one"))
                 .groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count")))
     named = {"q01": 0.01, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q99": 0.99}
-    quant = quantile_columns(cells.filter(ok), ["column_name"], "value", named, len(columns)).drop("n_values")
+    quant = quantile_columns(cells.filter(ok), ["column_name"], "value", named).drop("n_values")
     out = base.join(distinct, ["column_name"], "left").join(quant, ["column_name"], "left")
     count = F.coalesce("distinct_count", F.lit(0))
     return out.withColumns({"distinct_count": count, "all_empty": F.col("null_count") == F.col("row_count"),
@@ -54,15 +54,15 @@ def constant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def outlier_candidates(df: DataFrame, keys: Sequence[str], value: str, *, fence: float = 1.5, z_limit: float = 6.0,
-                       consistency: float = 1.4826, group_bound: int | None = None) -> DataFrame:
+                       consistency: float = 1.4826) -> DataFrame:
     """Values outside the quartile fence, and values with a robust z above the limit (none if MAD is 0)."""
     keys = list(keys)
-    q = quantile_columns(df, keys, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, group_bound)
-    joined = lookup_join(df.select(*keys, F.col(value).cast("double").alias("_v")), q, keys, rows_bound=group_bound)
+    q = quantile_columns(df, keys, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    joined = lookup_join(df.select(*keys, F.col(value).cast("double").alias("_v")), q, keys)
     joined = joined.withColumn("_d", F.abs(F.col("_v") - F.col("q50")))
-    mad = quantile_columns(joined, keys, "_d", {"mad": 0.5}, group_bound).drop("n_values")
+    mad = quantile_columns(joined, keys, "_d", {"mad": 0.5}).drop("n_values")
     iqr = F.col("q75") - F.col("q25")
-    both = lookup_join(joined, mad, keys, rows_bound=group_bound)
+    both = lookup_join(joined, mad, keys)
     outside = (F.col("_v") < F.col("q25") - fence * iqr) | (F.col("_v") > F.col("q75") + fence * iqr)
     far = (F.col("mad") > 0) & (F.col("_d") / (F.col("mad") * consistency) > z_limit)
     return both.groupBy(*keys, "q25", "q50", "q75", "mad").agg(
@@ -149,21 +149,20 @@ def mean_shift(train_tail: DataFrame, test: DataFrame, columns: Sequence[str], m
 def support_shift(train: DataFrame, reference: DataFrame, test: DataFrame, columns: Sequence[str],
                   low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Median shift in reference IQRs and the share of test values outside the train support."""
-    n = len(columns)
     cells = {k: long_cells(d, [], columns) for k, d in (("train", train), ("reference", reference), ("test", test))}
     tq = quantile_columns(cells["train"], ["column_name"], "value",
-                          {"soft_support_low": low, "train_median": 0.5, "soft_support_high": high}, n)
+                          {"soft_support_low": low, "train_median": 0.5, "soft_support_high": high})
     tq = tq.withColumnRenamed("n_values", "train_n")
     rq = quantile_columns(cells["reference"], ["column_name"], "value",
-                          {"_r25": 0.25, "reference_median": 0.5, "_r75": 0.75}, n).withColumnRenamed(
+                          {"_r25": 0.25, "reference_median": 0.5, "_r75": 0.75}).withColumnRenamed(
                               "n_values", "reference_n")
-    sq = quantile_columns(cells["test"], ["column_name"], "value", {"test_median": 0.5}, n).drop("n_values")
+    sq = quantile_columns(cells["test"], ["column_name"], "value", {"test_median": 0.5}).drop("n_values")
     hard = cells["train"].groupBy("column_name").agg(F.min("value").alias("_min"), F.max("value").alias("_max"))
     support = tq.join(hard, "column_name")
     v = F.col("value")
     share = lambda c: F.avg(F.when(v.isNotNull(), c.cast("double")))
     rates = lookup_join(cells["test"], support.select("column_name", "soft_support_low", "soft_support_high",
-                                                      "_min", "_max"), ["column_name"], rows_bound=n)
+                                                      "_min", "_max"), ["column_name"])
     rates = rates.groupBy("column_name").agg(
         F.count("value").alias("test_n"), (1.0 - F.count("value") / F.count(F.lit(1))).alias("test_missing_rate"),
         share(v < F.col("soft_support_low")).alias("out_of_support_below_rate"),

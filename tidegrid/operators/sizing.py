@@ -1,23 +1,19 @@
-"""The one place that decides on explicit broadcasts."""
+"""Joins of a large table to a lookup."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-# Rows a broadcast side may hold; wider than any fold, horizon, column or slot table.
-BROADCAST_ROWS = 200_000
+from tidegrid.session import cut
 
 
-def lookup_join(fact: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner",
-                rows_bound: int | None = None) -> DataFrame:
-    """Equi-join a large table to a lookup.
+def lookup_join(fact: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join with a lookup whose size is checked by writing it out first.
 
-    The hint is given only when the caller can prove a row bound from literals (number of folds,
-    horizons, audited columns, calendar slots). Without one the join stays a plain equi-join:
-    Catalyst broadcasts from its own statistics, else AQE splits skewed partitions.
+    The side is read back from a file, so Catalyst knows its real size: below
+    ``spark.sql.autoBroadcastJoinThreshold`` the large table is not shuffled at all, above it the
+    join shuffles by key and AQE splits hot keys. No hint is forced either way.
     """
-    if rows_bound is not None and rows_bound <= BROADCAST_ROWS:
-        side = F.broadcast(side)
-    return fact.join(side, list(on), how)
+    return fact.join(cut(side), list(on), how)

@@ -356,7 +356,7 @@ def slot(ts):
 
 def profile_table(spark, d, end=base.FOLDS[2].train_end):
     y = base.labels(spark, d).filter(plus_minutes("ts", STEP - HOUR) <= F.lit(end).cast("timestamp_ntz"))
-    return fits.fit_profile(y, KEYS, "ts", "target_all", slot("ts"), 6)
+    return fits.fit_profile(y, KEYS, "ts", "target_all", slot("ts"))
 
 
 @query("a13_calendar_profile", "series_id:s, level:s, dow:i, slot:i, median:d", sql("SELECT * FROM prof", "labels", **PROFILE_SQL))
@@ -371,7 +371,7 @@ LEFT JOIN prof b ON b.level = 'slot' AND b.series_id = c.series_id AND b.slot =
 LEFT JOIN prof o ON o.level = 'overall' AND o.series_id = c.series_id WHERE c.fold_id = 'fold_3' AND c.target = 'target_all'""", "cells", **PROFILE_SQL))
 def profile_lookup(spark, d):
     c = base.cells(spark, d, ("target_all",)).filter("fold_id = 'fold_3'")
-    return fits.lookup_profile(c, profile_table(spark, d), KEYS, "interval_start", slot("interval_start"), "prediction", 6)
+    return fits.lookup_profile(c, profile_table(spark, d), KEYS, "interval_start", slot("interval_start"), "prediction")
 
 
 @query("j16_fine_origin_expansion", "series_id:s, ts:t, fine_horizon:i, horizon_minutes:i, prediction:d",

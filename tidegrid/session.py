@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,3 +62,15 @@ def stage(spark: SparkSession, source: str, name: str, build: Callable[[], DataF
         build().write.mode("overwrite").parquet(path)
         _STAGES[key] = path
     return spark.read.parquet(_STAGES[key])
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and go on from the file.
+
+    Cuts the lineage for good (survives lost executors), keeps later plans short, and gives the
+    optimizer the true size, so a small table is broadcast on evidence and a large one is not.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/tidegrid-{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
