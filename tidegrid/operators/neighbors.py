@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidegrid.session import cut
 
-PIVOTS = 32
+PIVOTS = 64          # most cells a library is cut into
+CELL_ROWS = 2048     # library rows per cell aimed at; fewer cells for a small library
 BLOCK_ROWS = 2048
 BATCH_ROWS = 2048
+SLICE = 32           # queries compared at once inside a task
 
 
 def _rms(matrix, row):
@@ -57,22 +59,24 @@ def _compare(keys: Sequence[str], k: int, per_day: int, skip_self: bool):
         if len(q) and len(lib):
             lib = lib.sort_values("item_id", kind="stable")
             matrix = np.stack([np.asarray(v, dtype=float) for v in lib["vector"]])
-            ids, days = lib["item_id"].to_numpy(), lib["day"].to_numpy()
-            for qid, vec in zip(q["query_id"], q["vector"]):
-                d = _rms(matrix, np.asarray(vec, dtype=float))
-                used: dict = {}
-                taken = 0
-                for i in np.argsort(d, kind="stable"):
-                    if skip_self and ids[i] == qid:
-                        continue
-                    if used.get(days[i], 0) >= per_day:
-                        continue
-                    used[days[i]] = used.get(days[i], 0) + 1
-                    for name, value in (("query_id", qid), ("item_id", ids[i]), ("day", days[i]), ("distance", d[i])):
-                        found[name].append(value)
-                    taken += 1
-                    if taken == k:
-                        break
+            asked = np.stack([np.asarray(v, dtype=float) for v in q["vector"]])
+            ids, days, names = lib["item_id"].to_numpy(), lib["day"].to_numpy(), q["query_id"].to_numpy()
+            for start in range(0, len(asked), SLICE):
+                part = asked[start:start + SLICE]
+                dist = np.sqrt(np.mean(np.square(matrix[None, :, :] - part[:, None, :]), axis=2))
+                order = np.argsort(dist, axis=1, kind="stable")
+                for r in range(len(part)):
+                    qid, used, taken = names[start + r], {}, 0
+                    for i in order[r]:
+                        if (skip_self and ids[i] == qid) or used.get(days[i], 0) >= per_day:
+                            continue
+                        used[days[i]] = used.get(days[i], 0) + 1
+                        for name, value in (("query_id", qid), ("item_id", ids[i]), ("day", days[i]),
+                                            ("distance", dist[r, i])):
+                            found[name].append(value)
+                        taken += 1
+                        if taken == k:
+                            break
         out = pd.DataFrame(found)
         for key in keys:
             out[key] = q[key].iloc[0] if len(q) else None
@@ -99,11 +103,12 @@ def diverse_top_k(distances: DataFrame, query: Sequence[str], item: str, day: st
 
 
 def nearest_neighbors(queries: DataFrame, library: DataFrame, keys: Sequence[str], *, query: str, item: str,
-                      vector: str, day: str, k: int, per_day: int, skip_self: bool = False, pivots: int = PIVOTS,
+                      vector: str, day: str, k: int, per_day: int, skip_self: bool = False, pivots: int | None = None,
                       block_rows: int = BLOCK_ROWS, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """``keys, query_id, item_id, day, distance, neighbor_rank`` of the k nearest, at most ``per_day`` of a day."""
     keys = list(keys)
     lib = library.select(*keys, F.col(item).alias("item_id"), F.col(day).alias("day"), F.col(vector).alias("vector"))
+    pivots = pivots or max(1, min(PIVOTS, lib.count() // CELL_ROWS))
     table = pick_pivots(lib, "item_id", "vector", pivots)
     if not table:
         raise ValueError("the library is empty")
@@ -146,6 +151,8 @@ def nearest_neighbors(queries: DataFrame, library: DataFrame, keys: Sequence[str
     ranked = ranked.withColumn("_to", F.element_at("_pd", F.col("cell") + 1))
     own = ranked.groupBy(*keys, "query_id").agg(F.min_by("cell", F.struct("_to", "cell")).alias("cell"))
     first = cut(search(qs.drop("_pd").join(own, [*keys, "query_id"])))
+    if len(table) == 1:
+        return _diverse(first, keys, k, per_day)
     best = _diverse(first, keys, k, per_day)
     limit = (best.groupBy(*keys, "query_id").agg(F.max("distance").alias("_far"), F.count(F.lit(1)).alias("_k"))
              .select(*keys, "query_id", F.when(F.col("_k") == k, F.col("_far")).alias("_limit")))

@@ -1,8 +1,9 @@
-"""Exact order statistics without gathering a group in one task.
+"""Exact order statistics of groups of any size.
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer and ``rank() OVER
-(PARTITION BY group)`` sorts a whole group in one task. Groups here may hold a third of all rows,
-so both are replaced by two levels of order-preserving buckets: level one is a fixed log scale,
+(PARTITION BY group)`` sorts a whole group in one task. Both are used only after a count has shown
+that the largest group is small. A group may hold a third of all rows, so beyond ``SMALL_GROUP``
+the work is spread over two levels of order-preserving buckets: level one is a fixed log scale,
 level two splits each needed bucket evenly between its own minimum and maximum. Bucket totals are
 map-side combined aggregates; only rows of the few buckets that hold a wanted rank are ever sorted.
 The small tables between two passes are written out (``cut``): each pass is one scan of the input
@@ -19,6 +20,7 @@ from tidegrid.session import cut
 
 STEPS = 8        # level-one buckets per unit of log1p(|v|)
 SPLITS = 512     # level-two buckets inside one level-one bucket
+SMALL_GROUP = 500_000   # values one task may sort or hold
 
 
 def _coarse(v: Column) -> Column:
@@ -36,8 +38,22 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     """Linearly interpolated quantiles per group: ``keys, prob, quantile, n``."""
     keys = list(keys)
     rows = (df.select(*keys, F.col(value).cast("double").alias("_v"))
-            .filter(F.col("_v").isNotNull() & ~F.isnan("_v")).withColumn("_b1", _coarse(F.col("_v"))))
+            .filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
+    if largest_group(rows, keys) > SMALL_GROUP:
+        return _spread_quantiles(rows, keys, probs)
+    plist = F.array(*[F.lit(float(p)) for p in probs])
+    held = rows.groupBy(*keys).agg(F.percentile("_v", plist).alias("_q"), F.count(F.lit(1)).alias("n"))
+    return held.select(*keys, "n", F.inline(F.arrays_zip(plist.alias("prob"), F.col("_q").alias("quantile")))).toDF(
+        *keys, "n", "prob", "quantile").select(*keys, "prob", "n", "quantile")
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Row count of the largest group: one map-side combined aggregate, one number to the driver."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+
 
+def _spread_quantiles(rows: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    rows = rows.withColumn("_b1", _coarse(F.col("_v")))
     level1 = rows.groupBy(*keys, "_b1").agg(F.count(F.lit(1)).alias("_c1"), F.min("_v").alias("_lo"),
                                             F.max("_v").alias("_hi"))
     upto = Window.partitionBy(*keys).orderBy("_b1").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,8 +113,18 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], value: str, measures: Sequen
     so a hot value costs one row; the running sum is assembled from bucket totals.
     """
     keys, measures = list(keys), list(measures)
-    counted = df.groupBy(*keys, value).agg(*[F.sum(m).alias(m) for m in measures])
-    counted = cut(counted.withColumn("_v", F.col(value).cast("double")).withColumn("_b1", _coarse(F.col("_v"))))
+    counted = cut(df.groupBy(*keys, value).agg(*[F.sum(m).alias(m) for m in measures]))
+    if largest_group(counted, keys) > SMALL_GROUP:
+        return _spread_prefix_sums(counted, keys, value, measures)
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return counted.select(*keys, value, *measures,
+                          *[F.coalesce(F.sum(m).over(upto), F.lit(0)).alias(f"{m}_below") for m in measures],
+                          *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures])
+
+
+def _spread_prefix_sums(counted: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str]) -> DataFrame:
+    counted = counted.withColumn("_v", F.col(value).cast("double")).withColumn("_b1", _coarse(F.col("_v")))
     one = counted.groupBy(*keys, "_b1").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
                                             *[F.sum(m).alias(f"_s_{m}") for m in measures])
     below = Window.partitionBy(*keys).orderBy("_b1").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,6 +11,7 @@ from tidegrid.operators import features
 from tidegrid.plans import base, events_base as ev
 from tidegrid.plans.base import HOUR, KEYS, STEP, sql
 from tidegrid.plans.registry import query
+from tidegrid.session import cut
 from tidegrid.sources import readers, reshape
 
 
@@ -285,9 +286,10 @@ def analog_frame(spark, d):
     rows = features.build_features(rows, KEYS, "ts", HOUR, feats).filter(on_grid("ts", STEP))
     rows = rows.select(*KEYS, F.col("ts").alias("origin"), F.col("target_all__now").alias("now"),
                        F.col("target_all__delta_6").alias("delta_6"), F.col("target_all__mean_24").alias("mean_24"))
+    rows = cut(rows)
     train = lab.mature_before(rows, "origin", 1440, end, HOUR)
     scaler = fits.robust_scaler(train.drop("origin"), KEYS, list(_FEATS))
-    return fits.apply_scaler(rows, scaler, KEYS, list(_FEATS)), end, fold
+    return cut(fits.apply_scaler(rows, scaler, KEYS, list(_FEATS))), end, fold
 
 
 def analogs(spark, d):
@@ -296,7 +298,7 @@ def analogs(spark, d):
     cells = lab.supervised_long(scaled, base.labels(spark, d), KEYS, base.HORIZONS, "target_all", STEP)
     future = lab.complete_trajectories(lab.trajectories(cells, KEYS, base.HORIZONS))
     library = lab.mature_before(scaled, "origin", 1440, end, HOUR).join(future, [*KEYS, "origin"])
-    library = library.withColumns({"v": F.array(*_FEATS), "day": F.to_date("origin")})
+    library = cut(library.withColumns({"v": F.array(*_FEATS), "day": F.to_date("origin")}))
     queries = scaled.filter(F.col("origin").between(F.lit(fold.validation_start).cast("timestamp_ntz"),
                                                     F.lit(fold.validation_end).cast("timestamp_ntz"))).withColumn("v", F.array(*_FEATS))
     near = nn.nearest_neighbors(queries, library, KEYS, query="origin", item="origin", vector="v", day="day", k=8, per_day=2)

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.timeline import epoch_minutes
 from tidegrid.operators import features, fits, grid, labels as lab, reconcile, splits
+from tidegrid.operators.sizing import lookup_join
 from tidegrid.plans import base, events_base as ev
 from tidegrid.plans.base import HOUR, KEYS, STEP, sql
 from tidegrid.plans.registry import query
+from tidegrid.session import cut
 
 W = "PARTITION BY series_id ORDER BY ts"
 
@@ -160,11 +162,11 @@ def boundary_frame(spark, d):
 def pressure(spark, d):
     """Boundary pressure score with the contract fitted per site on hours up to the first fold's train end."""
     from tidegrid.operators.features import build_features
-    rows = boundary_frame(spark, d)
+    rows = cut(boundary_frame(spark, d))
     history = rows.filter(F.col("ts") <= F.lit(base.FOLDS[0].train_end).cast("timestamp_ntz"))
     contract = fits.boundary_contract(history.drop("ts"), KEYS, "level", DELTAS, "balance", reference=(0.05, 0.95),
                                       zone=(0.2, 0.8), floor=1e-6)
-    x = rows.join(contract, KEYS)
+    x = lookup_join(rows, contract, KEYS)
     level = F.coalesce("level", "level_median")
     x = x.withColumns({"position": (level - F.col("reference_low")) / F.col("reference_span"),
                        "low_zone": (level <= F.col("zone_low")).cast("int"),
@@ -218,7 +220,7 @@ def boundary_pressure(spark, d):
 @query("a28_boundary_contract", "series_id:s, reference_low:d, zone_low:d, zone_high:d, reference_high:d, level_median:d, delta_2_scale:d, delta_6_scale:d, delta_12_scale:d, balance_median:d, balance_scale:d",
        sql("SELECT * FROM contract", "panel", **{k: BOUNDARY_SQL[k] for k in ("frame", "contract")}))
 def contract(spark, d):
-    rows = boundary_frame(spark, d).filter(F.col("ts") <= F.lit(base.FOLDS[0].train_end).cast("timestamp_ntz"))
+    rows = cut(boundary_frame(spark, d)).filter(F.col("ts") <= F.lit(base.FOLDS[0].train_end).cast("timestamp_ntz"))
     return fits.boundary_contract(rows.drop("ts"), KEYS, "level", DELTAS, "balance", reference=(0.05, 0.95),
                                   zone=(0.2, 0.8), floor=1e-6)
 
