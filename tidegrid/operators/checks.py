@@ -50,11 +50,10 @@ def result_contract(df: DataFrame, expected_keys: DataFrame, keys: Sequence[str]
     """Key coverage, missing or non-finite values, physical bounds, part within total; one row per problem."""
     bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     p, t = F.col(part), F.col(total)
-    row = df.agg(F.array(
-        F.struct(F.lit("not_finite").alias("problem"), F.count_if(bad(part) | bad(total)).alias("detail")),
-        F.struct(F.lit("negative"), F.count_if((p < 0) | (t < 0))),
-        F.struct(F.lit("above_maximum"), F.count_if((p > part_max) | (t > total_max))),
-        F.struct(F.lit("part_above_total"), F.count_if(p > t))).alias("_a")).select(F.inline("_a"))
+    tests = {"not_finite": bad(part) | bad(total), "negative": (p < 0) | (t < 0),
+             "above_maximum": (p > part_max) | (t > total_max), "part_above_total": p > t}
+    row = df.agg(F.array(*[F.struct(F.lit(n).alias("problem"), F.count_if(c).alias("detail")) for n, c in tests.items()])
+                 .alias("_a")).select(F.inline("_a"))
     count = lambda name, d: d.agg(F.count(F.lit(1)).alias("detail")).select(F.lit(name).alias("problem"), "detail")
     have = df.select(*keys)
     return (row.unionByName(count("missing_keys", expected_keys.select(*keys).join(have, list(keys), "left_anti")))

@@ -73,8 +73,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On-grid rows with the last known targets, carried over at most four missing hours."""
-    filled = forward_fill(panel(spark, sf_dir), KEYS, "ts", list(TARGETS), 4, HOUR, suffix="__now")
-    return filled.filter(on_grid("ts", STEP)).withColumnRenamed("ts", "origin")
+    return origins_source(spark, sf_dir).filter(on_grid("ts", STEP)).withColumnRenamed("ts", "origin")
+
+
+def origins_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forward_fill(panel(spark, sf_dir), KEYS, "ts", list(TARGETS), 4, HOUR, suffix="__now")
 
 
 def wide_cells(spark: SparkSession, sf_dir: str, folds=DEVELOPMENT) -> DataFrame:
@@ -84,13 +87,17 @@ def wide_cells(spark: SparkSession, sf_dir: str, folds=DEVELOPMENT) -> DataFrame
     """
     o = origins(spark, sf_dir).withColumn("fold_id", validation_fold("origin", folds)).filter("fold_id IS NOT NULL")
     o = o.select(*KEYS, "fold_id", "origin", *[f"{t}__now" for t in TARGETS])
-    y = windowed(labels(spark, sf_dir), KEYS, "ts", [lambda w: {
-        f"{t}__day_before": F.lag(t, DAY // STEP).over(w) for t in TARGETS}], back=DAY)
-    y = y.select(*KEYS, F.col("ts").alias("interval_start"), *TARGETS, *[f"{t}__day_before" for t in TARGETS])
+    y = labels_with_day_before(spark, sf_dir)
     x = expand_horizons(o, HORIZONS).withColumn("interval_start", interval_start("origin", "horizon_minutes", STEP))
     return x.join(y, [*KEYS, "interval_start"], "left")
 
 
+def labels_with_day_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = windowed(labels(spark, sf_dir), KEYS, "ts", [lambda w: {
+        f"{t}__day_before": F.lag(t, DAY // STEP).over(w) for t in TARGETS}], back=DAY)
+    return y.select(*KEYS, F.col("ts").alias("interval_start"), *TARGETS, *[f"{t}__day_before" for t in TARGETS])
+
+
 def cells(spark: SparkSession, sf_dir: str, targets=TARGETS, how: str = "inner", folds=DEVELOPMENT) -> DataFrame:
     """Long cells: one row per (fold, series, origin, horizon, target)."""
     per_target = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("actual"), F.col(f"{t}__now").alias("now"),
