@@ -27,6 +27,17 @@ def epoch_micros(ts: Column | str) -> Column:
     return epoch_minutes(ts) * 60_000_000 + (seconds * 1_000_000).cast("long")
 
 
+def as_instant(ts: Column | str) -> Column:
+    """Wall clock read as UTC: watermarks need TIMESTAMP, and its windows align to UTC."""
+    return F.timestamp_micros(epoch_micros(ts))
+
+
+def as_wall_clock(instant: Column | str) -> Column:
+    zero = F.lit(0)
+    seconds = (F.unix_micros(_col(instant)).cast("decimal(24,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, seconds)
+
+
 def from_epoch_minutes(minutes: Column) -> Column:
     return F.lit(EPOCH).cast("timestamp_ntz") + minutes_interval(minutes)
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tidegrid.functions.timeline import as_instant, as_wall_clock
 from tidegrid.session import scratch_root
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -32,34 +33,38 @@ def drain(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame
     return spark.read.schema(df.schema).parquet(f"{root}/data")
 
 
+def watermarked(stream: DataFrame, ts: str, delay: str) -> DataFrame:
+    return stream.withColumn(ts, as_instant(ts)).withWatermark(ts, delay)
+
+
 def interval_means(stream: DataFrame, keys: Sequence[str], ts: str, value: str, width: str, expected: int,
                    delay: str) -> DataFrame:
     """Tumbling means; an interval closed with fewer than ``expected`` samples is emitted as NULL."""
-    return (stream.withWatermark(ts, delay).groupBy(*keys, F.window(ts, width))
+    return (watermarked(stream, ts, delay).groupBy(*keys, F.window(ts, width))
             .agg(F.count(value).alias("samples"), F.avg(value).alias("_mean"))
-            .select(*keys, F.col("window.start").alias("interval_start"), "samples",
+            .select(*keys, as_wall_clock("window.start").alias("interval_start"), "samples",
                     F.when(F.col("samples") >= expected, F.col("_mean")).alias("mean")))
 
 
 def sliding_stats(stream: DataFrame, keys: Sequence[str], ts: str, value: str, width: str, slide: str, minimum: int,
                   delay: str) -> DataFrame:
     """Trailing mean and population deviation at every slide; the origin is the window end."""
-    return (stream.withWatermark(ts, delay).groupBy(*keys, F.window(ts, width, slide))
+    return (watermarked(stream, ts, delay).groupBy(*keys, F.window(ts, width, slide))
             .agg(F.count(value).alias("samples"), F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-            .select(*keys, F.col("window.end").alias("origin"), "samples",
+            .select(*keys, as_wall_clock("window.end").alias("origin"), "samples",
                     F.when(F.col("samples") >= minimum, F.col("_m")).alias("mean"),
                     F.when(F.col("samples") >= minimum, F.col("_s")).alias("std_pop")))
 
 
 def unique_rows(stream: DataFrame, keys: Sequence[str], ts: str, delay: str) -> DataFrame:
     """First row per key within the watermark."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([*keys])
+    return watermarked(stream, ts, delay).dropDuplicatesWithinWatermark([*keys]).withColumn(ts, as_wall_clock(ts))
 
 
 def episodes(stream: DataFrame, keys: Sequence[str], ts: str, ratio: str, threshold: float, delay: str) -> DataFrame:
     """Below-threshold days as sessions: flags on neighbouring days merge, a free day splits."""
     low = stream.filter(F.col(ratio) < threshold).withColumn("_day", F.to_date(ts).cast("timestamp_ntz"))
-    return (low.withWatermark("_day", delay).groupBy(*keys, F.session_window("_day", "36 hours"))
+    return (watermarked(low, "_day", delay).groupBy(*keys, F.session_window("_day", "36 hours"))
             .agg(F.min(ts).alias("episode_start"), F.max(ts).alias("episode_end"),
                  F.count(F.lit(1)).alias("flagged_points"), F.min(ratio).alias("min_ratio"))
             .drop("session_window"))
@@ -67,13 +72,15 @@ def episodes(stream: DataFrame, keys: Sequence[str], ts: str, ratio: str, thresh
 
 def score_matured(forecasts: DataFrame, labels: DataFrame, keys: Sequence[str], delay: str, reach: str) -> DataFrame:
     """Inner stream-stream join: a forecast is scored when the label of its target moment arrives."""
-    f = forecasts.withWatermark("origin", delay).alias("f")
-    y = labels.withWatermark("label_ts", delay).alias("y")
+    f = watermarked(forecasts, "origin", delay).withColumn("target_ts", as_instant("target_ts")).alias("f")
+    y = watermarked(labels, "label_ts", delay).alias("y")
     condition = F.expr(f"y.label_ts = f.target_ts AND y.label_ts >= f.origin AND y.label_ts <= f.origin + INTERVAL {reach}")
     for k in keys:
         condition = condition & (F.col(f"f.{k}") == F.col(f"y.{k}"))
-    return f.join(y, condition).select(*[F.col(f"f.{k}") for k in keys], "f.origin", "f.target_ts", "f.prediction",
-                                       "y.actual", F.abs(F.col("f.prediction") - F.col("y.actual")).alias("abs_error"))
+    return f.join(y, condition).select(
+        *[F.col(f"f.{k}") for k in keys], as_wall_clock("f.origin").alias("origin"),
+        as_wall_clock("f.target_ts").alias("target_ts"), "f.prediction", "y.actual",
+        F.abs(F.col("f.prediction") - F.col("y.actual")).alias("abs_error"))
 
 
 class FillAndDwell(StatefulProcessor):
