@@ -10,6 +10,7 @@ from tidegrid.functions.timeline import epoch_minutes, from_epoch_minutes
 from tidegrid.operators.chunks import adjacent
 from tidegrid.operators.ordering import quantile_columns
 from tidegrid.operators.sizing import lookup_join
+from tidegrid.session import cut
 
 
 def long_cells(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str = "column_name",
@@ -148,32 +149,31 @@ def mean_shift(train_tail: DataFrame, test: DataFrame, columns: Sequence[str], m
 
 def support_shift(train: DataFrame, reference: DataFrame, test: DataFrame, columns: Sequence[str],
                   low: float = 0.005, high: float = 0.995) -> DataFrame:
-    """Median shift in reference IQRs and the share of test values outside the train support."""
-    cells = {k: long_cells(d, [], columns) for k, d in (("train", train), ("reference", reference), ("test", test))}
-    tq = quantile_columns(cells["train"], ["column_name"], "value",
-                          {"soft_support_low": low, "train_median": 0.5, "soft_support_high": high})
-    tq = tq.withColumnRenamed("n_values", "train_n")
-    rq = quantile_columns(cells["reference"], ["column_name"], "value",
-                          {"_r25": 0.25, "reference_median": 0.5, "_r75": 0.75}).withColumnRenamed(
-                              "n_values", "reference_n")
-    sq = quantile_columns(cells["test"], ["column_name"], "value", {"test_median": 0.5}).drop("n_values")
-    hard = cells["train"].groupBy("column_name").agg(F.min("value").alias("_min"), F.max("value").alias("_max"))
-    support = tq.join(hard, "column_name")
+    """Median shift in reference IQRs and the share of test values outside the train support.
+
+    The three periods are one labelled table, so all quantiles and extremes come from one call.
+    """
+    side = lambda d, name: long_cells(d, [], columns).withColumn("side", F.lit(name))
+    cells = side(train, "train").unionByName(side(reference, "reference")).unionByName(side(test, "test"))
+    named = {"lowest": 0.0, "soft_low": low, "q25": 0.25, "median": 0.5, "q75": 0.75, "soft_high": high, "highest": 1.0}
+    q = cut(quantile_columns(cells, ["side", "column_name"], "value", named))
+    at = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
+    wide = q.groupBy("column_name").agg(
+        at("train", "n_values").alias("train_n"), at("reference", "n_values").alias("reference_n"),
+        at("train", "median").alias("train_median"), at("reference", "median").alias("reference_median"),
+        at("test", "median").alias("test_median"), (at("reference", "q75") - at("reference", "q25")).alias("reference_iqr"),
+        at("train", "soft_low").alias("soft_support_low"), at("train", "soft_high").alias("soft_support_high"),
+        at("train", "lowest").alias("_min"), at("train", "highest").alias("_max"))
     v = F.col("value")
     share = lambda c: F.avg(F.when(v.isNotNull(), c.cast("double")))
-    rates = lookup_join(cells["test"], support.select("column_name", "soft_support_low", "soft_support_high",
-                                                      "_min", "_max"), ["column_name"])
-    rates = rates.groupBy("column_name").agg(
+    tested = lookup_join(side(test, "test"), wide, ["column_name"])
+    rates = tested.groupBy(*wide.columns).agg(
         F.count("value").alias("test_n"), (1.0 - F.count("value") / F.count(F.lit(1))).alias("test_missing_rate"),
         share(v < F.col("soft_support_low")).alias("out_of_support_below_rate"),
         share(v > F.col("soft_support_high")).alias("out_of_support_above_rate"),
         share(v < F.col("_min")).alias("hard_below_rate"), share(v > F.col("_max")).alias("hard_above_rate"))
-    iqr = F.col("_r75") - F.col("_r25")
-    out = (support.drop("_min", "_max").join(rates, "column_name", "left").join(rq, "column_name", "left")
-           .join(sq, "column_name", "left"))
-    return out.withColumns({
-        "reference_iqr": iqr,
+    shift = (F.col("test_median") - F.col("reference_median")) / F.col("reference_iqr")
+    return rates.drop("_min", "_max").withColumns({
         "out_of_support_rate": F.col("out_of_support_below_rate") + F.col("out_of_support_above_rate"),
         "hard_out_of_range_rate": F.col("hard_below_rate") + F.col("hard_above_rate"),
-        "median_shift_in_reference_iqr": F.when(iqr > 0, (F.col("test_median") - F.col("reference_median")) / iqr),
-    }).drop("_r25", "_r75")
+        "median_shift_in_reference_iqr": F.when(F.col("reference_iqr") > 0, shift)})

@@ -296,9 +296,10 @@ def episode_out(spark, d):
     e = ev.episodes(spark, d).withColumn("episode_group", (F.col("episode_number") % 3).cast("int"))
     bounds = splits.embargo_folds(e, "episode_group", 1440).orderBy("episode_group").limit(3).collect()   # three groups by construction
     origin = F.col("origin")
-    items = [F.struct(F.lit(b.episode_group).alias("episode_group"), F.lit(b.validation_start).alias("validation_start"),
-                      F.lit(b.validation_end).alias("validation_end"), F.lit(b.train_end).alias("train_end"),
-                      F.count_if(origin <= F.lit(b.train_end)).alias("train_origins"),
-                      F.count_if(origin.between(F.lit(b.validation_start), F.lit(b.validation_end))).alias("validation_origins"))
+    moment = lambda v: F.lit(str(v)).cast("timestamp_ntz")
+    items = [F.struct(F.lit(b.episode_group).alias("episode_group"), moment(b.validation_start).alias("validation_start"),
+                      moment(b.validation_end).alias("validation_end"), moment(b.train_end).alias("train_end"),
+                      F.count_if(origin <= moment(b.train_end)).alias("train_origins"),
+                      F.count_if(origin.between(moment(b.validation_start), moment(b.validation_end))).alias("validation_origins"))
              for b in bounds]
     return ev.hazard(spark, d).agg(F.array(*items).alias("_a")).select(F.inline("_a"))
