@@ -17,6 +17,7 @@ from tidegrid.functions.timeline import epoch_minutes
 CHUNK = "_chunk"
 HOME = "_home"
 WEEK = 7 * 1440
+QUARTER = 91 * 1440
 
 
 def chunk_of(minutes: Column, length: int) -> Column:
@@ -61,7 +62,7 @@ def windowed(df: DataFrame, keys: Sequence[str], ts: str, stages: Sequence[Calla
     return drop_halo(out)
 
 
-def adjacent(df: DataFrame, keys: Sequence[str], ts: str, out: str, *, length: int = WEEK,
+def adjacent(df: DataFrame, keys: Sequence[str], ts: str, out: str, *, length: int = QUARTER,
              direction: int = -1) -> DataFrame:
     """Previous (-1) or next (+1) timestamp of the same series over gaps of any size.
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidegrid.functions.calendar import calendar_columns
 from tidegrid.operators.chunks import windowed
@@ -28,6 +28,8 @@ class Feature:
     build: Callable[..., Column]
     stage: int = 0
     diagnostic: bool = False
+    needs: tuple[Feature, ...] = ()
+    hidden: bool = False
 
 
 def _frame(w, first: int, last: int):
@@ -42,8 +44,42 @@ def lag(signal: str, rows: int) -> Feature:
     return Feature(f"{signal}__lag_{rows}", signal, "lag", -rows, -rows, lambda w: F.lag(signal, rows).over(w))
 
 
+# Frames at least this long use running sums: a sliding frame re-reads its rows for every row.
+LONG_FRAME = 32
+
+
+def _running(signal: str, stage: int) -> tuple[Feature, ...]:
+    """Running count, sum and square sum of a signal inside a chunk, shifted by its first value.
+
+    The shift keeps differences of running sums accurate: a constant stretch has variance exactly 0.
+    """
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    shift = Feature(f"_{signal}__shift", signal, "running", 0, 0,
+                    lambda w: F.first(signal, ignorenulls=True).over(upto(w)), stage, hidden=True)
+    moved = lambda: F.col(signal) - F.col(shift.name)
+    total = lambda name, c: Feature(f"_{signal}__{name}", signal, "running", 0, 0,
+                                    lambda w: F.coalesce(F.sum(c()).over(upto(w)), F.lit(0.0)), stage + 1,
+                                    hidden=True)
+    count = Feature(f"_{signal}__run_n", signal, "running", 0, 0, lambda w: F.count(signal).over(upto(w)), stage + 1,
+                    hidden=True)
+    return shift, count, total("run_sum", moved), total("run_sq", lambda: moved() * moved())
+
+
+def _from_running(signal: str, rows: int, kind: str, minimum: int) -> Callable[..., Column]:
+    def build(w):
+        span = lambda c: F.col(f"_{signal}__{c}") - F.coalesce(F.lag(f"_{signal}__{c}", rows).over(w), F.lit(0))
+        n, total, square = span("run_n"), span("run_sum"), span("run_sq")
+        if kind == "mean":
+            value = F.col(f"_{signal}__shift") + total / n
+        else:
+            spread = F.greatest(square - total * total / n, F.lit(0.0))
+            value = F.sqrt(spread / n) if kind == "std_pop" else F.when(n > 1, F.sqrt(spread / (n - 1)))
+        return F.when((n >= minimum) & (n > 0), value)
+    return build
+
+
 def rolling(signal: str, rows: int, kind: str, minimum: int | None = None, fraction: float | None = None,
-            newest: int = 0, label: str | None = None) -> Feature:
+            newest: int = 0, label: str | None = None, stage: int = 0) -> Feature:
     """Trailing ``mean``, ``std_pop``, ``std_samp``, ``min``, ``max``, ``sum`` or ``median`` of ``rows`` grid rows.
 
     Needs ``minimum`` observed values, or ``ceil(fraction * rows)``, or by default all of them.
@@ -51,11 +87,15 @@ def rolling(signal: str, rows: int, kind: str, minimum: int | None = None, fract
     if fraction is not None:
         minimum = math.ceil(fraction * rows)
     minimum = rows if minimum is None else minimum
+    first = newest - rows + 1
+    name = label or f"{signal}__{kind}_{rows}"
+    if rows >= LONG_FRAME and newest == 0 and kind in ("mean", "std_pop", "std_samp"):
+        return Feature(name, signal, f"rolling_{kind}", first, 0, _from_running(signal, rows, kind, minimum), stage + 2,
+                       needs=_running(signal, stage))
     agg = {"mean": F.avg, "std_pop": F.stddev_pop, "std_samp": F.stddev_samp, "min": F.min, "max": F.max,
            "sum": F.sum, "median": lambda c: F.percentile(c, F.lit(0.5))}[kind]
-    first = newest - rows + 1
-    return Feature(label or f"{signal}__{kind}_{rows}", signal, f"rolling_{kind}", first, newest,
-                   lambda w: _guarded(signal, _frame(w, first, newest), minimum, agg(signal)))
+    return Feature(name, signal, f"rolling_{kind}", first, newest,
+                   lambda w: _guarded(signal, _frame(w, first, newest), minimum, agg(signal)), stage)
 
 
 def missing_fraction(signal: str, rows: int) -> Feature:
@@ -72,8 +112,9 @@ def difference(signal: str, rows: int) -> Feature:
 def mean_difference(signal: str, rows: int, minimum: int = 1) -> tuple[Feature, Feature]:
     """First difference and the trailing mean of it: two chained frames."""
     first = difference(signal, 1)
-    smooth = rolling(first.name, rows, "mean", minimum)
-    return first, Feature(f"{signal}__mean_diff_{rows}", signal, "mean_difference", -rows, 0, smooth.build, 1)
+    smooth = rolling(first.name, rows, "mean", minimum, stage=1)
+    return first, replace(smooth, name=f"{signal}__mean_diff_{rows}", base=signal, transform="mean_difference",
+                          oldest=-rows)
 
 
 def window_delta(signal: str, rows: int, floor: float = 1e-9) -> tuple[Feature, Feature]:
@@ -103,9 +144,11 @@ def low_level_ratio(signal: str, short_rows: int, baseline_rows: int, minimum: i
                     name: str = "low_level_ratio") -> tuple[Feature, Feature]:
     """Smoothed level divided by its own trailing mean."""
     smooth = rolling(signal, short_rows, "mean", 1, label=f"{name}__smooth")
-    base = lambda w: _guarded(smooth.name, _frame(w, -baseline_rows + 1, 0), minimum, F.avg(smooth.name))
-    return smooth, Feature(name, signal, "low_level_ratio", -(short_rows + baseline_rows - 2), 0,
-                           lambda w: F.when(base(w) != 0, F.col(smooth.name) / base(w)), 1)
+    base = rolling(smooth.name, baseline_rows, "mean", minimum, label=f"{name}__baseline", stage=smooth.stage + 1)
+    baseline = replace(base, hidden=True)
+    ratio = lambda w: F.when(F.col(baseline.name) != 0, F.col(smooth.name) / F.col(baseline.name))
+    return smooth, Feature(name, signal, "low_level_ratio", -(short_rows + baseline_rows - 2), 0, ratio,
+                           baseline.stage + 1, needs=(baseline,))
 
 
 def co_direction(a: str, b: str, step_rows: int, rows: int) -> tuple[Feature, Feature, Feature]:
@@ -150,14 +193,25 @@ def sequence_window(df: DataFrame, keys: Sequence[str], ts: str, columns: Sequen
 
 
 def build_features(df: DataFrame, keys: Sequence[str], ts: str, step: int, features: Iterable[Feature],
-                   chunk: int | None = None, keep_stages: bool = True) -> DataFrame:
+                   chunk: int | None = None) -> DataFrame:
     """All features of a complete grid in one exchange and one sort."""
-    features = list({f.name: f for f in features}.values())
-    stages = sorted({f.stage for f in features})
-    reach = sum(max((-f.oldest for f in features if f.stage == s), default=0) for s in stages)
-    build = [lambda w, s=s: {f.name: f.build(w) for f in features if f.stage == s} for s in stages]
+    wanted: dict[str, Feature] = {}
+
+    def visit(f: Feature) -> None:
+        for n in f.needs:
+            visit(n)
+        wanted.setdefault(f.name, f)
+
+    for f in features:
+        visit(f)
+    plan = list(wanted.values())
+    stages = sorted({f.stage for f in plan})
+    # Chained frames add up; a feature of a late stage already states its whole reach.
+    reach = max((-f.oldest for f in plan), default=0) + sum(
+        max((-f.oldest for f in plan if f.stage == s), default=0) for s in stages[:-1])
+    build = [lambda w, s=s: {f.name: f.build(w) for f in plan if f.stage == s} for s in stages]
     out = windowed(df, keys, ts, build, back=reach * step, length=chunk)
-    return out if keep_stages else out.drop(*[f.name for f in features if f.stage < max(stages)])
+    return out.drop(*[f.name for f in plan if f.hidden])
 
 
 def registry(spark: SparkSession, features: Iterable[Feature], step: int, calendar: bool = False,

@@ -89,11 +89,11 @@ def time_steps(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
 def grid_audit(df: DataFrame, keys: Sequence[str], ts: str, shown: int = 20) -> DataFrame:
     """Modal step (smallest on ties), rows off the step, gaps, missing points and the first few of them."""
     keys = list(keys)
-    steps = time_steps(df, keys, ts)
+    steps = cut(time_steps(df, keys, ts))
     counts = steps.filter("step_minutes IS NOT NULL").groupBy(*keys, "step_minutes").agg(F.count(F.lit(1)).alias("_n"))
     modal = counts.groupBy(*keys).agg(F.max_by("step_minutes", F.struct("_n", -F.col("step_minutes")))
                                       .alias("modal_step"))
-    joined = steps.join(modal, keys)
+    joined = lookup_join(steps, modal, keys)
     gap = F.col("step_minutes") > F.col("modal_step")
     missing = F.when(gap, F.ceil(F.col("step_minutes") / F.col("modal_step")) - 1).otherwise(0)
     base = joined.groupBy(*keys, "modal_step").agg(
