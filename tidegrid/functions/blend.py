@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidegrid.functions.numeric import clip
+from tidegrid.functions.numeric import clip, ratio
 from tidegrid.operators.sizing import lookup_join
 
 
@@ -64,7 +64,7 @@ def soft_gate(control: Column, candidate: Column, probability: Column) -> Column
 def uninvert_blend(blended: Column, known: Column, weight: float | Column) -> Column:
     """Recover the component of weight ``1 - w`` from a blend and its other component."""
     w = weight if isinstance(weight, Column) else F.lit(float(weight))
-    return (blended - w * known) / (F.lit(1.0) - w)
+    return ratio(blended - w * known, F.lit(1.0) - w)
 
 
 def ladder_weight(position: Column, edge: int, near: float, far: float) -> Column:
@@ -73,15 +73,15 @@ def ladder_weight(position: Column, edge: int, near: float, far: float) -> Colum
 
 
 def gated_mixture(step: Column, parts: Mapping[str, tuple[Column, float, float]], edge: int,
-                  ratio: Column, delta: float, scale_low: float, scale_high: float) -> Column:
-    """Near/far mixture of components, rescaled by ``ratio`` only when it leaves ``1 +- delta``.
+                  level_ratio: Column, delta: float, scale_low: float, scale_high: float) -> Column:
+    """Near/far mixture of components, rescaled by ``level_ratio`` only when it leaves ``1 +- delta``.
 
     ``parts`` maps a name to (value, near weight, far weight). The gate is strict.
     """
     near = reduce(lambda a, b: a + b, [v * wn for v, wn, _ in parts.values()])
     far = reduce(lambda a, b: a + b, [v * wf for v, _, wf in parts.values()])
     mixed = F.when(step <= edge, near).otherwise(far)
-    return F.when(F.abs(ratio - 1.0) > delta, mixed * clip(ratio, scale_low, scale_high)).otherwise(mixed)
+    return F.when(F.abs(level_ratio - 1.0) > delta, mixed * clip(level_ratio, scale_low, scale_high)).otherwise(mixed)
 
 
 def swap_component(prediction: Column, old: Column, new: Column, weight: Column) -> Column:
@@ -97,8 +97,8 @@ def inverse_target_weight(target: Column, floor: float) -> Column:
     return F.lit(1.0) / F.greatest(F.abs(target), F.lit(float(floor)))
 
 
-def low_state_weight(ratio: Column, threshold: float, multiplier: float) -> Column:
-    return F.when(ratio < threshold, F.lit(float(multiplier))).otherwise(F.lit(1.0))
+def low_state_weight(level_ratio: Column, threshold: float, multiplier: float) -> Column:
+    return F.when(level_ratio < threshold, F.lit(float(multiplier))).otherwise(F.lit(1.0))
 
 
 def odds_weight(probability: Column, low: float, high: float) -> Column:
@@ -114,4 +114,4 @@ def mean_one(df: DataFrame, weight: str, groups: Sequence[str], out: str) -> Dat
     """
     means = df.groupBy(*groups).agg(F.avg(weight).alias("_mean"))
     joined = lookup_join(df, means, list(groups))
-    return joined.withColumn(out, F.col(weight) / F.col("_mean")).drop("_mean")
+    return joined.withColumn(out, ratio(F.col(weight), F.col("_mean"))).drop("_mean")

@@ -31,6 +31,11 @@ def finite(c: Column | str) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
 
 
+def ratio(top: Column, bottom: Column) -> Column:
+    """Division that is NULL where the denominator is zero (ANSI mode would fail the job)."""
+    return F.when(bottom != 0, top / bottom)
+
+
 def observed_count(columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in columns])
 

@@ -51,28 +51,33 @@ LONG_FRAME = 32
 def _running(signal: str, stage: int) -> tuple[Feature, ...]:
     """Running count, sum and square sum of a signal inside a chunk, shifted by its first value.
 
-    The shift keeps differences of running sums accurate: a constant stretch has variance exactly 0.
+    The shift keeps differences of running sums accurate; ``run_start``, the count at which the
+    present stretch of equal values began, lets a constant frame have deviation exactly 0.
     """
-    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    shift = Feature(f"_{signal}__shift", signal, "running", 0, 0,
-                    lambda w: F.first(signal, ignorenulls=True).over(upto(w)), stage, hidden=True)
-    moved = lambda: F.col(signal) - F.col(shift.name)
-    total = lambda name, c: Feature(f"_{signal}__{name}", signal, "running", 0, 0,
-                                    lambda w: F.coalesce(F.sum(c()).over(upto(w)), F.lit(0.0)), stage + 1,
-                                    hidden=True)
-    count = Feature(f"_{signal}__run_n", signal, "running", 0, 0, lambda w: F.count(signal).over(upto(w)), stage + 1,
-                    hidden=True)
-    return shift, count, total("run_sum", moved), total("run_sq", lambda: moved() * moved())
+    upto = lambda w, last=0: w.rowsBetween(Window.unboundedPreceding, last)
+    hidden = lambda name, build, late: Feature(f"_{signal}__{name}", signal, "running", 0, 0, build, stage + late,
+                                               hidden=True)
+    x = lambda: F.col(signal)
+    moved = lambda: x() - F.col(f"_{signal}__shift")
+    fresh = lambda: x().isNotNull() & ~x().eqNullSafe(F.col(f"_{signal}__before"))
+    total = lambda c: lambda w: F.coalesce(F.sum(c()).over(upto(w)), F.lit(0.0))
+    return (hidden("shift", lambda w: F.first(signal, ignorenulls=True).over(upto(w)), 0),
+            hidden("before", lambda w: F.last(signal, ignorenulls=True).over(upto(w, -1)), 0),
+            hidden("run_n", lambda w: F.count(signal).over(upto(w)), 0),
+            hidden("run_start", lambda w: F.last(F.when(fresh(), F.col(f"_{signal}__run_n")), ignorenulls=True)
+                   .over(upto(w)), 1),
+            hidden("run_sum", total(moved), 1), hidden("run_sq", total(lambda: moved() * moved()), 1))
 
 
 def _from_running(signal: str, rows: int, kind: str, minimum: int) -> Callable[..., Column]:
     def build(w):
         span = lambda c: F.col(f"_{signal}__{c}") - F.coalesce(F.lag(f"_{signal}__{c}", rows).over(w), F.lit(0))
-        n, total, square = span("run_n"), span("run_sum"), span("run_sq")
+        n, total = span("run_n"), span("run_sum")
         if kind == "mean":
             value = F.col(f"_{signal}__shift") + total / n
         else:
-            spread = F.greatest(square - total * total / n, F.lit(0.0))
+            constant = F.col(f"_{signal}__run_n") - F.col(f"_{signal}__run_start") + 1 >= n
+            spread = F.when(constant, 0.0).otherwise(F.greatest(span("run_sq") - total * total / n, F.lit(0.0)))
             value = F.sqrt(spread / n) if kind == "std_pop" else F.when(n > 1, F.sqrt(spread / (n - 1)))
         return F.when((n >= minimum) & (n > 0), value)
     return build

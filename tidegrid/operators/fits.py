@@ -185,4 +185,6 @@ def boundary_contract(history: DataFrame, keys: Sequence[str], level: str, delta
         at(level, "hi").alias("reference_high"), at(level, "q50").alias("level_median"),
         *[scale(d).alias(f"{d}_scale") for d in deltas], at(balance, "q50").alias("balance_median"),
         scale(balance).alias("balance_scale"))
-    return table.withColumn("reference_span", F.col("reference_high") - F.col("reference_low"))
+    span = F.col("reference_high") - F.col("reference_low")
+    wide = F.assert_true(span > floor, F.lit("reference span is degenerate")).isNull()
+    return table.withColumn("reference_span", F.when(wide, span))

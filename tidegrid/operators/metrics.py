@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidegrid.functions.numeric import finite
+from tidegrid.functions.numeric import finite, ratio
 from tidegrid.functions.timeline import epoch_minutes
 from tidegrid.operators.ordering import average_precision, quantile_columns, rank_auc, spearman, weighted_median
 from tidegrid.operators.sizing import lookup_join
@@ -88,9 +88,9 @@ def rank_models(df: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
 def weighted_gain(pairs: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
     """Weighted MAPE of control and candidate on the same cells, and the gain in points."""
     ok = (F.col("actual") != 0) & F.col("control").isNotNull() & F.col("candidate").isNotNull()
-    ape = lambda c: F.abs((F.col(c) - F.col("actual")) / F.col("actual"))
+    ape = lambda c: F.abs(ratio(F.col(c) - F.col("actual"), F.col("actual")))
     w = F.when(ok, F.col(weight))
-    score = lambda c: F.sum(w * ape(c)) / F.sum(w)
+    score = lambda c: ratio(F.sum(w * ape(c)), F.sum(w))
     return pairs.groupBy(*keys).agg(
         score("control").alias("control_mape"), score("candidate").alias("candidate_mape"),
         ((score("control") - score("candidate")) * 100.0).alias("accuracy_gain_pct"))
@@ -99,7 +99,7 @@ def weighted_gain(pairs: DataFrame, keys: Sequence[str], weight: str) -> DataFra
 def effective_size(df: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
     """Kish effective sample size and the top-quartile threshold of the weights."""
     w = F.col(weight)
-    sizes = df.groupBy(*keys).agg((F.sum(w) * F.sum(w) / F.sum(w * w)).alias("effective_sample_size"),
+    sizes = df.groupBy(*keys).agg(ratio(F.sum(w) * F.sum(w), F.sum(w * w)).alias("effective_sample_size"),
                                   F.count(w).alias("row_count"))
     cut = quantile_columns(df, keys, weight, {"top_quartile_threshold": 0.75}).drop("n_values")
     return sizes.join(cut, list(keys))

@@ -16,6 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidegrid.functions.numeric import ratio
 from tidegrid.session import cut
 
 STEPS = 8        # level-one buckets per unit of log1p(|v|)
@@ -193,7 +194,7 @@ def average_precision(df: DataFrame, keys: Sequence[str], score: str, label: str
     table = prefix_sums(flagged, keys, "_s", ["n", "pos"])
     precision = (F.col("pos_total") - F.col("pos_below")) / (F.col("n_total") - F.col("n_below"))
     return table.groupBy(*keys).agg(
-        F.when(F.max("pos_total") > 0, F.sum(F.col("pos") / F.col("pos_total") * precision)).alias(out),
+        F.sum(ratio(F.col("pos"), F.col("pos_total")) * precision).alias(out),
         (F.max("pos_total") / F.max("n_total")).alias("prevalence"))
 
 

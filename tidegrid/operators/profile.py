@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidegrid.functions.numeric import ratio
 from tidegrid.functions.timeline import epoch_minutes, from_epoch_minutes
 from tidegrid.operators.chunks import adjacent
 from tidegrid.operators.ordering import quantile_columns
@@ -65,7 +66,7 @@ def outlier_candidates(df: DataFrame, keys: Sequence[str], value: str, *, fence:
     iqr = F.col("q75") - F.col("q25")
     both = lookup_join(joined, mad, keys)
     outside = (F.col("_v") < F.col("q25") - fence * iqr) | (F.col("_v") > F.col("q75") + fence * iqr)
-    far = (F.col("mad") > 0) & (F.col("_d") / (F.col("mad") * consistency) > z_limit)
+    far = F.coalesce(ratio(F.col("_d"), F.col("mad") * consistency) > z_limit, F.lit(False))
     return both.groupBy(*keys, "q25", "q50", "q75", "mad").agg(
         F.count("_v").alias("value_count"), F.count_if(outside).alias("fence_count"), F.count_if(far).alias("robust_z_count"))
 
