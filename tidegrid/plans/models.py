@@ -38,6 +38,28 @@ def build_cells(spark, d):
                           "label_end": plus_minutes("interval_start", STEP - HOUR)})
 
 
+def ols_sql(source: str, keys: str, xs: list[str], y: str) -> str:
+    """Least squares per group as SQL text: moments, then Cramer's rule for one to three inputs."""
+    p, idx = len(xs), range(len(xs))
+    name = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+    sums = [f"covar_pop({xs[i]}, {xs[j]}) AS {name(i, j)}" for i in idx for j in idx if i <= j]
+    sums += [f"covar_pop({x}, {y}) AS q{i}" for i, x in enumerate(xs)] + [f"avg({x}) AS e{i}" for i, x in enumerate(xs)]
+
+    def det(m: list[list[str]]) -> str:
+        if len(m) == 1:
+            return m[0][0]
+        minor = lambda c: [[v for k, v in enumerate(row) if k != c] for row in m[1:]]
+        return "(" + " ".join(f"{'+' if c % 2 == 0 else '-'} {m[0][c]} * {det(minor(c))}" for c in range(len(m))) + ")"
+
+    full = [[name(i, j) for j in idx] for i in idx]
+    beta = lambda k: f"{det([[f'q{i}' if j == k else full[i][j] for j in idx] for i in idx])} / {det(full)} AS b_{xs[k]}"
+    known = " AND ".join(f"{c} IS NOT NULL" for c in [*xs, y])
+    group = f" GROUP BY {keys}" if keys else ""
+    moments = f"SELECT {keys}, avg({y}) AS ey, {', '.join(sums)} FROM {source} WHERE {known}{group}"
+    level = " - ".join(["ey", *[f"b_{x} * e{i}" for i, x in enumerate(xs)]])
+    return f"SELECT *, {level} AS a FROM (SELECT *, {', '.join(beta(k) for k in idx)} FROM ({moments}))"
+
+
 def training(x, folds=DEVELOPMENT):
     """Cells whose label was complete at the fold's train end, one copy per fold (folds are keys)."""
     return splits.explode_training(x.filter("actual IS NOT NULL"), folds, F.col("label_end"))
@@ -58,6 +80,34 @@ ONE_SQL = {**TRAIN_SQL, "ols": "SELECT fold_id, horizon_minutes, regr_slope(actu
 NEEDS = ("wide_cells", "folds")
 
 
+_W = "PARTITION BY series_id ORDER BY ts ROWS BETWEEN"
+SUP_SQL = {
+    "sf": f"""SELECT series_id, ts AS origin, target_all__now AS now, target_part__now AS part_now,
+    CASE WHEN count(target_all) OVER ({_W} 23 PRECEDING AND CURRENT ROW) >= 12 THEN avg(target_all) OVER ({_W} 23 PRECEDING AND CURRENT ROW) END AS mean_24,
+    CASE WHEN count(view) OVER ({_W} 23 PRECEDING AND CURRENT ROW) >= 12 THEN avg(view) OVER ({_W} 23 PRECEDING AND CURRENT ROW) END AS view_24,
+    CASE WHEN count(click) OVER ({_W} 23 PRECEDING AND CURRENT ROW) >= 12 THEN avg(click) OVER ({_W} 23 PRECEDING AND CURRENT ROW) END AS click_24,
+    CASE WHEN count(target_all) OVER ({_W} 5 PRECEDING AND CURRENT ROW) = 6 AND count(target_all) OVER ({_W} 11 PRECEDING AND 6 PRECEDING) = 6
+      THEN avg(target_all) OVER ({_W} 5 PRECEDING AND CURRENT ROW) - avg(target_all) OVER ({_W} 11 PRECEDING AND 6 PRECEDING) END AS delta_6
+    FROM filled QUALIFY ts = time_bucket(INTERVAL '240 minutes', ts, TIMESTAMP '1970-01-01')""",
+    "sup": f"""SELECT s.*, h.horizon_minutes, y.target_all AS actual, y.target_part AS part_actual, d.target_all AS day_before, s.origin + to_minutes(CAST(h.horizon_minutes - {HOUR} AS BIGINT)) AS label_end,
+    s.origin + to_minutes(CAST(h.horizon_minutes AS BIGINT)) AS target_ts FROM sf s CROSS JOIN horizons h
+    LEFT JOIN labels y ON y.series_id = s.series_id AND y.ts = s.origin + to_minutes(CAST(h.horizon_minutes - {STEP} AS BIGINT))
+    LEFT JOIN labels d ON d.series_id = s.series_id AND d.ts = s.origin + to_minutes(CAST(h.horizon_minutes - {STEP + 1440} AS BIGINT))""",
+    "str": "SELECT f.fold_id, s.* FROM sup s JOIN folds f ON f.role = 'development' AND s.label_end <= f.train_end WHERE s.actual IS NOT NULL",
+    "sva": "SELECT f.fold_id, s.* FROM sup s JOIN folds f ON f.role = 'development' AND s.origin BETWEEN f.validation_start AND f.validation_end",
+}
+SUP_NEEDS = ("filled", "labels", "horizons", "folds")
+FH = "fold_id, horizon_minutes"
+
+
+def linear_sql(xs: list[str], rows: str = "v", model: str = "m") -> str:
+    return "greatest(0.0, " + " + ".join([f"{model}.a", *[f"{model}.b_{x} * {rows}.{x}" for x in xs]]) + ")"
+
+
+def join_fh(rows: str, model: str) -> str:
+    return f"{rows} v JOIN {model} m ON m.fold_id = v.fold_id AND m.horizon_minutes = v.horizon_minutes"
+
+
 @query("m3_ols_per_horizon", "fold_id:s, series_id:s, origin:t, horizon_minutes:i, actual:d, prediction:d",
        sql("SELECT v.*, greatest(0.0, o.a + o.b * v.now) AS prediction FROM va v JOIN ols o ON o.fold_id = v.fold_id AND o.horizon_minutes = v.horizon_minutes WHERE v.now IS NOT NULL", *NEEDS, **ONE_SQL))
 def ols(spark, d):
@@ -195,7 +245,12 @@ def domain(spark, d):
     return trees.coefficients(trees.logistic_model(cut(x), xs, "is_test"), xs, spark)
 
 
-@query("m8_two_stage", f"fold_id:s, {STRICT_SPEC}")
+@query("m8_two_stage", f"fold_id:s, {STRICT_SPEC}",
+       sql(f"SELECT fold_id, {STRICT} FROM scored GROUP BY 1", *SUP_NEEDS, **SUP_SQL,
+           t1="SELECT * FROM str WHERE now IS NOT NULL AND part_now IS NOT NULL", one=ols_sql("t1", FH, ["part_now", "now"], "part_actual"),
+           t2=f"SELECT v.*, {linear_sql(['part_now', 'now'])} AS part_path FROM {join_fh('t1', 'one')}", two=ols_sql("t2", FH, ["now", "part_path"], "actual"),
+           v2=f"SELECT v.*, {linear_sql(['part_now', 'now'])} AS part_path FROM {join_fh('sva', 'one')} WHERE now IS NOT NULL AND part_now IS NOT NULL AND actual IS NOT NULL",
+           scored=f"SELECT v.fold_id, v.actual, {linear_sql(['now', 'part_path'])} AS prediction FROM {join_fh('v2', 'two')}"))
 def two_stage(spark, d):
     """Stage one forecasts the part's path, stage two the total from origin state and that path."""
     x = cells(spark, d).filter("now IS NOT NULL AND part_now IS NOT NULL")
@@ -208,7 +263,28 @@ def two_stage(spark, d):
     return scored.groupBy("fold_id").agg(*metrics.strict_errors())
 
 
-@query("m9_recursive_rollout", f"fold_id:s, horizon_minutes:i, {STRICT_SPEC}")
+def _rollout_sql() -> dict[str, str]:
+    """The six steps written out: each one reads the values before it."""
+    lags = "lag(target_all, 1) OVER w AS lag_1, lag(target_all, 2) OVER w AS lag_2"
+    past = ", ".join(f"lag(target_all, {7 - i}) OVER w AS h{i}" for i in range(1, 7))
+    out = {
+        "lg": f"""SELECT series_id, ts, target_all, {lags}, {past}, CASE WHEN count(target_all) OVER m = 6 THEN avg(target_all) OVER m END AS mean FROM labels
+    WINDOW w AS (PARTITION BY series_id ORDER BY ts), m AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)""",
+        "lt": "SELECT f.fold_id, l.* FROM lg l JOIN folds f ON f.role = 'development' AND l.ts + INTERVAL '180 minutes' <= f.train_end",
+        "lm": ols_sql("lt", "fold_id", ["lag_1", "lag_2", "mean"], "target_all"),
+        "s0": f"""SELECT f.fold_id, l.series_id, l.ts AS origin, {', '.join(f'h{i}' for i in range(1, 7))}, m.a, m.b_lag_1, m.b_lag_2, m.b_mean FROM lg l
+    JOIN folds f ON f.role = 'development' AND l.ts BETWEEN f.validation_start AND f.validation_end JOIN lm m ON m.fold_id = f.fold_id WHERE mean IS NOT NULL""",
+    }
+    for k in range(1, 7):
+        seen = [f"h{i}" for i in range(k, k + 6)]
+        out[f"s{k}"] = f"SELECT *, greatest(0.0, a + b_lag_1 * {seen[-1]} + b_lag_2 * {seen[-2]} + b_mean * ({' + '.join(seen)}) / 6.0) AS h{k + 6} FROM s{k - 1}"
+    out["ro"] = " UNION ALL ".join(f"SELECT fold_id, series_id, origin, {240 * k} AS horizon_minutes, h{k + 6} AS prediction FROM s6" for k in range(1, 7))
+    return out
+
+
+@query("m9_recursive_rollout", f"fold_id:s, horizon_minutes:i, {STRICT_SPEC}",
+       sql(f"""SELECT fold_id, horizon_minutes, {STRICT} FROM (SELECT r.*, y.target_all AS actual FROM ro r JOIN origins o ON o.series_id = r.series_id AND o.origin = r.origin
+  LEFT JOIN labels y ON y.series_id = r.series_id AND y.ts = r.origin + to_minutes(CAST(r.horizon_minutes - 240 AS BIGINT))) GROUP BY 1, 2""", "labels", "folds", "origins", **_rollout_sql()))
 def rollout(spark, d):
     """Autoregression on the interval grid, its own forecasts fed back as lags."""
     y = base.labels(spark, d)
@@ -247,7 +323,19 @@ def hierarchical(spark, d):
 VARIANTS = {"control": ["now"], "with_level": ["now", "mean_24"], "with_trend": ["now", "delta_6"], "with_season": ["now", "day_before"]}
 
 
-@query("m11_feature_group_ablation", f"variant:s, fold_id:s, {STRICT_SPEC}")
+def _variant_sql(sets: dict[str, list[str]], label: str, complete: list[str]) -> dict[str, str]:
+    """The same complete cells fitted and scored once per named column set."""
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in complete)
+    out = {"ct": f"SELECT * FROM str WHERE {whole}", "cv": f"SELECT * FROM sva WHERE {whole} AND actual IS NOT NULL"}
+    parts = []
+    for n, xs in sets.items():
+        out[f"fit_{n}"] = ols_sql("ct", FH, xs, "actual")
+        parts.append(f"SELECT '{n}' AS {label}, v.fold_id, v.actual, {linear_sql(xs)} AS prediction FROM {join_fh('cv', 'fit_' + n)}")
+    return {**out, "scored": " UNION ALL ".join(parts)}
+
+
+@query("m11_feature_group_ablation", f"variant:s, fold_id:s, {STRICT_SPEC}",
+       sql(f"SELECT variant, fold_id, {STRICT} FROM scored GROUP BY 1, 2", *SUP_NEEDS, **SUP_SQL, **_variant_sql(VARIANTS, "variant", ["now", "mean_24", "delta_6", "day_before"])))
 def ablation(spark, d):
     """The same folds and complete cells for every feature group."""
     x = cut(cells(spark, d).dropna(subset=["now", "mean_24", "delta_6", "day_before"]))
@@ -258,7 +346,15 @@ def ablation(spark, d):
     return union_forecasts(parts).groupBy("variant", "fold_id").agg(*metrics.strict_errors())
 
 
-@query("m12_label_definition_grid", f"train_label:s, scored_label:s, {STRICT_SPEC}")
+@query("m12_label_definition_grid", f"train_label:s, scored_label:s, {STRICT_SPEC}",
+       sql(f"SELECT train_label, scored_label, {STRICT} FROM u GROUP BY 1, 2", *SUP_NEEDS, "panel", **SUP_SQL,
+           pt="SELECT s.*, p.target_all AS point FROM sup s LEFT JOIN panel p ON p.series_id = s.series_id AND p.ts = s.target_ts WHERE s.now IS NOT NULL",
+           ti="SELECT f.fold_id, p.* FROM pt p JOIN folds f ON f.role = 'development' AND p.label_end <= f.train_end",
+           tp="SELECT f.fold_id, p.* FROM pt p JOIN folds f ON f.role = 'development' AND p.target_ts <= f.train_end",
+           vp="SELECT f.fold_id, p.* FROM pt p JOIN folds f ON f.role = 'development' AND p.origin BETWEEN f.validation_start AND f.validation_end",
+           mi=ols_sql("ti", FH, ["now"], "actual"), mp=ols_sql("tp", FH, ["now"], "point"),
+           g=f"SELECT 'interval' AS train_label, {linear_sql(['now'])} AS prediction, v.actual AS interval_value, v.point FROM {join_fh('vp', 'mi')} UNION ALL SELECT 'point', {linear_sql(['now'])}, v.actual, v.point FROM {join_fh('vp', 'mp')}",
+           u="SELECT train_label, 'interval' AS scored_label, prediction, interval_value AS actual FROM g UNION ALL SELECT train_label, 'point', prediction, point FROM g"))
 def label_grid(spark, d):
     """Fitted on interval or point labels, scored on interval or point labels."""
     x = cells(spark, d).filter("now IS NOT NULL").withColumn("target_ts", plus_minutes("origin", F.col("horizon_minutes")))
@@ -276,13 +372,16 @@ def label_grid(spark, d):
     return union_forecasts(parts).groupBy("train_label", "scored_label").agg(*metrics.strict_errors())
 
 
-@query("m14_column_set_comparison", f"column_set:s, {STRICT_SPEC}")
+COLUMN_SETS = {"reduced": ["now"], "restored": ["now", "view_24", "click_24"]}
+
+
+@query("m14_column_set_comparison", f"column_set:s, {STRICT_SPEC}",
+       sql(f"SELECT column_set, {STRICT} FROM scored GROUP BY 1", *SUP_NEEDS, **SUP_SQL, **_variant_sql(COLUMN_SETS, "column_set", ["now", "view_24", "click_24"])))
 def column_sets(spark, d):
     """The same fits with and without the signals that had been left out."""
     x = cut(cells(spark, d).dropna(subset=["now", "view_24", "click_24"]))
     keys = ["fold_id", "horizon_minutes"]
     train, valid = cut(training(x)), validation(x).filter("actual IS NOT NULL")
-    sets = {"reduced": ["now"], "restored": ["now", "view_24", "click_24"]}
     parts = [fits.predict_linear(valid, fits.fit_linear(train, keys, xs, "actual"), keys, xs, "prediction").select(
-        F.lit(n).alias("column_set"), "actual", "prediction") for n, xs in sets.items()]
+        F.lit(n).alias("column_set"), "actual", "prediction") for n, xs in COLUMN_SETS.items()]
     return union_forecasts(parts).groupBy("column_set").agg(*metrics.strict_errors())
