@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidegrid.operators.ordering import prefix_sums, rank_auc
+from tidegrid.operators.ordering import prefix_sums, quantile_columns, rank_auc
 
 
 def event_days(df: DataFrame, keys: Sequence[str], ts: str, ratio: str, threshold: float) -> DataFrame:
@@ -76,14 +76,15 @@ def precursor_scores(pairs: DataFrame, keys: Sequence[str], feature: str, event_
 
 def precursor_summary(per_event: DataFrame, groups: Sequence[str], unit: str) -> DataFrame:
     """Median z, direction consistency and effect score per (lead, feature)."""
-    half = F.lit(0.5)
+    groups = list(groups)
     positive = F.avg(F.when(F.col("paired_difference").isNotNull(), (F.col("paired_difference") > 0).cast("double")))
-    table = per_event.groupBy(*groups).agg(
-        F.count_distinct(unit).alias("event_samples"), F.percentile("event_value", half).alias("median_event_value"),
-        F.percentile("control_median", half).alias("median_control_value"),
-        F.percentile("paired_difference", half).alias("median_paired_difference"),
-        F.percentile("standardized_difference", half).alias("median_standardized_difference"),
-        positive.alias("positive_fraction"))
+    medians = {"event_value": "median_event_value", "control_median": "median_control_value",
+               "paired_difference": "median_paired_difference", "standardized_difference": "median_standardized_difference"}
+    cells = per_event.unpivot(groups, list(medians), "_measure", "_value")
+    mid = quantile_columns(cells, [*groups, "_measure"], "_value", {"_m": 0.5})
+    wide = mid.groupBy(*groups).agg(*[F.max(F.when(F.col("_measure") == m, F.col("_m"))).alias(n) for m, n in medians.items()])
+    table = per_event.groupBy(*groups).agg(F.count_distinct(unit).alias("event_samples"),
+                                           positive.alias("positive_fraction")).join(wide, groups, "left")
     consistency = F.greatest(F.col("positive_fraction"), 1.0 - F.col("positive_fraction"))
     return table.withColumn("direction_consistency", consistency).withColumn(
         "effect_score", F.abs("median_standardized_difference") * F.col("direction_consistency"))
@@ -139,12 +140,13 @@ def outcome_discrimination(per_event: DataFrame, outcomes: DataFrame, on: Sequen
     y = F.col(outcome).cast("boolean")
     base = merged.groupBy(*groups).agg(
         F.count_distinct(unit).alias("event_samples"), F.count_if(y).alias("positive_events"),
-        F.count_if(~y).alias("negative_events"),
-        F.percentile(F.when(y, F.col(value)), F.lit(0.5)).alias("positive_median_z"),
-        F.percentile(F.when(~y, F.col(value)), F.lit(0.5)).alias("negative_median_z"))
+        F.count_if(~y).alias("negative_events"))
+    mid = quantile_columns(merged.withColumn("_y", y), [*groups, "_y"], value, {"_m": 0.5}).groupBy(*groups).agg(
+        F.max(F.when(F.col("_y"), F.col("_m"))).alias("positive_median_z"),
+        F.max(F.when(~F.col("_y"), F.col("_m"))).alias("negative_median_z"))
     auc = rank_auc(merged, groups, value, outcome, "rank_auc").drop("positives", "negatives")
     loo = leave_one_out_accuracy(merged, groups, value, outcome, "loo_threshold_balanced_accuracy")
     separation = F.abs(F.col("rank_auc") - 0.5) * 2
-    return (base.join(auc, list(groups), "left").join(loo, list(groups), "left")
+    return (base.join(mid, list(groups), "left").join(auc, list(groups), "left").join(loo, list(groups), "left")
             .withColumn("rank_separation", separation)
             .withColumn("screening_score", separation * F.col("loo_threshold_balanced_accuracy")))

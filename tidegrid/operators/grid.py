@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidegrid.functions.numeric import finite
 from tidegrid.functions.timeline import epoch_minutes, floor_minutes, from_epoch_minutes, on_grid, plus_minutes
 from tidegrid.operators.chunks import WEEK, windowed
+from tidegrid.operators.sizing import lookup_join
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -85,7 +86,7 @@ def ever_active(df: DataFrame, keys: Sequence[str], ts: str, columns: Sequence[s
     """1 from the first non-null sample of a signal on: one small aggregate, no unbounded frame."""
     firsts = df.groupBy(*keys).agg(*[F.min(F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_first_{c}")
                                      for c in columns])
-    joined = df.join(firsts, list(keys))
+    joined = lookup_join(df, firsts, list(keys))
     flags = [F.coalesce(F.col(ts) >= F.col(f"_first_{c}"), F.lit(False)).cast("int").alias(f"{c}{suffix}")
              for c in columns]
     return joined.select(*df.columns, *flags)
@@ -112,8 +113,7 @@ def contiguous_union(train: DataFrame, test: DataFrame, keys: Sequence[str], ts:
     keys = list(keys)
     ends = train.groupBy(*keys).agg(F.max(ts).alias("_end"))
     starts = test.groupBy(*keys).agg(F.min(ts).alias("_start"))
-    joint = ends.join(starts, keys).select(
-        *keys, F.assert_true(F.col("_start") == plus_minutes("_end", step),
-                             F.lit("train and test are not contiguous")).alias("_ok"))
+    joined_up = F.assert_true(F.col("_start") == plus_minutes("_end", step), F.lit("train and test are not contiguous"))
+    joint = ends.join(starts, keys).select(*keys, joined_up.cast("string").alias("_ok"))
     both = train.withColumn("partition", F.lit("train")).unionByName(test.withColumn("partition", F.lit("test")))
-    return both.join(joint, keys).filter(F.col("_ok").isNull()).drop("_ok")
+    return lookup_join(both, joint, keys).drop("_ok")

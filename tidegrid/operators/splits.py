@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegrid.functions.horizons import expand_horizons, horizon_groups
 from tidegrid.functions.timeline import epoch_minutes, plus_minutes
+from tidegrid.operators.ordering import prefix_sums
+from tidegrid.operators.sizing import lookup_join
+from tidegrid.session import cut
 
 FOLD_SCHEMA = ("fold_id string, fold_order int, role string, train_end timestamp_ntz, "
                "validation_start timestamp_ntz, validation_end timestamp_ntz")
@@ -91,13 +94,13 @@ def expanding_pairs(folds: DataFrame) -> DataFrame:
 def grouped_folds(df: DataFrame, day: str, label: str, k: int, seed: int) -> DataFrame:
     """Fold number per day, balanced over the classes: whole days stay together.
 
-    Days are ordered by a seeded hash within their class; a table of calendar days is small.
+    Days are dealt out in the order of a seeded hash within their class, by their running count.
     """
-    days = df.groupBy(day).agg(F.max(label).alias("_class"))
-    order = F.xxhash64(F.col(day).cast("string"), F.lit(seed))
-    numbered = days.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy("_class").orderBy(order, day)) - 1,
-                                              F.lit(k)))
-    return df.join(numbered.select(day, "fold"), day)
+    days = cut(df.groupBy(day).agg(F.max(label).alias("_class")).withColumns({
+        "_h": F.xxhash64(F.col(day).cast("string"), F.lit(seed)), "n": F.lit(1)}))
+    ranked = prefix_sums(days, ["_class"], "_h", ["n"]).select(
+        "_class", "_h", F.pmod(F.col("n_below"), F.lit(k)).cast("int").alias("fold"))
+    return lookup_join(df, days.join(ranked, ["_class", "_h"]).select(day, "fold"), [day])
 
 
 def embargo_folds(episodes: DataFrame, fold: str, max_horizon: int) -> DataFrame:
@@ -120,10 +123,10 @@ def recent_window(df: DataFrame, keys: Sequence[str], ts: str, rows: int, step:
     """
     keys = list(keys)
     last = df.groupBy(*keys).agg(F.max(ts).alias("_last"))
-    kept = df.join(last, keys).filter(epoch_minutes(ts) > epoch_minutes("_last") - rows * step)
+    kept = lookup_join(df, last, keys).filter(epoch_minutes(ts) > epoch_minutes("_last") - rows * step)
     counts = kept.groupBy(*keys).agg(F.count_distinct(ts).alias("_n"))
     ok = F.assert_true(F.col("_n") == rows, F.lit("recent origins are not contiguous")).isNull()
-    return kept.join(counts, keys).filter(ok).drop("_last", "_n")
+    return lookup_join(kept, counts, keys).filter(ok).drop("_last", "_n")
 
 
 def coverage(cells: DataFrame, labels: DataFrame, keys: Sequence[str], target: str, horizons: Sequence[int],

@@ -177,9 +177,12 @@ def l1_proxy(spark, d):
 
 @query("m1_direct_trees", f"fold_id:s, horizon_minutes:i, {STRICT_SPEC}")
 def direct_trees(spark, d):
-    """One tree ensemble per (fold, horizon); fits overlap from a small thread pool."""
+    """One tree ensemble per (fold, horizon); fits overlap from a small thread pool.
+
+    The training table is laid out by group, so each fit reads only its own files.
+    """
     x = cells(spark, d)
-    train, valid = cut(training(x)), validation(x).filter("actual IS NOT NULL")
+    train, valid = cut(training(x), ["fold_id", "horizon_minutes"]), validation(x).filter("actual IS NOT NULL")
     xs = [c for c in XS if c != "horizon_minutes"]
     groups = [(f.fold_id, h) for f in DEVELOPMENT[2:] for h in (HORIZONS[0], HORIZONS[-1])]
 

@@ -6,7 +6,7 @@ import hashlib
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,7 +64,7 @@ def stage(spark: SparkSession, source: str, name: str, build: Callable[[], DataF
     return spark.read.parquet(_STAGES[key])
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write an intermediate table to the shared folder and go on from the file.
 
     Cuts the lineage for good (survives lost executors), keeps later plans short, and gives the
@@ -72,5 +72,5 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tidegrid-{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
