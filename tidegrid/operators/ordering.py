@@ -21,7 +21,7 @@ from tidegrid.session import cut
 
 STEPS = 8        # level-one buckets per unit of log1p(|v|)
 SPLITS = 512     # level-two buckets inside one level-one bucket
-SMALL_GROUP = 1_000_000   # values one task may sort or hold
+SMALL_GROUP = 250_000   # values one task may sort or hold
 
 
 def _coarse(v: Column) -> Column:
