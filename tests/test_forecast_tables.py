@@ -147,7 +147,7 @@ def test_folds_and_layout(spark, frame):
     assert str(latest) == "2025-01-08 23:45:00"
     lay = {r.fold_id: r for r in splits.block_layout(table, splits.fold_table(spark, []), 15, 96).collect()}
     assert lay["f1"].shared_origins == 1 and not lay["f1"].layout_ok
-    assert [tuple(r) for r in splits.expanding_pairs(table).collect()] == [("f2", "f1")]
+    assert [tuple(r) for r in splits.expanding_pairs(spark, folds).collect()] == [("f2", "f1")]
 
 
 def test_grouped_folds_keep_days_whole(frame):

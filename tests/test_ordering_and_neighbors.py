@@ -114,3 +114,14 @@ def test_neighbor_blend_hand_case(frame):
     got = {r.horizon_minutes: r.prediction for r in neighbors.blend_neighbors(near, future, ["k"], 1e-6).collect()}
     assert got == {15: 20.0, 30: 30.0}
     assert neighbors.neighbor_diagnostics(near, ["k"], 1e-6).first().effective_neighbor_count == pytest.approx(2.0)
+
+
+def test_neighbors_without_a_key_search_several_cells(spark):
+    rng = np.random.default_rng(3)
+    pts = rng.normal(0, 1, (80, 4))
+    df = spark.createDataFrame([(i, i % 7, [float(x) for x in p]) for i, p in enumerate(pts)], "item int, day int, v array<double>")
+    out = neighbors.nearest_neighbors(df, df, [], query="item", item="item", vector="v", day="day", k=3, per_day=3, skip_self=True, pivots=6)
+    got = {q: list(g.sort_values("neighbor_rank").item_id) for q, g in out.toPandas().groupby("query_id")}
+    for i, p in enumerate(pts):
+        d = np.sqrt(np.mean((pts - p) ** 2, axis=1))
+        assert got[i] == [j for j in np.argsort(d, kind="stable") if j != i][:3]

@@ -66,11 +66,14 @@ def linear_value(xs: Sequence[str]) -> Column:
 def predict_linear(df: DataFrame, model: DataFrame, keys: Sequence[str], xs: Sequence[str], out: str,
                    floor: float | None = 0.0) -> DataFrame:
     """Score rows with the coefficients of their group; a missing input gives NULL."""
-    side = model.select(*keys, "intercept", *[f"beta_{x}" for x in xs])
-    joined = lookup_join(df, side, keys) if keys else df.join(F.broadcast(side))
+    names = ["intercept", *[f"beta_{x}" for x in xs]]
+    if keys:
+        joined = lookup_join(df, model.select(*keys, *names), keys)
+    else:
+        row = model.select(*names).first()   # one fit: its few numbers become literals
+        joined = df.withColumns({n: F.lit(row[n]) for n in names})
     value = linear_value(xs)
-    return joined.withColumn(out, value if floor is None else clip(value, floor)).drop(
-        "intercept", *[f"beta_{x}" for x in xs])
+    return joined.withColumn(out, value if floor is None else clip(value, floor)).drop(*names)
 
 
 def fill_medians(train: DataFrame, apply_to: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> DataFrame:

@@ -146,8 +146,12 @@ def nearest_neighbors(queries: DataFrame, library: DataFrame, keys: Sequence[str
 
     # Pass one: the nearest non-empty cell of the query's own key.
     # Each query meets the few cell summaries of its key, never the vectors themselves.
-    ranked = (qs.join(cells.select(*keys, "cell", "radius"), keys) if keys
-              else qs.join(F.broadcast(cells.select("cell", "radius"))))
+    if keys:
+        ranked = qs.join(cells.select(*keys, "cell", "radius"), keys)
+    else:   # at most ``pivots`` rows: literals
+        known = F.array(*[F.struct(F.lit(c.cell).alias("cell"), F.lit(c.radius).alias("radius"))
+                          for c in cells.select("cell", "radius").collect()])
+        ranked = qs.select("*", F.inline(known))
     ranked = ranked.withColumn("_to", F.element_at("_pd", F.col("cell") + 1))
     own = ranked.groupBy(*keys, "query_id").agg(F.min_by("cell", F.struct("_to", "cell")).alias("cell"))
     first = cut(search(qs.drop("_pd").join(own, [*keys, "query_id"])))

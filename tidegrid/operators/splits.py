@@ -80,15 +80,10 @@ def block_layout(blocks: DataFrame, reserved: DataFrame, step: int, expected: in
     return table.withColumn("layout_ok", ok)
 
 
-def expanding_pairs(folds: DataFrame) -> DataFrame:
+def expanding_pairs(spark: SparkSession, folds: Sequence[Fold]) -> DataFrame:
     """(train fold, validation fold) pairs for a second-stage model trained on all earlier folds."""
-    earlier = F.array_agg(F.struct("fold_order", "fold_id"))
-    listed = folds.agg(earlier.alias("_all"))
-    # The fold table is a literal configuration, a few rows long.
-    return folds.join(F.broadcast(listed)).select(
-        F.col("fold_id").alias("validation_fold"), F.col("fold_order").alias("_o"), F.explode("_all").alias("_t")
-    ).filter(F.col("_t.fold_order") < F.col("_o")).select(
-        "validation_fold", F.col("_t.fold_id").alias("train_fold"))
+    pairs = [(v.fold_id, t.fold_id) for i, v in enumerate(folds) for t in folds[:i]]
+    return spark.createDataFrame(pairs, "validation_fold string, train_fold string")
 
 
 def grouped_folds(df: DataFrame, day: str, label: str, k: int, seed: int) -> DataFrame:

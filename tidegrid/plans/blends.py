@@ -236,7 +236,7 @@ def event_origins(spark, d):
        sql("""SELECT v.fold_id AS validation_fold, t.fold_id AS train_fold, (SELECT count(*) FROM forecasts f WHERE f.fold_id = t.fold_id) AS train_cells, (SELECT count(*) FROM forecasts f WHERE f.fold_id = v.fold_id) AS validation_cells
 FROM folds v JOIN folds t ON t.fold_order < v.fold_order WHERE v.role = 'development' AND t.role = 'development'""", "forecasts", "folds"))
 def second_stage(spark, d):
-    pairs = splits.expanding_pairs(splits.fold_table(spark, base.DEVELOPMENT))
+    pairs = splits.expanding_pairs(spark, base.DEVELOPMENT)
     n = base.forecasts(spark, d).groupBy("fold_id").agg(F.count(F.lit(1)).alias("n"))
     return (pairs.join(n.withColumnsRenamed({"fold_id": "train_fold", "n": "train_cells"}), "train_fold")
             .join(n.withColumnsRenamed({"fold_id": "validation_fold", "n": "validation_cells"}), "validation_fold"))

@@ -168,11 +168,12 @@ def l1_proxy(spark, d):
     p = cut(p)
     l1 = fits.fit_weighted_l1(p, ["view", "click"], "target_all", "w", rounds=12)
     l2 = fits.fit_linear(p.withColumn("_fit", F.lit(0)), ["_fit"], ["view", "click"], "target_all", "w").drop("_fit")
-    err = lambda m: fits.predict_linear(p, m, [], ["view", "click"], "q", floor=None).agg(F.sum(F.col("w") * F.abs(F.col("target_all") - F.col("q"))).alias("e"))
+    err = lambda m: fits.predict_linear(p, m, [], ["view", "click"], "q", floor=None).agg(
+        F.sum(F.col("w") * F.abs(F.col("target_all") - F.col("q")))).first()[0]
     l1 = cut(l1)
-    a, b = err(l1).select(F.col("e").alias("weighted_error")), err(l2).select(F.col("e").alias("least_squares_error"))
-    one = lambda x: F.broadcast(x)   # single-row tables
-    return l1.join(one(a)).join(one(b)).withColumn("not_worse", F.col("weighted_error") <= F.col("least_squares_error") * 1.0001)
+    ours, squares = err(l1), err(l2)
+    return l1.withColumns({"weighted_error": F.lit(ours), "least_squares_error": F.lit(squares),
+                           "not_worse": F.lit(ours <= squares * 1.0001)})
 
 
 @query("m1_direct_trees", f"fold_id:s, horizon_minutes:i, {STRICT_SPEC}")
