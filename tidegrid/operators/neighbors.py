@@ -104,7 +104,7 @@ def diverse_top_k(distances: DataFrame, query: Sequence[str], item: str, day: st
 
 def nearest_neighbors(queries: DataFrame, library: DataFrame, keys: Sequence[str], *, query: str, item: str,
                       vector: str, day: str, k: int, per_day: int, skip_self: bool = False, pivots: int | None = None,
-                      block_rows: int = BLOCK_ROWS, batch_rows: int = BATCH_ROWS) -> DataFrame:
+                      block_rows: int = BLOCK_ROWS, batch_rows: int | None = None) -> DataFrame:
     """``keys, query_id, item_id, day, distance, neighbor_rank`` of the k nearest, at most ``per_day`` of a day."""
     keys = list(keys)
     lib = library.select(*keys, F.col(item).alias("item_id"), F.col(day).alias("day"), F.col(vector).alias("vector"))
@@ -124,6 +124,10 @@ def nearest_neighbors(queries: DataFrame, library: DataFrame, keys: Sequence[str
 
     qs = queries.select(*keys, F.col(query).alias("query_id"), F.col(vector).alias("vector"))
     qs = cut(pivot_distances(qs, "vector", table))
+    spark = qs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Small query sets still give every core a batch; large ones are bounded by BATCH_ROWS.
+    batch_rows = batch_rows or max(64, min(BATCH_ROWS, qs.count() // (2 * spark.sparkContext.defaultParallelism)))
     schema = ", ".join([f"query_id {qs.schema['query_id'].dataType.simpleString()}",
                         f"item_id {lib.schema['item_id'].dataType.simpleString()}",
                         f"day {lib.schema['day'].dataType.simpleString()}", "distance double",
@@ -141,6 +145,8 @@ def nearest_neighbors(queries: DataFrame, library: DataFrame, keys: Sequence[str
                  .select(*keys, "cell", "block", "item_id", "day", "vector", upto("_batches").alias("batch")))
         on = [*keys, "cell", "block", "batch"]
         right = right.select("item_id", "day", "vector", *[F.col(c).alias(f"_{c}") for c in on])
+        # Few bytes, much arithmetic: a fixed partition count keeps AQE from merging these tasks.
+        left, right = left.repartition(tasks, *on), right.repartition(tasks, *[f"_{c}" for c in on])
         return left.groupBy(*on).cogroup(right.groupBy(*[f"_{c}" for c in on])).applyInPandas(
             _compare(keys, k, per_day, skip_self), schema=schema)
 
