@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from tidegrid.llm.op2_near_vectors import op2_near_vectors
+from tidegrid.llm.op3_collision_search import op3_collision_search
 from tidegrid.llm.op4_packing import op4_pack_sequences
 from tidegrid.llm.op5_bpe import op5_bpe_round_trip
 from tidegrid.llm.op6_warc import op6_warc_round_trip
 from tidegrid.llm.op10_token_files import op10_token_files
 
-QUERIES = {f.__name__: f for f in (op2_near_vectors, op4_pack_sequences, op5_bpe_round_trip, op6_warc_round_trip, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op2_near_vectors, op3_collision_search, op4_pack_sequences, op5_bpe_round_trip, op6_warc_round_trip, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
