@@ -75,16 +75,17 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def words(body: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cases A-Z and finds the words ``[^\\x20\\x09-\\x0D]+`` of many texts at once.
+def runs(body: np.ndarray, starts: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cases A-Z and finds the runs of bytes that are not ``apart`` in many texts at once.
 
-    Returns a 64-bit hash of each word's bytes and length, each word's row, and each row's number
-    of words. A word never runs from one text into the next.
+    Returns where each run begins and ends, a 64-bit hash of its bytes and length, and its row. A run
+    never goes from one text into the next.
     """
-    n, rows = len(body), len(starts) - 1
+    n = len(body)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(rows, np.int64)
-    inside = ~SPACE[body]
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.uint64), none
+    inside = ~apart[body]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -98,8 +99,13 @@ def words(body: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     # A sum of c * BASE**(n - i) times BASE**begin is the same wherever the word stands, up to BASE**n.
     h = (sums[end] - sums[begin]) * _powers(n + 1)[begin]
     h = mixed(h * _inverse(n) + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    row = np.searchsorted(starts, begin, "right") - 1
-    return h, row, np.bincount(row, minlength=rows)
+    return begin, end, h, np.searchsorted(starts, begin, "right") - 1
+
+
+def words(body: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and row of every word ``[^\\x20\\x09-\\x0D]+``, and each row's number of words."""
+    _, _, h, row = runs(body, starts)
+    return h, row, np.bincount(row, minlength=len(starts) - 1)
 
 
 def _inverse(n: int) -> np.uint64:
