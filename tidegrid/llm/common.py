@@ -75,16 +75,17 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def runs(body: np.ndarray, starts: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(body: np.ndarray, starts: np.ndarray, apart: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """Lower-cases A-Z and finds the runs of bytes that are not ``apart`` in many texts at once.
 
-    Returns where each run begins and ends, a 64-bit hash of its bytes and length, and its row. A run
-    never goes from one text into the next.
+    Returns where each run begins and ends, a 64-bit hash of its bytes and length, its row, and hashes of its
+    first bytes for each length in ``prefixes`` (0 where it has no more). A run never goes from one text
+    into the next.
     """
     n = len(body)
     if not n:
         none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, np.uint64), none
+        return none, none, np.zeros(0, np.uint64), none, *(np.zeros(0, np.uint64) for _ in prefixes)
     inside = ~apart[body]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -99,7 +100,8 @@ def runs(body: np.ndarray, starts: np.ndarray, apart: np.ndarray = SPACE) -> tup
     # A sum of c * BASE**(n - i) times BASE**begin is the same wherever the word stands, up to BASE**n.
     h = (sums[end] - sums[begin]) * _powers(n + 1)[begin]
     h = mixed(h * _inverse(n) + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return begin, end, h, np.searchsorted(starts, begin, "right") - 1
+    heads = [np.where(end - begin > k, mixed((sums[np.minimum(begin + k, n)] - sums[begin]) * _powers(n + 1)[begin] * _inverse(n) + np.uint64(k << 32)), np.uint64(0)) for k in prefixes]
+    return begin, end, h, np.searchsorted(starts, begin, "right") - 1, *heads
 
 
 def words(body: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
