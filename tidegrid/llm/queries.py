@@ -7,9 +7,10 @@ from tidegrid.llm.op3_collision_search import op3_collision_search
 from tidegrid.llm.op4_packing import op4_pack_sequences
 from tidegrid.llm.op5_bpe import op5_bpe_round_trip
 from tidegrid.llm.op6_warc import op6_warc_round_trip
+from tidegrid.llm.op7_jaccard import op7_jaccard_join
 from tidegrid.llm.op8_toxicity import op8_toxicity
 from tidegrid.llm.op9_quality import op9_quality
 from tidegrid.llm.op10_token_files import op10_token_files
 
-QUERIES = {f.__name__: f for f in (op2_near_vectors, op3_collision_search, op4_pack_sequences, op5_bpe_round_trip, op6_warc_round_trip, op8_toxicity, op9_quality, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op2_near_vectors, op3_collision_search, op4_pack_sequences, op5_bpe_round_trip, op6_warc_round_trip, op7_jaccard_join, op8_toxicity, op9_quality, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
