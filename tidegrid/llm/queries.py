@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from tidegrid.llm.op1_context_mixing import op1_context_mixing
 from tidegrid.llm.op2_near_vectors import op2_near_vectors
 from tidegrid.llm.op3_collision_search import op3_collision_search
 from tidegrid.llm.op4_packing import op4_pack_sequences
@@ -12,5 +14,5 @@ from tidegrid.llm.op8_toxicity import op8_toxicity
 from tidegrid.llm.op9_quality import op9_quality
 from tidegrid.llm.op10_token_files import op10_token_files
 
-QUERIES = {f.__name__: f for f in (op2_near_vectors, op3_collision_search, op4_pack_sequences, op5_bpe_round_trip, op6_warc_round_trip, op7_jaccard_join, op8_toxicity, op9_quality, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_context_mixing, op2_near_vectors, op3_collision_search, op4_pack_sequences, op5_bpe_round_trip, op6_warc_round_trip, op7_jaccard_join, op8_toxicity, op9_quality, op10_token_files)} | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL: dict[str, str] = {}
