@@ -150,3 +150,22 @@ def test_contiguous_union_refuses_a_gap(minutes):
     late = minutes([3, 4], start="2025-01-01 00:05:00")
     with pytest.raises(Exception, match="not contiguous"):
         grid.contiguous_union(a, late, ["series_id"], "ts", 1).collect()
+
+
+@pytest.mark.parametrize("rows", [1, 31, 32, 200])
+@pytest.mark.parametrize("odd", [None, float("nan"), float("inf"), 1e17])
+def test_a_bad_value_is_forgotten_when_it_leaves_the_frame(minutes, rows, odd):
+    from tidegrid.operators.features import build_features, rolling
+    rng = np.random.default_rng(3)
+    values = (rng.normal(50, 2, 420)).round(3).tolist()
+    values[5] = odd
+    df = minutes(values)
+    spec = [rolling("x", rows, kind, minimum=1, label=kind) for kind in ("mean", "std_pop", "std_samp", "sum", "min", "max")]
+    got = build_features(df, ["series_id"], "ts", 1, spec).toPandas().sort_values("ts").reset_index(drop=True)
+    series = pd.Series([np.nan if v is None or not np.isfinite(v) else v for v in values])
+    for i in (4, 90, 210, 300, 419):
+        part = series[max(0, i - rows + 1) : i + 1].dropna().to_numpy()
+        want = {"mean": part.mean(), "std_pop": part.std(), "sum": part.sum(), "min": part.min(), "max": part.max(),
+                "std_samp": part.std(ddof=1) if len(part) > 1 else np.nan}
+        for kind, value in want.items():
+            assert got[kind][i] == pytest.approx(value, rel=1e-9, nan_ok=True), (kind, i)

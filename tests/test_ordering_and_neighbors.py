@@ -6,12 +6,6 @@ from pyspark.sql import functions as F
 from tidegrid.operators import episodes, neighbors, ordering
 
 
-@pytest.fixture(params=["gathered", "spread"])
-def path(request, monkeypatch):
-    """Every statistic runs once on each side of the size check."""
-    monkeypatch.setattr(ordering, "SMALL_GROUP", 0 if request.param == "spread" else 10**9)
-
-
 @pytest.fixture
 def skewed(spark):
     """One group holds most rows; values have ties, extremes and both signs."""
@@ -25,7 +19,7 @@ def skewed(spark):
     return pdf, spark.createDataFrame(pdf)
 
 
-def test_quantiles_equal_numpy(path, skewed):
+def test_quantiles_equal_numpy(skewed):
     pdf, df = skewed
     probs = [0.0, 0.005, 0.25, 0.5, 0.75, 0.995, 1.0]
     got = {(r.g, r.prob): r.quantile for r in ordering.quantiles(df, ["g"], "v", probs).collect()}
@@ -34,7 +28,7 @@ def test_quantiles_equal_numpy(path, skewed):
             assert got[(g, p)] == pytest.approx(np.quantile(part.v, p), rel=1e-12), (g, p)
 
 
-def test_prefix_sums(path, skewed):
+def test_prefix_sums(skewed):
     pdf, df = skewed
     out = ordering.prefix_sums(df.withColumn("n", F.lit(1)), ["g"], "v", ["n"]).toPandas()
     for g, part in out.groupby("g"):
@@ -43,7 +37,7 @@ def test_prefix_sums(path, skewed):
         assert list(part.n) == list(want) and list(part.n_below) == list(want.cumsum() - want)
 
 
-def test_rank_statistics(path, skewed):
+def test_rank_statistics(skewed):
     pdf, df = skewed
     auc = {r.g: r.auc for r in ordering.rank_auc(df, ["g"], "v", "y", "auc").collect()}
     rho = {r.g: r.rho for r in ordering.spearman(df, ["g"], "v", "u", "rho").collect()}
@@ -61,7 +55,7 @@ def test_rank_statistics(path, skewed):
     assert rho["one"] is None and auc["one"] is None
 
 
-def test_leave_one_out_equals_removal(path, spark):
+def test_leave_one_out_equals_removal(spark):
     rng = np.random.default_rng(4)
     pdf = pd.DataFrame({"g": rng.integers(0, 6, 60), "v": rng.integers(0, 12, 60).astype(float), "y": rng.random(60) < 0.5})
     got = {r.g: r.acc for r in episodes.leave_one_out_accuracy(spark.createDataFrame(pdf), ["g"], "v", "y", "acc").collect()}
@@ -125,3 +119,26 @@ def test_neighbors_without_a_key_search_several_cells(spark):
     for i, p in enumerate(pts):
         d = np.sqrt(np.mean((pts - p) ** 2, axis=1))
         assert got[i] == [j for j in np.argsort(d, kind="stable") if j != i][:3]
+
+
+def test_null_keys_nan_and_infinity(frame):
+    """NULL is a group of its own; NaN is the largest score; infinities order as usual."""
+    scores = [0.1, 0.4, float("nan"), float("inf"), float("-inf"), 1e17, 0.4]
+    rows = [(k, v, i % 2 == 0) for k in ("a", None) for i, v in enumerate(scores)]
+    df = frame(rows, "k string, v double, y boolean")
+    got = {r.k: r.quantile for r in ordering.quantiles(df, ["k"], "v", [0.5]).collect()}
+    assert got == {"a": pytest.approx(0.4), None: pytest.approx(0.4)}
+    ends = {(r.k, r.prob): r.quantile for r in ordering.quantiles(df, ["k"], "v", [0.0, 1.0]).collect()}
+    assert ends[None, 0.0] == float("-inf") and ends[None, 1.0] == float("inf")
+    ranks = pd.Series(scores).fillna(np.inf).rank()
+    ranks[2], ranks[3] = 7, 6  # NaN after infinity
+    y = np.arange(7) % 2 == 0
+    want = (ranks[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
+    assert {r.k: r.auc for r in ordering.rank_auc(df, ["k"], "v", "y", "auc").collect()} == {"a": pytest.approx(want), None: pytest.approx(want)}
+
+
+def test_adjacent_keeps_null_keys(frame):
+    from tidegrid.operators import chunks
+    rows = [(None, "2025-01-01 00:00:00"), (None, "2025-01-02 00:00:00"), ("a", "2025-01-01 00:00:00")]
+    out = chunks.adjacent(frame(rows, "k string, ts timestamp_ntz"), ["k"], "ts", "before").collect()
+    assert len(out) == 3 and sum(r.before is not None for r in out) == 1

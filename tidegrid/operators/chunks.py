@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegrid.functions.timeline import epoch_minutes
+from tidegrid.operators.ordering import join_keys
 
 CHUNK = "_chunk"
 HOME = "_home"
@@ -78,5 +79,5 @@ def adjacent(df: DataFrame, keys: Sequence[str], ts: str, out: str, *, length: i
     across = Window.partitionBy(*keys).orderBy(HOME)
     shifted = F.lag("_edge").over(across) if direction < 0 else F.lead("_edge").over(across)
     bridge = summary.select(*keys, HOME, shifted.alias("_bridge"))
-    return (base.withColumn("_near", near).join(bridge, [*keys, HOME])
+    return (join_keys(base.withColumn("_near", near), bridge, [*keys, HOME])
             .withColumn(out, F.coalesce("_near", "_bridge")).drop("_near", "_bridge", HOME))

@@ -44,40 +44,64 @@ def lag(signal: str, rows: int) -> Feature:
     return Feature(f"{signal}__lag_{rows}", signal, "lag", -rows, -rows, lambda w: F.lag(signal, rows).over(w))
 
 
-# Frames at least this long use running sums: a sliding frame re-reads its rows for every row.
-LONG_FRAME = 32
+def _blocks(signal: str, rows: int, stage: int) -> tuple[Feature, ...]:
+    """Count, sum, mean and squared deviation of a signal over the last 1, 2, 4, ... rows, each from two halves.
 
-
-def _running(signal: str, stage: int) -> tuple[Feature, ...]:
-    """Running count, sum and square sum of a signal inside a chunk, shifted by its first value.
-
-    The shift keeps differences of running sums accurate; ``run_start``, the count at which the
-    present stretch of equal values began, lets a constant frame have deviation exactly 0.
+    A frame of any length is a few of these blocks side by side, so a row costs the logarithm of the
+    length instead of the length, and nothing is ever subtracted: a value that isn't finite counts as
+    missing, and one of any size is forgotten as soon as it leaves the frame.
     """
-    upto = lambda w, last=0: w.rowsBetween(Window.unboundedPreceding, last)
-    hidden = lambda name, build, late: Feature(f"_{signal}__{name}", signal, "running", 0, 0, build, stage + late,
-                                               hidden=True)
-    x = lambda: F.col(signal)
-    moved = lambda: x() - F.col(f"_{signal}__shift")
-    fresh = lambda: x().isNotNull() & ~x().eqNullSafe(F.col(f"_{signal}__before"))
-    total = lambda c: lambda w: F.coalesce(F.sum(c()).over(upto(w)), F.lit(0.0))
-    return (hidden("shift", lambda w: F.first(signal, ignorenulls=True).over(upto(w)), 0),
-            hidden("before", lambda w: F.last(signal, ignorenulls=True).over(upto(w, -1)), 0),
-            hidden("run_n", lambda w: F.count(signal).over(upto(w)), 0),
-            hidden("run_start", lambda w: F.last(F.when(fresh(), F.col(f"_{signal}__run_n")), ignorenulls=True)
-                   .over(upto(w)), 1),
-            hidden("run_sum", total(moved), 1), hidden("run_sq", total(lambda: moved() * moved()), 1))
-
-
-def _from_running(signal: str, rows: int, kind: str, minimum: int) -> Callable[..., Column]:
+    hidden = lambda name, build, late: Feature(name, signal, "block", 0, 0, build, stage + late, hidden=True)
+    name = lambda c, size: f"_{signal}__{c}_{size}"
+    x = lambda: F.col(signal).cast("double")
+    fine = lambda: F.col(signal).isNotNull() & ~F.isnan(x()) & (F.abs(x()) != float("inf"))
+    out = [hidden(name("n", 1), lambda w: F.when(fine(), 1).otherwise(0), 0),
+           hidden(name("sum", 1), lambda w: F.when(fine(), x()).otherwise(0.0), 0),
+           hidden(name("mean", 1), lambda w: F.when(fine(), x()).otherwise(0.0), 0),
+           hidden(name("m2", 1), lambda w: F.lit(0.0), 0)]
+    size, late = 1, 1
+    while 2 * size <= rows:
+        for c in ("n", "sum", "mean", "m2"):
+            def build(w, c=c, size=size):
+                near = {k: F.col(name(k, size)) for k in ("n", "sum", "mean", "m2")}
+                far = {k: F.lag(name(k, size), size, 0).over(w) for k in near}
+                return _merge(near, far)[c]
+            out.append(hidden(name(c, 2 * size), build, late))
+        size, late = 2 * size, late + 1
+    return tuple(out)
+
+
+def _merge(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """Moments of two disjoint sets of rows together."""
+    n = a["n"] + b["n"]
+    apart = b["mean"] - a["mean"]
+    empty = (a["n"] == 0) | (b["n"] == 0)
+    mean = F.when(a["n"] == 0, b["mean"]).when(b["n"] == 0, a["mean"]).otherwise(a["mean"] + apart * b["n"] / n)
+    m2 = F.when(empty, a["m2"] + b["m2"]).otherwise(a["m2"] + b["m2"] + apart * apart * (a["n"] * b["n"] / n))
+    return {"n": n, "sum": a["sum"] + b["sum"], "mean": mean, "m2": m2}
+
+
+def _from_blocks(signal: str, rows: int, newest: int, kind: str, minimum: int) -> Callable[..., Column]:
     def build(w):
-        span = lambda c: F.col(f"_{signal}__{c}") - F.coalesce(F.lag(f"_{signal}__{c}", rows).over(w), F.lit(0))
-        n, total = span("run_n"), span("run_sum")
-        if kind == "mean":
-            value = F.col(f"_{signal}__shift") + total / n
+        parts, at, size = [], -newest, 1 << (rows.bit_length() - 1)
+        left = rows
+        while left:
+            if size <= left:
+                own = {c: F.col(f"_{signal}__{c}_{size}") for c in ("n", "sum", "mean", "m2")}
+                parts.append({c: F.lag(v, at, 0).over(w) if at else v for c, v in own.items()})
+                at, left = at + size, left - size
+            size //= 2
+        n = sum((p["n"] for p in parts[1:]), parts[0]["n"])
+        total = sum((p["sum"] for p in parts[1:]), parts[0]["sum"])
+        if kind in ("mean", "sum"):
+            value = total / n if kind == "mean" else total
         else:
-            constant = F.col(f"_{signal}__run_n") - F.col(f"_{signal}__run_start") + 1 >= n
-            spread = F.when(constant, 0.0).otherwise(F.greatest(span("run_sq") - total * total / n, F.lit(0.0)))
+            # Deviations from the mean of the whole frame; parts of equal constant values add exactly 0.
+            mean = total / n
+            same = F.greatest(*[F.when(p["n"] > 0, p["mean"]) for p in parts]) == F.least(*[F.when(p["n"] > 0, p["mean"]) for p in parts]) if len(parts) > 1 else F.lit(True)
+            inner = sum((p["m2"] for p in parts[1:]), parts[0]["m2"])
+            outer = sum(((p["mean"] - mean) * (p["mean"] - mean) * p["n"] for p in parts[1:]), (parts[0]["mean"] - mean) * (parts[0]["mean"] - mean) * parts[0]["n"])
+            spread = inner + F.when(same, 0.0).otherwise(outer)
             value = F.sqrt(spread / n) if kind == "std_pop" else F.when(n > 1, F.sqrt(spread / (n - 1)))
         return F.when((n >= minimum) & (n > 0), value)
     return build
@@ -87,20 +111,25 @@ def rolling(signal: str, rows: int, kind: str, minimum: int | None = None, fract
             newest: int = 0, label: str | None = None, stage: int = 0) -> Feature:
     """Trailing ``mean``, ``std_pop``, ``std_samp``, ``min``, ``max``, ``sum`` or ``median`` of ``rows`` grid rows.
 
-    Needs ``minimum`` observed values, or ``ceil(fraction * rows)``, or by default all of them.
+    Needs ``minimum`` observed values, or ``ceil(fraction * rows)``, or by default all of them. Values that
+    are not finite count as missing.
     """
     if fraction is not None:
         minimum = math.ceil(fraction * rows)
     minimum = rows if minimum is None else minimum
     first = newest - rows + 1
     name = label or f"{signal}__{kind}_{rows}"
-    if rows >= LONG_FRAME and newest == 0 and kind in ("mean", "std_pop", "std_samp"):
-        return Feature(name, signal, f"rolling_{kind}", first, 0, _from_running(signal, rows, kind, minimum), stage + 2,
-                       needs=_running(signal, stage))
-    agg = {"mean": F.avg, "std_pop": F.stddev_pop, "std_samp": F.stddev_samp, "min": F.min, "max": F.max,
-           "sum": F.sum, "median": lambda c: F.percentile(c, F.lit(0.5))}[kind]
-    return Feature(name, signal, f"rolling_{kind}", first, newest,
-                   lambda w: _guarded(signal, _frame(w, first, newest), minimum, agg(signal)), stage)
+    if kind in ("mean", "std_pop", "std_samp", "sum"):
+        return Feature(name, signal, f"rolling_{kind}", first, newest, _from_blocks(signal, rows, newest, kind, minimum),
+                       stage + rows.bit_length(), needs=_blocks(signal, rows, stage))
+    agg = {"min": F.min, "max": F.max, "median": lambda c: F.percentile(c, F.lit(0.5))}[kind]
+
+    def build(w):
+        x = F.col(signal).cast("double")
+        fine = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.col(signal))
+        frame = _frame(w, first, newest)
+        return F.when(F.count(fine).over(frame) >= minimum, agg(fine).over(frame))
+    return Feature(name, signal, f"rolling_{kind}", first, newest, build, stage)
 
 
 def missing_fraction(signal: str, rows: int) -> Feature:
@@ -124,13 +153,14 @@ def mean_difference(signal: str, rows: int, minimum: int = 1) -> tuple[Feature,
 
 def window_delta(signal: str, rows: int, floor: float = 1e-9) -> tuple[Feature, Feature]:
     """Recent minus previous full-window mean, absolute and relative to the previous one."""
-    recent = lambda w: _guarded(signal, _frame(w, -rows + 1, 0), rows, F.avg(signal))
-    before = lambda w: _guarded(signal, _frame(w, -2 * rows + 1, -rows), rows, F.avg(signal))
-    scale = lambda w: F.when(before(w).isNotNull(), F.greatest(F.abs(before(w)), F.lit(floor)))
+    mean = replace(rolling(signal, rows, "mean"), name=f"_{signal}__full_{rows}", hidden=True)
+    before = lambda w: F.lag(mean.name, rows).over(w)
+    scale = lambda w: F.greatest(F.abs(before(w)), F.lit(floor))
+    late = mean.stage + 1
     return (Feature(f"{signal}__delta_{rows}", signal, "window_delta", -2 * rows + 1, 0,
-                    lambda w: recent(w) - before(w)),
+                    lambda w: F.col(mean.name) - before(w), late, needs=(mean,)),
             Feature(f"{signal}__relative_delta_{rows}", signal, "relative_window_delta", -2 * rows + 1, 0,
-                    lambda w: (recent(w) - before(w)) / scale(w)))
+                    lambda w: F.when(before(w).isNotNull(), (F.col(mean.name) - before(w)) / scale(w)), late, needs=(mean,)))
 
 
 def level_vs_baseline(signal: str, recent_rows: int, baseline_rows: int, minimum: int,

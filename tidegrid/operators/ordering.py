@@ -1,13 +1,11 @@
-"""Exact order statistics of groups of any size.
-
-``percentile`` keeps every distinct value of a group in one aggregation buffer and ``rank() OVER
-(PARTITION BY group)`` sorts a whole group in one task. Both are used only after a count has shown
-that the largest group is small. A group may hold a third of all rows, so beyond ``SMALL_GROUP``
-the work is spread over two levels of order-preserving buckets: level one is a fixed log scale,
-level two splits each needed bucket evenly between its own minimum and maximum. Bucket totals are
-map-side combined aggregates; only rows of the few buckets that hold a wanted rank are ever sorted.
-The small tables between two passes are written out (``cut``): each pass is one scan of the input
-joined to a table whose size is known.
+"""Exact order statistics of groups of any size, by one path.
+
+A group may hold a third of all rows, so no task sorts or holds a whole group. Equal values collapse first:
+the source is scanned once and its distinct values with their counts are written out. Those are spread over
+two levels of order-preserving buckets: level one is a fixed log scale, level two splits a bucket evenly
+between its own minimum and maximum. Bucket totals are map-side combined aggregates; running sums go over
+buckets, and only inside one fine bucket over values. Keys may be NULL and form a group of their own.
+Infinities order as usual; NaN, where it isn't left out, is larger than any other value.
 """
 
 from __future__ import annotations
@@ -21,11 +19,19 @@ from tidegrid.session import cut
 
 STEPS = 8        # level-one buckets per unit of log1p(|v|)
 SPLITS = 512     # level-two buckets inside one level-one bucket
-SMALL_GROUP = 250_000   # values one task may sort or hold
+FARTHEST = 100_000   # beyond the level-one bucket of every finite double
 
 
 def _coarse(v: Column) -> Column:
-    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * STEPS)
+    scaled = F.signum(v) * F.log1p(F.abs(v)) * STEPS
+    bound = F.floor(F.least(F.greatest(scaled, F.lit(-float(FARTHEST))), F.lit(float(FARTHEST))))
+    return F.when(F.isnan(v), F.lit(FARTHEST + 1).cast("bigint")).otherwise(bound)
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL equals NULL; the keys appear once."""
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    return left.join(right, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys], how).drop(*[f"_right_{k}" for k in keys])
 
 
 def _fine(v: Column, low: Column, high: Column) -> Column:
@@ -40,23 +46,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     keys = list(keys)
     rows = (df.select(*keys, F.col(value).cast("double").alias("_v"))
             .filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
-    if largest_group(rows, keys) > SMALL_GROUP:
-        return _spread_quantiles(rows, keys, probs)
-    plist = F.array(*[F.lit(float(p)) for p in probs])
-    held = rows.groupBy(*keys).agg(F.percentile("_v", plist).alias("_q"), F.count(F.lit(1)).alias("n"))
-    return held.select(*keys, "n", F.inline(F.arrays_zip(plist.alias("prob"), F.col("_q").alias("quantile")))).toDF(
-        *keys, "n", "prob", "quantile").select(*keys, "prob", "n", "quantile")
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest group: one map-side combined aggregate, one number to the driver."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-
-
-def _spread_quantiles(rows: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    rows = rows.withColumn("_b1", _coarse(F.col("_v")))
-    level1 = rows.groupBy(*keys, "_b1").agg(F.count(F.lit(1)).alias("_c1"), F.min("_v").alias("_lo"),
-                                            F.max("_v").alias("_hi"))
+    rows = cut(rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))).withColumn("_b1", _coarse(F.col("_v")))
+    level1 = rows.groupBy(*keys, "_b1").agg(F.sum("_n").alias("_c1"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     upto = Window.partitionBy(*keys).orderBy("_b1").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     level1 = level1.select("*", F.coalesce(F.sum("_c1").over(upto), F.lit(0)).alias("_o1"),
@@ -70,32 +61,32 @@ def _spread_quantiles(rows: DataFrame, keys: Sequence[str], probs: Sequence[floa
     targets = cut(targets)
 
     inner = _split(rows, targets.select(*keys, "_b1", "_lo", "_hi").distinct(), keys)
-    level2 = inner.groupBy(*keys, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_c2"))
+    level2 = inner.groupBy(*keys, "_b1", "_b2").agg(F.sum("_n").alias("_c2"))
     upto2 = Window.partitionBy(*keys, "_b1").orderBy("_b2").rowsBetween(Window.unboundedPreceding, -1)
     level2 = level2.withColumn("_p2", F.coalesce(F.sum("_c2").over(upto2), F.lit(0)))
-    wanted = (targets.select(*keys, "_b1", "_lo", "_hi", "_o1", "_r", "prob", "_spot", "n")
-              .join(level2, [*keys, "_b1"]).withColumn("_o2", F.col("_o1") + F.col("_p2"))
+    wanted = (join_keys(targets.select(*keys, "_b1", "_lo", "_hi", "_o1", "_r", "prob", "_spot", "n"), level2, [*keys, "_b1"])
+              .withColumn("_o2", F.col("_o1") + F.col("_p2"))
               .filter((F.col("_r") >= F.col("_o2")) & (F.col("_r") < F.col("_o2") + F.col("_c2"))))
     wanted = cut(wanted.drop("_o1", "_p2", "_c2"))
 
     last = _split(rows, wanted.select(*keys, "_b1", "_lo", "_hi").distinct(), keys)
-    last = (last.join(wanted.select(*keys, "_b1", "_b2").distinct(), [*keys, "_b1", "_b2"], "left_semi")
-            .groupBy(*keys, "_b1", "_b2", "_v").agg(F.count(F.lit(1)).alias("_c3")))
+    last = join_keys(last, wanted.select(*keys, "_b1", "_b2").distinct(), [*keys, "_b1", "_b2"]).withColumnRenamed("_n", "_c3")
     upto3 = Window.partitionBy(*keys, "_b1", "_b2").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("_p3", F.coalesce(F.sum("_c3").over(upto3), F.lit(0)))
-    hits = (wanted.select(*keys, "_b1", "_b2", "_o2", "_r", "prob", "_spot", "n")
-            .join(last, [*keys, "_b1", "_b2"]).withColumn("_o3", F.col("_o2") + F.col("_p3"))
+    hits = (join_keys(wanted.select(*keys, "_b1", "_b2", "_o2", "_r", "prob", "_spot", "n"), last, [*keys, "_b1", "_b2"])
+            .withColumn("_o3", F.col("_o2") + F.col("_p3"))
             .filter((F.col("_r") >= F.col("_o3")) & (F.col("_r") < F.col("_o3") + F.col("_c3"))))
     low, high = F.min_by("_v", "_r"), F.max_by("_v", "_r")
+    share = F.col("_spot") - F.floor("_spot")
     return (hits.groupBy(*keys, "prob", "n", "_spot").agg(low.alias("_low"), high.alias("_high"))
             .select(*keys, "prob", "n",
-                    (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_spot") - F.floor("_spot")))
-                    .alias("quantile")))
+                    F.when((share == 0) | (F.col("_low") == F.col("_high")), F.col("_low"))
+                    .otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * share).alias("quantile")))
 
 
 def _split(rows: DataFrame, buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of the given level-one buckets with their level-two bucket."""
-    return rows.join(buckets, [*keys, "_b1"]).withColumn("_b2", _fine(F.col("_v"), F.col("_lo"), F.col("_hi"))).drop(
+    return join_keys(rows, buckets, [*keys, "_b1"]).withColumn("_b2", _fine(F.col("_v"), F.col("_lo"), F.col("_hi"))).drop(
         "_lo", "_hi")
 
 
@@ -115,16 +106,6 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], value: str, measures: Sequen
     """
     keys, measures = list(keys), list(measures)
     counted = cut(df.groupBy(*keys, value).agg(*[F.sum(m).alias(m) for m in measures]))
-    if largest_group(counted, keys) > SMALL_GROUP:
-        return _spread_prefix_sums(counted, keys, value, measures)
-    whole = Window.partitionBy(*keys)
-    upto = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return counted.select(*keys, value, *measures,
-                          *[F.coalesce(F.sum(m).over(upto), F.lit(0)).alias(f"{m}_below") for m in measures],
-                          *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures])
-
-
-def _spread_prefix_sums(counted: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str]) -> DataFrame:
     counted = counted.withColumn("_v", F.col(value).cast("double")).withColumn("_b1", _coarse(F.col("_v")))
     one = counted.groupBy(*keys, "_b1").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
                                             *[F.sum(m).alias(f"_s_{m}") for m in measures])
@@ -133,13 +114,13 @@ def _spread_prefix_sums(counted: DataFrame, keys: Sequence[str], value: str, mea
     one = cut(one.select(*keys, "_b1", "_lo", "_hi",
                          *[F.coalesce(F.sum(f"_s_{m}").over(below), F.lit(0)).alias(f"_o_{m}") for m in measures],
                          *[F.sum(f"_s_{m}").over(whole).alias(f"{m}_total") for m in measures]))
-    split = counted.join(one, [*keys, "_b1"]).withColumn("_b2", _fine(F.col("_v"), F.col("_lo"), F.col("_hi")))
+    split = join_keys(counted, one, [*keys, "_b1"]).withColumn("_b2", _fine(F.col("_v"), F.col("_lo"), F.col("_hi")))
     two = split.groupBy(*keys, "_b1", "_b2").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     below2 = Window.partitionBy(*keys, "_b1").orderBy("_b2").rowsBetween(Window.unboundedPreceding, -1)
     two = two.select(*keys, "_b1", "_b2",
                      *[F.coalesce(F.sum(f"_t_{m}").over(below2), F.lit(0)).alias(f"_p_{m}") for m in measures])
     inside = Window.partitionBy(*keys, "_b1", "_b2").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return (split.join(two, [*keys, "_b1", "_b2"])
+    return (join_keys(split, two, [*keys, "_b1", "_b2"])
             .select(*keys, value, *measures,
                     *[(F.col(f"_o_{m}") + F.col(f"_p_{m}") + F.coalesce(F.sum(m).over(inside), F.lit(0)))
                       .alias(f"{m}_below") for m in measures],
@@ -157,9 +138,10 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str) -> Da
     pairs = (df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
              .filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
              .groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("n")))
+    pairs = cut(pairs)
     rank = lambda c: prefix_sums(pairs, keys, c, ["n"]).select(
         *keys, c, average_rank().alias(f"_r{c}"))
-    ranked = pairs.join(rank("_x"), [*keys, "_x"]).join(rank("_y"), [*keys, "_y"])
+    ranked = join_keys(join_keys(pairs, rank("_x"), [*keys, "_x"]), rank("_y"), [*keys, "_y"])
     n, rx, ry = F.col("n"), F.col("_r_x"), F.col("_r_y")
     moments = ranked.groupBy(*keys).agg(
         F.sum("n").alias("_n"), F.sum(n * rx).alias("_sx"), F.sum(n * ry).alias("_sy"),
