@@ -30,6 +30,12 @@ def fold_of(doc_id: int | None) -> int:
     return -1 if doc_id is None else crc32(str(doc_id).encode()) % 5
 
 
+def wrapped(docs: DataFrame, *beside: str) -> DataFrame:
+    """All columns as one struct ``row``, so that no column of an operator's own clashes with them."""
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    return docs.select(F.struct(*quoted).alias("row"), *beside)
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column end to end, and where each row starts (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
