@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidegrid.functions.numeric import finite
 from tidegrid.functions.timeline import epoch_minutes, floor_minutes, from_epoch_minutes, on_grid, plus_minutes
 from tidegrid.operators.chunks import WEEK, windowed
+from tidegrid.operators.ordering import join_keys
 from tidegrid.operators.sizing import lookup_join
 
 
@@ -109,11 +110,15 @@ def bucket_sums(df: DataFrame, keys: Sequence[str], ts: str, step: int, kind: st
 
 
 def contiguous_union(train: DataFrame, test: DataFrame, keys: Sequence[str], ts: str, step: int) -> DataFrame:
-    """Train and test rows of each series in one history; the join point must be one step wide."""
+    """Train and test rows of each series in one history; the join point must be one step wide.
+
+    A series that is on one side only has no join point: its rows stay as they are, flagged by ``partition``.
+    """
     keys = list(keys)
     ends = train.groupBy(*keys).agg(F.max(ts).alias("_end"))
     starts = test.groupBy(*keys).agg(F.min(ts).alias("_start"))
     joined_up = F.assert_true(F.col("_start") == plus_minutes("_end", step), F.lit("train and test are not contiguous"))
-    joint = ends.join(starts, keys).select(*keys, joined_up.cast("string").alias("_ok"))
+    joint = join_keys(ends, starts, keys).select(*keys, joined_up.cast("string").alias("_ok"))
     both = train.withColumn("partition", F.lit("train")).unionByName(test.withColumn("partition", F.lit("test")))
-    return lookup_join(both, joint, keys).drop("_ok")
+    # The check must survive column pruning, so its column is part of the filter.
+    return join_keys(both, joint, keys, "left").filter(F.coalesce("_ok", F.lit("")) != "no").drop("_ok")

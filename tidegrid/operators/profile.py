@@ -44,6 +44,15 @@ def column_profile(df: DataFrame, ts: str, columns: Sequence[str], huge: float =
                             "is_constant": (count + (F.col("null_count") > 0).cast("int")) <= 1})
 
 
+def drop_empty_columns(df: DataFrame, declared: Sequence[str]) -> DataFrame:
+    """Without the columns declared empty; a value in one of them fails."""
+    held = df.agg(*[F.count(c).alias(c) for c in declared]).first()
+    full = [c for c in declared if held[c]]
+    if full:
+        raise ValueError(f"declared empty but not: {full}")
+    return df.drop(*declared)
+
+
 def constant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column with its level count, NULL counted as a level; no distinct set is kept.
 

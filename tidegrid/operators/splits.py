@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidegrid.functions.horizons import expand_horizons, horizon_groups
 from tidegrid.functions.timeline import epoch_minutes, plus_minutes
@@ -98,12 +98,30 @@ def grouped_folds(df: DataFrame, day: str, label: str, k: int, seed: int) -> Dat
     return lookup_join(df, days.join(ranked, ["_class", "_h"]).select(day, "fold"), [day])
 
 
-def embargo_folds(episodes: DataFrame, fold: str, max_horizon: int) -> DataFrame:
-    """Leave-episode-out validation range per fold and the last origin that may still train."""
-    starts = episodes.groupBy(fold).agg(F.min("episode_start").alias("_first"), F.max("episode_start").alias("_last"))
-    return starts.select(fold, plus_minutes("_first", -max_horizon).alias("validation_start"),
-                         F.col("_last").alias("validation_end"),
-                         plus_minutes("_first", -2 * max_horizon).alias("train_end"))
+def embargo_folds(episodes: DataFrame, fold: str, horizons: Sequence[int]) -> DataFrame:
+    """Leave-episode-out bounds per fold and horizon.
+
+    Validation origins lie in [validation_start, validation_end): from the longest horizon before the first
+    held-out episode until the last one starts. An origin may train while its label, a horizon later, is
+    known by then: up to train_end, itself included.
+    """
+    starts = episodes.groupBy(fold).agg(F.min("episode_start").alias("_first"), F.max("episode_start").alias("validation_end"))
+    starts = starts.withColumn("validation_start", plus_minutes("_first", -max(horizons)))
+    return starts.select(fold, F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon_minutes"), "validation_start", "validation_end").withColumn(
+        "train_end", plus_minutes("validation_start", -F.col("horizon_minutes")))
+
+
+def counted_until(moments: DataFrame, marks: DataFrame, at: str, out: str, *, inclusive: bool) -> DataFrame:
+    """``marks`` with the sum of ``n`` over the ``moments(ts, n)`` up to their moment ``at``.
+
+    One running sum over distinct moments and marks together: their number grows with the time
+    covered, not with the number of rows, so it is small enough for one window.
+    """
+    ids = [c for c in marks.columns]
+    rows = moments.select(F.col("ts").alias("_at"), "n", F.lit(1).alias("_rank"), F.lit(None).cast(marks.select(F.struct(*ids)).schema[0].dataType).alias("_mark"))
+    asked = marks.select(F.col(at).alias("_at"), F.lit(0).cast("bigint").alias("n"), F.lit(2 if inclusive else 0).alias("_rank"), F.struct(*ids).alias("_mark"))
+    upto = Window.orderBy("_at", "_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.unionByName(asked).withColumn(out, F.sum("n").over(upto)).filter("_mark IS NOT NULL").select("_mark.*", out)
 
 
 def cohort_table(spark: SparkSession, horizons: Sequence[int], size: int) -> DataFrame:

@@ -13,6 +13,7 @@ from tidegrid.plans.base import HOUR, KEYS, STEP, sql
 from tidegrid.plans.joins import PAIRS_SQL, PROFILE_SQL, RESIDUAL_SQL
 from tidegrid.plans.registry import query
 from tidegrid.plans.scores import _scale_sql
+from tidegrid.session import cut
 from tidegrid.sources import readers, reshape
 
 P = {"p": PAIRS_SQL}
@@ -287,19 +288,18 @@ def library(spark, d):
     return t.select(*KEYS, "origin", F.size("trajectory").alias("steps"), mean.alias("mean_future"))
 
 
-@query("b10_leave_episode_out", "episode_group:i, validation_start:t, validation_end:t, train_end:t, train_origins:i, validation_origins:i",
-       sql("""SELECT g.*, count(CASE WHEN h.origin <= g.train_end THEN 1 END) AS train_origins, count(CASE WHEN h.origin BETWEEN g.validation_start AND g.validation_end THEN 1 END) AS validation_origins FROM (
-  SELECT episode_number % 3 AS episode_group, min(episode_start) - INTERVAL '24 hours' AS validation_start, max(episode_start) AS validation_end, min(episode_start) - INTERVAL '48 hours' AS train_end FROM episodes GROUP BY 1) g
-CROSS JOIN hazard h GROUP BY ALL""", "episodes", "hazard"))
+@query("b10_leave_episode_out", "episode_group:i, horizon_minutes:i, validation_start:t, validation_end:t, train_end:t, train_origins:i, validation_origins:i",
+       sql("""SELECT g.*, count(CASE WHEN h.origin <= g.train_end THEN 1 END) AS train_origins, count(CASE WHEN h.origin >= g.validation_start AND h.origin < g.validation_end THEN 1 END) AS validation_origins FROM (
+  SELECT episode_group, horizon_minutes, validation_start, validation_end, validation_start - to_minutes(CAST(horizon_minutes AS BIGINT)) AS train_end FROM (
+    SELECT episode_number % 3 AS episode_group, min(episode_start) - INTERVAL '24 hours' AS validation_start, max(episode_start) AS validation_end FROM episodes GROUP BY 1) CROSS JOIN horizons) g
+CROSS JOIN hazard h GROUP BY ALL""", "episodes", "hazard", "horizons"))
 def episode_out(spark, d):
-    """Fold bounds from the held-out starts, then one pass of conditional counts over the origins."""
+    """Bounds per group and horizon, and the origins on either side of them from running sums over distinct moments."""
     e = ev.episodes(spark, d).withColumn("episode_group", (F.col("episode_number") % 3).cast("int"))
-    bounds = splits.embargo_folds(e, "episode_group", 1440).orderBy("episode_group").limit(3).collect()   # three groups by construction
-    origin = F.col("origin")
-    moment = lambda v: F.lit(str(v)).cast("timestamp_ntz")
-    items = [F.struct(F.lit(b.episode_group).alias("episode_group"), moment(b.validation_start).alias("validation_start"),
-                      moment(b.validation_end).alias("validation_end"), moment(b.train_end).alias("train_end"),
-                      F.count_if(origin <= moment(b.train_end)).alias("train_origins"),
-                      F.count_if(origin.between(moment(b.validation_start), moment(b.validation_end))).alias("validation_origins"))
-             for b in bounds]
-    return ev.hazard(spark, d).agg(F.array(*items).alias("_a")).select(F.inline("_a"))
+    bounds = splits.embargo_folds(e, "episode_group", base.HORIZONS)
+    moments = cut(ev.hazard(spark, d).groupBy(F.col("origin").alias("ts")).agg(F.count(F.lit(1)).alias("n")))
+    bounds = splits.counted_until(moments, bounds, "train_end", "train_origins", inclusive=True)
+    bounds = splits.counted_until(moments, bounds, "validation_start", "_before", inclusive=False)
+    bounds = splits.counted_until(moments, bounds, "validation_end", "_until", inclusive=False)
+    # A group of one episode ends where another's range may begin; nothing lies between then.
+    return bounds.withColumn("validation_origins", F.greatest(F.col("_until") - F.col("_before"), F.lit(0)))

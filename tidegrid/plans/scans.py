@@ -78,20 +78,21 @@ def file_hashes(spark, d):
     return readers.file_fingerprints(spark, f"{d}/*.parquet")
 
 
-@query("s6_formatted_wide_result", "series_id:s, origin:t, target_all_240:s, target_all_1440:s",
-       sql("""SELECT series_id, origin, printf('%.3f', max(CASE WHEN horizon_minutes = 240 THEN prediction END)) AS target_all_240,
-  printf('%.3f', max(CASE WHEN horizon_minutes = 1440 THEN prediction END)) AS target_all_1440
-FROM forecasts WHERE target = 'target_all' AND model = 'persistence' GROUP BY 1, 2
-HAVING count(CASE WHEN horizon_minutes IN (240, 1440) THEN prediction END) = 2""", "forecasts"))
+WIDE = [f"{t}_{h}" for t in base.TARGETS for h in base.HORIZONS]
+
+
+@query("s6_formatted_wide_result", "series_id:s, origin:t, " + ", ".join(f"{c}:s" for c in WIDE),
+       sql("SELECT series_id, origin, " + ", ".join(f"printf('%.3f', max(CASE WHEN target = '{t}' AND horizon_minutes = {h} THEN prediction END)) AS {t}_{h}" for t in base.TARGETS for h in base.HORIZONS)
+           + " FROM forecasts WHERE model = 'persistence' GROUP BY 1, 2", "forecasts"))
 def formatted(spark, d):
-    f = base.forecasts(spark, d).filter("model = 'persistence' AND target = 'target_all'")
-    wide = reshape.to_wide(f, [*KEYS, "origin"], ["target_all"], [240, 1440])
-    wide = wide.withColumnsRenamed({"target_all_t+240_pred": "target_all_240", "target_all_t+1440_pred": "target_all_1440"})
-    wide = wide.dropna(subset=["target_all_240", "target_all_1440"])
+    """Every target and horizon of every origin; a missing cell stays empty."""
+    f = base.forecasts(spark, d).filter("model = 'persistence'")
+    wide = reshape.to_wide(f, [*KEYS, "origin"], list(base.TARGETS), list(base.HORIZONS))
+    wide = wide.withColumnsRenamed({f"{t}_t+{h}_pred": f"{t}_{h}" for t in base.TARGETS for h in base.HORIZONS})
     path = fresh_path(spark, "result")
-    sinks.write_result(wide, path, ["target_all_240", "target_all_1440"], 3)
-    return spark.read.schema("series_id string, origin timestamp_ntz, target_all_240 string, target_all_1440 string").option(
-        "header", True).csv(path)
+    sinks.write_result(wide, path, WIDE, 3)
+    schema = "series_id string, origin timestamp_ntz, " + ", ".join(f"{c} string" for c in WIDE)
+    return spark.read.schema(schema).option("header", True).csv(path)
 
 
 @query("s7_run_registry", "run_id:s, cells:i, mape:d",
@@ -154,9 +155,9 @@ def mixed_times(spark, d):
 @query("p4_drop_empty_columns", "series_id:s, ts:t, click:d, view:d",
        sql("SELECT series_id, ts, click, view FROM panel", "panel"))
 def drop_empty(spark, d):
-    """A declared all-empty signal leaves the table."""
-    with_empty = base.panel(spark, d).select(*KEYS, "ts", "click", "view").withColumn("spare", F.lit(None).cast("double"))
-    return with_empty.drop("spare")
+    """Signals declared empty leave the table once an aggregate has shown that they are."""
+    wide = base.panel(spark, d).select(*KEYS, "ts", "click", "view", F.when(F.col("view") < 0, F.col("view")).alias("spare"))
+    return profile.drop_empty_columns(wide, ["spare"])
 
 
 @query("p5_constant_columns", "column_name:s, is_constant:b",

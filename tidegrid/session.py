@@ -49,15 +49,23 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[context.applicationId]
 
 
+def _files(spark: SparkSession, source: str) -> str:
+    """Names, lengths and modification times of what lies in a folder and its table folders: a few dozen entries."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in store.listStatus(path)]
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
 def stage(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A preparation stage as a written table, built once per application and source.
+    """A preparation stage as a written table, built once per application and state of the source's files.
 
     Later plans read it with column pruning and pushdown instead of repeating the scan and
     aggregation of the raw log, and a lost executor costs a re-read, not a recomputation.
     """
-    key = (spark.sparkContext.applicationId, source, name)
+    key = (spark.sparkContext.applicationId, f"{source} {_files(spark, source)}", name)
     if key not in _STAGES:
-        digest = hashlib.sha256(source.encode()).hexdigest()[:12]
+        digest = hashlib.sha256(key[1].encode()).hexdigest()[:12]
         path = f"{scratch_root(spark)}/tidegrid-{key[0]}/{name}-{digest}"
         build().write.mode("overwrite").parquet(path)
         _STAGES[key] = path

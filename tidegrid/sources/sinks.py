@@ -16,7 +16,7 @@ def write_version(df: DataFrame, root: str, version: str, partition_by: Sequence
 
 def format_numbers(df: DataFrame, columns: Sequence[str], decimals: int) -> DataFrame:
     """Fixed-decimal text for a result file."""
-    return df.withColumns({c: F.format_string(f"%.{decimals}f", F.col(c)) for c in columns})
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.format_string(f"%.{decimals}f", F.col(c))) for c in columns})
 
 
 def write_result(df: DataFrame, path: str, columns: Sequence[str], decimals: int) -> None:
@@ -25,10 +25,10 @@ def write_result(df: DataFrame, path: str, columns: Sequence[str], decimals: int
 
 def append_runs(spark: SparkSession, path: str, runs: DataFrame, key: str = "run_id") -> DataFrame:
     """Append runs to a registry; a run id already there, or twice in the batch, fails the job."""
-    try:
-        known = spark.read.parquet(path).select(key)
-    except Exception:
-        known = runs.select(key).limit(0)
+    # Only a registry that isn't there counts as empty; one that can't be read fails.
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    known = spark.read.parquet(path).select(key) if there else runs.select(key).limit(0)
     clash = known.unionByName(runs.select(key)).groupBy(key).count().filter("count > 1")
     if not clash.isEmpty():
         raise ValueError(f"run ids already registered: {[r[0] for r in clash.limit(5).collect()]}")
