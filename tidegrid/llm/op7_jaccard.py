@@ -29,17 +29,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidegrid.llm.common import mixed, slices, table, texts_of, words
+from tidegrid.llm.common import mixed, slices, table, texts_of, words, wrapped
 from tidegrid.llm.components import components
 from tidegrid.session import cut
 
 N, SIMILARITY = 5, 75
-SLOTS, PARTS = 1 << 22, 16
-CELLS = 256
+SLOTS, PARTS = 1 << 24, 16
+CELLS = 64
 BUCKET = 400_000
 BLOOM = 1 << 26  # bits
+NO_ID = -(1 << 62)
 _STEPS = [np.uint64(pow(0xA24BAED4963EE407, k, 1 << 64)) for k in range(1, N + 1)]
 ENTRY = np.dtype([("key", "<u4"), ("size", "<u4"), ("set", "<i8")])
 
@@ -67,7 +68,18 @@ def set_id(v: np.ndarray) -> int:
 
 
 def cells(v: np.ndarray) -> bytes:
-    return np.bincount((v & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint16 if len(v) < 65_536 else np.uint32).tobytes()
+    """How many elements fall into each cell; about two to a cell, a power of two of cells."""
+    n = max(CELLS, 1 << max(len(v) // 2, 1).bit_length())
+    found = np.bincount((v & np.uint64(n - 1)).astype(np.int64), minlength=n)
+    kind = np.uint8 if found.max() < 256 else np.uint32
+    return bytes([kind().itemsize]) + found.astype(kind).tobytes()
+
+
+def overlap_bound(x: bytes, y: bytes) -> int:
+    """No two sets with these cells have more elements in common."""
+    x, y = (np.frombuffer(c, np.uint8 if c[0] == 1 else np.uint32, offset=1).astype(np.int64) for c in (x, y))
+    n = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, n).sum(0), y.reshape(-1, n).sum(0)).sum())
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -80,34 +92,46 @@ def describe(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             sets = list(shingle_sets(batch["text"]))
             every = np.concatenate(sets)
-            sketch += np.bincount((every >> np.uint64(40)).astype(np.int64) % SLOTS, minlength=SLOTS).astype(np.uint32)
+            np.add.at(sketch, _slot(every), np.uint32(1))
             rows = [(set_id(v), len(v), cells(v)) if len(v) else (None, 0, None) for v in sets]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(zip(*rows), types[1:4])), pa.nulls(len(rows), types[4]), pa.nulls(len(rows), types[5])], names)
         for part, counts in enumerate(sketch.reshape(PARTS, -1)):
             if counts.any():
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types[:4]), pa.array([part], types[4]), pa.array([zlib.compress(counts.tobytes(), 1)])], names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types[:4]), pa.array([part], types[4]), pa.array([zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)])], names)
 
     return cut(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, set bigint, n bigint, cells binary, part int, counts binary"))
 
 
-def frequency(described: DataFrame) -> np.ndarray:
-    """Document frequencies in the sketch's slots; its size is fixed."""
+def _slot(v: np.ndarray) -> np.ndarray:
+    return (v >> np.uint64(36)).astype(np.int64) & (SLOTS - 1)
+
+
+def ranks(described: DataFrame) -> np.ndarray:
+    """Eight times the binary logarithm of the document frequency in each of the sketch's slots; 16 MB at any size.
+
+    A task's own count ends at 255; what is that frequent is last in any order.
+    """
     def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(SLOTS // PARTS, np.uint64)
+        total = np.zeros(SLOTS // PARTS, np.int64)
         for c in group["counts"]:
-            total += np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
-        return pa.table({"part": group["part"][:1], "counts": [zlib.compress(total.tobytes(), 1)]})
+            total += np.frombuffer(zlib.decompress(c.as_py()), np.uint8)
+        steps = np.minimum(8 * np.log2(total + 1), 255).astype(np.uint8)
+        return pa.table({"part": group["part"][:1], "counts": [zlib.compress(steps.tobytes(), 1)]})
 
-    out = np.zeros((PARTS, SLOTS // PARTS), np.uint64)
+    out = np.zeros((PARTS, SLOTS // PARTS), np.uint8)
     for row in described.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
-        out[row["part"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
+        out[row["part"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
     return out.ravel()
 
 
-def ranks(counts: np.ndarray) -> np.ndarray:
-    """0 for what is as rare as the sketch can tell, then the logarithm of the frequency."""
-    floor = 8 + 4 * counts.mean()
-    return np.where(counts <= floor, 0, np.log2(np.maximum(counts, 1))).astype(np.uint8)
+def scan_length(rank: np.ndarray) -> float:
+    """Other members that an entry of the rarest quarter meets in its list, beyond what chance puts into a slot."""
+    slots = np.bincount(rank, minlength=256)
+    counts = 2.0 ** (np.arange(256) / 8) - 1
+    mass = np.cumsum(slots * counts)
+    rare = mass <= max(mass[-1] / 4, counts[np.argmax(mass > 0)])
+    rare[np.argmax(mass > 0)] = True
+    return float(max(0.0, (slots * counts**2)[rare].sum() / max((slots * counts)[rare].sum(), 1e-9) - mass[-1] / SLOTS))
 
 
 def boundary(sizes: list[tuple[int, int]], scan: float) -> int:
@@ -140,8 +164,7 @@ def entries(docs: DataFrame, rank: np.ndarray, light: int, buckets: int) -> Data
                     continue
                 done.add(own)
                 p = n // 4 + 1
-                r = order[(v >> np.uint64(40)).astype(np.int64) % SLOTS]
-                first = v[np.argsort(r, kind="stable")[: p + 1]] if r.any() else v[: p + 1]
+                first = v[np.argsort(order[_slot(v)], kind="stable")[: p + 1]]
                 parts = []
                 if n <= light:
                     i, j = np.triu_indices(len(first), 1)
@@ -215,62 +238,72 @@ def _needed(a: int, b: int) -> int:
     return -(-SIMILARITY * (a + b) // (100 + SIMILARITY))
 
 
-def _wide(cell: bytes) -> np.ndarray:
-    return np.frombuffer(cell, np.uint16 if len(cell) == 2 * CELLS else np.uint32).astype(np.int64)
-
-
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` that are similar enough, exactly."""
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Exactly those of ``pairs(a, b)`` that are similar enough and join components, with the links ``known`` so far; all components."""
     left, right = (classes.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"cells_{x}")) for x in "ab")
 
     def bound(batches):
         for batch in batches:
-            keep = [int(np.minimum(_wide(x), _wide(y)).sum()) >= _needed(n, m) for n, x, m, y in zip(*(batch[c].to_pylist() for c in ("n_a", "cells_a", "n_b", "cells_b")))]
+            keep = [overlap_bound(x, y) >= _needed(n, m) for n, x, m, y in zip(*(batch[c].to_pylist() for c in ("n_a", "cells_a", "n_b", "cells_b")))]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     likely = cut(pairs.join(left, "a").join(right, "b").mapInArrow(bound, "a bigint, b bigint"))
-    ends = likely.select(F.explode(F.array("a", "b")).alias("set"))
+    ends = likely.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(classes, "set").select("set", "first_id")
     shared = docs.sparkSession.sparkContext.broadcast(_bloom(ends))
 
     def read(batches):
-        bits, done = shared.value, set()
+        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
         for batch in slices(batches, "text"):
-            found = []
-            for v in shingle_sets(batch["text"]):
-                if len(v) > 1 and (own := set_id(v)) not in done and _bits(np.array([own])).T[0].tolist() and all(bits[b >> 3] >> (b & 7) & 1 for b in _bits(np.array([own])).T[0].tolist()):
-                    done.add(own)
-                    found.append((own, v.tobytes()))
+            sets = list(shingle_sets(batch["text"]))
+            own = np.array([set_id(v) if len(v) > 1 else 0 for v in sets], np.int64)
+            asked = bits[_bits(own, batch["doc_id"].fill_null(NO_ID).to_numpy())].all(0)
+            found = [(int(own[i]), sets[i].tobytes()) for i in np.flatnonzero(asked) if len(sets[i]) > 1]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.binary()))], ["set", "items"])
 
-    # Copies in several partitions give the same set again.
-    sets = docs.select("text").mapInArrow(read, "set bigint, items binary").join(ends.distinct(), "set", "left_semi")
-    sets = cut(sets.groupBy("set").agg(F.first("items").alias("items")))
+    # Only the first document of a class gives its set.
+    sets = cut(docs.select("doc_id", "text").mapInArrow(read, "set bigint, items binary"))
 
     def compare(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch["items_a"].to_pylist(), batch["items_b"].to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= SIMILARITY * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (sets.select(F.col("set").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
-    return cut(likely.join(left, "a").join(right, "b").mapInArrow(compare, "a bigint, b bigint"))
-
-
-def _bits(ids: np.ndarray) -> np.ndarray:
-    h = mixed(ids.astype(np.int64).view(np.uint64))
+    def exact(some: DataFrame) -> DataFrame:
+        left, right = (sets.select(F.col("set").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
+        # A member's set goes to its leader's.
+        return cut(some.join(right, "b").select("a", "b", "items_b").join(left, "a").select("a", "b", "items_a", "items_b").mapInArrow(compare, "a bigint, b bigint"))
+
+    # Each member meets one leader first; then what is in one component needs no more comparison.
+    best = cut(likely.groupBy("b").agg(F.min_by("a", F.xxhash64("a")).alias("a")))
+    links = exact(best)
+    links = links if known is None else known.unionByName(links)
+    parts = cut(components(links))
+    rest = likely.join(best, ["a", "b"], "left_anti")
+    for x in "ab":
+        rest = rest.join(parts.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")), x, "left")
+    rest = cut(rest.where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b"))
+    if rest.isEmpty():
+        return links, parts
+    more = exact(rest)
+    return (links, parts) if more.isEmpty() else (both := links.unionByName(more), cut(components(both)))
+
+
+def _bits(sets: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    h = mixed(sets.view(np.uint64) ^ mixed(ids.astype(np.int64).view(np.uint64)))
     return np.stack([(h >> np.uint64(s)) % np.uint64(BLOOM) for s in (0, 13, 26, 38)]).astype(np.int64)
 
 
 def _bloom(ids: DataFrame) -> bytes:
-    """A filter of fixed size: what it lets through in error is only joined in vain."""
+    """A filter of fixed size over (set, first_id): what it lets through in error is only joined in vain."""
     def part(batches):
         bits = np.zeros(BLOOM, bool)
         for batch in batches:
-            bits[_bits(batch["set"].to_numpy()).ravel()] = True
+            bits[_bits(batch["set"].to_numpy(), batch["first_id"].fill_null(NO_ID).to_numpy()).ravel()] = True
         yield pa.RecordBatch.from_pydict({"bits": [zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)]})
 
     out = np.zeros(BLOOM // 8, np.uint8)
@@ -304,32 +337,54 @@ def remaining(found: DataFrame, parts: DataFrame, light: int) -> DataFrame:
     return cut(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
 
 
-def join_near(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
+def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, set, n) of all documents and (set, component, component_id) of all sets."""
     described = describe(docs)
-    counts = frequency(described)
+    rank = ranks(described)
     rows = described.where("part IS NULL")
     classes = cut(rows.where("set IS NOT NULL").groupBy("set", "n").agg(F.first("cells").alias("cells"), F.min("doc_id").alias("first_id")))
     # One row for each size that occurs, whatever the number of documents.
     sizes = [(r["n"], r["c"]) for r in classes.where("n > 1").groupBy("n").agg(F.count("*").alias("c")).collect()]
-    rare = np.sort(counts)[: max(1, int(np.searchsorted(np.cumsum(np.sort(counts)), counts.sum() / 4)))]
-    scan = max(0.0, float((rare.astype(float) ** 2).sum() / max(rare.sum(), 1)) - float(counts.mean()))
-    light = boundary(sizes, scan)
+    light = boundary(sizes, scan_length(rank))
     total = sum(c * ((n // 4 + 2) * (n // 4 + 1) // 2 if n <= light else n // 4 + 1) for n, c in sizes)
-    found = lists(entries(docs, ranks(counts), light, max(64, total // BUCKET)), light)
-    first = verify(cut(found.where("a IS NOT NULL").select("a", "b").distinct()), classes, docs)
-    parts = cut(components(first))
+    found = lists(entries(docs, rank, light, max(64, total // BUCKET)), light)
+    links, parts = verify(cut(found.where("a IS NOT NULL").select("a", "b").distinct()), classes, docs)
     rest = remaining(found, parts, light)
-    links = first
     if not rest.isEmpty():
-        links = first.unionByName(verify(rest, classes, docs))
-        parts = cut(components(links))
+        _, parts = verify(rest, classes, docs, links)
     known = classes.select("set", "first_id").join(parts.select(F.col("id").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     least = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    known = cut(known.join(least, "component").select("set", "component_id"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "set").join(known, "set", "left")
+    return rows.select("doc_id", "set", "n"), cut(known.join(least, "component").select("set", "component", "component_id"))
+
+
+def join_near(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    rows, known = groups(docs)
+    out = rows.withColumnRenamed("n", "n_shingles").join(known, "set", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that have the smallest doc_id of their component, and all that have no set.
+
+    Repeated rows of it are kept once. A row without doc_id stays only if its component has no id at
+    all, one for each such component, or if it has no set.
+    """
+    rows, known = groups(docs)
+    kept = rows.join(known, "set", "left").where("doc_id = component_id OR set IS NULL AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+
+    def add(batches):
+        for batch in slices(batches, "text"):
+            sets = pa.array([set_id(v) if len(v) else None for v in shingle_sets(batch["text"])], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["row"], sets], ["row", "set"])
+
+    unnamed = wrapped(docs.where("doc_id IS NULL"), "text")
+    unnamed = unnamed.mapInArrow(add, T.StructType([unnamed.schema["row"], T.StructField("set", T.LongType())])).join(known, "set", "left")
+    empty = unnamed.where("set IS NULL").select("row.*")
+    unnamed = unnamed.where("set IS NOT NULL AND component_id IS NULL").dropDuplicates(["component"]).select("row.*")
+    return named.unionByName(empty).unionByName(unnamed)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_near(table(spark, sf_dir, "documents"))
