@@ -73,7 +73,7 @@ def contexts(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
     last = []
     for k in range(1, 6):
         shifted = np.empty(n, np.uint32)
-        shifted[k:] = x[: n - k]
+        shifted[k:] = x[: max(n - k, 0)]
         shifted[:k] = END
         for j in range(k):  # nothing of the text before
             own = begin[:-1] + j
@@ -131,11 +131,11 @@ class Code:
         return self.steps.take(at), lengths
 
 
-def slots(context: np.ndarray, steps: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Twice the slot, and the bit."""
-    out = np.repeat(context.astype(np.int64) << 1, lengths)
+def slots(context: np.ndarray, steps: np.ndarray, lengths: np.ndarray, bits: int) -> np.ndarray:
+    """Places in a table of ``1 << bits``."""
+    out = np.repeat(context, lengths)
     out += steps
-    out &= (2 << BITS) - 1
+    out &= (1 << bits) - 1
     return out
 
 
@@ -147,8 +147,10 @@ def score_texts(body: np.ndarray, starts: np.ndarray, code: Code, tables: np.nda
     context = contexts(x, begin)
     steps, lengths = code.expand(x)
     bit = (steps & 1).astype(np.int8)
+    steps >>= 1
     first = np.concatenate([[0], np.cumsum(lengths)])
-    inputs = [tables[k].take(slots(context[k], steps, lengths) >> 1) for k in range(TABLES)]
+    inputs = [tables[k].take(slots(context[k].astype(np.int64), steps, lengths, BITS)) for k in range(TABLES)]
+    del steps, context
     # Lanes: runs of at most LANE bytes of one text.
     sizes = np.diff(begin)
     lanes = -(-sizes // LANE)
@@ -224,7 +226,8 @@ def count_bits(docs: DataFrame, code: Code) -> np.ndarray:
             context = contexts(x, begin)
             steps, lengths = shared.value.expand(x)
             for k in range(TABLES):
-                np.add.at(total[k], slots(context[k], steps, lengths), np.int32(1))
+                # Twice the slot, and the bit.
+                np.add.at(total[k], slots(context[k].astype(np.int64) << 1, steps, lengths, BITS + 1), np.int32(1))
         for k in range(TABLES):
             for p, counts in enumerate(total[k].reshape(PARTS, -1)):
                 if counts.any():
@@ -256,12 +259,16 @@ def gather(docs: DataFrame, shards: int) -> DataFrame:
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             body, starts = texts_of(batch["text"])
             _, _, h, row = runs(body, starts)
             trains = _trains(batch["doc_id"].to_pylist())
-            x, begin = stream(body, starts)
-            histogram = np.bincount(x[np.repeat(trains, np.diff(begin))], minlength=256).astype(np.int64)
+            histogram = np.zeros(256, np.int64)
+            for a, b, t in zip(starts[:-1], starts[1:], trains):
+                if t:
+                    histogram += np.bincount(body[a:b], minlength=256)
+            histogram = np.bincount(LOWER, histogram, 256).astype(np.int64)  # without case
+            histogram[END], histogram[BLANK] = trains.sum(), histogram[SPACE].sum()
             digests = b"".join(blake2b((t or "").encode(), digest_size=16).digest() for t in batch["text"].to_pylist())
             kinds, at = np.unique(h, return_inverse=True)
             train = np.bincount(at, trains[row], len(kinds)).astype(np.int64)
@@ -341,7 +348,7 @@ def base_sums(gathered: DataFrame) -> tuple[DataFrame, int, int]:
 def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits, bytes) of every document."""
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    gathered = gather(docs, shards or max(32, docs.rdd.getNumPartitions()))
+    gathered = gather(docs, shards or max(32, 4 * docs.rdd.getNumPartitions()))
     # A few hundred bytes for each slice of texts, added up before they come here.
     def add(batches):
         total = np.zeros(256, np.int64)
@@ -360,7 +367,7 @@ def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
 
     def run(batches):
         code, tables = shared.value
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
             found = score_texts(*texts_of(batch["text"]), code, tables)
             digests = [blake2b((t or "").encode(), digest_size=16).digest() for t in texts]
