@@ -21,7 +21,12 @@ def _assembled(xs: Sequence[str]) -> list:
 
 def tree_model(train: DataFrame, xs: Sequence[str], y: str, weight: str | None = None, *, rounds: int = 10,
                depth: int = 3, seed: int = 7):
-    """Median imputation and a boosted absolute-error tree ensemble, trained by all executors."""
+    """Median imputation and a boosted absolute-error tree ensemble, trained by all executors.
+
+    An input without any value in the training rows has no median and teaches nothing: it is left out.
+    """
+    held = train.agg(*[F.count(x).alias(x) for x in xs]).first()
+    xs = [x for x in xs if held[x]]
     tree = GBTRegressor(featuresCol="_features", labelCol=y, predictionCol="prediction", lossType="absolute",
                         maxIter=rounds, maxDepth=depth, stepSize=0.2, seed=seed)
     if weight:
@@ -40,7 +45,8 @@ def per_group(groups: Sequence, job: Callable, threads: int = 4) -> list:
 
 
 def importances(model, xs: Sequence[str], spark) -> DataFrame:
-    values = model.stages[-1].featureImportances.toArray()
+    used = dict(zip(model.stages[0].getInputCols(), model.stages[-1].featureImportances.toArray()))
+    values = [used.get(x, 0.0) for x in xs]
     return spark.createDataFrame([(x, float(v)) for x, v in zip(xs, values)], "feature string, importance double")
 
 

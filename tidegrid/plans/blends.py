@@ -103,24 +103,37 @@ def soft(spark, d):
     return joins.pairs(spark, d).join(h, [*KEYS, "origin"]).withColumn("gated", blend.soft_gate(F.col("control"), F.col("candidate"), F.col("probability")))
 
 
-MIX_SQL = """SELECT c.*, k.mean AS climate, r.ratio, c.now AS tree, c.day_before AS proxy FROM cells c
-JOIN (SELECT series_id, extract('isodow' FROM ts) AS dow, extract('hour' FROM ts) AS hr, avg(target_all) AS mean FROM panel WHERE ts <= TIMESTAMP '2024-01-18 23:00:00' GROUP BY 1, 2, 3) k
-  ON k.series_id = c.series_id AND k.dow = extract('isodow' FROM c.interval_start) AND k.hr = extract('hour' FROM c.interval_start)
+_PAST_SQL = "SELECT f.fold_id, p.series_id, extract('isodow' FROM p.ts) AS dow, extract('hour' FROM p.ts) AS hr, p.target_all FROM panel p JOIN folds f ON f.role = 'development' AND p.ts <= f.train_end"
+MIX_SQL = f"""SELECT c.*, coalesce(k.mean, k2.mean, k3.mean) AS climate, r.ratio, c.now AS tree, c.day_before AS proxy FROM cells c
+LEFT JOIN (SELECT fold_id, series_id, dow, hr, avg(target_all) AS mean FROM ({_PAST_SQL}) GROUP BY ALL) k
+  ON k.fold_id = c.fold_id AND k.series_id = c.series_id AND k.dow = extract('isodow' FROM c.interval_start) AND k.hr = extract('hour' FROM c.interval_start)
+LEFT JOIN (SELECT fold_id, series_id, hr, avg(target_all) AS mean FROM ({_PAST_SQL}) GROUP BY ALL) k2 ON k2.fold_id = c.fold_id AND k2.series_id = c.series_id AND k2.hr = extract('hour' FROM c.interval_start)
+LEFT JOIN (SELECT fold_id, series_id, avg(target_all) AS mean FROM ({_PAST_SQL}) GROUP BY ALL) k3 ON k3.fold_id = c.fold_id AND k3.series_id = c.series_id
 JOIN ratios r ON r.series_id = c.series_id AND r.ts = c.origin WHERE c.target = 'target_all'"""
 
 
 def mixture_cells(spark, d):
-    """Tree stand-in (last value), proxy (day before), climatology and the low-level ratio of the origin."""
-    past = base.panel(spark, d).filter(F.col("ts") <= F.lit(base.FOLDS[0].train_end).cast("timestamp_ntz"))
-    climate = past.groupBy(*KEYS, F.weekday("ts").alias("dow"), F.hour("ts").alias("hr")).agg(F.avg("target_all").alias("climate"))
+    """Tree stand-in (last value), proxy (day before), climatology and the low-level ratio of the origin.
+
+    The climatology is that of the fold's own training time: of the weekday and hour, else of the hour, else of all.
+    """
+    past = splits.explode_training(base.panel(spark, d).select(*KEYS, "ts", "target_all"), base.DEVELOPMENT, F.col("ts"))
+    slot = past.groupBy("fold_id", *KEYS, F.weekday("ts").alias("dow"), F.hour("ts").alias("hr")).agg(F.sum("target_all").alias("_s"), F.count("target_all").alias("_n"))
+    slot = cut(slot)
+    mean = F.sum("_s") / F.nullif(F.sum("_n"), F.lit(0))
+    by_slot = slot.select("fold_id", *KEYS, "dow", "hr", (F.col("_s") / F.nullif(F.col("_n"), F.lit(0))).alias("_slot"))
+    by_hour = slot.groupBy("fold_id", *KEYS, "hr").agg(mean.alias("_hour"))
+    overall = slot.groupBy("fold_id", *KEYS).agg(mean.alias("_all"))
     ratio = ev.ratios(spark, d).select(*KEYS, F.col("ts").alias("origin"), "ratio")
     c = base.cells(spark, d, ("target_all",)).withColumns({"dow": F.weekday("interval_start"), "hr": F.hour("interval_start")})
-    return c.join(climate, [*KEYS, "dow", "hr"]).join(ratio, [*KEYS, "origin"]).withColumnsRenamed({"now": "tree", "day_before": "proxy"})
+    c = c.join(by_slot, ["fold_id", *KEYS, "dow", "hr"], "left").join(by_hour, ["fold_id", *KEYS, "hr"], "left").join(overall, ["fold_id", *KEYS], "left")
+    c = c.withColumn("climate", F.coalesce("_slot", "_hour", "_all")).drop("_slot", "_hour", "_all")
+    return c.join(ratio, [*KEYS, "origin"]).withColumnsRenamed({"now": "tree", "day_before": "proxy"})
 
 
 @query("h7_gated_mixture", f"{CELL_SPEC}, mixed:d",
        sql("""SELECT *, CASE WHEN abs(ratio - 1.0) > 0.2 THEN m * least(greatest(ratio, 0.7), 1.3) ELSE m END AS mixed FROM (
-  SELECT *, CASE WHEN horizon_minutes // 240 <= 3 THEN 0.6 * tree + 0.3 * proxy + 0.1 * climate ELSE 0.3 * tree + 0.3 * proxy + 0.4 * climate END AS m FROM x)""", "cells", "ratios", x=MIX_SQL))
+  SELECT *, CASE WHEN horizon_minutes // 240 <= 3 THEN 0.6 * tree + 0.3 * proxy + 0.1 * climate ELSE 0.3 * tree + 0.3 * proxy + 0.4 * climate END AS m FROM x)""", "cells", "ratios", "folds", x=MIX_SQL))
 def mixture(spark, d):
     x = mixture_cells(spark, d)
     parts = {"tree": (F.col("tree"), 0.6, 0.3), "proxy": (F.col("proxy"), 0.3, 0.3), "climate": (F.col("climate"), 0.1, 0.4)}
@@ -173,7 +186,7 @@ def families(spark, d):
 
 
 @query("h15_swap_component", f"{CELL_SPEC}, swapped:d",
-       sql("SELECT *, greatest(0.0, tree + CASE WHEN horizon_minutes <= 480 THEN 0.2 ELSE 0.4 END * (climate - proxy)) AS swapped FROM x WHERE tree IS NOT NULL AND proxy IS NOT NULL", "cells", "ratios", x=MIX_SQL))
+       sql("SELECT *, greatest(0.0, tree + CASE WHEN horizon_minutes <= 480 THEN 0.2 ELSE 0.4 END * (climate - proxy)) AS swapped FROM x WHERE tree IS NOT NULL AND proxy IS NOT NULL", "cells", "ratios", "folds", x=MIX_SQL))
 def swap(spark, d):
     x = mixture_cells(spark, d).filter("tree IS NOT NULL AND proxy IS NOT NULL")
     w = blend.ladder_weight(F.col("horizon_minutes"), 480, 0.2, 0.4)

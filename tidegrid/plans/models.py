@@ -185,7 +185,7 @@ def direct_trees(spark, d):
     x = cells(spark, d)
     train, valid = cut(training(x), ["fold_id", "horizon_minutes"]), validation(x).filter("actual IS NOT NULL")
     xs = [c for c in XS if c != "horizon_minutes"]
-    groups = [(f.fold_id, h) for f in DEVELOPMENT[2:] for h in (HORIZONS[0], HORIZONS[-1])]
+    groups = [(f.fold_id, h) for f in DEVELOPMENT for h in HORIZONS]
 
     def job(group):
         pick = (F.col("fold_id") == group[0]) & (F.col("horizon_minutes") == group[1])
@@ -204,20 +204,31 @@ def direct_linear(spark, d):
 
 @query("m2_shared_horizon_trees", f"fold_id:s, period:s, {STRICT_SPEC}")
 def shared_trees(spark, d):
-    """One ensemble over all horizons of a fold, weighted by the inverse target."""
-    x = cells(spark, d)
-    fold = DEVELOPMENT[2]
-    train = training(x, [fold]).withColumn("w", blend.inverse_target_weight(F.col("actual"), 25.0))
-    model = trees.tree_model(cut(train), XS, "actual", "w", rounds=8)
-    scored = trees.score(model, validation(x, [fold]).filter("actual IS NOT NULL"), ["fold_id", "horizon_minutes", "actual"])
-    scored = scored.withColumn("period", F.when(F.col("horizon_minutes") <= base.SHORT_LIMIT, "short").otherwise("long"))
-    return scored.groupBy("fold_id", "period").agg(*metrics.strict_errors())
+    """One ensemble over the horizons of each fold and period, weighted by the inverse target."""
+    period = F.when(F.col("horizon_minutes") <= base.SHORT_LIMIT, "short").otherwise("long")
+    x = cells(spark, d).withColumn("period", period)
+    train = cut(training(x).withColumn("w", blend.inverse_target_weight(F.col("actual"), 25.0)), ["fold_id", "period"])
+    valid = validation(x).filter("actual IS NOT NULL")
+
+    def job(group):
+        pick = (F.col("fold_id") == group[0]) & (F.col("period") == group[1])
+        model = trees.tree_model(train.filter(pick), XS, "actual", "w", rounds=8)
+        return trees.score(model, valid.filter(pick), ["fold_id", "period", "actual"])
 
+    groups = [(f.fold_id, p) for f in DEVELOPMENT for p in ("short", "long")]
+    return union_forecasts(trees.per_group(groups, job)).groupBy("fold_id", "period").agg(*metrics.strict_errors())
 
-@query("m13_feature_importance", "feature:s, importance:d")
+
+@query("m13_feature_importance", "fold_id:s, feature:s, importance:d")
 def importance(spark, d):
-    train = training(cells(spark, d), [DEVELOPMENT[0]])
-    return trees.importances(trees.tree_model(cut(train), XS, "actual", rounds=5), XS, spark)
+    """Of each fold's own ensemble."""
+    train = cut(training(cells(spark, d)), ["fold_id"])
+
+    def job(fold):
+        model = trees.tree_model(train.filter(F.col("fold_id") == fold), XS, "actual", rounds=5)
+        return trees.importances(model, XS, spark).select(F.lit(fold).alias("fold_id"), "feature", "importance")
+
+    return union_forecasts(trees.per_group([f.fold_id for f in DEVELOPMENT], job))
 
 
 def hazard_rows(spark, d):
