@@ -15,4 +15,27 @@ from tidegrid.llm.op9_quality import op9_quality
 from tidegrid.llm.op10_token_files import op10_token_files
 
 QUERIES = {f.__name__: f for f in (op1_context_mixing, op2_near_vectors, op3_collision_search, op4_pack_sequences, op5_bpe_round_trip, op6_warc_round_trip, op7_jaccard_join, op8_toxicity, op9_quality, op10_token_files)} | {"pipeline": corpus_pipeline.run}
-ORACLE_SQL: dict[str, str] = {}
+_REACH = """reach AS (SELECT a AS id, b AS far FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.far)"""
+
+ORACLE_SQL: dict[str, str] = {
+    # All pairs, which only small tables allow.
+    "op2_near_vectors": f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+{_REACH}
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(c.low, e.vec_id)) AS component_id, e.vec_id <= coalesce(c.low, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id LEFT JOIN (SELECT id, min(far) AS low FROM reach GROUP BY id) c ON c.id = e.vec_id""",
+    "op6_warc_round_trip": """WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY hex, payload_bytes) AS own, CAST(CAST(unhex(hex) AS BIT) AS VARCHAR) AS bits FROM d)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 160, 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda k: CASE WHEN substr(bits, CAST(i + k + 1 AS BIGINT), 1) = '1' THEN 1 << CAST(4 - k AS INTEGER) ELSE 0 END))::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = own THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> own THEN own END AS refers_to FROM m""",
+    "op7_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+half AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+{_REACH}
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.low, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT id, min(far) AS low FROM reach GROUP BY id) c ON c.id = d.doc_id""",
+}
