@@ -152,10 +152,10 @@ def boundary(sizes: list[tuple[int, int]], scan: float) -> int:
 
 def entries(docs: DataFrame, rank: np.ndarray, light: int, buckets: int) -> DataFrame:
     """(bucket, single, entries): keys of every set, in packed arrays."""
-    shared = docs.sparkSession.sparkContext.broadcast(rank)
+    shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(rank.tobytes(), 1))
 
     def run(batches):
-        order, done = shared.value, set()
+        order, done = np.frombuffer(zlib.decompress(shared.value), np.uint8), set()
         for batch in slices(batches, "text", 16 << 20):
             keys, sets, sizes, ones = [], [], [], []
             for v in shingle_sets(batch["text"]):
@@ -249,10 +249,10 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, known: DataFra
 
     likely = cut(pairs.join(left, "a").join(right, "b").mapInArrow(bound, "a bigint, b bigint"))
     ends = likely.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(classes, "set").select("set", "first_id")
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(ends))
+    shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(_bloom(ends), 1))
 
     def read(batches):
-        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
+        bits = np.unpackbits(np.frombuffer(zlib.decompress(shared.value), np.uint8), bitorder="little").view(bool)
         for batch in slices(batches, "text"):
             sets = list(shingle_sets(batch["text"]))
             own = np.array([set_id(v) if len(v) > 1 else 0 for v in sets], np.int64)
