@@ -51,6 +51,25 @@ def test_op2_equals_brute_force_on_clusters(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize("mean", [0.8, 0.9])
+def test_op2_dense_cluster_of_a_third_of_all_rows(spark, mean):
+    random = np.random.default_rng(7)
+    normed = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    noise = normed(random.normal(size=(2000, 64)))
+    dense = np.sqrt(mean) * normed(random.normal(size=(1, 64))) + np.sqrt(1 - mean) * noise
+    u = normed(np.vstack([random.normal(size=(4000, 64)), dense]))
+    u = normed(np.vstack([u, u[3500:4500] + normed(random.normal(size=(1000, 64))) * 0.285]))
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: r for r in op2_near_vectors.near_vectors(df).collect()}
+    crowd = np.r_[4000:6000, 6500:7000]
+    want = smallest(len(u), np.argwhere(near).tolist())
+    assert near[crowd].sum() >= 900
+    assert np.mean([got[i].n_links == near[i].sum() and got[i].component_id == want[i] for i in crowd]) >= 0.999
+    assert np.mean([got[i].n_links == near[i].sum() for i in range(len(u))]) >= 0.995
+
+
 def test_op2_odd_rows(spark, odd_vectors):
     rows = sorted((r.vec_id or -1, r.n_links, r.component_id) for r in op2_near_vectors.near_vectors(odd_vectors).collect())
     assert rows == sorted([(-1, 0, None), *((i, 0, i) for i in (1, 2, 3, 4, 5, 6, 10, 40, 60)), (7, 4, 7), (8, 4, 7), (9, 4, 7), (9, 4, 7), (20, 4, 7)])

@@ -3,9 +3,15 @@
 Equal vectors form a class first. In each pass every class is given the signs of ``BITS`` random projections
 of its own pass; classes are ordered by them lexicographically and each is compared with the next
 ``WINDOW`` in that order, by cosine in double precision. Verified pairs of all passes are united into
-components. The number of passes follows from the number of classes and the angle, for a chance of missing
+components. The first passes follow from the number of classes and the angle, for a chance of missing
 a pair at the threshold itself of ``MISS``; closer pairs are missed far less often.
 
+How crowded a row lies is measured in each pass: a pair that agrees on more bits than the row shares with
+the one ``WINDOW`` places off has been compared, and the chance to agree on a bit depends on the angle alone,
+however the vectors lie. Rows whose chances over all passes leave more than ``MISS`` are crowded. They get
+further passes of their own while that is cheaper, and at last are all compared with one another, exactly,
+in groups of two blocks of bounded size.
+
 Windows are bounded, so a group of more near copies than a window would lose links. The links inside a
 component are therefore counted exactly: members within half the angle of the component's mean direction
 are all linked to one another and need no comparison; the others are compared with every member, in
@@ -34,6 +40,7 @@ from tidegrid.session import cut
 COSINE = 0.95
 BITS, WINDOW, MISS = 62, 64, 0.005
 ROWS, BLOCK = 16_384, 2_048
+PASS = 1_500  # comparisons in blocks that cost as much as a row's share of a pass
 
 
 def passes(classes: int, cosine: float = COSINE, window: int = WINDOW, miss: float = MISS) -> int:
@@ -43,6 +50,22 @@ def passes(classes: int, cosine: float = COSINE, window: int = WINDOW, miss: flo
     return max(2, math.ceil(math.log(miss) / math.log(1 - found)))
 
 
+def chances(keys: np.ndarray, run: np.ndarray, window: int, bits: int, cosine: float) -> np.ndarray:
+    """-log of the chance that a pair at the threshold is not compared, for each row of a part of the sorted order.
+
+    Beyond the part's ends nothing is known: the last row there stands for those after it, which share no more.
+    """
+    n = len(keys)
+    agree, at = 1 - math.acos(cosine) / math.pi, np.arange(n)
+    found = np.zeros(n)
+    for other in (np.minimum(at + window, n - 1), np.maximum(at - window, 0)):
+        apart = keys ^ keys[other]
+        high = apart >> 31
+        common = bits - np.where(high > 0, np.frexp(high.astype(float))[1] + 31, np.frexp((apart & ((1 << 31) - 1)).astype(float))[1])
+        found += np.where(run == run[other], np.where(common < bits, agree ** (common + 1.0), 0), 1) / 2
+    return -np.log1p(-np.minimum(found, 1 - 1e-9))
+
+
 def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The smallest position joined to each position."""
     label = np.arange(n)
@@ -87,18 +110,18 @@ def _compare(ids, packed, group, window, cosine):
     return out
 
 
-EDGE = "a bigint, b bigint, border int, side int, place int, pass int, vector binary"
+EDGE = "a bigint, b bigint, border int, side int, place int, pass int, vector binary, gain double"
 
 
 def _edge_batch(edges, borders=()):
-    rows = [(a, b, None, None, None, None, None) for a, b in edges] + [(i, None, *rest) for i, *rest in borders]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    columns = list(zip(*rows)) or [[]] * 7
+    rows = [(a, b, None, None, None, None, None, None) for a, b in edges] + [(i, None, *rest, None) for i, *rest in borders]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.float64()]
+    columns = list(zip(*rows)) or [[]] * 8
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in EDGE.split(", ")])
 
 
-def near_edges(classes: DataFrame, n_passes: int, n: int, cosine: float, window: int, bits: int) -> DataFrame:
-    """Edges (a, b) between classes (id, vector) that a window of some pass has verified."""
+def near_edges(classes: DataFrame, n_passes: int, n: int, cosine: float, window: int, bits: int, first_pass: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) between classes (id, vector) that a window of some pass has verified, and each class's ``chances`` (id, gain) over all passes."""
     weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
 
     def hashed(batches):
@@ -106,20 +129,25 @@ def near_edges(classes: DataFrame, n_passes: int, n: int, cosine: float, window:
             ids, packed = batch["id"].to_numpy(), batch["vector"].to_pylist()
             for a, b in _runs(np.array([len(p) for p in packed])):
                 x = np.frombuffer(b"".join(packed[a:b])).reshape(b - a, -1)
-                for p in range(n_passes):
+                for p in range(first_pass, first_pass + n_passes):
                     keys = (x @ planes(x.shape[1], bits, p) > 0) @ weights
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, p, np.int32)), pa.array(np.full(b - a, x.shape[1], np.int32)), pa.array(keys), pa.array(ids[a:b]), batch["vector"].slice(a, b - a)],
                                                      ["pass", "dim", "key", "id", "vector"])
 
     def windows(batches):
-        part, first, rows, total = TaskContext.get().partitionId(), [], [], 0
+        part, first, rows, known = TaskContext.get().partitionId(), [], [], []
         for batch in batches:
+            known.append([batch[c].to_numpy().astype(np.int64) for c in ("id", "key", "pass", "dim")])
             fresh = list(zip(batch["id"].to_pylist(), batch["vector"].to_pylist(), batch["pass"].to_pylist()))
             first += fresh[: window - len(first)]
             rows += fresh
-            total += len(fresh)
             yield _edge_batch(_compare([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], window, cosine))
             rows = rows[-window:]
+        if known:
+            ids, keys, run, dim = (np.concatenate(c) for c in zip(*known))
+            gain = chances(keys, run << 32 | dim, window, bits, cosine)
+            none = lambda t: pa.nulls(len(ids), t)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), none(pa.int64()), *[none(pa.int32())] * 4, none(pa.binary()), pa.array(gain)], [c.split()[0] for c in EDGE.split(", ")])
         # What the neighbouring partitions need of this one.
         yield _edge_batch((), [(i, part, 0, k, p, v) for k, (i, v, p) in enumerate(rows)] + [(i, part - 1, 1, k, p, v) for k, (i, v, p) in enumerate(first) if part])
 
@@ -132,8 +160,47 @@ def near_edges(classes: DataFrame, n_passes: int, n: int, cosine: float, window:
     rows = classes.mapInArrow(hashed, "pass int, dim int, key bigint, id bigint, vector binary")
     rows = rows.repartitionByRange(max(1, n * n_passes // ROWS), *order).sortWithinPartitions(*order)
     found = cut(rows.mapInArrow(windows, EDGE))
-    inner = found.where("border IS NULL").select("a", "b")
-    return inner.unionByName(found.where("border IS NOT NULL").groupBy("border").applyInArrow(borders, "a bigint, b bigint"))
+    inner = found.where("b IS NOT NULL").select("a", "b")
+    edges = inner.unionByName(found.where("border IS NOT NULL").groupBy("border").applyInArrow(borders, "a bigint, b bigint"))
+    return edges, found.where("gain IS NOT NULL").groupBy(F.col("a").alias("id")).agg(F.sum("gain").alias("gain"))
+
+
+def block_edges(classes: DataFrame, n: int, cosine: float, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that join all linked pairs of ``classes`` (id, vector), compared each with each in blocks."""
+    k = max(1, -(-n // min(block, max(256, n // 16))))
+    copies = classes.select("id", "vector", F.length("vector").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(k)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("other"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, own, i, j = (group[c].to_numpy() for c in ("id", "own", "i", "j"))
+        x = np.frombuffer(b"".join(group["vector"].to_pylist())).reshape(len(ids), -1)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        a, b = np.nonzero(x[left] @ x[right].T >= cosine)
+        label = _forest(len(ids), left[a], right[b])
+        joined = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"a": ids[joined], "b": ids[label[joined]]})
+
+    pairs = copies.select("id", "vector", "dim", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return pairs.groupBy("dim", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
+def all_edges(classes: DataFrame, n: int, cosine: float, window: int, miss: float, bits: int) -> DataFrame:
+    """Edges of passes over all ``classes`` (id, vector), and of the crowded ones' own passes and blocks."""
+    enough, done, run = -math.log(miss), 0, passes(n, cosine, window, miss)
+    edges, gains = near_edges(classes, run, n, cosine, window, bits)
+    while True:
+        done += run
+        gains = cut(gains)
+        left = classes.join(gains.where(F.col("gain") < enough), "id")
+        more = F.ceil((enough - F.col("gain")) / F.greatest(F.col("gain"), F.lit(1e-9)) * done)
+        few = left.agg(F.count("*").alias("n"), F.percentile_approx(more, 0.9).alias("more")).first()
+        if not few["n"]:
+            return edges
+        if few["more"] * PASS >= few["n"] / 2:
+            return edges.unionByName(block_edges(left.select("id", "vector"), few["n"], cosine))
+        run = few["more"]
+        fresh, gained = near_edges(left.select("id", "vector"), run, few["n"], cosine, window, bits, done)
+        edges = edges.unionByName(fresh)
+        gains = gains.where(F.col("gain") < enough).unionByName(gained).groupBy("id").agg(F.sum("gain").alias("gain"))
 
 
 def _means(members: DataFrame) -> DataFrame:
@@ -201,7 +268,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, window: int = WI
     rows = cut(embeddings.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(read, "vec_id bigint, class binary, vector binary"))
     classes = cut(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("vector").alias("vector")))
     n = classes.count()
-    whole = components(near_edges(classes.select("id", "vector"), passes(n, cosine, window, miss), n, cosine, window, bits))
+    whole = components(all_edges(classes.select("id", "vector"), n, cosine, window, miss, bits))
     whole = cut(whole)
     members = cut(classes.join(whole, "id").select("component", "id", "vector", "n"))
     weights = linked_weight(members, cosine)
