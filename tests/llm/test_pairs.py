@@ -70,6 +70,15 @@ def test_op2_dense_cluster_of_a_third_of_all_rows(spark, mean):
     assert np.mean([got[i].n_links == near[i].sum() for i in range(len(u))]) >= 0.995
 
 
+def test_op2_window_bridges_short_partitions(spark, monkeypatch):
+    monkeypatch.setattr(op2_near_vectors, "ROWS", 6)
+    u = np.random.default_rng(9).normal(size=(60, 3))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(u)], "id bigint, vector binary")
+    edges = op2_near_vectors.near_edges(df, 1, 60, 0.95, 64, 62)[0].collect()
+    assert smallest(60, [(e.a, e.b) for e in edges]) == smallest(60, np.argwhere(u @ u.T >= 0.95).tolist())
+
+
 def test_op2_odd_rows(spark, odd_vectors):
     rows = sorted((r.vec_id or -1, r.n_links, r.component_id) for r in op2_near_vectors.near_vectors(odd_vectors).collect())
     assert rows == sorted([(-1, 0, None), *((i, 0, i) for i in (1, 2, 3, 4, 5, 6, 10, 40, 60)), (7, 4, 7), (8, 4, 7), (9, 4, 7), (9, 4, 7), (20, 4, 7)])

@@ -110,7 +110,7 @@ def _compare(ids, packed, group, window, cosine):
     return out
 
 
-EDGE = "a bigint, b bigint, border int, side int, place int, pass int, vector binary, gain double"
+EDGE = "a bigint, b bigint, part int, total int, place int, pass int, vector binary, gain double"
 
 
 def _edge_batch(edges, borders=()):
@@ -135,12 +135,13 @@ def near_edges(classes: DataFrame, n_passes: int, n: int, cosine: float, window:
                                                      ["pass", "dim", "key", "id", "vector"])
 
     def windows(batches):
-        part, first, rows, known = TaskContext.get().partitionId(), [], [], []
+        part, first, rows, known, total = TaskContext.get().partitionId(), [], [], [], 0
         for batch in batches:
             known.append([batch[c].to_numpy().astype(np.int64) for c in ("id", "key", "pass", "dim")])
             fresh = list(zip(batch["id"].to_pylist(), batch["vector"].to_pylist(), batch["pass"].to_pylist()))
             first += fresh[: window - len(first)]
             rows += fresh
+            total += len(fresh)
             yield _edge_batch(_compare([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], window, cosine))
             rows = rows[-window:]
         if known:
@@ -148,12 +149,13 @@ def near_edges(classes: DataFrame, n_passes: int, n: int, cosine: float, window:
             gain = chances(keys, run << 32 | dim, window, bits, cosine)
             none = lambda t: pa.nulls(len(ids), t)
             yield pa.RecordBatch.from_arrays([pa.array(ids), none(pa.int64()), *[none(pa.int32())] * 4, none(pa.binary()), pa.array(gain)], [c.split()[0] for c in EDGE.split(", ")])
-        # What the neighbouring partitions need of this one.
-        yield _edge_batch((), [(i, part, 0, k, p, v) for k, (i, v, p) in enumerate(rows)] + [(i, part - 1, 1, k, p, v) for k, (i, v, p) in enumerate(first) if part])
+        # What other partitions need of this one.
+        last = list(enumerate(rows, total - len(rows)))[max(0, len(first) + len(rows) - total) :]
+        yield _edge_batch((), [(i, part, total, k, p, v) for k, (i, v, p) in [*enumerate(first), *last]])
 
     def borders(batch: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(batch[c].to_pylist() for c in ("side", "place", "a", "vector", "pass"))))
-        found = _compare([r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], window, cosine)
+        rows = sorted(zip(*(batch[c].to_pylist() for c in ("position", "a", "vector", "pass"))))
+        found = _compare([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], window, cosine)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     order = ["pass", "dim", "key", "id"]
@@ -161,7 +163,23 @@ def near_edges(classes: DataFrame, n_passes: int, n: int, cosine: float, window:
     rows = rows.repartitionByRange(max(1, n * n_passes // ROWS), *order).sortWithinPartitions(*order)
     found = cut(rows.mapInArrow(windows, EDGE))
     inner = found.where("b IS NOT NULL").select("a", "b")
-    edges = inner.unionByName(found.where("border IS NOT NULL").groupBy("border").applyInArrow(borders, "a bigint, b bigint"))
+    ends = found.where("part IS NOT NULL")
+    # One row for each partition that isn't empty: where it begins in the whole order.
+    sizes = sorted(map(tuple, ends.groupBy("part").agg(F.max("total")).collect()))
+    begin = np.concatenate([[0], np.cumsum([size for _, size in sizes])]).astype(np.int64)
+    offset, starts = {part: int(at) for (part, _), at in zip(sizes, begin)}, begin[1:-1]
+
+    def placed(batches):
+        # A row meets all rows across each beginning that lies within a window of it, however short the partitions between.
+        for batch in batches:
+            position = np.array([offset[p] + k for p, k in zip(batch["part"].to_pylist(), batch["place"].to_pylist())], np.int64)
+            low, high = np.searchsorted(starts, position - window, "right"), np.searchsorted(starts, position + window, "right")
+            at = np.repeat(np.arange(len(position)), high - low)
+            border = np.arange(len(at)) - np.repeat(np.cumsum(high - low) - high, high - low)
+            yield pa.RecordBatch.from_arrays([pa.array(border), pa.array(position[at]), *(batch[c].take(pa.array(at)) for c in ("a", "vector", "pass"))], ["border", "position", "a", "vector", "pass"])
+
+    across = ends.mapInArrow(placed, "border bigint, position bigint, a bigint, vector binary, pass int")
+    edges = inner.unionByName(across.groupBy("border").applyInArrow(borders, "a bigint, b bigint"))
     return edges, found.where("gain IS NOT NULL").groupBy(F.col("a").alias("id")).agg(F.sum("gain").alias("gain"))
 
 
