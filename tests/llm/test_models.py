@@ -62,6 +62,29 @@ def test_op1_gives_probabilities():
     assert 0 < total < 1 and len(x) == 2
 
 
+def test_op1_contexts_never_share_counts(spark):
+    """As many contexts as the tables had slots: each keeps the counts of its own."""
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    x = np.concatenate([letters[np.random.default_rng(1).integers(0, 26, 3_000_000)], [mixing.END]]).astype(np.uint8)
+    own = mixing.contexts(x, np.array([0, len(x)]))[1][5:]
+    before = np.lib.stride_tricks.sliding_window_view(x, 5)[: len(own)].astype(np.int64) @ (256 ** np.arange(5))
+    assert len(np.unique(own)) == len(np.unique(before))
+
+
+def test_op1_odds_by_hand():
+    code = mixing.Code(np.bincount(np.frombuffer(b"abcabcab", np.uint8), minlength=256))
+    pairs = np.array([7 << 8 | 97, 7 << 8 | 98, 9 << 8 | 97], np.uint64)
+    found, first = mixing.odds(pairs, np.array([3, 5, 2]), code)
+    steps, lengths = code.expand(np.array([97, 98, 97], np.uint8))
+    node = list(zip(np.repeat([7, 7, 9], lengths), (steps >> 1).tolist()))
+    n = np.repeat([3, 5, 2], lengths)
+    ones, zeros = Counter(), Counter()
+    for key, step, c in zip(node, steps, n):
+        (ones if step & 1 else zeros)[key] += int(c)
+    assert found.tolist() == [max(-127, min(127, round(mixing.STEP * math.log((ones[k] + mixing.PRIOR) / (zeros[k] + mixing.PRIOR))))) for k in node]
+    assert first.tolist() == [0, *np.cumsum(lengths).tolist()]
+
+
 def test_op1_learns(spark, sf):
     found = mixing.score(table(spark, sf, "documents").where("doc_id IS NOT NULL"))
     row = found.groupBy("held_out").agg(F.sum("bits").alias("bits"), F.sum("base_score").alias("base"), F.sum("score").alias("score")).collect()

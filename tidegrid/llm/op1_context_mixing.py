@@ -1,19 +1,19 @@
-"""Language-model scores by online logistic mixing of hashed-context bit predictors.
+"""Language-model scores by online logistic mixing of context bit predictors.
 
 A text is its words without case, one space between words and an end sign. Every byte is coded by a Huffman
 code of the training text, and every bit of the code is predicted: three predictors look up how often the bit
-was 1 after the last 3 and 5 bytes and after the beginning of the word, in tables of hashed contexts of
-fixed size. Their log-odds are summed with weights; the weights, a set for each degree of confidence of two
-predictors (the gate), are corrected after each bit along the text. The score is the sum over all bits of
-log10 of the chance given to the bit that came.
+was 1 after the last 3 and 5 bytes and after the beginning of the word. Their log-odds are summed with
+weights; the weights, a set for each degree of confidence of two predictors (the gate), are corrected after
+each bit along the text. The score is the sum over all bits of log10 of the chance given to the bit that came.
 
-The tables are counted over all training texts: every task counts its own, and slices of the tables are added
-up across tasks. Scoring reads all texts in place against the finished tables (a byte for each slot). Weights
-start anew every ``LANE`` bytes of a text, so that long texts advance in parallel; contexts go on.
+Counts are rows that grow with the training text, one for each context and byte that follows it. Contexts of
+3 and 5 bytes are kept in full, words as hashes of 55 bits, so contexts never add up in one place. Every slice
+of texts sends its distinct rows to shards by hash, which add them up over all slices and reply to each slice
+the log-odds of its own rows; a slice's texts are scored where its replies meet them. Weights start anew every
+``LANE`` bytes of a text, so that long texts advance in parallel; contexts go on.
 
-The base is the add-half unigram score. Tokens and their texts are dealt by hash to shards, which count them
-over the training texts and hand back each text's sum; a token that is frequent in a slice of texts is sent
-as one count, and its texts wait for the reply, so no shard holds the occurrences of a hot word.
+The base is the add-half unigram score. Tokens are counted by the same shards: a slice sends each of its
+distinct tokens once, with a count, so no shard holds the occurrences of a hot word.
 
 Null and empty texts are the end sign alone. A null doc_id trains. Repeated rows count each. Extra columns
 are ignored. An empty table gives no rows; without training texts every chance is a half.
@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +32,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidegrid.llm.common import BASE, LOWER, SPACE, _inverse, _powers, fold_of, mixed, runs, slices, table, texts_of
 from tidegrid.session import cut
 
-BITS, PARTS = 22, 16
-TABLES = 3
+BITS = 22  # of a table given to score_texts
+TABLES, TOKENS = 3, 3
+SLICE, PIECE = 16 << 20, 1 << 20
 LANE = 1024
 GATES, RATE, START, PRIOR = 4, 0.02, 0.4, 0.1
 STEP = 12.0  # steps of a table's log-odds
-FREQUENT = 256
 END, BLANK = 10, 32
-SALTS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
 # Texts as bytes, contexts and bits.
@@ -68,7 +66,7 @@ def stream(body: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def contexts(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """A hashed slot for each table and byte, of what stands before the byte in its text."""
+    """What stands before each byte in its text, for each table: 3 bytes, 5 bytes, 55 bits of the word so far."""
     n = len(x)
     last = []
     for k in range(1, 6):
@@ -80,20 +78,14 @@ def contexts(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
             shifted[own[own < begin[1:]]] = END
         last.append(shifted)
     o3 = last[0] | last[1] << np.uint32(8) | last[2] << np.uint32(16)
-    o5 = (o3 | last[3] << np.uint32(24)) * np.uint32(0x2C1B3C6D) ^ last[4] * np.uint32(0x297A2D39)
+    o5 = (o3 | last[3] << np.uint32(24)).astype(np.uint64) | last[4].astype(np.uint64) << np.uint64(32)
     # The word so far begins after the last blank: a difference of running sums of its bytes, brought to one scale.
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((x.astype(np.uint64) + np.uint64(1)) * _powers(n + 1)[n:0:-1], out=sums[1:])
     starts = np.flatnonzero((last[0] == BLANK) | (last[0] == END))
     lengths = np.diff(np.concatenate([starts, [n]]))
     word = (sums[:-1] - np.repeat(sums[starts], lengths)) * np.repeat(_powers(n + 1)[starts] * _inverse(n), lengths)
-    word ^= word >> np.uint64(29)
-    word = ((word * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
-    out = np.stack([o3, o5, word])
-    out *= np.uint32(0x9E3779B1)
-    out ^= out >> np.uint32(15)
-    out *= SALTS[:TABLES, None]
-    return out >> np.uint32(32 - BITS)
+    return np.stack([o3.astype(np.uint64), o5, mixed(word) >> np.uint64(9)])
 
 
 class Code:
@@ -142,15 +134,17 @@ def slots(context: np.ndarray, steps: np.ndarray, lengths: np.ndarray, bits: int
 # Scores against the finished tables.
 
 def score_texts(body: np.ndarray, starts: np.ndarray, code: Code, tables: np.ndarray) -> np.ndarray:
-    """log10 of the chance of each text."""
+    """log10 of the chance of each text by tables of ``1 << BITS`` log-odds."""
     x, begin = stream(body, starts)
-    context = contexts(x, begin)
+    context = contexts(x, begin) & np.uint64((1 << BITS) - 1)
     steps, lengths = code.expand(x)
+    return mix_texts([tables[k].take(slots(context[k].astype(np.int64), steps >> 1, lengths, BITS)) for k in range(TABLES)], begin, steps, lengths)
+
+
+def mix_texts(inputs: list[np.ndarray], begin: np.ndarray, steps: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """log10 of the chance of each text from the predictors' log-odds of all its bits."""
     bit = (steps & 1).astype(np.int8)
-    steps >>= 1
     first = np.concatenate([[0], np.cumsum(lengths)])
-    inputs = [tables[k].take(slots(context[k].astype(np.int64), steps, lengths, BITS)) for k in range(TABLES)]
-    del steps, context
     # Lanes: runs of at most LANE bytes of one text.
     sizes = np.diff(begin)
     lanes = -(-sizes // LANE)
@@ -211,138 +205,193 @@ def _trains(ids: list[int | None]) -> np.ndarray:
     return np.array([fold_of(i) != 1 for i in ids], bool)
 
 
-def count_bits(docs: DataFrame, code: Code) -> np.ndarray:
-    """The tables: log-odds of each slot, in steps, from counts over all training texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(code)
-    width = (1 << BITS) // PARTS
-
-    def part(batches):
-        total = np.zeros((TABLES, 2 << BITS), np.int32)
-        for batch in slices(batches, "text", 1 << 20):
-            batch = batch.filter(pa.array(_trains(batch["doc_id"].to_pylist())))
-            if not batch.num_rows:
-                continue
-            x, begin = stream(*texts_of(batch["text"]))
-            context = contexts(x, begin)
-            steps, lengths = shared.value.expand(x)
-            for k in range(TABLES):
-                # Twice the slot, and the bit.
-                np.add.at(total[k], slots(context[k].astype(np.int64) << 1, steps, lengths, BITS + 1), np.int32(1))
-        for k in range(TABLES):
-            for p, counts in enumerate(total[k].reshape(PARTS, -1)):
-                if counts.any():
-                    yield pa.RecordBatch.from_pydict({"table": pa.array([k], pa.int32()), "part": pa.array([p], pa.int32()), "counts": [zlib.compress(counts.tobytes(), 1)]})
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(2 * width, np.int64)
-        for c in group["counts"]:
-            total += np.frombuffer(zlib.decompress(c.as_py()), np.int32)
-        zeros, ones = total.reshape(-1, 2).T
-        steps = np.clip(np.round(STEP * np.log((ones + PRIOR) / (zeros + PRIOR))), -127, 127).astype(np.int8)
-        return pa.table({"table": group["table"][:1], "part": group["part"][:1], "steps": [zlib.compress(steps.tobytes(), 1)]})
-
-    counted = docs.select("doc_id", "text").mapInArrow(part, "table int, part int, counts binary")
-    out = np.zeros((TABLES, PARTS, width), np.int8)
-    # TABLES * PARTS rows, 12 MB in all, at any size of input.
-    for row in counted.groupBy("table", "part").applyInArrow(add, "table int, part int, steps binary").collect():
-        out[row["table"], row["part"]] = np.frombuffer(zlib.decompress(row["steps"]), np.int8)
-    return out.reshape(TABLES, -1)
-
-
-GATHERED = "slice bigint, shard int, bytes binary, digests binary, n_words binary, kinds binary, train binary, uses binary, rows binary"
+def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and their counts added up."""
+    keys, counts = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), np.uint64), dtype=np.uint64)
+
+
+class Index:
+    """Places of distinct keys, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.mask = np.uint64((1 << max(4, int(4 * len(keys)).bit_length())) - 1)
+        self.at = np.full(int(self.mask) + 1, -1, np.int32)
+        left, slot = np.arange(len(keys), dtype=np.int32), (mixed(keys) & self.mask).astype(np.int64)
+        while len(left):
+            free = self.at[slot] < 0
+            self.at[slot[free]] = left[free]
+            lost = self.at[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) & int(self.mask)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Every key must be there."""
+        slot = (mixed(keys) & self.mask).astype(np.int64)
+        out = self.at[slot]
+        wrong = np.flatnonzero(self.keys[out] != keys)
+        while len(wrong):
+            slot[wrong] = (slot[wrong] + 1) & int(self.mask)
+            out[wrong] = self.at[slot[wrong]]
+            wrong = wrong[self.keys[out[wrong]] != keys[wrong]]
+        return out
+
+
+def _pieces(starts: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of whole texts of about ``PIECE`` bytes."""
+    out, a = [], 0
+    while a < len(starts) - 1:
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + PIECE, "right")) - 1)
+        out.append((a, b))
+        a = b
+    return out
+
+
+GATHERED = "slice bigint, shard int, kind int, keys binary, counts binary, bytes binary, body binary, starts binary, ids array<bigint>"
 
 
 def gather(docs: DataFrame, shards: int) -> DataFrame:
-    """Per slice of texts: byte counts and digests, frequent tokens with their texts (no shard), other tokens by shard."""
+    """Per slice of texts: the texts and their byte counts (no shard), and by shard the distinct rows of each table and the tokens, with training counts."""
     names = [c.split()[0] for c in GATHERED.split(", ")]
-    types = [pa.int64(), pa.int32(), *[pa.binary()] * 7]
+    types = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.list_(pa.int64())]
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in _joined(batches):
             body, starts = texts_of(batch["text"])
-            _, _, h, row = runs(body, starts)
-            trains = _trains(batch["doc_id"].to_pylist())
-            histogram = np.zeros(256, np.int64)
-            for a, b, t in zip(starts[:-1], starts[1:], trains):
-                if t:
-                    histogram += np.bincount(body[a:b], minlength=256)
-            histogram = np.bincount(LOWER, histogram, 256).astype(np.int64)  # without case
-            histogram[END], histogram[BLANK] = trains.sum(), histogram[SPACE].sum()
-            digests = b"".join(blake2b((t or "").encode(), digest_size=16).digest() for t in batch["text"].to_pylist())
-            kinds, at = np.unique(h, return_inverse=True)
-            train = np.bincount(at, trains[row], len(kinds)).astype(np.int64)
-            uses = np.bincount(at, minlength=len(kinds))
-            hot = uses * FREQUENT >= max(len(h), 1)
-            shard = np.where(hot, -1, (kinds % np.uint64(shards)).astype(np.int64))
-            by = np.argsort(shard[at] * (len(kinds) + 1) + at, kind="stable")
-            texts, of = row[by].astype(np.uint32), shard[at][by]
-            columns = []
-            for s in range(-1, shards):
-                own = shard == s
-                mine = texts[np.searchsorted(of, s) : np.searchsorted(of, s, "right")]
-                if s < 0:
-                    columns.append((number, None, histogram.tobytes(), digests, np.bincount(row, minlength=batch.num_rows).astype(np.uint32).tobytes(), kinds[own].tobytes(), None, uses[own].astype(np.uint32).tobytes(), mine.tobytes()))
-                # A frequent token is counted by its shard too, without its texts.
-                count = own | hot & ((kinds % np.uint64(shards)).astype(np.int64) == s) if s >= 0 else own
-                if s >= 0 and count.any():
-                    columns.append((number, s, None, None, None, kinds[count].tobytes(), train[count].tobytes(), np.where(hot, 0, uses)[count].astype(np.uint32).tobytes(), mine.tobytes()))
+            ids = batch["doc_id"].to_pylist()
+            trains = _trains(ids)
+            histogram, found = np.zeros(256, np.int64), [[] for _ in range(TABLES + 1)]
+            for a, b in _pieces(starts):
+                own, begins = body[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
+                x, begin = stream(own, begins)
+                train = np.repeat(trains[a:b], np.diff(begin))
+                histogram += np.bincount(x[train], minlength=256)
+                tail = (x.astype(np.uint64) << np.uint64(1)) | train
+                for k, context in enumerate(contexts(x, begin)):
+                    keys, n = np.unique(context << np.uint64(9) | tail, return_counts=True)
+                    found[k].append((keys >> np.uint64(1), np.where(keys & np.uint64(1), n, 0)))
+                _, _, h, row = runs(own, begins)
+                keys, at = np.unique(h, return_inverse=True)
+                found[TOKENS].append((keys, np.bincount(at, trains[a:b][row], len(keys)).astype(np.int64)))
+            columns = [(number, None, None, None, None, histogram.tobytes(), zlib.compress(body.tobytes(), 1), zlib.compress(starts.astype(np.int64).tobytes(), 1), ids)]
+            for k, parts in enumerate(found):
+                keys, n = _merge(parts)
+                shard = (mixed((keys if k == TOKENS else keys >> np.uint64(8)) + np.uint64(k)) % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                ends = np.searchsorted(shard[order], np.arange(shards + 1))
+                for s in np.flatnonzero(np.diff(ends)):
+                    mine = order[ends[s] : ends[s + 1]]
+                    columns.append((number, int(s), k, _packed(keys[mine]), zlib.compress(n[mine].astype(np.int32).tobytes(), 1), None, None, None, None))
             number += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*columns), types)], names)
 
     return cut(docs.select("doc_id", "text").mapInArrow(run, GATHERED))
 
 
-REPLY = "slice bigint, kinds binary, known binary, texts binary, sums binary, hits binary, total bigint, distinct bigint"
+def _joined(batches):
+    """The same rows in batches of about ``SLICE`` bytes of text."""
+    held, size = [], 0
+    for batch in slices(batches, "text", SLICE // 4):
+        held.append(batch)
+        size += batch["text"].nbytes
+        if size >= SLICE:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def odds(pairs: np.ndarray, counts: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds, in steps, of all bits of each (context, byte) of one shard, and where each pair's begin (the last: the end)."""
+    steps, lengths = code.expand((pairs & np.uint64(255)).astype(np.uint8))
+    context = np.cumsum(np.diff(pairs >> np.uint64(8), prepend=pairs[:1] >> np.uint64(8)) > 0)
+    node, at = np.unique(np.repeat(context, lengths) << 17 | steps >> 1, return_inverse=True)
+    n = np.repeat(counts, lengths)
+    ones = np.bincount(at, n * (steps & 1), len(node))
+    zeros = np.bincount(at, n, len(node)) - ones
+    found = np.clip(np.round(STEP * np.log((ones + PRIOR) / (zeros + PRIOR))), -127, 127).astype(np.int8)
+    return found[at], np.concatenate([[0], np.cumsum(lengths)])
+
 
+REPLY = "slice bigint, kind int, keys binary, found binary, total bigint, distinct bigint"
+
+
+def replies_of(gathered: DataFrame, code: Code) -> DataFrame:
+    """To each slice its own rows with their log-odds or, for tokens, counts over all training texts."""
+    shared = gathered.sparkSession.sparkContext.broadcast(code)
 
-def base_sums(gathered: DataFrame) -> tuple[DataFrame, int, int]:
-    """(digest, n_tokens, n_known, sum of log10(c + 0.5)) of each different text, the training tokens and their kinds."""
     def shard(group: pa.Table) -> pa.Table:
-        slices_, kinds, train, uses, rows = (group[c].to_pylist() for c in ("slice", "kinds", "train", "uses", "rows"))
-        kinds, train = [np.frombuffer(k, np.uint64) for k in kinds], [np.frombuffer(t, np.int64) for t in train]
-        every, at = np.unique(np.concatenate(kinds), return_inverse=True)
-        c = np.bincount(at, np.concatenate(train), len(every)).astype(np.int64)
-        out, done = [], 0
-        for s, k, u, r in zip(slices_, kinds, uses, rows):
-            own = c[at[done : done + len(k)]]
-            done += len(k)
-            u, r = np.frombuffer(u, np.uint32), np.frombuffer(r, np.uint32)
-            each = np.repeat(own, u)
-            texts, place = np.unique(r, return_inverse=True)
-            wait = u == 0
-            out.append((s, k[wait].tobytes(), own[wait].tobytes(), texts.tobytes(), np.bincount(place, np.log10(each + 0.5), len(texts)).tobytes(), np.bincount(place, each > 0, len(texts)).astype(np.int64).tobytes(), None, None))
-        out.append((None, None, None, None, None, None, int(c.sum()), int((c > 0).sum())))
-        types = [pa.int64(), *[pa.binary()] * 5, pa.int64(), pa.int64()]
+        rows, out = group.to_pylist(), []
+        for kind in sorted({r["kind"] for r in rows}):
+            own = [r for r in rows if r["kind"] == kind]
+            asked = [_unpacked(r["keys"]) for r in own]
+            keys, counts = _merge([(k, np.frombuffer(zlib.decompress(r["counts"]), np.int32).astype(np.int64)) for k, r in zip(asked, own)])
+            if kind == TOKENS:
+                out.append((None, None, None, None, int(counts.sum()), int((counts > 0).sum())))
+            else:
+                flat, first = odds(keys, counts, shared.value)
+            for r, k in zip(own, asked):
+                at = np.searchsorted(keys, k)
+                if kind == TOKENS:
+                    found = counts[at]
+                else:
+                    size = first[at + 1] - first[at]
+                    found = flat[np.repeat(first[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                out.append((r["slice"], kind, r["keys"], zlib.compress(found.tobytes(), 1), None, None))
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         return pa.table({n.split()[0]: pa.array(x, t) for n, x, t in zip(REPLY.split(", "), zip(*out), types)})
 
-    replies = cut(gathered.where("shard IS NOT NULL").select("shard", "slice", "kinds", "train", "uses", "rows").groupBy("shard").applyInArrow(shard, REPLY))
-    whole = replies.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
-    own = gathered.where("shard IS NULL").select("slice", "digests", "n_words", F.col("kinds").alias("frequent"), "uses", "rows")
-    both = own.unionByName(replies.where("slice IS NOT NULL").select("slice", "kinds", "known", "texts", "sums", "hits"), allowMissingColumns=True)
-
-    def texts(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        mine = next(r for r in rows if r["digests"] is not None)
-        n = np.frombuffer(mine["n_words"], np.uint32).astype(np.int64)
-        sums, hits, known = np.zeros(len(n)), np.zeros(len(n), np.int64), {}
-        for r in rows:
-            if r["texts"] is not None:
-                at = np.frombuffer(r["texts"], np.uint32)
-                sums[at] += np.frombuffer(r["sums"])
-                hits[at] += np.frombuffer(r["hits"], np.int64)
-                known |= dict(zip(np.frombuffer(r["kinds"], np.uint64).tolist(), np.frombuffer(r["known"], np.int64).tolist()))
-        frequent = np.array([known[k] for k in np.frombuffer(mine["frequent"], np.uint64).tolist()], np.int64)
-        each = np.repeat(frequent, np.frombuffer(mine["uses"], np.uint32))
-        at = np.frombuffer(mine["rows"], np.uint32)
-        sums += np.bincount(at, np.log10(each + 0.5), len(n))
-        hits += np.bincount(at, each > 0, len(n)).astype(np.int64)
-        digests = [mine["digests"][16 * i : 16 * i + 16] for i in range(len(n))]
-        return pa.table({"digest": pa.array(digests, pa.binary()), "words": n, "hits": hits, "sums": sums})
-
-    found = both.groupBy("slice").applyInArrow(texts, "digest binary, words bigint, hits bigint, sums double")
-    # Copies of a text have equal sums but for their order.
-    return found.groupBy("digest").agg(F.max("words").alias("words"), F.max("hits").alias("hits"), F.max("sums").alias("sums")), whole["n"] or 0, whole["v"] or 0
+    return cut(gathered.where("shard IS NOT NULL").select("shard", "slice", "kind", "keys", "counts").groupBy("shard").applyInArrow(shard, REPLY))
+
+
+SCORED = "doc_id bigint, held_out boolean, words bigint, hits bigint, sums double, score double"
+
+
+def score_slices(gathered: DataFrame, replies: DataFrame, code: Code) -> DataFrame:
+    """``SCORED`` of every text, where its slice meets the replies."""
+    shared = gathered.sparkSession.sparkContext.broadcast(code)
+
+    def run(group: pa.Table) -> pa.Table:
+        code, rows = shared.value, group.to_pylist()
+        mine = next(r for r in rows if r["body"] is not None)
+        body, starts = np.frombuffer(zlib.decompress(mine["body"]), np.uint8), np.frombuffer(zlib.decompress(mine["starts"]), np.int64)
+        index, found, first = [], [], []
+        for kind in range(TABLES + 1):
+            own = [r for r in rows if r["kind"] == kind]
+            keys = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(r["keys"]) for r in own)])
+            index.append(Index(keys))
+            found.append(np.concatenate([np.zeros(0, np.int64 if kind == TOKENS else np.int8), *(np.frombuffer(zlib.decompress(r["found"]), np.int64 if kind == TOKENS else np.int8) for r in own)]))
+            first.append(np.concatenate([[0], np.cumsum(code.lengths[(keys & np.uint64(255)).astype(np.int64)])]))
+        out = []
+        for a, b in _pieces(starts):
+            own, begins = body[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
+            x, begin = stream(own, begins)
+            steps, lengths = code.expand(x)
+            within = np.arange(len(steps)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            inputs = [found[k].take(np.repeat(first[k][index[k].find(c << np.uint64(8) | x)], lengths) + within) for k, c in enumerate(contexts(x, begin))]
+            _, _, h, row = runs(own, begins)
+            known = found[TOKENS][index[TOKENS].find(h)] if len(h) else np.zeros(0, np.int64)
+            n = b - a
+            out.append((np.bincount(row, minlength=n), np.bincount(row, known > 0, n).astype(np.int64), np.bincount(row, np.log10(known + 0.5), n).astype(float), mix_texts(inputs, begin, steps, lengths)))
+        words, hits, sums, scores = (np.concatenate(c) for c in zip(*out))
+        return pa.table({"doc_id": pa.array(mine["ids"], pa.int64()), "held_out": pa.array([fold_of(i) == 1 for i in mine["ids"]]), "words": words.astype(np.int64), "hits": hits, "sums": sums, "score": scores})
+
+    own = gathered.where("shard IS NULL").select("slice", "body", "starts", "ids")
+    both = own.unionByName(replies.where("slice IS NOT NULL").select("slice", "kind", "keys", "found"), allowMissingColumns=True)
+    return both.groupBy("slice").applyInArrow(run, SCORED)
 
 
 def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
@@ -359,24 +408,13 @@ def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
 
     histogram = sum((np.frombuffer(r["bytes"], np.int64) for r in gathered.where("bytes IS NOT NULL").select("bytes").mapInArrow(add, "bytes binary").collect()), np.zeros(256, np.int64))
     code = Code(histogram)
-    tables = count_bits(docs, code)
-    shared = docs.sparkSession.sparkContext.broadcast((code, tables))
-    base, n, kinds = base_sums(gathered)
+    replies = replies_of(gathered, code)
+    whole = replies.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
     ends = int(histogram[END])  # each training text has one end
-    n, kinds = n + ends, kinds + (ends > 0)
-
-    def run(batches):
-        code, tables = shared.value
-        for batch in slices(batches, "text", 2 << 20):
-            ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-            found = score_texts(*texts_of(batch["text"]), code, tables)
-            digests = [blake2b((t or "").encode(), digest_size=16).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([fold_of(i) == 1 for i in ids]), pa.array(digests, pa.binary()), pa.array(found)], ["doc_id", "held_out", "digest", "score"])
-
-    scored = docs.mapInArrow(run, "doc_id bigint, held_out boolean, digest binary, score double")
+    n, kinds = (whole["n"] or 0) + ends, (whole["v"] or 0) + (ends > 0)
     tokens = F.col("words") + 1
     total = float(np.log10(n + 0.5 * (kinds + 1)))
-    return scored.join(base, "digest").select(
+    return score_slices(gathered, replies, code).select(
         "doc_id", "held_out", tokens.alias("n_tokens"), (F.col("hits") + int(ends > 0)).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("sums") + float(np.log10(ends + 0.5)) - tokens * total).alias("base_score"), "score", (F.col("score") * -float(np.log2(10))).alias("bits"))
 
