@@ -85,6 +85,13 @@ def test_op1_odds_by_hand():
     assert first.tolist() == [0, *np.cumsum(lengths).tolist()]
 
 
+def test_op1_bytes_scored(spark, odd_docs):
+    found = mixing.score(odd_docs).collect()
+    want = sorted((i or -1, len(b" ".join(tokens(t)[:-1])) + 1) for i, t in ((r.doc_id, r.text) for r in odd_docs.collect()))
+    assert sorted((r.doc_id or -1, r.bytes) for r in found) == want
+    assert all(r.bits_per_byte == pytest.approx(r.bits / r.bytes) for r in found)
+
+
 def test_op1_learns(spark, sf):
     found = mixing.score(table(spark, sf, "documents").where("doc_id IS NOT NULL"))
     row = found.groupBy("held_out").agg(F.sum("bits").alias("bits"), F.sum("base_score").alias("base"), F.sum("score").alias("score")).collect()

@@ -357,7 +357,7 @@ def replies_of(gathered: DataFrame, code: Code) -> DataFrame:
     return cut(gathered.where("shard IS NOT NULL").select("shard", "slice", "kind", "keys", "counts").groupBy("shard").applyInArrow(shard, REPLY))
 
 
-SCORED = "doc_id bigint, held_out boolean, words bigint, hits bigint, sums double, score double"
+SCORED = "doc_id bigint, held_out boolean, words bigint, hits bigint, sums double, score double, bytes bigint"
 
 
 def score_slices(gathered: DataFrame, replies: DataFrame, code: Code) -> DataFrame:
@@ -385,9 +385,9 @@ def score_slices(gathered: DataFrame, replies: DataFrame, code: Code) -> DataFra
             _, _, h, row = runs(own, begins)
             known = found[TOKENS][index[TOKENS].find(h)] if len(h) else np.zeros(0, np.int64)
             n = b - a
-            out.append((np.bincount(row, minlength=n), np.bincount(row, known > 0, n).astype(np.int64), np.bincount(row, np.log10(known + 0.5), n).astype(float), mix_texts(inputs, begin, steps, lengths)))
-        words, hits, sums, scores = (np.concatenate(c) for c in zip(*out))
-        return pa.table({"doc_id": pa.array(mine["ids"], pa.int64()), "held_out": pa.array([fold_of(i) == 1 for i in mine["ids"]]), "words": words.astype(np.int64), "hits": hits, "sums": sums, "score": scores})
+            out.append((np.bincount(row, minlength=n), np.bincount(row, known > 0, n).astype(np.int64), np.bincount(row, np.log10(known + 0.5), n).astype(float), mix_texts(inputs, begin, steps, lengths), np.diff(begin)))
+        words, hits, sums, scores, sizes = (np.concatenate(c) for c in zip(*out))
+        return pa.table({"doc_id": pa.array(mine["ids"], pa.int64()), "held_out": pa.array([fold_of(i) == 1 for i in mine["ids"]]), "words": words.astype(np.int64), "hits": hits, "sums": sums, "score": scores, "bytes": sizes.astype(np.int64)})
 
     own = gathered.where("shard IS NULL").select("slice", "body", "starts", "ids")
     both = own.unionByName(replies.where("slice IS NOT NULL").select("slice", "kind", "keys", "found"), allowMissingColumns=True)
@@ -395,7 +395,7 @@ def score_slices(gathered: DataFrame, replies: DataFrame, code: Code) -> DataFra
 
 
 def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits, bytes) of every document."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits, bytes, bits_per_byte) of every document; the bytes are those scored, the end sign included."""
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     gathered = gather(docs, shards or max(32, 4 * docs.rdd.getNumPartitions()))
     # A few hundred bytes for each slice of texts, added up before they come here.
@@ -414,9 +414,10 @@ def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
     n, kinds = (whole["n"] or 0) + ends, (whole["v"] or 0) + (ends > 0)
     tokens = F.col("words") + 1
     total = float(np.log10(n + 0.5 * (kinds + 1)))
+    bits = F.col("score") * -float(np.log2(10))
     return score_slices(gathered, replies, code).select(
         "doc_id", "held_out", tokens.alias("n_tokens"), (F.col("hits") + int(ends > 0)).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("sums") + float(np.log10(ends + 0.5)) - tokens * total).alias("base_score"), "score", (F.col("score") * -float(np.log2(10))).alias("bits"))
+        (F.col("sums") + float(np.log10(ends + 0.5)) - tokens * total).alias("base_score"), "score", bits.alias("bits"), "bytes", (bits / F.col("bytes")).alias("bits_per_byte"))
 
 
 def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
