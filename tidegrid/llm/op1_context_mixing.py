@@ -215,12 +215,38 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def _packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences."""
-    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).tobytes(), 1)
+    """Sorted keys as differences, all first bytes first."""
+    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data), np.uint64), dtype=np.uint64)
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
+def distinct(body: np.ndarray, starts: np.ndarray, trains: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """The distinct keys of each table and of the tokens with their training counts, and the training texts' byte counts."""
+    histogram, found = np.zeros(256, np.int64), [[] for _ in range(TABLES + 1)]
+    for a, b in _pieces(starts):
+        own, begins = body[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
+        x, begin = stream(own, begins)
+        train = np.repeat(trains[a:b], np.diff(begin))
+        histogram += np.bincount(x[train], minlength=256)
+        tail = (x.astype(np.uint64) << np.uint64(1)) | train
+        for k, context in enumerate(contexts(x, begin)):
+            keys, n = np.unique(context << np.uint64(9) | tail, return_counts=True)
+            found[k].append((keys >> np.uint64(1), np.where(keys & np.uint64(1), n, 0)))
+        _, _, h, row = runs(own, begins)
+        keys, at = np.unique(h, return_inverse=True)
+        found[TOKENS].append((keys, np.bincount(at, trains[a:b][row], len(keys)).astype(np.int64)))
+    return [_merge(parts) for parts in found], histogram
+
+
+def dealt(keys: np.ndarray, kind: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys by shard, and where each shard's begin in it."""
+    shard = (mixed((keys if kind == TOKENS else keys >> np.uint64(8)) + np.uint64(kind)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
 class Index:
@@ -273,25 +299,10 @@ def gather(docs: DataFrame, shards: int) -> DataFrame:
             body, starts = texts_of(batch["text"])
             ids = batch["doc_id"].to_pylist()
             trains = _trains(ids)
-            histogram, found = np.zeros(256, np.int64), [[] for _ in range(TABLES + 1)]
-            for a, b in _pieces(starts):
-                own, begins = body[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
-                x, begin = stream(own, begins)
-                train = np.repeat(trains[a:b], np.diff(begin))
-                histogram += np.bincount(x[train], minlength=256)
-                tail = (x.astype(np.uint64) << np.uint64(1)) | train
-                for k, context in enumerate(contexts(x, begin)):
-                    keys, n = np.unique(context << np.uint64(9) | tail, return_counts=True)
-                    found[k].append((keys >> np.uint64(1), np.where(keys & np.uint64(1), n, 0)))
-                _, _, h, row = runs(own, begins)
-                keys, at = np.unique(h, return_inverse=True)
-                found[TOKENS].append((keys, np.bincount(at, trains[a:b][row], len(keys)).astype(np.int64)))
+            found, histogram = distinct(body, starts, trains)
             columns = [(number, None, None, None, None, histogram.tobytes(), zlib.compress(body.tobytes(), 1), zlib.compress(starts.astype(np.int64).tobytes(), 1), ids)]
-            for k, parts in enumerate(found):
-                keys, n = _merge(parts)
-                shard = (mixed((keys if k == TOKENS else keys >> np.uint64(8)) + np.uint64(k)) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                ends = np.searchsorted(shard[order], np.arange(shards + 1))
+            for k, (keys, n) in enumerate(found):
+                order, ends = dealt(keys, k, shards)
                 for s in np.flatnonzero(np.diff(ends)):
                     mine = order[ends[s] : ends[s + 1]]
                     columns.append((number, int(s), k, _packed(keys[mine]), zlib.compress(n[mine].astype(np.int32).tobytes(), 1), None, None, None, None))
@@ -326,11 +337,11 @@ def odds(pairs: np.ndarray, counts: np.ndarray, code: Code) -> tuple[np.ndarray,
     return found[at], np.concatenate([[0], np.cumsum(lengths)])
 
 
-REPLY = "slice bigint, kind int, keys binary, found binary, total bigint, distinct bigint"
+REPLY = "slice bigint, kind int, shard int, found binary, total bigint, distinct bigint"
 
 
 def replies_of(gathered: DataFrame, code: Code) -> DataFrame:
-    """To each slice its own rows with their log-odds or, for tokens, counts over all training texts."""
+    """To each slice, in the order of its own rows, their log-odds or, for tokens, counts over all training texts."""
     shared = gathered.sparkSession.sparkContext.broadcast(code)
 
     def shard(group: pa.Table) -> pa.Table:
@@ -350,8 +361,8 @@ def replies_of(gathered: DataFrame, code: Code) -> DataFrame:
                 else:
                     size = first[at + 1] - first[at]
                     found = flat[np.repeat(first[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                out.append((r["slice"], kind, r["keys"], zlib.compress(found.tobytes(), 1), None, None))
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+                out.append((r["slice"], kind, r["shard"], zlib.compress(found.astype(np.int32 if kind == TOKENS else np.int8).tobytes(), 1), None, None))
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
         return pa.table({n.split()[0]: pa.array(x, t) for n, x, t in zip(REPLY.split(", "), zip(*out), types)})
 
     return cut(gathered.where("shard IS NOT NULL").select("shard", "slice", "kind", "keys", "counts").groupBy("shard").applyInArrow(shard, REPLY))
@@ -360,7 +371,7 @@ def replies_of(gathered: DataFrame, code: Code) -> DataFrame:
 SCORED = "doc_id bigint, held_out boolean, words bigint, hits bigint, sums double, score double, bytes bigint"
 
 
-def score_slices(gathered: DataFrame, replies: DataFrame, code: Code) -> DataFrame:
+def score_slices(gathered: DataFrame, replies: DataFrame, code: Code, shards: int) -> DataFrame:
     """``SCORED`` of every text, where its slice meets the replies."""
     shared = gathered.sparkSession.sparkContext.broadcast(code)
 
@@ -369,11 +380,13 @@ def score_slices(gathered: DataFrame, replies: DataFrame, code: Code) -> DataFra
         mine = next(r for r in rows if r["body"] is not None)
         body, starts = np.frombuffer(zlib.decompress(mine["body"]), np.uint8), np.frombuffer(zlib.decompress(mine["starts"]), np.int64)
         index, found, first = [], [], []
-        for kind in range(TABLES + 1):
-            own = [r for r in rows if r["kind"] == kind]
-            keys = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(r["keys"]) for r in own)])
+        for kind, (keys, _) in enumerate(distinct(body, starts, np.zeros(len(starts) - 1, bool))[0]):
+            # Texts give the same rows again, so replies need not carry them.
+            keys = keys[dealt(keys, kind, shards)[0]]
             index.append(Index(keys))
-            found.append(np.concatenate([np.zeros(0, np.int64 if kind == TOKENS else np.int8), *(np.frombuffer(zlib.decompress(r["found"]), np.int64 if kind == TOKENS else np.int8) for r in own)]))
+            form = np.int32 if kind == TOKENS else np.int8
+            own = sorted((r["shard"], r["found"]) for r in rows if r["kind"] == kind)
+            found.append(np.concatenate([np.zeros(0, form), *(np.frombuffer(zlib.decompress(f), form) for _, f in own)]))
             first.append(np.concatenate([[0], np.cumsum(code.lengths[(keys & np.uint64(255)).astype(np.int64)])]))
         out = []
         for a, b in _pieces(starts):
@@ -383,21 +396,22 @@ def score_slices(gathered: DataFrame, replies: DataFrame, code: Code) -> DataFra
             within = np.arange(len(steps)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             inputs = [found[k].take(np.repeat(first[k][index[k].find(c << np.uint64(8) | x)], lengths) + within) for k, c in enumerate(contexts(x, begin))]
             _, _, h, row = runs(own, begins)
-            known = found[TOKENS][index[TOKENS].find(h)] if len(h) else np.zeros(0, np.int64)
+            known = found[TOKENS][index[TOKENS].find(h)] if len(h) else np.zeros(0, np.int32)
             n = b - a
             out.append((np.bincount(row, minlength=n), np.bincount(row, known > 0, n).astype(np.int64), np.bincount(row, np.log10(known + 0.5), n).astype(float), mix_texts(inputs, begin, steps, lengths), np.diff(begin)))
         words, hits, sums, scores, sizes = (np.concatenate(c) for c in zip(*out))
         return pa.table({"doc_id": pa.array(mine["ids"], pa.int64()), "held_out": pa.array([fold_of(i) == 1 for i in mine["ids"]]), "words": words.astype(np.int64), "hits": hits, "sums": sums, "score": scores, "bytes": sizes.astype(np.int64)})
 
     own = gathered.where("shard IS NULL").select("slice", "body", "starts", "ids")
-    both = own.unionByName(replies.where("slice IS NOT NULL").select("slice", "kind", "keys", "found"), allowMissingColumns=True)
+    both = own.unionByName(replies.where("slice IS NOT NULL").select("slice", "kind", "shard", "found"), allowMissingColumns=True)
     return both.groupBy("slice").applyInArrow(run, SCORED)
 
 
 def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits, bytes, bits_per_byte) of every document; the bytes are those scored, the end sign included."""
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    gathered = gather(docs, shards or max(32, 4 * docs.rdd.getNumPartitions()))
+    shards = shards or max(32, 4 * docs.rdd.getNumPartitions())
+    gathered = gather(docs, shards)
     # A few hundred bytes for each slice of texts, added up before they come here.
     def add(batches):
         total = np.zeros(256, np.int64)
@@ -415,7 +429,7 @@ def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
     tokens = F.col("words") + 1
     total = float(np.log10(n + 0.5 * (kinds + 1)))
     bits = F.col("score") * -float(np.log2(10))
-    return score_slices(gathered, replies, code).select(
+    return score_slices(gathered, replies, code, shards).select(
         "doc_id", "held_out", tokens.alias("n_tokens"), (F.col("hits") + int(ends > 0)).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("sums") + float(np.log10(ends + 0.5)) - tokens * total).alias("base_score"), "score", bits.alias("bits"), "bytes", (bits / F.col("bytes")).alias("bits_per_byte"))
 
