@@ -5,12 +5,12 @@ import pytest
 import __spark_entry__ as entrypoint
 from tidegrid.llm import queries
 
-TABLES = "documents embeddings pages labels".split()
+TABLES = "documents embeddings pages labels conversations".split()
 
 
 def test_one_query_for_each_operator():
     names = list(queries.QUERIES)
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
     assert set(names) <= set(entrypoint.queries()) and set(queries.ORACLE_SQL) <= set(names)
 
 
