@@ -10,6 +10,7 @@ from tidegrid.functions.timeline import epoch_minutes
 from tidegrid.operators.compare import same_rows
 from tidegrid.operators.grid import duplicate_keys
 from tidegrid.operators.profile import time_steps
+from tidegrid.operators.sizing import join_keys
 
 MESSAGES = "table_name string, severity string, problem string, detail bigint"
 
@@ -38,7 +39,7 @@ def raw_contract(spark: SparkSession, tables: Mapping[str, DataFrame], columns:
     base = tables[names[0]].select(*keys, ts).distinct()
     for name in names[1:]:
         parts.append(_count(name, "error", "moments_not_in_first_table",
-                            tables[name].select(*keys, ts).distinct().join(base, [*keys, ts], "left_anti")))
+                            join_keys(tables[name].select(*keys, ts).distinct(), base, [*keys, ts], "left_anti")))
     out = spark.createDataFrame(facts, MESSAGES)
     for p in parts:
         out = out.unionByName(p)
@@ -56,8 +57,8 @@ def result_contract(df: DataFrame, expected_keys: DataFrame, keys: Sequence[str]
                  .alias("_a")).select(F.inline("_a"))
     count = lambda name, d: d.agg(F.count(F.lit(1)).alias("detail")).select(F.lit(name).alias("problem"), "detail")
     have = df.select(*keys)
-    return (row.unionByName(count("missing_keys", expected_keys.select(*keys).join(have, list(keys), "left_anti")))
-            .unionByName(count("unexpected_keys", have.join(expected_keys.select(*keys), list(keys), "left_anti")))
+    return (row.unionByName(count("missing_keys", join_keys(expected_keys.select(*keys), have, list(keys), "left_anti")))
+            .unionByName(count("unexpected_keys", join_keys(have, expected_keys.select(*keys), list(keys), "left_anti")))
             .unionByName(count("duplicate_keys", duplicate_keys(df, keys))))
 
 

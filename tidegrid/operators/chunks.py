@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegrid.functions.timeline import epoch_minutes
-from tidegrid.operators.ordering import join_keys
+from tidegrid.operators.sizing import join_keys
 
 CHUNK = "_chunk"
 HOME = "_home"

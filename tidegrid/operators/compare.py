@@ -6,13 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidegrid.operators.sizing import join_keys
+
 
 def table_diff(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str],
                epsilon: float = 0.0) -> DataFrame:
     """Per column: cells on both sides, only left, only right, changed, mean and largest change."""
     cells = lambda d, n: d.unpivot(list(keys), list(columns), "column_name", n)
-    both = cells(left.withColumn("_l", F.lit(1)).drop("_l"), "_a").withColumn("_in_a", F.lit(1)).join(
-        cells(right, "_b").withColumn("_in_b", F.lit(1)), [*keys, "column_name"], "full")
+    both = join_keys(cells(left, "_a").withColumn("_in_a", F.lit(1)), cells(right, "_b").withColumn("_in_b", F.lit(1)), [*keys, "column_name"], "full")
     delta = F.abs(F.col("_b") - F.col("_a"))
     changed = (F.col("_a").isNull() != F.col("_b").isNull()) | (delta > epsilon)
     paired = F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull()
@@ -25,8 +26,7 @@ def table_diff(left: DataFrame, right: DataFrame, keys: Sequence[str], columns:
 
 def block_change(before: DataFrame, after: DataFrame, keys: Sequence[str], frozen: Column) -> DataFrame:
     """Change statistics of the frozen block (must stay untouched) and of the open one."""
-    joined = before.withColumnRenamed("prediction", "_a").join(
-        after.select(*keys, F.col("prediction").alias("_b")), list(keys), "full")
+    joined = join_keys(before.withColumnRenamed("prediction", "_a"), after.select(*keys, F.col("prediction").alias("_b")), list(keys), "full")
     delta = F.abs(F.col("_b") - F.col("_a"))
     table = joined.groupBy(F.when(frozen, "frozen").otherwise("open").alias("block")).agg(
         F.count(F.lit(1)).alias("cells"),
@@ -43,7 +43,7 @@ def boundary_overlap(train: DataFrame, test: DataFrame, keys: Sequence[str]) ->
         same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
     condition = F.lit(True)
     for k in keys:
-        condition = condition & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+        condition = condition & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
     return train.alias("a").join(test.alias("b"), condition).agg(
         F.count(F.lit(1)).alias("overlap_rows"), F.count_if(same).alias("identical_rows"))
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidegrid.operators.ordering import prefix_sums, quantile_columns, rank_auc
+from tidegrid.operators.sizing import join_keys, keyed_join
 
 
 def event_days(df: DataFrame, keys: Sequence[str], ts: str, ratio: str, threshold: float) -> DataFrame:
@@ -83,8 +84,8 @@ def precursor_summary(per_event: DataFrame, groups: Sequence[str], unit: str) ->
     cells = per_event.unpivot(groups, list(medians), "_measure", "_value")
     mid = quantile_columns(cells, [*groups, "_measure"], "_value", {"_m": 0.5})
     wide = mid.groupBy(*groups).agg(*[F.max(F.when(F.col("_measure") == m, F.col("_m"))).alias(n) for m, n in medians.items()])
-    table = per_event.groupBy(*groups).agg(F.count_distinct(unit).alias("event_samples"),
-                                           positive.alias("positive_fraction")).join(wide, groups, "left")
+    table = per_event.groupBy(*groups).agg(F.count_distinct(unit).alias("event_samples"), positive.alias("positive_fraction"))
+    table = join_keys(table, wide, groups, "left")
     consistency = F.greatest(F.col("positive_fraction"), 1.0 - F.col("positive_fraction"))
     return table.withColumn("direction_consistency", consistency).withColumn(
         "effect_score", F.abs("median_standardized_difference") * F.col("direction_consistency"))
@@ -111,7 +112,7 @@ def leave_one_out_accuracy(df: DataFrame, keys: Sequence[str], value: str, label
     sides = middle.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_y") == y, e)).alias(f"_{name}{y}") for y in (0, 1)
           for name, e in (("full", full), ("n", n), ("a", a), ("b", b), ("c", c))])
-    joined = table.join(sides, keys)
+    joined = keyed_join(table, sides, keys)
     own = lambda name: F.when(F.col("_y") == 1, F.col(f"_{name}1")).otherwise(F.col(f"_{name}0"))
     # Ranks k of equal values give the same reduced median; use the first.
     k, m = below, own("n")
@@ -136,7 +137,7 @@ def leave_one_out_accuracy(df: DataFrame, keys: Sequence[str], value: str, label
 def outcome_discrimination(per_event: DataFrame, outcomes: DataFrame, on: Sequence[str], groups: Sequence[str],
                            outcome: str, value: str, unit: str) -> DataFrame:
     """AUC, leave-one-out accuracy and screening score of every (lead, feature)."""
-    merged = per_event.join(outcomes.select(*on, outcome), list(on))
+    merged = join_keys(per_event, outcomes.select(*on, outcome), list(on))
     y = F.col(outcome).cast("boolean")
     base = merged.groupBy(*groups).agg(
         F.count_distinct(unit).alias("event_samples"), F.count_if(y).alias("positive_events"),
@@ -147,6 +148,6 @@ def outcome_discrimination(per_event: DataFrame, outcomes: DataFrame, on: Sequen
     auc = rank_auc(merged, groups, value, outcome, "rank_auc").drop("positives", "negatives")
     loo = leave_one_out_accuracy(merged, groups, value, outcome, "loo_threshold_balanced_accuracy")
     separation = F.abs(F.col("rank_auc") - 0.5) * 2
-    return (base.join(mid, list(groups), "left").join(auc, list(groups), "left").join(loo, list(groups), "left")
+    return (join_keys(join_keys(join_keys(base, mid, list(groups), "left"), auc, list(groups), "left"), loo, list(groups), "left")
             .withColumn("rank_separation", separation)
             .withColumn("screening_score", separation * F.col("loo_threshold_balanced_accuracy")))

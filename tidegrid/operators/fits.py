@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegrid.functions.numeric import clip
 from tidegrid.operators.ordering import quantile_columns
-from tidegrid.operators.sizing import lookup_join
+from tidegrid.operators.sizing import join_keys, keyed_join, lookup_join
 from tidegrid.session import cut
 
 
@@ -109,10 +109,10 @@ def robust_scaler(train: DataFrame, keys: Sequence[str], xs: Sequence[str], floo
     keys = list(keys)
     cells = train.unpivot(keys, list(xs), "column_name", "_value")
     center = cut(quantile_columns(cells, [*keys, "column_name"], "_value", {"center": 0.5}).drop("n_values"))
-    filled = cells.join(center, [*keys, "column_name"]).withColumn(
+    filled = keyed_join(cells, center, [*keys, "column_name"]).withColumn(
         "_filled", F.coalesce("_value", "center"))
     iqr = quantile_columns(filled, [*keys, "column_name"], "_filled", {"_a": 0.25, "_b": 0.75}).drop("n_values")
-    return center.join(iqr, [*keys, "column_name"]).select(
+    return join_keys(center, iqr, [*keys, "column_name"]).select(
         *keys, "column_name", "center", F.greatest(F.col("_b") - F.col("_a"), F.lit(floor)).alias("scale"))
 
 
@@ -164,8 +164,8 @@ def lookup_profile(cells: DataFrame, profile: DataFrame, keys: Sequence[str], ts
     part = lambda level, name, cols: table.filter(F.col("level") == level).select(
         *keys, *cols, F.col("median").alias(name))
     x = cells.withColumns({"dow": F.weekday(ts), "slot": slot})
-    x = x.join(part("dow_slot", "_a", ["dow", "slot"]), [*keys, "dow", "slot"], "left")
-    x = x.join(part("slot", "_b", ["slot"]), [*keys, "slot"], "left").join(part("overall", "_c", []), keys, "left")
+    x = keyed_join(x, part("dow_slot", "_a", ["dow", "slot"]), [*keys, "dow", "slot"], "left")
+    x = keyed_join(keyed_join(x, part("slot", "_b", ["slot"]), [*keys, "slot"], "left"), part("overall", "_c", []), keys, "left")
     return x.withColumn(out, F.coalesce("_a", "_b", "_c")).drop("_a", "_b", "_c", "dow", "slot")
 
 

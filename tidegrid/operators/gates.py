@@ -8,6 +8,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidegrid.operators.sizing import join_keys
+
 
 @dataclass(frozen=True)
 class Check:
@@ -42,7 +44,7 @@ def gains_against(metrics: DataFrame, control: str, buckets: Sequence[str], rece
     base = metrics.filter(F.col("variant") == control).select(*scope_keys, acc.alias("_control"))
     cand = metrics.filter(F.col("variant") != control).select("variant", *scope_keys, acc.alias("_candidate"))
     gain = (F.col("_candidate") - F.col("_control")) * 100.0
-    joined = cand.join(base, scope_keys, "left").withColumn("_gain", gain)
+    joined = join_keys(cand, base, scope_keys, "left").withColumn("_gain", gain)
     at = lambda scope, test=F.lit(True): F.max(F.when((F.col("scope") == scope) & test, F.col("_gain")))
     recent = (F.col("scope") == "fold") & F.col("fold_id").isin(list(recent_folds))
     episode = (F.col("scope") == "episode") & F.col("_control").isNotNull()

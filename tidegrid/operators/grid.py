@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidegrid.functions.numeric import finite
 from tidegrid.functions.timeline import epoch_minutes, floor_minutes, from_epoch_minutes, on_grid, plus_minutes
 from tidegrid.operators.chunks import WEEK, windowed
-from tidegrid.operators.ordering import join_keys
-from tidegrid.operators.sizing import lookup_join
+from tidegrid.operators.sizing import join_keys, lookup_join
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -38,7 +37,7 @@ def join_families(families: dict[str, DataFrame], keys: Sequence[str], checked:
             seen[column] = name
     frames = [assert_unique(df, keys, f"{name} repeats a key") if checked else df
               for name, df in families.items()]
-    return reduce(lambda a, b: a.join(b, list(keys), "full"), frames)
+    return reduce(lambda a, b: join_keys(a, b, list(keys), "full"), frames)
 
 
 def complete_grid(df: DataFrame, keys: Sequence[str], ts: str, step: int, *,
@@ -58,7 +57,7 @@ def complete_grid(df: DataFrame, keys: Sequence[str], ts: str, step: int, *,
             .select(*keys, F.explode(F.sequence("_first", "_last", F.lit(step).cast("bigint"))).alias("_m"))
             .select(*keys, from_epoch_minutes(F.col("_m")).alias(ts)))
     marked = df.withColumn("_seen", F.lit(1))
-    return (grid.join(marked, [*keys, ts], "left")
+    return (join_keys(grid, marked, [*keys, ts], "left")
             .withColumn(inserted, F.when(F.col("_seen").isNull(), 1).otherwise(0)).drop("_seen"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidegrid.functions.timeline import (
     epoch_micros, epoch_minutes, floor_minutes, from_epoch_minutes, minute_of_day, plus_minutes)
 from tidegrid.operators.chunks import CHUNK, drop_halo, with_halo
+from tidegrid.operators.sizing import join_keys
 
 DAY = 1440
 
@@ -34,7 +35,7 @@ def within(points: DataFrame, intervals: DataFrame, keys: Sequence[str], ts: str
     high = F.col(ts) <= F.col(end) if closed in ("both", "right") else F.col(ts) < F.col(end)
     p = points.select("*", _point_bucket(ts, size)).alias("p")
     i = spread_intervals(intervals, start, end, size).alias("i")
-    equal = [F.col(f"p.{k}") == F.col(f"i.{k}") for k in [*keys, "_bucket"]]
+    equal = [*[F.col(f"p.{k}").eqNullSafe(F.col(f"i.{k}")) for k in keys], F.col("p._bucket") == F.col("i._bucket")]
     condition = equal[0]
     for e in equal[1:]:
         condition = condition & e
@@ -77,7 +78,7 @@ def attach_event_context(cells: DataFrame, episodes: DataFrame, keys: Sequence[s
     hit = (within(cells.select(*keys, "interval_start").distinct(), plain, keys, "interval_start",
                   "episode_start", "episode_end")
            .groupBy(*keys, "interval_start").agg(F.max_by("episode_id", order).alias("target_episode_id")))
-    return (cells.join(regimes, [*keys, "origin"], "left").join(hit, [*keys, "interval_start"], "left")
+    return (join_keys(join_keys(cells, regimes, [*keys, "origin"], "left"), hit, [*keys, "interval_start"], "left")
             .withColumns({
                 "origin_regime": F.coalesce("origin_regime", F.lit("ordinary")),
                 "origin_episode_id": F.coalesce("origin_episode_id", F.lit("")),
@@ -108,7 +109,7 @@ def next_event(points: DataFrame, events: DataFrame, keys: Sequence[str], ts: st
     found = merged.withColumn("_s", epoch_micros(ts)).withColumn("_own", F.min("_event").over(inside)).filter(
         F.col("_event").isNull())
     nearest = F.coalesce("_own", "_later")
-    return (found.join(later, [*keys, "_m"])
+    return (join_keys(found, later, [*keys, "_m"])
             .withColumn(out, F.when(nearest <= plus_minutes(ts, within_minutes), nearest))
             .drop("_s", "_m", "_event", "_own", "_later"))
 
@@ -145,7 +146,7 @@ def matched_controls(origins: DataFrame, candidates: DataFrame, keys: Sequence[s
     c = candidates.select(*keys, F.col(ts).alias("control_ts"), minute_of_day(ts).alias("_clock"),
                           F.floor(epoch_minutes(ts) / size).alias("_bucket"))
     distance = F.abs(epoch_minutes("control_ts") - epoch_minutes("origin"))
-    pairs = (o.join(c, [*keys, "_clock", "_bucket"]).withColumn("distance_minutes", distance)
+    pairs = (join_keys(o, c, [*keys, "_clock", "_bucket"]).withColumn("distance_minutes", distance)
              .filter((F.col("distance_minutes") > 0) & (F.col("distance_minutes") <= size)))
     one = Window.partitionBy(*keys, "episode_id", "lead_hours", "origin")
     near = F.col("distance_minutes") <= near_days * DAY
@@ -191,7 +192,7 @@ def alert_detection(predictions: DataFrame, episodes: DataFrame, keys: Sequence[
         F.count(F.lit(1)).alias("window_rows"), F.count_if(alert).alias("alert_rows"),
         F.max(F.when(alert, lead)).alias("earliest_lead_hours"), F.max("probability").alias("maximum_probability"))
     rows, hits = F.coalesce("window_rows", F.lit(0)), F.coalesce("alert_rows", F.lit(0))
-    return (episodes.select(*keys, "episode_id", "episode_start").join(found, [*keys, "episode_id"], "left")
+    return (join_keys(episodes.select(*keys, "episode_id", "episode_start"), found, [*keys, "episode_id"], "left")
             .select(*keys, "episode_id", "episode_start", rows.alias("window_rows"), hits.alias("alert_rows"),
                     F.when(rows > 0, hits / rows).alias("alert_fraction"), (hits > 0).alias("detected"),
                     "earliest_lead_hours", "maximum_probability"))
@@ -208,4 +209,4 @@ def expand_to_fine(fine: DataFrame, coarse: DataFrame, keys: Sequence[str], ts:
     x = fine.select(*keys, ts, floor_minutes(ts, step).alias("origin"), offset)
     ahead = (epoch_minutes(ts) - epoch_minutes("origin") + F.col("fine_horizon")) / step
     nearest = F.least(F.round(ahead), F.lit(max(horizons) // step)) * step
-    return x.withColumn("horizon_minutes", nearest.cast("int")).join(coarse, [*keys, "origin", "horizon_minutes"])
+    return join_keys(x.withColumn("horizon_minutes", nearest.cast("int")), coarse, [*keys, "origin", "horizon_minutes"])

@@ -10,6 +10,7 @@ from tidegrid.functions.horizons import expand_horizons, interval_start
 from tidegrid.functions.timeline import from_epoch_minutes, epoch_minutes, plus_minutes
 from tidegrid.operators.chunks import windowed
 from tidegrid.operators.grid import complete_grid
+from tidegrid.operators.sizing import join_keys
 
 
 def interval_means(df: DataFrame, keys: Sequence[str], ts: str, targets: Sequence[str], width: int,
@@ -42,7 +43,7 @@ def supervised_long(origins: DataFrame, labels: DataFrame, keys: Sequence[str],
     y = labels.select(*keys, F.col("ts").alias("interval_start"), F.col(target).alias("actual"))
     if how == "inner":
         y = y.filter(F.col("actual").isNotNull())
-    return cells.join(y, [*keys, "interval_start"], how).withColumn("target", F.lit(target))
+    return join_keys(cells, y, [*keys, "interval_start"], how).withColumn("target", F.lit(target))
 
 
 def wide_labels(cells: DataFrame, keys: Sequence[str], horizons: Sequence[int], target: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidegrid.functions.numeric import finite, ratio
 from tidegrid.functions.timeline import epoch_minutes
 from tidegrid.operators.ordering import average_precision, quantile_columns, rank_auc, spearman, weighted_median
-from tidegrid.operators.sizing import lookup_join
+from tidegrid.operators.sizing import join_keys, lookup_join
 
 METRICS = ("mape", "accuracy_1_minus_mape", "mae", "rmse", "valid_count", "zero_actual_count",
            "missing_actual_count", "missing_prediction_count")
@@ -102,7 +102,7 @@ def effective_size(df: DataFrame, keys: Sequence[str], weight: str) -> DataFrame
     sizes = df.groupBy(*keys).agg(ratio(F.sum(w) * F.sum(w), F.sum(w * w)).alias("effective_sample_size"),
                                   F.count(w).alias("row_count"))
     cut = quantile_columns(df, keys, weight, {"top_quartile_threshold": 0.75}).drop("n_values")
-    return sizes.join(cut, list(keys))
+    return join_keys(sizes, cut, list(keys))
 
 
 def top_share_flag(df: DataFrame, keys: Sequence[str], score: str, share: float, out: str) -> DataFrame:
@@ -162,7 +162,7 @@ def binary_scores(df: DataFrame, keys: Sequence[str], probability: str, label: s
         F.when(F.sum(y) > 0, F.sum(a * y) / F.sum(y)).alias("alert_recall"))
     ap = average_precision(df, keys, probability, label, "average_precision")
     auc = rank_auc(df, keys, probability, label, "roc_auc").drop("positives", "negatives")
-    return (base.join(ap, keys, "left").join(auc, keys, "left")
+    return (join_keys(join_keys(base, ap, keys, "left"), auc, keys, "left")
             .withColumn("average_precision_lift", F.when(F.col("prevalence") > 0,
                                                          F.col("average_precision") / F.col("prevalence"))))
 
@@ -201,7 +201,7 @@ def pressure_relation(per_origin: DataFrame, block: str, score: str, residual: s
         spread.alias("high_minus_low_far_residual_pct"))
     first = spearman(scoped, ["scope"], score, residual, "pressure_residual_spearman").drop("pair_count")
     second = spearman(scoped, ["scope"], score, change, "pressure_target_change_spearman").drop("pair_count")
-    return base.join(first, "scope", "left").join(second, "scope", "left")
+    return join_keys(join_keys(base, first, ["scope"], "left"), second, ["scope"], "left")
 
 
 def trajectory_shape(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidegrid.operators.sizing import join_keys
 from tidegrid.session import cut
 
 PIVOTS = 64          # most cells a library is cut into
@@ -118,7 +119,7 @@ def nearest_neighbors(queries: DataFrame, library: DataFrame, keys: Sequence[str
     cells = lib.groupBy(*keys, "cell").agg(F.max("_near").alias("radius"), F.count(F.lit(1)).alias("_n"))
     # At most ``pivots`` rows per key, of known size once written.
     cells = cut(cells.withColumn("_blocks", F.ceil(F.col("_n") / block_rows).cast("int")))
-    blocks = (lib.join(cells.select(*keys, "cell", "_blocks"), [*keys, "cell"])
+    blocks = (join_keys(lib, cells.select(*keys, "cell", "_blocks"), [*keys, "cell"])
               .withColumn("block", F.pmod(F.xxhash64(F.col("item_id").cast("string")), F.col("_blocks")).cast("int"))
               .select(*keys, "cell", "block", "item_id", "day", "vector"))
 
@@ -136,12 +137,12 @@ def nearest_neighbors(queries: DataFrame, library: DataFrame, keys: Sequence[str
     def search(routed: DataFrame) -> DataFrame:
         """``routed``: (keys, query_id, vector, cell). Block x batch tasks of bounded size."""
         load = routed.groupBy(*keys, "cell").agg(F.ceil(F.count(F.lit(1)) / batch_rows).cast("int").alias("_batches"))
-        place = load.join(cells.select(*keys, "cell", "_blocks"), [*keys, "cell"])
+        place = join_keys(load, cells.select(*keys, "cell", "_blocks"), [*keys, "cell"])
         upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = (routed.join(place, [*keys, "cell"])
+        left = (join_keys(routed, place, [*keys, "cell"])
                 .withColumn("batch", F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.col("_batches")).cast("int"))
                 .select(*keys, "cell", "batch", "query_id", "vector", upto("_blocks").alias("block")))
-        right = (blocks.join(load, [*keys, "cell"])
+        right = (join_keys(blocks, load, [*keys, "cell"])
                  .select(*keys, "cell", "block", "item_id", "day", "vector", upto("_batches").alias("batch")))
         on = [*keys, "cell", "block", "batch"]
         right = right.select("item_id", "day", "vector", *[F.col(c).alias(f"_{c}") for c in on])
@@ -153,22 +154,22 @@ def nearest_neighbors(queries: DataFrame, library: DataFrame, keys: Sequence[str
     # Pass one: the nearest non-empty cell of the query's own key.
     # Each query meets the few cell summaries of its key, never the vectors themselves.
     if keys:
-        ranked = qs.join(cells.select(*keys, "cell", "radius"), keys)
+        ranked = join_keys(qs, cells.select(*keys, "cell", "radius"), keys)
     else:   # at most ``pivots`` rows: literals
         known = F.array(*[F.struct(F.lit(c.cell).alias("cell"), F.lit(c.radius).alias("radius"))
                           for c in cells.select("cell", "radius").collect()])
         ranked = qs.select("*", F.inline(known))
     ranked = ranked.withColumn("_to", F.element_at("_pd", F.col("cell") + 1))
     own = ranked.groupBy(*keys, "query_id").agg(F.min_by("cell", F.struct("_to", "cell")).alias("cell"))
-    first = cut(search(qs.drop("_pd").join(own, [*keys, "query_id"])))
+    first = cut(search(join_keys(qs.drop("_pd"), own, [*keys, "query_id"])))
     if len(table) == 1:
         return _diverse(first, keys, k, per_day)
     best = _diverse(first, keys, k, per_day)
     limit = (best.groupBy(*keys, "query_id").agg(F.max("distance").alias("_far"), F.count(F.lit(1)).alias("_k"))
              .select(*keys, "query_id", F.when(F.col("_k") == k, F.col("_far")).alias("_limit")))
     # Pass two: every other cell whose ball can still hold a closer vector.
-    reach = ranked.join(limit, [*keys, "query_id"], "left").join(
-        own.withColumnRenamed("cell", "_own"), [*keys, "query_id"])
+    reach = join_keys(ranked, limit, [*keys, "query_id"], "left")
+    reach = join_keys(reach, own.withColumnRenamed("cell", "_own"), [*keys, "query_id"])
     slack = F.col("_limit") * (1 + 1e-9) + 1e-12
     other = reach.filter((F.col("cell") != F.col("_own"))
                          & (F.col("_limit").isNull() | (F.col("_to") - F.col("radius") <= slack)))
@@ -183,7 +184,7 @@ def blend_neighbors(neighbors: DataFrame, trajectories: DataFrame, keys: Sequenc
     """
     keys = list(keys)
     w = F.lit(1.0) / F.greatest("distance", F.lit(epsilon))
-    joined = neighbors.withColumn("_w", w).join(trajectories, [*keys, "item_id"])
+    joined = join_keys(neighbors.withColumn("_w", w), trajectories, [*keys, "item_id"])
     return joined.groupBy(*keys, "query_id", "horizon_minutes").agg(
         (F.sum(F.col("_w") * F.col("value")) / F.sum("_w")).alias("prediction"))
 

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegrid.functions.numeric import ratio
+from tidegrid.operators.sizing import join_keys
 from tidegrid.session import cut
 
 STEPS = 8        # level-one buckets per unit of log1p(|v|)
@@ -28,12 +29,6 @@ def _coarse(v: Column) -> Column:
     return F.when(F.isnan(v), F.lit(FARTHEST + 1).cast("bigint")).otherwise(bound)
 
 
-def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which NULL equals NULL; the keys appear once."""
-    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
-    return left.join(right, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys], how).drop(*[f"_right_{k}" for k in keys])
-
-
 def _fine(v: Column, low: Column, high: Column) -> Column:
     # Halved operands keep the width finite for any two doubles.
     width = high / 2 - low / 2

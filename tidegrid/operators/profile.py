@@ -10,7 +10,7 @@ from tidegrid.functions.numeric import ratio
 from tidegrid.functions.timeline import epoch_minutes, from_epoch_minutes
 from tidegrid.operators.chunks import adjacent
 from tidegrid.operators.ordering import quantile_columns
-from tidegrid.operators.sizing import lookup_join
+from tidegrid.operators.sizing import join_keys, lookup_join
 from tidegrid.session import cut
 
 
@@ -38,7 +38,7 @@ def column_profile(df: DataFrame, ts: str, columns: Sequence[str], huge: float =
                 .groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count")))
     named = {"q01": 0.01, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q99": 0.99}
     quant = quantile_columns(cells.filter(ok), ["column_name"], "value", named).drop("n_values")
-    out = base.join(distinct, ["column_name"], "left").join(quant, ["column_name"], "left")
+    out = join_keys(join_keys(base, distinct, ["column_name"], "left"), quant, ["column_name"], "left")
     count = F.coalesce("distinct_count", F.lit(0))
     return out.withColumns({"distinct_count": count, "all_empty": F.col("null_count") == F.col("row_count"),
                             "is_constant": (count + (F.col("null_count") > 0).cast("int")) <= 1})
@@ -118,7 +118,7 @@ def grid_audit(df: DataFrame, keys: Sequence[str], ts: str, shown: int = 20) ->
     points = ranked.select(*keys, F.explode(F.sequence(F.col("_first"), last, F.col("modal_step"))).alias("_m"))
     head = points.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list("_m")), 1, shown).alias("_list"))
     text = F.array_join(F.transform("_list", lambda m: F.date_format(from_epoch_minutes(m), "yyyy-MM-dd HH:mm")), "|")
-    return base.join(head.select(*keys, text.alias("first_missing")), keys, "left")
+    return join_keys(base, head.select(*keys, text.alias("first_missing")), keys, "left")
 
 
 def table_presence(tables: Mapping[str, DataFrame], key: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tidegrid.functions.horizons import expand_horizons, horizon_groups
 from tidegrid.functions.timeline import epoch_minutes, plus_minutes
 from tidegrid.operators.ordering import prefix_sums
-from tidegrid.operators.sizing import lookup_join
+from tidegrid.operators.sizing import join_keys, lookup_join
 from tidegrid.session import cut
 
 FOLD_SCHEMA = ("fold_id string, fold_order int, role string, train_end timestamp_ntz, "
@@ -95,7 +95,7 @@ def grouped_folds(df: DataFrame, day: str, label: str, k: int, seed: int) -> Dat
         "_h": F.xxhash64(F.col(day).cast("string"), F.lit(seed)), "n": F.lit(1)}))
     ranked = prefix_sums(days, ["_class"], "_h", ["n"]).select(
         "_class", "_h", F.pmod(F.col("n_below"), F.lit(k)).cast("int").alias("fold"))
-    return lookup_join(df, days.join(ranked, ["_class", "_h"]).select(day, "fold"), [day])
+    return lookup_join(df, join_keys(days, ranked, ["_class", "_h"]).select(day, "fold"), [day])
 
 
 def embargo_folds(episodes: DataFrame, fold: str, horizons: Sequence[int]) -> DataFrame:
@@ -149,7 +149,7 @@ def coverage(cells: DataFrame, labels: DataFrame, keys: Sequence[str], target: s
     wide = expand_horizons(cells, horizons).withColumn(
         "interval_start", plus_minutes("origin", F.col("horizon_minutes") - width))
     y = labels.select(*keys, F.col("ts").alias("interval_start"), F.col(target).alias("_y"))
-    return wide.join(y, [*keys, "interval_start"], "left").groupBy("fold_id").agg(
+    return join_keys(wide, y, [*keys, "interval_start"], "left").groupBy("fold_id").agg(
         F.count(F.lit(1)).alias("validation_cells"), F.count_if(F.col("_y").isNull()).alias("missing_labels"))
 
 
