@@ -92,7 +92,7 @@ def grouped_folds(df: DataFrame, day: str, label: str, k: int, seed: int) -> Dat
     Days are dealt out in the order of a seeded hash within their class, by their running count.
     """
     days = cut(df.groupBy(day).agg(F.max(label).alias("_class")).withColumns({
-        "_h": F.xxhash64(F.col(day).cast("string"), F.lit(seed)), "n": F.lit(1)}))
+        "_h": F.conv(F.substring(F.md5(F.concat(F.col(day).cast("string"), F.lit(f"/{seed}")).cast("binary")), 1, 13), 16, 10).cast("bigint"), "n": F.lit(1)}))
     ranked = prefix_sums(days, ["_class"], "_h", ["n"]).select(
         "_class", "_h", F.pmod(F.col("n_below"), F.lit(k)).cast("int").alias("fold"))
     return lookup_join(df, join_keys(days, ranked, ["_class", "_h"]).select(day, "fold"), [day])

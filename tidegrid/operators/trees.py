@@ -1,4 +1,4 @@
-"""MLlib estimators as backtest jobs: trees and logistic models over fold-keyed training tables."""
+"""MLlib tree estimators as backtest jobs over fold-keyed training tables."""
 
 from __future__ import annotations
 
@@ -6,9 +6,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
@@ -48,23 +46,3 @@ def importances(model, xs: Sequence[str], spark) -> DataFrame:
     used = dict(zip(model.stages[0].getInputCols(), model.stages[-1].featureImportances.toArray()))
     values = [used.get(x, 0.0) for x in xs]
     return spark.createDataFrame([(x, float(v)) for x, v in zip(xs, values)], "feature string, importance double")
-
-
-def logistic_model(train: DataFrame, xs: Sequence[str], y: str, weight: str | None = None, ridge: float = 0.01):
-    """Median imputation, standardisation and a logistic regression."""
-    scale = StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True, withStd=True)
-    fit = LogisticRegression(featuresCol="_scaled", labelCol=y, regParam=ridge, standardization=False, maxIter=100,
-                             probabilityCol="_probability")
-    if weight:
-        fit = fit.setWeightCol(weight)
-    return Pipeline(stages=[*_assembled(xs), scale, fit]).fit(train)
-
-
-def probabilities(model, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
-    return model.transform(rows).select(*keep, vector_to_array("_probability")[1].alias("probability"))
-
-
-def coefficients(model, xs: Sequence[str], spark) -> DataFrame:
-    """Coefficients on the standardised scale."""
-    values = model.stages[-1].coefficients.toArray()
-    return spark.createDataFrame([(x, float(v)) for x, v in zip(xs, values)], "feature string, coefficient double")

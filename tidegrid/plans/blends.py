@@ -96,13 +96,6 @@ def convex(spark, d):
     return p.withColumn("blended", F.when(F.col("target") == "target_part", mixed).otherwise(F.col("control")))
 
 
-@query("h6_soft_gate", f"{CELL_SPEC}, gated:d",
-       sql("SELECT p.*, control + h.probability * (candidate - control) AS gated FROM p JOIN hazard h ON h.series_id = p.series_id AND h.origin = p.origin", "forecasts", "hazard", **P))
-def soft(spark, d):
-    h = ev.hazard(spark, d).select(*KEYS, "origin", "probability")
-    return joins.pairs(spark, d).join(h, [*KEYS, "origin"]).withColumn("gated", blend.soft_gate(F.col("control"), F.col("candidate"), F.col("probability")))
-
-
 _PAST_SQL = "SELECT f.fold_id, p.series_id, extract('isodow' FROM p.ts) AS dow, extract('hour' FROM p.ts) AS hr, p.target_all FROM panel p JOIN folds f ON f.role = 'development' AND p.ts <= f.train_end"
 MIX_SQL = f"""SELECT c.*, coalesce(k.mean, k2.mean, k3.mean) AS climate, r.ratio, c.now AS tree, c.day_before AS proxy FROM cells c
 LEFT JOIN (SELECT fold_id, series_id, dow, hr, avg(target_all) AS mean FROM ({_PAST_SQL}) GROUP BY ALL) k
@@ -256,7 +249,10 @@ def second_stage(spark, d):
             .join(n.withColumnsRenamed({"fold_id": "validation_fold", "n": "validation_cells"}), "validation_fold"))
 
 
-@query("b6_day_grouped_folds", "fold:i, days:i, positives:i, rows:i")
+@query("b6_day_grouped_folds", "fold:i, days:i, positives:i, rows:i",
+       sql(f"""SELECT fold, count(DISTINCT day) AS days, sum(low) AS positives, count(*) AS rows FROM r JOIN (
+  SELECT day, (row_number() OVER (PARTITION BY c ORDER BY h) - 1) % 5 AS fold FROM (SELECT day, max(low) AS c, ('0x' || substr(md5(day || '/17'), 1, 13))::BIGINT AS h FROM r GROUP BY day)) USING (day) GROUP BY 1""", "ratios",
+           r=f"SELECT *, series_id || '/' || strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, CASE WHEN ratio < {ev.THRESHOLD} THEN 1 ELSE 0 END AS low FROM ratios WHERE ratio IS NOT NULL"))
 def day_folds(spark, d):
     """Days stay whole and both day classes spread evenly over the folds."""
     r = ev.ratios(spark, d).filter("ratio IS NOT NULL").withColumns({"day": F.concat_ws("/", "series_id", F.to_date("ts").cast("string")),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.plans import backtest, blends, contracts, joins, live, models, scans, scores, windows  # noqa: F401
+from tidegrid.plans import backtest, blends, contracts, joins, live, logistic, models, scans, scores, windows  # noqa: F401
 from tidegrid.plans.registry import QUERIES
 
 __all__ = ["QUERIES", "flagship"]

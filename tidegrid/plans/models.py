@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from tidegrid.functions import blend
 from tidegrid.functions.horizons import expand_horizons, interval_start
 from tidegrid.functions.timeline import on_grid, plus_minutes
-from tidegrid.operators import features, fits, intervals, metrics, reconcile, splits, trees
+from tidegrid.operators import features, fits, metrics, reconcile, splits, trees
 from tidegrid.operators.compare import union_forecasts
 from tidegrid.operators.sizing import lookup_join
-from tidegrid.plans import base, events_base as ev
+from tidegrid.plans import base
 from tidegrid.plans.base import DEVELOPMENT, HORIZONS, HOUR, KEYS, STEP, STRICT, STRICT_SPEC, TARGETS, sql
 from tidegrid.plans.registry import query
 from tidegrid.session import cut, stage
@@ -231,35 +231,6 @@ def importance(spark, d):
     return union_forecasts(trees.per_group([f.fold_id for f in DEVELOPMENT], job))
 
 
-def hazard_rows(spark, d):
-    feats = [*features.low_level_ratio("target_all", ev.SHORT_ROWS, ev.BASE_ROWS, ev.BASE_MIN, "ratio"), *features.window_delta("target_all", 6),
-             features.rolling("view", 24, "mean", 12)]
-    x = features.build_features(base.panel(spark, d), KEYS, "ts", HOUR, feats).filter("ratio IS NOT NULL")
-    x = x.select(*KEYS, F.col("ts").alias("origin"), "ratio", F.col("target_all__delta_6").alias("delta_6"), F.col("view__mean_24").alias("view_24"))
-    return intervals.next_event(x, ev.episodes(spark, d), KEYS, "origin", "episode_start", 720).withColumn(
-        "y", F.col("next_start").isNotNull().cast("double"))
-
-
-@query("m6_logistic_hazard", "rows:i, positive_rows:i, brier:d, roc_auc:d, average_precision:d")
-def hazard_model(spark, d):
-    """Episode-onset hazard: trained on origins whose outcome was known at the train end, scored later."""
-    x = cut(hazard_rows(spark, d))
-    end = F.lit(base.FOLDS[1].train_end).cast("timestamp_ntz")
-    xs = ["ratio", "delta_6", "view_24"]
-    model = trees.logistic_model(x.filter(plus_minutes("origin", 720) <= end), xs, "y")
-    p = trees.probabilities(model, x.filter(F.col("origin") > end), ["origin", "y"])
-    p = p.withColumns({"g": F.lit(0), "alert": (F.col("probability") >= 0.2).cast("int"), "y": F.col("y").cast("int")})
-    return metrics.binary_scores(cut(p), ["g"], "probability", "y", "alert")
-
-
-@query("m6_domain_similarity", "feature:s, coefficient:d")
-def domain(spark, d):
-    """Train-versus-test classifier; its standardised coefficients say what drifted."""
-    x = hazard_rows(spark, d).withColumn("is_test", (F.col("origin") > F.lit(base.FOLDS[2].train_end).cast("timestamp_ntz")).cast("double"))
-    xs = ["ratio", "delta_6", "view_24"]
-    return trees.coefficients(trees.logistic_model(cut(x), xs, "is_test"), xs, spark)
-
-
 @query("m8_two_stage", f"fold_id:s, {STRICT_SPEC}",
        sql(f"SELECT fold_id, {STRICT} FROM scored GROUP BY 1", *SUP_NEEDS, **SUP_SQL,
            t1="SELECT * FROM str WHERE now IS NOT NULL AND part_now IS NOT NULL", one=ols_sql("t1", FH, ["part_now", "now"], "part_actual"),
