@@ -169,3 +169,30 @@ def test_a_bad_value_is_forgotten_when_it_leaves_the_frame(minutes, rows, odd):
                 "std_samp": part.std(ddof=1) if len(part) > 1 else np.nan}
         for kind, value in want.items():
             assert got[kind][i] == pytest.approx(value, rel=1e-9, nan_ok=True), (kind, i)
+
+
+@pytest.mark.parametrize("rows", [1, 12, 72, 720])
+def test_sliding_order_statistics_equal_pandas(spark, rows):
+    from tidegrid.operators.features import build_features, level_vs_baseline, missing_fraction, rolling
+    rng = np.random.default_rng(rows)
+    n = 1500
+    values = np.round(rng.normal(0, 5, n), 1)
+    values[rng.random(n) < 0.1] = np.nan
+    values[[40, 41, 900]] = np.inf
+    times = pd.date_range("2025-01-01", periods=n, freq="min")
+    table = [(k, str(t), None if i % 17 == 0 else float(v)) for k in (None, "a") for i, (t, v) in enumerate(zip(times, values))]
+    df = spark.createDataFrame(table, "k string, t string, x double").select("k", F.col("t").cast("timestamp_ntz").alias("ts"), "x")
+    spec = [rolling("x", rows, kind, minimum=max(1, rows // 3), label=kind) for kind in ("median", "min", "max")]
+    spec += [rolling("x", rows, "median", 1, newest=-2, label="late"), missing_fraction("x", rows), level_vs_baseline("x", min(rows, 3), rows, 1)]
+    got = build_features(df, ["k"], "ts", 1, spec, chunk=800).toPandas()
+    series = pd.Series(np.where(np.arange(n) % 17 == 0, np.nan, np.where(np.isfinite(values), values, np.nan)))
+    frame = series.rolling(rows, min_periods=max(1, rows // 3))
+    recent = series.rolling(min(rows, 3), min_periods=min(rows, 3)).mean()
+    base = series.rolling(rows, min_periods=1).median()
+    want = {"median": frame.median(), "min": frame.min(), "max": frame.max(), "late": base.shift(2),
+            f"x__missing_fraction_{rows}": series.isna().astype(float).rolling(rows, min_periods=1).mean(),
+            f"x__level_vs_{rows}": recent / base.abs().clip(lower=1e-9) - 1}
+    for key in (None, "a"):
+        own = got[got.k.isna() if key is None else got.k == key].sort_values("ts")
+        for name, column in want.items():
+            np.testing.assert_allclose(own[name].to_numpy(float), column.to_numpy(float), rtol=1e-9, atol=1e-9, equal_nan=True, err_msg=f"{name} {key}")

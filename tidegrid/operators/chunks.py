@@ -50,13 +50,15 @@ def chunk_window(keys: Sequence[str], ts: str, *ties: str):
 
 
 def windowed(df: DataFrame, keys: Sequence[str], ts: str, stages: Sequence[Callable], *, back: int = 0,
-             ahead: int = 0, length: int | None = None) -> DataFrame:
+             ahead: int = 0, length: int | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Apply window stages in order; each stage maps a window spec to ``{name: Column}``.
 
     Later stages may read columns of earlier ones. ``back``/``ahead`` is the total reach of the
-    chained frames, in minutes. All stages share one exchange and one sort.
+    chained frames, in minutes. All stages share one exchange and one sort. ``prepare`` sees the chunks first.
     """
     out = with_halo(df, ts, back=back, ahead=ahead, length=length)
+    if prepare:
+        out = prepare(out)
     w = chunk_window(keys, ts)
     for stage in stages:
         out = out.select("*", *[c.alias(name) for name, c in stage(w).items()])

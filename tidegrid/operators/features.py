@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidegrid.functions.calendar import calendar_columns
-from tidegrid.operators.chunks import windowed
+from tidegrid.operators.chunks import CHUNK, windowed
 
 REGISTRY_SCHEMA = ("feature_name string, base_signal string, transform string, "
                    "source_offset_min_minutes int, source_offset_max_minutes int, causal boolean, "
@@ -30,43 +31,52 @@ class Feature:
     diagnostic: bool = False
     needs: tuple[Feature, ...] = ()
     hidden: bool = False
+    sliding: tuple[str, int, int] | None = None
 
 
 def _frame(w, first: int, last: int):
     return w.rowsBetween(first, last)
 
 
-def _guarded(value: str, frame, minimum: int, agg: Column) -> Column:
-    return F.when(F.count(value).over(frame) >= minimum, agg.over(frame))
-
-
 def lag(signal: str, rows: int) -> Feature:
     return Feature(f"{signal}__lag_{rows}", signal, "lag", -rows, -rows, lambda w: F.lag(signal, rows).over(w))
 
 
-def _blocks(signal: str, rows: int, stage: int) -> tuple[Feature, ...]:
-    """Count, sum, mean and squared deviation of a signal over the last 1, 2, 4, ... rows, each from two halves.
+def _finite(signal: str) -> Column:
+    """The signal as a double; NULL where it isn't finite: such a value counts as missing in every feature."""
+    x = F.col(signal).cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def _block(signal: str, measure: str, size: int) -> str:
+    return f"_{signal}__{measure}_{size}"
+
+
+_SPREAD = ("n", "mean", "m2")
+_FIRST = {"n": lambda x: F.when(x.isNotNull(), 1).otherwise(0), "sum": lambda x: F.coalesce(x, F.lit(0.0)), "min": lambda x: x, "max": lambda x: x,
+          "mean": lambda x: F.coalesce(x, F.lit(0.0)), "m2": lambda x: F.lit(0.0)}
+
+
+def _blocks(signal: str, rows: int, stage: int, measures: Sequence[str]) -> tuple[Feature, ...]:
+    """Measures of a signal over the last 1, 2, 4, ... rows, each from two halves; only those that a feature asks for.
 
     A frame of any length is a few of these blocks side by side, so a row costs the logarithm of the
     length instead of the length, and nothing is ever subtracted: a value that isn't finite counts as
-    missing, and one of any size is forgotten as soon as it leaves the frame.
+    missing, and one of any size is forgotten as soon as it leaves the frame. Features of one signal share
+    their blocks by name.
     """
-    hidden = lambda name, build, late: Feature(name, signal, "block", 0, 0, build, stage + late, hidden=True)
-    name = lambda c, size: f"_{signal}__{c}_{size}"
-    x = lambda: F.col(signal).cast("double")
-    fine = lambda: F.col(signal).isNotNull() & ~F.isnan(x()) & (F.abs(x()) != float("inf"))
-    out = [hidden(name("n", 1), lambda w: F.when(fine(), 1).otherwise(0), 0),
-           hidden(name("sum", 1), lambda w: F.when(fine(), x()).otherwise(0.0), 0),
-           hidden(name("mean", 1), lambda w: F.when(fine(), x()).otherwise(0.0), 0),
-           hidden(name("m2", 1), lambda w: F.lit(0.0), 0)]
+    hidden = lambda measure, size, build, late: Feature(_block(signal, measure, size), signal, "block", 0, 0, build, stage + late, hidden=True)
+    out = [hidden(c, 1, lambda w, c=c: _FIRST[c](_finite(signal)), 0) for c in measures]
     size, late = 1, 1
     while 2 * size <= rows:
-        for c in ("n", "sum", "mean", "m2"):
+        for c in measures:
             def build(w, c=c, size=size):
-                near = {k: F.col(name(k, size)) for k in ("n", "sum", "mean", "m2")}
-                far = {k: F.lag(name(k, size), size, 0).over(w) for k in near}
-                return _merge(near, far)[c]
-            out.append(hidden(name(c, 2 * size), build, late))
+                near = lambda k: F.col(_block(signal, k, size))
+                far = lambda k: F.lag(_block(signal, k, size), size, None if k in ("min", "max") else 0).over(w)
+                if c in ("mean", "m2"):
+                    return _merge({k: near(k) for k in _SPREAD}, {k: far(k) for k in _SPREAD})[c]
+                return {"n": near(c) + far(c), "sum": near(c) + far(c)}[c] if c in ("n", "sum") else (F.least if c == "min" else F.greatest)(near(c), far(c))
+            out.append(hidden(c, 2 * size, build, late))
         size, late = 2 * size, late + 1
     return tuple(out)
 
@@ -78,64 +88,109 @@ def _merge(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
     empty = (a["n"] == 0) | (b["n"] == 0)
     mean = F.when(a["n"] == 0, b["mean"]).when(b["n"] == 0, a["mean"]).otherwise(a["mean"] + apart * b["n"] / n)
     m2 = F.when(empty, a["m2"] + b["m2"]).otherwise(a["m2"] + b["m2"] + apart * apart * (a["n"] * b["n"] / n))
-    return {"n": n, "sum": a["sum"] + b["sum"], "mean": mean, "m2": m2}
+    return {"n": n, "mean": mean, "m2": m2}
+
+
+def _parts(signal: str, rows: int, newest: int, measures: Sequence[str], w) -> list[dict[str, Column]]:
+    """The blocks that make up a frame of ``rows`` rows ending at ``newest``."""
+    out, at, size = [], -newest, 1 << (rows.bit_length() - 1)
+    while rows:
+        if size <= rows:
+            out.append({c: F.lag(_block(signal, c, size), at, 0).over(w) if at else F.col(_block(signal, c, size)) for c in measures})
+            at, rows = at + size, rows - size
+        size //= 2
+    return out
+
+
+def _total(parts: list[dict[str, Column]], measure: str) -> Column:
+    return sum((p[measure] for p in parts[1:]), parts[0][measure])
 
 
 def _from_blocks(signal: str, rows: int, newest: int, kind: str, minimum: int) -> Callable[..., Column]:
     def build(w):
-        parts, at, size = [], -newest, 1 << (rows.bit_length() - 1)
-        left = rows
-        while left:
-            if size <= left:
-                own = {c: F.col(f"_{signal}__{c}_{size}") for c in ("n", "sum", "mean", "m2")}
-                parts.append({c: F.lag(v, at, 0).over(w) if at else v for c, v in own.items()})
-                at, left = at + size, left - size
-            size //= 2
-        n = sum((p["n"] for p in parts[1:]), parts[0]["n"])
-        total = sum((p["sum"] for p in parts[1:]), parts[0]["sum"])
-        if kind in ("mean", "sum"):
-            value = total / n if kind == "mean" else total
+        parts = _parts(signal, rows, newest, _MEASURES[kind], w)
+        n = _total(parts, "n")
+        if kind in ("min", "max"):
+            # Two blocks that overlap cover the frame.
+            size = 1 << (rows.bit_length() - 1)
+            ends = [F.lag(_block(signal, kind, size), at).over(w) if at else F.col(_block(signal, kind, size)) for at in {-newest, rows - size - newest}]
+            value = ends[0] if len(ends) == 1 else (F.least if kind == "min" else F.greatest)(*ends)
+        elif kind == "median":
+            value = F.col(_sliding_name(signal, rows, newest))
+        elif kind in ("mean", "sum"):
+            value = _total(parts, "sum") / n if kind == "mean" else _total(parts, "sum")
         else:
             # Deviations from the mean of the whole frame; parts of equal constant values add exactly 0.
-            mean = total / n
-            same = F.greatest(*[F.when(p["n"] > 0, p["mean"]) for p in parts]) == F.least(*[F.when(p["n"] > 0, p["mean"]) for p in parts]) if len(parts) > 1 else F.lit(True)
-            inner = sum((p["m2"] for p in parts[1:]), parts[0]["m2"])
-            outer = sum(((p["mean"] - mean) * (p["mean"] - mean) * p["n"] for p in parts[1:]), (parts[0]["mean"] - mean) * (parts[0]["mean"] - mean) * parts[0]["n"])
-            spread = inner + F.when(same, 0.0).otherwise(outer)
+            mean = _total(parts, "sum") / n
+            held = [F.when(p["n"] > 0, p["mean"]) for p in parts]
+            same = F.greatest(*held) == F.least(*held) if len(parts) > 1 else F.lit(True)
+            apart = [(p["mean"] - mean) * (p["mean"] - mean) * p["n"] for p in parts]
+            spread = _total(parts, "m2") + F.when(same, 0.0).otherwise(sum(apart[1:], apart[0]))
             value = F.sqrt(spread / n) if kind == "std_pop" else F.when(n > 1, F.sqrt(spread / (n - 1)))
         return F.when((n >= minimum) & (n > 0), value)
     return build
 
 
+_MEASURES = {"mean": ("n", "sum"), "sum": ("n", "sum"), "std_pop": ("n", "sum", "mean", "m2"), "std_samp": ("n", "sum", "mean", "m2"),
+             "min": ("n", "min"), "max": ("n", "max"), "median": ("n",)}
+
+
+def _sliding_name(signal: str, rows: int, newest: int) -> str:
+    return f"_{signal}__median_{rows}_{-newest}"
+
+
+def _sliding_median(signal: str, rows: int, newest: int) -> Feature:
+    """The exact median of the finite values of a frame; taken in one pass along each chunk before all windows."""
+    return Feature(_sliding_name(signal, rows, newest), signal, "sliding_median", newest - rows + 1, newest, lambda w: None, hidden=True, sliding=(signal, rows, newest))
+
+
+def sliding_medians(df: DataFrame, keys: Sequence[str], ts: str, wanted: Sequence[Feature]) -> DataFrame:
+    """Median columns of the chunks of ``with_halo``: one ordered pass each, a skip list per frame.
+
+    A row enters and leaves a sorted structure, so it costs the logarithm of the frame. Chunks are tasks of
+    bounded size, on the partitioning that the windows after it use.
+    """
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        table = table.sort_by(ts)
+        for f in wanted:
+            signal, rows, newest = f.sliding
+            x = table[signal].cast(pa.float64()).to_pandas()
+            x = x.where(np.isfinite(x)).rolling(rows, min_periods=1).median().shift(-newest)
+            table = table.append_column(f.name, pa.array(x, pa.float64(), from_pandas=True))
+        return table
+
+    schema = StructType([*df.schema, *(StructField(f.name, DoubleType()) for f in wanted)])
+    return df.groupBy(*keys, CHUNK).applyInArrow(run, schema)
+
+
 def rolling(signal: str, rows: int, kind: str, minimum: int | None = None, fraction: float | None = None,
             newest: int = 0, label: str | None = None, stage: int = 0) -> Feature:
     """Trailing ``mean``, ``std_pop``, ``std_samp``, ``min``, ``max``, ``sum`` or ``median`` of ``rows`` grid rows.
 
     Needs ``minimum`` observed values, or ``ceil(fraction * rows)``, or by default all of them. Values that
-    are not finite count as missing.
+    are not finite count as missing. No kind costs a row more than the logarithm of the frame's length.
     """
     if fraction is not None:
         minimum = math.ceil(fraction * rows)
     minimum = rows if minimum is None else minimum
-    first = newest - rows + 1
     name = label or f"{signal}__{kind}_{rows}"
-    if kind in ("mean", "std_pop", "std_samp", "sum"):
-        return Feature(name, signal, f"rolling_{kind}", first, newest, _from_blocks(signal, rows, newest, kind, minimum),
-                       stage + rows.bit_length(), needs=_blocks(signal, rows, stage))
-    agg = {"min": F.min, "max": F.max, "median": lambda c: F.percentile(c, F.lit(0.5))}[kind]
-
-    def build(w):
-        x = F.col(signal).cast("double")
-        fine = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.col(signal))
-        frame = _frame(w, first, newest)
-        return F.when(F.count(fine).over(frame) >= minimum, agg(fine).over(frame))
-    return Feature(name, signal, f"rolling_{kind}", first, newest, build, stage)
+    needs = _blocks(signal, rows, stage, _MEASURES[kind])
+    if kind == "median":
+        if stage:
+            raise ValueError("a sliding median is taken of a signal itself, not of another feature")
+        needs += (_sliding_median(signal, rows, newest),)
+    return Feature(name, signal, f"rolling_{kind}", newest - rows + 1, newest, _from_blocks(signal, rows, newest, kind, minimum), stage + rows.bit_length(), needs=needs)
 
 
 def missing_fraction(signal: str, rows: int) -> Feature:
-    gap = lambda: F.col(signal).isNull().cast("double")
-    return Feature(f"{signal}__missing_fraction_{rows}", signal, "missing_fraction", -rows + 1, 0,
-                   lambda w: F.avg(gap()).over(_frame(w, -rows + 1, 0)))
+    """Share of the last ``rows`` grid rows, or as many as there are, without a finite value."""
+    def build(w):
+        size = F.least(F.row_number().over(w), F.lit(rows))
+        return (size - _total(_parts(signal, rows, 0, ("n",), w), "n")) / size
+    return Feature(f"{signal}__missing_fraction_{rows}", signal, "missing_fraction", -rows + 1, 0, build, rows.bit_length(), needs=_blocks(signal, rows, 0, ("n",)))
 
 
 def difference(signal: str, rows: int) -> Feature:
@@ -166,13 +221,13 @@ def window_delta(signal: str, rows: int, floor: float = 1e-9) -> tuple[Feature,
 def level_vs_baseline(signal: str, recent_rows: int, baseline_rows: int, minimum: int,
                       floor: float = 1e-9) -> Feature:
     """Recent full-window mean over the rolling median of a long baseline, minus one."""
-    median = lambda w: _guarded(signal, _frame(w, -baseline_rows + 1, 0), minimum,
-                                F.percentile(signal, F.lit(0.5)))
-    recent = lambda w: _guarded(signal, _frame(w, -recent_rows + 1, 0), recent_rows, F.avg(signal))
+    recent, median = rolling(signal, recent_rows, "mean"), rolling(signal, baseline_rows, "median", minimum)
+
+    def build(w):
+        base = median.build(w)
+        return recent.build(w) / F.when(base.isNotNull(), F.greatest(F.abs(base), F.lit(floor))) - 1.0
     return Feature(f"{signal}__level_vs_{baseline_rows}", signal, "level_vs_baseline",
-                   -max(recent_rows, baseline_rows) + 1, 0,
-                   lambda w: recent(w) / F.when(median(w).isNotNull(),
-                                                F.greatest(F.abs(median(w)), F.lit(floor))) - 1.0)
+                   -max(recent_rows, baseline_rows) + 1, 0, build, max(recent.stage, median.stage), needs=(*recent.needs, *median.needs))
 
 
 def low_level_ratio(signal: str, short_rows: int, baseline_rows: int, minimum: int,
@@ -239,14 +294,16 @@ def build_features(df: DataFrame, keys: Sequence[str], ts: str, step: int, featu
 
     for f in features:
         visit(f)
-    plan = list(wanted.values())
+    ordered = [f for f in wanted.values() if f.sliding]
+    plan = [f for f in wanted.values() if not f.sliding]
     stages = sorted({f.stage for f in plan})
     # Chained frames add up; a feature of a late stage already states its whole reach.
-    reach = max((-f.oldest for f in plan), default=0) + sum(
+    reach = max((-f.oldest for f in wanted.values()), default=0) + sum(
         max((-f.oldest for f in plan if f.stage == s), default=0) for s in stages[:-1])
     build = [lambda w, s=s: {f.name: f.build(w) for f in plan if f.stage == s} for s in stages]
-    out = windowed(df, keys, ts, build, back=reach * step, length=chunk)
-    return out.drop(*[f.name for f in plan if f.hidden])
+    prepare = (lambda x: sliding_medians(x, keys, ts, ordered)) if ordered else None
+    out = windowed(df, keys, ts, build, back=reach * step, length=chunk, prepare=prepare)
+    return out.drop(*[f.name for f in wanted.values() if f.hidden])
 
 
 def registry(spark: SparkSession, features: Iterable[Feature], step: int, calendar: bool = False,
