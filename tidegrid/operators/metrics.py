@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegrid.functions.numeric import finite, ratio
 from tidegrid.functions.timeline import epoch_minutes
-from tidegrid.operators.ordering import average_precision, quantile_columns, rank_auc, spearman, weighted_median
+from tidegrid.operators.ordering import quantile_columns, ranking_scores, spearman_pairs, weighted_median
 from tidegrid.operators.sizing import join_keys, lookup_join
 
 METRICS = ("mape", "accuracy_1_minus_mape", "mae", "rmse", "valid_count", "zero_actual_count",
@@ -160,9 +160,8 @@ def binary_scores(df: DataFrame, keys: Sequence[str], probability: str, label: s
         F.avg(a.cast("double")).alias("alert_rate"),
         F.when(F.sum(a) > 0, F.sum(a * y) / F.sum(a)).alias("alert_precision"),
         F.when(F.sum(y) > 0, F.sum(a * y) / F.sum(y)).alias("alert_recall"))
-    ap = average_precision(df, keys, probability, label, "average_precision")
-    auc = rank_auc(df, keys, probability, label, "roc_auc").drop("positives", "negatives")
-    return (join_keys(join_keys(base, ap, keys, "left"), auc, keys, "left")
+    ranked = ranking_scores(df, keys, probability, label).drop("positives", "negatives")
+    return (join_keys(base, ranked, keys, "left")
             .withColumn("average_precision_lift", F.when(F.col("prevalence") > 0,
                                                          F.col("average_precision") / F.col("prevalence"))))
 
@@ -199,9 +198,10 @@ def pressure_relation(per_origin: DataFrame, block: str, score: str, residual: s
         frac(low).alias("low_score_fraction"),
         frac((F.col("high_zone") == 1) | (F.col("low_zone") == 1)).alias("boundary_zone_fraction"),
         spread.alias("high_minus_low_far_residual_pct"))
-    first = spearman(scoped, ["scope"], score, residual, "pressure_residual_spearman").drop("pair_count")
-    second = spearman(scoped, ["scope"], score, change, "pressure_target_change_spearman").drop("pair_count")
-    return join_keys(join_keys(base, first, ["scope"], "left"), second, ["scope"], "left")
+    named = {"pressure_residual_spearman": (score, residual), "pressure_target_change_spearman": (score, change)}
+    rho = spearman_pairs(scoped, ["scope"], list(named.values()))
+    wide = rho.groupBy("scope").agg(*[F.max(F.when(F.col("pair") == i, F.col("rho"))).alias(n) for i, n in enumerate(named)])
+    return join_keys(base, wide, ["scope"], "left")
 
 
 def trajectory_shape(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:

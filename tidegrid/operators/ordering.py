@@ -127,16 +127,20 @@ def average_rank(count: str = "n") -> Column:
     return F.col(f"{count}_below") + (F.col(count) + 1) / 2.0
 
 
-def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str) -> DataFrame:
-    """Rank correlation per group; fewer than three pairs or a constant side gives NULL."""
-    keys = list(keys)
-    pairs = (df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-             .filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-             .groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("n")))
-    pairs = cut(pairs)
-    rank = lambda c: prefix_sums(pairs, keys, c, ["n"]).select(
-        *keys, c, average_rank().alias(f"_r{c}"))
-    ranked = join_keys(join_keys(pairs, rank("_x"), [*keys, "_x"]), rank("_y"), [*keys, "_y"])
+def spearman_pairs(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``keys, pair, pair_count, rho``: rank correlations of several column pairs, all ranks from one ranking.
+
+    Both sides of all pairs are one labelled column of values, so their number adds rows and no passes. A row counts
+    for a pair in which it has both values; fewer than three of them or a constant side give NULL.
+    """
+    keys = [*keys, "pair"]
+    items = F.array(*[F.struct(F.lit(i).alias("pair"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) for i, (x, y) in enumerate(pairs)])
+    rows = df.select(*keys[:-1], F.inline(items)).filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    rows = cut(rows.groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("n")))
+    sides = F.array(*[F.struct(F.lit(c).alias("_side"), F.col(c).alias("_v")) for c in ("_x", "_y")])
+    ranks = cut(prefix_sums(rows.select(*keys, "n", F.inline(sides)), [*keys, "_side"], "_v", ["n"]).select(*keys, "_side", "_v", average_rank().alias("_r")))
+    rank = lambda c: ranks.filter(F.col("_side") == c).select(*keys, F.col("_v").alias(c), F.col("_r").alias(f"_r{c}"))
+    ranked = join_keys(join_keys(rows, rank("_x"), [*keys, "_x"]), rank("_y"), [*keys, "_y"])
     n, rx, ry = F.col("n"), F.col("_r_x"), F.col("_r_y")
     moments = ranked.groupBy(*keys).agg(
         F.sum("n").alias("_n"), F.sum(n * rx).alias("_sx"), F.sum(n * ry).alias("_sy"),
@@ -145,12 +149,20 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str) -> Da
     vx = F.col("_sxx") * m - F.col("_sx") * F.col("_sx")
     vy = F.col("_syy") * m - F.col("_sy") * F.col("_sy")
     rho = (F.col("_sxy") * m - F.col("_sx") * F.col("_sy")) / F.sqrt(vx * vy)
-    return moments.select(*keys, F.col("_n").alias("pair_count"),
-                          F.when((m >= 3) & (vx > 0) & (vy > 0), rho).alias(out))
+    return moments.select(*keys, F.col("_n").alias("pair_count"), F.when((m >= 3) & (vx > 0) & (vy > 0), rho).alias("rho"))
 
 
-def rank_auc(df: DataFrame, keys: Sequence[str], score: str, label: str, out: str) -> DataFrame:
-    """Probability that a positive outranks a negative, ties counted half."""
+def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str) -> DataFrame:
+    """Rank correlation of one pair per group."""
+    return spearman_pairs(df, keys, [(x, y)]).select(*keys, "pair_count", F.col("rho").alias(out))
+
+
+def ranking_scores(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
+    """``keys, roc_auc, average_precision, prevalence, positives, negatives`` from one ranking of the scores.
+
+    The AUC is the probability that a positive outranks a negative, ties counted half; the average precision sums,
+    over distinct scores, highest first, the gain in recall times the precision.
+    """
     keys = list(keys)
     flagged = (df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
                .select(*keys, F.col(score).alias("_s"), F.lit(1).alias("n"),
@@ -158,21 +170,18 @@ def rank_auc(df: DataFrame, keys: Sequence[str], score: str, label: str, out: st
     table = prefix_sums(flagged, keys, "_s", ["n", "pos"])
     p, q = F.max("pos_total"), F.max("n_total") - F.max("pos_total")
     auc = (F.sum(F.col("pos") * average_rank()) - p * (p + 1) / 2.0) / (p * q)
-    return table.groupBy(*keys).agg(F.when((p > 0) & (q > 0), auc).alias(out), p.alias("positives"),
-                                    q.alias("negatives"))
+    precision = (F.col("pos_total") - F.col("pos_below")) / (F.col("n_total") - F.col("n_below"))
+    return table.groupBy(*keys).agg(
+        F.when((p > 0) & (q > 0), auc).alias("roc_auc"), F.sum(ratio(F.col("pos"), F.col("pos_total")) * precision).alias("average_precision"),
+        (F.max("pos_total") / F.max("n_total")).alias("prevalence"), p.alias("positives"), q.alias("negatives"))
+
+
+def rank_auc(df: DataFrame, keys: Sequence[str], score: str, label: str, out: str) -> DataFrame:
+    return ranking_scores(df, keys, score, label).select(*keys, F.col("roc_auc").alias(out), "positives", "negatives")
 
 
 def average_precision(df: DataFrame, keys: Sequence[str], score: str, label: str, out: str) -> DataFrame:
-    """Sum over distinct scores, highest first, of recall gain times precision."""
-    keys = list(keys)
-    flagged = (df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-               .select(*keys, F.col(score).alias("_s"), F.lit(1).alias("n"),
-                       F.col(label).cast("int").alias("pos")))
-    table = prefix_sums(flagged, keys, "_s", ["n", "pos"])
-    precision = (F.col("pos_total") - F.col("pos_below")) / (F.col("n_total") - F.col("n_below"))
-    return table.groupBy(*keys).agg(
-        F.sum(ratio(F.col("pos"), F.col("pos_total")) * precision).alias(out),
-        (F.max("pos_total") / F.max("n_total")).alias("prevalence"))
+    return ranking_scores(df, keys, score, label).select(*keys, F.col("average_precision").alias(out), "prevalence")
 
 
 def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str, out: str) -> DataFrame:
