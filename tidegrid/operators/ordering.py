@@ -1,10 +1,11 @@
 """Exact order statistics of groups of any size, by one path.
 
-A group may hold a third of all rows, so no task sorts or holds a whole group. Equal values collapse first:
-the source is scanned once and its distinct values with their counts are written out. Those are spread over
-two levels of order-preserving buckets: level one is a fixed log scale, level two splits a bucket evenly
-between its own minimum and maximum. Bucket totals are map-side combined aggregates; running sums go over
-buckets, and only inside one fine bucket over values. Keys may be NULL and form a group of their own.
+A group may hold a third of all rows, so no task sorts or holds a whole group. Values are spread over two levels
+of order-preserving buckets: level one is a fixed log scale, level two splits a bucket evenly between its own
+minimum and maximum. Bucket totals are map-side combined aggregates; running sums go over buckets, and
+only inside one fine bucket over values. A quantile counts the buckets in a first pass and shuffles, in a second, only
+the distinct values of the few that hold a wanted rank, for all groups and probabilities at once; what needs
+every value's rank (AUC, correlations, weighted medians) collapses equal values first. Keys may be NULL and form a group of their own.
 Infinities order as usual; NaN, where it isn't left out, is larger than any other value.
 """
 
@@ -18,7 +19,7 @@ from tidegrid.functions.numeric import ratio
 from tidegrid.operators.sizing import join_keys
 from tidegrid.session import cut
 
-STEPS = 8        # level-one buckets per unit of log1p(|v|)
+STEPS = 64       # level-one buckets per unit of log1p(|v|): one holds a hundredth or so of a usual column
 SPLITS = 512     # level-two buckets inside one level-one bucket
 FARTHEST = 100_000   # beyond the level-one bucket of every finite double
 
@@ -41,8 +42,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     keys = list(keys)
     rows = (df.select(*keys, F.col(value).cast("double").alias("_v"))
             .filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
-    rows = cut(rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))).withColumn("_b1", _coarse(F.col("_v")))
-    level1 = rows.groupBy(*keys, "_b1").agg(F.sum("_n").alias("_c1"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    # Written without a shuffle: both passes must see the same rows, whatever the source recomputes.
+    rows = cut(rows).withColumn("_b1", _coarse(F.col("_v")))
+    level1 = rows.groupBy(*keys, "_b1").agg(F.count(F.lit(1)).alias("_c1"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     upto = Window.partitionBy(*keys).orderBy("_b1").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     level1 = level1.select("*", F.coalesce(F.sum("_c1").over(upto), F.lit(0)).alias("_o1"),
@@ -55,7 +57,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
                .filter((F.col("_r") >= F.col("_o1")) & (F.col("_r") < F.col("_o1") + F.col("_c1"))))
     targets = cut(targets)
 
-    inner = _split(rows, targets.select(*keys, "_b1", "_lo", "_hi").distinct(), keys)
+    # The second pass keeps only the buckets that hold a wanted rank, equal values collapsed before the shuffle.
+    near = join_keys(rows, targets.select(*keys, "_b1", "_lo", "_hi").distinct(), [*keys, "_b1"])
+    near = cut(near.groupBy(*keys, "_b1", "_lo", "_hi", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    inner = near.withColumn("_b2", _fine(F.col("_v"), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
     level2 = inner.groupBy(*keys, "_b1", "_b2").agg(F.sum("_n").alias("_c2"))
     upto2 = Window.partitionBy(*keys, "_b1").orderBy("_b2").rowsBetween(Window.unboundedPreceding, -1)
     level2 = level2.withColumn("_p2", F.coalesce(F.sum("_c2").over(upto2), F.lit(0)))
@@ -64,8 +69,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
               .filter((F.col("_r") >= F.col("_o2")) & (F.col("_r") < F.col("_o2") + F.col("_c2"))))
     wanted = cut(wanted.drop("_o1", "_p2", "_c2"))
 
-    last = _split(rows, wanted.select(*keys, "_b1", "_lo", "_hi").distinct(), keys)
-    last = join_keys(last, wanted.select(*keys, "_b1", "_b2").distinct(), [*keys, "_b1", "_b2"]).withColumnRenamed("_n", "_c3")
+    last = join_keys(inner, wanted.select(*keys, "_b1", "_b2").distinct(), [*keys, "_b1", "_b2"]).withColumnRenamed("_n", "_c3")
     upto3 = Window.partitionBy(*keys, "_b1", "_b2").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("_p3", F.coalesce(F.sum("_c3").over(upto3), F.lit(0)))
     hits = (join_keys(wanted.select(*keys, "_b1", "_b2", "_o2", "_r", "prob", "_spot", "n"), last, [*keys, "_b1", "_b2"])
@@ -79,12 +83,6 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
                     .otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * share).alias("quantile")))
 
 
-def _split(rows: DataFrame, buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of the given level-one buckets with their level-two bucket."""
-    return join_keys(rows, buckets, [*keys, "_b1"]).withColumn("_b2", _fine(F.col("_v"), F.col("_lo"), F.col("_hi"))).drop(
-        "_lo", "_hi")
-
-
 def quantile_columns(df: DataFrame, keys: Sequence[str], value: str, named: dict[str, float]) -> DataFrame:
     """One row per group, one column per named quantile."""
     long = quantiles(df, keys, value, sorted(set(named.values())))
