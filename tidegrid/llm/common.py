@@ -14,6 +14,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15 | 1
+PIECE = 1 << 20
 _POWERS = np.ones(1, np.uint64)
 
 
@@ -111,10 +112,31 @@ def runs(body: np.ndarray, starts: np.ndarray, apart: np.ndarray = SPACE, prefix
 
 
 def words(body: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and row of every word ``[^\\x20\\x09-\\x0D]+``, and each row's number of words."""
-    _, _, h, row = runs(body, starts)
+    """Hash and row of every word ``[^\\x20\\x09-\\x0D]+``, and each row's number of words.
+
+    Bytes are hashed in pieces of about ``PIECE``, cut between words, so that only the words themselves take
+    memory; a word's hash doesn't depend on where it stands.
+    """
+    parts = []
+    for a, b in _word_pieces(body, starts):
+        i, j = np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, b, "left")
+        _, _, h, row = runs(body[a:b], np.clip(starts[i : j + 1] - a, 0, b - a))
+        parts.append((h, (row + i).astype(np.int32)))
+    h, row = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
     return h, row, np.bincount(row, minlength=len(starts) - 1)
 
 
+def _word_pieces(body: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    a, n = 0, len(body)
+    while a < n:
+        b = min(a + PIECE, n)
+        border = int(starts[np.searchsorted(starts, b)]) if b < n else n
+        while b < border and not (gap := SPACE[body[b : b + 4096]]).any():
+            b = min(b + 4096, border)
+        b = min(b + int(gap.argmax()), border) if b < border else border
+        yield a, b
+        a = b
+
+
 def _inverse(n: int) -> np.uint64:
     return np.uint64(pow(int(BASE), -int(n), 1 << 64))

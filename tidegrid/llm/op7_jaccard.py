@@ -88,16 +88,16 @@ def describe(docs: DataFrame) -> DataFrame:
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches):
-        sketch = np.zeros(SLOTS, np.uint32)
+        sketch = np.zeros(SLOTS, np.uint8)  # what a task counts ends at 255
         for batch in slices(batches, "text"):
             sets = list(shingle_sets(batch["text"]))
-            every = np.concatenate(sets)
-            np.add.at(sketch, _slot(every), np.uint32(1))
+            met, times = np.unique(np.concatenate([_slot(v).astype(np.int32) for v in sets]), return_counts=True)
+            sketch[met] = np.minimum(sketch[met] + times, 255)
             rows = [(set_id(v), len(v), cells(v)) if len(v) else (None, 0, None) for v in sets]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(zip(*rows), types[1:4])), pa.nulls(len(rows), types[4]), pa.nulls(len(rows), types[5])], names)
         for part, counts in enumerate(sketch.reshape(PARTS, -1)):
             if counts.any():
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types[:4]), pa.array([part], types[4]), pa.array([zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)])], names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types[:4]), pa.array([part], types[4]), pa.array([zlib.compress(counts.tobytes(), 1)])], names)
 
     return cut(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, set bigint, n bigint, cells binary, part int, counts binary"))
 
@@ -156,7 +156,7 @@ def entries(docs: DataFrame, rank: np.ndarray, light: int, buckets: int) -> Data
 
     def run(batches):
         order, done = np.frombuffer(zlib.decompress(shared.value), np.uint8), set()
-        for batch in slices(batches, "text", 16 << 20):
+        for batch in slices(batches, "text"):
             keys, sets, sizes, ones = [], [], [], []
             for v in shingle_sets(batch["text"]):
                 n = len(v)
@@ -252,11 +252,12 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, known: DataFra
     shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(_bloom(ends), 1))
 
     def read(batches):
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(shared.value), np.uint8), bitorder="little").view(bool)
+        bits = np.frombuffer(zlib.decompress(shared.value), np.uint8)
         for batch in slices(batches, "text"):
             sets = list(shingle_sets(batch["text"]))
             own = np.array([set_id(v) if len(v) > 1 else 0 for v in sets], np.int64)
-            asked = bits[_bits(own, batch["doc_id"].fill_null(NO_ID).to_numpy())].all(0)
+            at = _bits(own, batch["doc_id"].fill_null(NO_ID).to_numpy())
+            asked = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(0)
             found = [(int(own[i]), sets[i].tobytes()) for i in np.flatnonzero(asked) if len(sets[i]) > 1]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.binary()))], ["set", "items"])
@@ -301,10 +302,11 @@ def _bits(sets: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def _bloom(ids: DataFrame) -> bytes:
     """A filter of fixed size over (set, first_id): what it lets through in error is only joined in vain."""
     def part(batches):
-        bits = np.zeros(BLOOM, bool)
+        bits = np.zeros(BLOOM // 8, np.uint8)
         for batch in batches:
-            bits[_bits(batch["set"].to_numpy(), batch["first_id"].fill_null(NO_ID).to_numpy()).ravel()] = True
-        yield pa.RecordBatch.from_pydict({"bits": [zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)]})
+            at = _bits(batch["set"].to_numpy(), batch["first_id"].fill_null(NO_ID).to_numpy()).ravel()
+            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_pydict({"bits": [zlib.compress(bits.tobytes(), 1)]})
 
     out = np.zeros(BLOOM // 8, np.uint8)
     def fold(batches):
