@@ -284,17 +284,17 @@ def cohorts(spark, d):
     return f.groupBy("cohort", "model").agg(F.count(F.lit(1)).alias("cells"), F.avg(F.when(a != 0, F.abs((p - a) / a))).alias("mape"))
 
 
-@query("b9_mature_library", "series_id:s, origin:t, steps:i, mean_future:d",
-       sql(f"""SELECT o.series_id, o.origin, count(*) AS steps, avg(y.target_all) AS mean_future FROM origins o CROSS JOIN horizons h JOIN labels y ON y.series_id = o.series_id
-  AND y.ts = o.origin + to_minutes(CAST(h.horizon_minutes - {STEP} AS BIGINT)) WHERE o.origin + INTERVAL '1380 minutes' <= TIMESTAMP '2024-01-24 23:00:00' AND (epoch(o.origin) // 60) % 480 = 0
-GROUP BY 1, 2 HAVING count(y.target_all) = 6""", "origins", "horizons", "labels"))
+@query("b9_mature_library", "fold_id:s, series_id:s, origin:t, steps:i, mean_future:d",
+       sql(f"""SELECT f.fold_id, o.series_id, o.origin, count(*) AS steps, avg(y.target_all) AS mean_future FROM origins o JOIN folds f ON f.role = 'development' AND o.origin + INTERVAL '1380 minutes' <= f.train_end CROSS JOIN horizons h JOIN labels y ON y.series_id = o.series_id
+  AND y.ts = o.origin + to_minutes(CAST(h.horizon_minutes - {STEP} AS BIGINT)) WHERE (epoch(o.origin) // 60) % 480 = 0
+GROUP BY 1, 2, 3 HAVING count(y.target_all) = 6""", "origins", "horizons", "labels", "folds"))
 def library(spark, d):
     o = base.origins(spark, d).select(*KEYS, "origin").filter(on_stride("origin", 480))
-    o = lab.mature_before(o, "origin", 1440, F.lit(base.FOLDS[2].train_end).cast("timestamp_ntz"), HOUR)
     cells = lab.supervised_long(o, base.labels(spark, d), KEYS, base.HORIZONS, "target_all", STEP, how="left")
     t = lab.complete_trajectories(lab.trajectories(cells, KEYS, base.HORIZONS))
     mean = F.aggregate("trajectory", F.lit(0.0), lambda a, v: a + v) / F.size("trajectory")
-    return t.select(*KEYS, "origin", F.size("trajectory").alias("steps"), mean.alias("mean_future"))
+    table = t.select(*KEYS, "origin", F.size("trajectory").alias("steps"), mean.alias("mean_future"))
+    return splits.explode_training(table, base.DEVELOPMENT, plus_minutes("origin", 1440 - HOUR))
 
 
 @query("b10_leave_episode_out", "episode_group:i, horizon_minutes:i, validation_start:t, validation_end:t, train_end:t, train_origins:i, validation_origins:i",

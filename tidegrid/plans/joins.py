@@ -8,12 +8,15 @@ from tidegrid.functions import horizons as hz
 from tidegrid.functions.timeline import epoch_minutes, floor_minutes, on_grid, plus_minutes
 from tidegrid.operators import checks, compare, fits, grid, intervals, labels as lab, metrics, neighbors as nn, profile, splits
 from tidegrid.operators import features
+from tidegrid.operators.sizing import join_keys, keyed_join
 from tidegrid.plans import base, events_base as ev
 from tidegrid.plans.base import HOUR, KEYS, STEP, sql
 from tidegrid.plans.registry import query
 from tidegrid.session import cut
 from tidegrid.sources import readers, reshape
 
+FOLD_KEYS = ["fold_id", *KEYS]
+
 
 def order_days(spark, d):
     """Daily order totals; sums as decimals so that equal days compare equal."""
@@ -256,30 +259,28 @@ ANALOG_SQL = {
     WINDOW a AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), b AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 11 PRECEDING AND 6 PRECEDING),
       c AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)
     QUALIFY ts = time_bucket(INTERVAL '240 minutes', ts, TIMESTAMP '1970-01-01')""",
-    "train": "SELECT * FROM feat WHERE origin + INTERVAL '1380 minutes' <= TIMESTAMP '2024-01-24 23:00:00'",
-    "center": "SELECT series_id, quantile_cont(now, 0.5) AS c1, quantile_cont(delta_6, 0.5) AS c2, quantile_cont(mean_24, 0.5) AS c3 FROM train GROUP BY 1",
-    "scale": """SELECT t.series_id, greatest(quantile_cont(coalesce(now, c1), 0.75) - quantile_cont(coalesce(now, c1), 0.25), 1e-6) AS s1,
+    "train": "SELECT f.fold_id, x.* FROM feat x JOIN folds f ON f.role = 'development' AND x.origin + INTERVAL '1380 minutes' <= f.train_end",
+    "center": "SELECT fold_id, series_id, quantile_cont(now, 0.5) AS c1, quantile_cont(delta_6, 0.5) AS c2, quantile_cont(mean_24, 0.5) AS c3 FROM train GROUP BY 1, 2",
+    "scale": """SELECT t.fold_id, t.series_id, greatest(quantile_cont(coalesce(now, c1), 0.75) - quantile_cont(coalesce(now, c1), 0.25), 1e-6) AS s1,
     greatest(quantile_cont(coalesce(delta_6, c2), 0.75) - quantile_cont(coalesce(delta_6, c2), 0.25), 1e-6) AS s2,
-    greatest(quantile_cont(coalesce(mean_24, c3), 0.75) - quantile_cont(coalesce(mean_24, c3), 0.25), 1e-6) AS s3 FROM train t JOIN center c ON c.series_id = t.series_id GROUP BY 1""",
-    "scaled": """SELECT f.series_id, f.origin, (coalesce(now, c1) - c1) / s1 AS now, (coalesce(delta_6, c2) - c2) / s2 AS delta_6, (coalesce(mean_24, c3) - c3) / s3 AS mean_24
-    FROM feat f JOIN center c ON c.series_id = f.series_id JOIN scale s ON s.series_id = f.series_id""",
-    "traj": f"""SELECT s.series_id, s.origin, h.horizon_minutes, y.target_all AS value FROM scaled s CROSS JOIN horizons h JOIN labels y ON y.series_id = s.series_id
+    greatest(quantile_cont(coalesce(mean_24, c3), 0.75) - quantile_cont(coalesce(mean_24, c3), 0.25), 1e-6) AS s3 FROM train t JOIN center c ON c.series_id = t.series_id AND c.fold_id = t.fold_id GROUP BY 1, 2""",
+    "scaled": """SELECT c.fold_id, f.series_id, f.origin, (coalesce(now, c1) - c1) / s1 AS now, (coalesce(delta_6, c2) - c2) / s2 AS delta_6, (coalesce(mean_24, c3) - c3) / s3 AS mean_24
+    FROM feat f JOIN center c ON c.series_id = f.series_id JOIN scale s ON s.series_id = f.series_id AND s.fold_id = c.fold_id""",
+    "traj": f"""SELECT s.series_id, s.origin, h.horizon_minutes, y.target_all AS value FROM feat s CROSS JOIN horizons h JOIN labels y ON y.series_id = s.series_id
     AND y.ts = s.origin + to_minutes(CAST(h.horizon_minutes - {STEP} AS BIGINT)) WHERE y.target_all IS NOT NULL""",
-    "lib": """SELECT s.* FROM scaled s WHERE s.origin + INTERVAL '1380 minutes' <= TIMESTAMP '2024-01-24 23:00:00'
+    "lib": """SELECT s.* FROM scaled s JOIN folds f ON f.fold_id = s.fold_id WHERE s.origin + INTERVAL '1380 minutes' <= f.train_end
     AND 6 = (SELECT count(*) FROM traj t WHERE t.series_id = s.series_id AND t.origin = s.origin)""",
-    "dist": """SELECT q.series_id, q.origin AS query_id, l.origin AS item_id, CAST(l.origin AS DATE) AS day,
+    "dist": """SELECT q.fold_id, q.series_id, q.origin AS query_id, l.origin AS item_id, CAST(l.origin AS DATE) AS day,
     sqrt(((l.now - q.now) * (l.now - q.now) + (l.delta_6 - q.delta_6) * (l.delta_6 - q.delta_6) + (l.mean_24 - q.mean_24) * (l.mean_24 - q.mean_24)) / 3.0) AS distance
-    FROM scaled q JOIN lib l ON l.series_id = q.series_id WHERE q.origin BETWEEN TIMESTAMP '2024-01-25 00:00:00' AND TIMESTAMP '2024-01-26 20:00:00'""",
-    "near": """SELECT *, row_number() OVER (PARTITION BY series_id, query_id ORDER BY distance, item_id) AS neighbor_rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY series_id, query_id, day ORDER BY distance, item_id) AS k FROM dist) WHERE k <= 2 QUALIFY neighbor_rank <= 8""",
+    FROM scaled q JOIN folds f ON f.fold_id = q.fold_id JOIN lib l ON l.series_id = q.series_id AND l.fold_id = q.fold_id WHERE q.origin BETWEEN f.validation_start AND f.validation_end""",
+    "near": """SELECT *, row_number() OVER (PARTITION BY fold_id, series_id, query_id ORDER BY distance, item_id) AS neighbor_rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY fold_id, series_id, query_id, day ORDER BY distance, item_id) AS k FROM dist) WHERE k <= 2 QUALIFY neighbor_rank <= 8""",
 }
-ANALOG_NEEDS = ("filled", "labels", "horizons")
+ANALOG_NEEDS = ("filled", "labels", "horizons", "folds")
 
 
 def analog_frame(spark, d):
-    """Origins with robust-scaled state features; the scaler sees only origins mature before the fold."""
-    fold = base.FOLDS[2]
-    end = F.lit(fold.train_end).cast("timestamp_ntz")
+    """Origins with robust-scaled state features, once per fold: its scaler sees only origins mature by its train end."""
     a, b = features.window_delta("target_all", 6)
     feats = [a, features.rolling("target_all", 24, "mean", 12)]
     rows = grid.forward_fill(base.panel(spark, d), KEYS, "ts", ["target_all"], 4, HOUR, "__now")
@@ -287,48 +288,51 @@ def analog_frame(spark, d):
     rows = rows.select(*KEYS, F.col("ts").alias("origin"), F.col("target_all__now").alias("now"),
                        F.col("target_all__delta_6").alias("delta_6"), F.col("target_all__mean_24").alias("mean_24"))
     rows = cut(rows)
-    train = lab.mature_before(rows, "origin", 1440, end, HOUR)
-    scaler = fits.robust_scaler(train.drop("origin"), KEYS, list(_FEATS))
-    return cut(fits.apply_scaler(rows, scaler, KEYS, list(_FEATS))), end, fold
+    train = splits.explode_training(rows, base.DEVELOPMENT, plus_minutes("origin", 1440 - HOUR))
+    scaler = cut(fits.robust_scaler(train.drop("origin"), FOLD_KEYS, list(_FEATS)))
+    each = rows.select("*", F.explode(F.array(*[F.lit(f.fold_id) for f in base.DEVELOPMENT])).alias("fold_id"))
+    # A site without mature origins before a fold has no scaler there, and no rows.
+    known = keyed_join(each, scaler.select(*FOLD_KEYS).distinct(), FOLD_KEYS, "left_semi")
+    return cut(fits.apply_scaler(known, scaler, FOLD_KEYS, list(_FEATS)))
 
 
 def analogs(spark, d):
-    """Neighbours of every validation origin of one fold, and the library's futures in long form."""
-    scaled, end, fold = analog_frame(spark, d)
-    cells = lab.supervised_long(scaled, base.labels(spark, d), KEYS, base.HORIZONS, "target_all", STEP)
+    """Neighbours of every validation origin in its fold's own library of mature origins, and the library's futures in long form."""
+    scaled = analog_frame(spark, d)
+    cells = lab.supervised_long(scaled.select(*KEYS, "origin").distinct(), base.labels(spark, d), KEYS, base.HORIZONS, "target_all", STEP)
     future = lab.complete_trajectories(lab.trajectories(cells, KEYS, base.HORIZONS))
-    library = lab.mature_before(scaled, "origin", 1440, end, HOUR).join(future, [*KEYS, "origin"])
-    library = cut(library.withColumns({"v": F.array(*_FEATS), "day": F.to_date("origin")}))
-    queries = scaled.filter(F.col("origin").between(F.lit(fold.validation_start).cast("timestamp_ntz"),
-                                                    F.lit(fold.validation_end).cast("timestamp_ntz"))).withColumn("v", F.array(*_FEATS))
-    near = nn.nearest_neighbors(queries, library, KEYS, query="origin", item="origin", vector="v", day="day", k=8, per_day=2)
+    ends = F.create_map(*[F.lit(v) for f in base.DEVELOPMENT for v in (f.fold_id, f.train_end)])
+    mature = scaled.filter(plus_minutes("origin", 1440 - HOUR) <= ends[F.col("fold_id")].cast("timestamp_ntz"))
+    library = cut(join_keys(mature, future, [*KEYS, "origin"]).withColumns({"v": F.array(*_FEATS), "day": F.to_date("origin")}))
+    queries = scaled.filter(F.col("fold_id") == splits.validation_fold("origin", base.DEVELOPMENT)).withColumn("v", F.array(*_FEATS))
+    near = nn.nearest_neighbors(queries, library, FOLD_KEYS, query="origin", item="origin", vector="v", day="day", k=8, per_day=2)
     horizon = F.array(*[F.lit(h) for h in base.HORIZONS])
-    long = library.select(*KEYS, F.col("origin").alias("item_id"), F.inline(F.arrays_zip(horizon.alias("horizon_minutes"),
-                          F.col("trajectory").alias("value")))).toDF(*KEYS, "item_id", "horizon_minutes", "value")
+    long = library.select(*FOLD_KEYS, F.col("origin").alias("item_id"), F.inline(F.arrays_zip(horizon.alias("horizon_minutes"),
+                          F.col("trajectory").alias("value")))).toDF(*FOLD_KEYS, "item_id", "horizon_minutes", "value")
     return near, long
 
 
-@query("m7_analog_forecast", "series_id:s, query_id:t, horizon_minutes:i, prediction:d",
-       sql("""SELECT n.series_id, n.query_id, t.horizon_minutes, sum(t.value / greatest(n.distance, 1e-6)) / sum(1.0 / greatest(n.distance, 1e-6)) AS prediction
-FROM near n JOIN traj t ON t.series_id = n.series_id AND t.origin = n.item_id GROUP BY 1, 2, 3""", *ANALOG_NEEDS, **ANALOG_SQL))
+@query("m7_analog_forecast", "fold_id:s, series_id:s, query_id:t, horizon_minutes:i, prediction:d",
+       sql("""SELECT n.fold_id, n.series_id, n.query_id, t.horizon_minutes, sum(t.value / greatest(n.distance, 1e-6)) / sum(1.0 / greatest(n.distance, 1e-6)) AS prediction
+FROM near n JOIN traj t ON t.series_id = n.series_id AND t.origin = n.item_id GROUP BY 1, 2, 3, 4""", *ANALOG_NEEDS, **ANALOG_SQL))
 def analog_forecast(spark, d):
     near, future = analogs(spark, d)
-    return nn.blend_neighbors(near, future, KEYS, 1e-6)
+    return nn.blend_neighbors(near, future, FOLD_KEYS, 1e-6)
 
 
-@query("t4_neighbor_diagnostics", "series_id:s, query_id:t, nearest_distance:d, mean_neighbor_distance:d, maximum_neighbor_distance:d, effective_neighbor_count:d, unique_source_days:i",
-       sql("""SELECT series_id, query_id, min(distance) AS nearest_distance, avg(distance) AS mean_neighbor_distance, max(distance) AS maximum_neighbor_distance,
+@query("t4_neighbor_diagnostics", "fold_id:s, series_id:s, query_id:t, nearest_distance:d, mean_neighbor_distance:d, maximum_neighbor_distance:d, effective_neighbor_count:d, unique_source_days:i",
+       sql("""SELECT fold_id, series_id, query_id, min(distance) AS nearest_distance, avg(distance) AS mean_neighbor_distance, max(distance) AS maximum_neighbor_distance,
   sum(1.0 / greatest(distance, 1e-6)) * sum(1.0 / greatest(distance, 1e-6)) / sum(1.0 / (greatest(distance, 1e-6) * greatest(distance, 1e-6))) AS effective_neighbor_count,
-  count(DISTINCT day) AS unique_source_days FROM near GROUP BY 1, 2""", *ANALOG_NEEDS, **ANALOG_SQL))
+  count(DISTINCT day) AS unique_source_days FROM near GROUP BY 1, 2, 3""", *ANALOG_NEEDS, **ANALOG_SQL))
 def neighbor_facts(spark, d):
     near, _ = analogs(spark, d)
-    return nn.neighbor_diagnostics(near, KEYS, 1e-6)
+    return nn.neighbor_diagnostics(near, FOLD_KEYS, 1e-6)
 
 
-@query("a29_robust_scaler", "series_id:s, origin:t, now:d, delta_6:d, mean_24:d",
+@query("a29_robust_scaler", "fold_id:s, series_id:s, origin:t, now:d, delta_6:d, mean_24:d",
        sql("SELECT * FROM scaled", *ANALOG_NEEDS, **{k: ANALOG_SQL[k] for k in ("feat", "train", "center", "scale", "scaled")}))
 def scaled_features(spark, d):
-    return analog_frame(spark, d)[0]
+    return analog_frame(spark, d)
 
 
 @query("h14_future_trajectories", "series_id:s, origin:t, steps:i, first_value:d, last_value:d, missing:i",
@@ -346,9 +350,9 @@ def future_paths(spark, d):
 
 
 PROFILE_SQL = {
-    "hist": "SELECT l.series_id, l.ts, l.target_all AS v, extract('isodow' FROM ts) - 1 AS dow, extract('hour' FROM ts) // 4 AS slot FROM labels l WHERE l.target_all IS NOT NULL AND ts + INTERVAL '180 minutes' <= TIMESTAMP '2024-01-24 23:00:00'",
-    "prof": """SELECT series_id, 'dow_slot' AS level, dow, slot, quantile_cont(v, 0.5) AS median FROM hist GROUP BY ALL UNION ALL
-    SELECT series_id, 'slot', -1, slot, quantile_cont(v, 0.5) FROM hist GROUP BY ALL UNION ALL SELECT series_id, 'overall', -1, -1, quantile_cont(v, 0.5) FROM hist GROUP BY ALL""",
+    "hist": "SELECT f.fold_id, l.series_id, l.ts, l.target_all AS v, extract('isodow' FROM ts) - 1 AS dow, extract('hour' FROM ts) // 4 AS slot FROM labels l JOIN folds f ON f.role = 'development' WHERE l.target_all IS NOT NULL AND ts + INTERVAL '180 minutes' <= f.train_end",
+    "prof": """SELECT fold_id, series_id, 'dow_slot' AS level, dow, slot, quantile_cont(v, 0.5) AS median FROM hist GROUP BY ALL UNION ALL
+    SELECT fold_id, series_id, 'slot', -1, slot, quantile_cont(v, 0.5) FROM hist GROUP BY ALL UNION ALL SELECT fold_id, series_id, 'overall', -1, -1, quantile_cont(v, 0.5) FROM hist GROUP BY ALL""",
 }
 
 
@@ -356,24 +360,25 @@ def slot(ts):
     return F.floor(F.hour(ts) / 4).cast("int")
 
 
-def profile_table(spark, d, end=base.FOLDS[2].train_end):
-    y = base.labels(spark, d).filter(plus_minutes("ts", STEP - HOUR) <= F.lit(end).cast("timestamp_ntz"))
-    return fits.fit_profile(y, KEYS, "ts", "target_all", slot("ts"))
+def profile_table(spark, d):
+    """Medians of every fold's own history: labels complete by its train end."""
+    y = splits.explode_training(base.labels(spark, d), base.DEVELOPMENT, plus_minutes("ts", STEP - HOUR))
+    return fits.fit_profile(y, FOLD_KEYS, "ts", "target_all", slot("ts"))
 
 
-@query("a13_calendar_profile", "series_id:s, level:s, dow:i, slot:i, median:d", sql("SELECT * FROM prof", "labels", **PROFILE_SQL))
+@query("a13_calendar_profile", "fold_id:s, series_id:s, level:s, dow:i, slot:i, median:d", sql("SELECT * FROM prof", "labels", "folds", **PROFILE_SQL))
 def calendar_profile(spark, d):
     return profile_table(spark, d)
 
 
-@query("j15_profile_lookup", "series_id:s, origin:t, horizon_minutes:i, prediction:d",
-       sql("""SELECT c.series_id, c.origin, c.horizon_minutes, coalesce(a.median, b.median, o.median) AS prediction FROM cells c
-LEFT JOIN prof a ON a.level = 'dow_slot' AND a.series_id = c.series_id AND a.dow = extract('isodow' FROM c.interval_start) - 1 AND a.slot = extract('hour' FROM c.interval_start) // 4
-LEFT JOIN prof b ON b.level = 'slot' AND b.series_id = c.series_id AND b.slot = extract('hour' FROM c.interval_start) // 4
-LEFT JOIN prof o ON o.level = 'overall' AND o.series_id = c.series_id WHERE c.fold_id = 'fold_3' AND c.target = 'target_all'""", "cells", **PROFILE_SQL))
+@query("j15_profile_lookup", "fold_id:s, series_id:s, origin:t, horizon_minutes:i, prediction:d",
+       sql("""SELECT c.fold_id, c.series_id, c.origin, c.horizon_minutes, coalesce(a.median, b.median, o.median) AS prediction FROM cells c
+LEFT JOIN prof a ON a.level = 'dow_slot' AND a.fold_id = c.fold_id AND a.series_id = c.series_id AND a.dow = extract('isodow' FROM c.interval_start) - 1 AND a.slot = extract('hour' FROM c.interval_start) // 4
+LEFT JOIN prof b ON b.level = 'slot' AND b.fold_id = c.fold_id AND b.series_id = c.series_id AND b.slot = extract('hour' FROM c.interval_start) // 4
+LEFT JOIN prof o ON o.level = 'overall' AND o.fold_id = c.fold_id AND o.series_id = c.series_id WHERE c.target = 'target_all'""", "cells", **PROFILE_SQL))
 def profile_lookup(spark, d):
-    c = base.cells(spark, d, ("target_all",)).filter("fold_id = 'fold_3'")
-    return fits.lookup_profile(c, profile_table(spark, d), KEYS, "interval_start", slot("interval_start"), "prediction")
+    c = base.cells(spark, d, ("target_all",))
+    return fits.lookup_profile(c, profile_table(spark, d), FOLD_KEYS, "interval_start", slot("interval_start"), "prediction")
 
 
 @query("j16_fine_origin_expansion", "series_id:s, ts:t, fine_horizon:i, horizon_minutes:i, prediction:d",

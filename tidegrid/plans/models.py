@@ -148,16 +148,18 @@ def coefficient_table(spark, d):
     return m.select("fold_id", "horizon_minutes", F.inline(items))
 
 
-@query("m4_linear_proxy", "series_id:s, ts:t, proxy:d",
-       sql("""SELECT p.series_id, p.ts, greatest(0.0, m.ey - m.b1 * m.e1 - m.b2 * m.e2 + m.b1 * p.view + m.b2 * p.click) AS proxy FROM panel p JOIN k m ON m.series_id = p.series_id WHERE p.view IS NOT NULL AND p.click IS NOT NULL""", "panel",
-           f="SELECT series_id, view AS x1, click AS x2, target_all AS y FROM panel WHERE ts <= TIMESTAMP '2024-01-18 23:00:00' AND view IS NOT NULL AND click IS NOT NULL AND target_all IS NOT NULL",
-           mo="SELECT series_id, avg(x1) AS e1, avg(x2) AS e2, avg(y) AS ey, covar_pop(x1, x1) AS c11, covar_pop(x2, x2) AS c22, covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1y, covar_pop(x2, y) AS c2y FROM f GROUP BY 1",
+@query("m4_linear_proxy", "fold_id:s, series_id:s, ts:t, proxy:d",
+       sql("""SELECT m.fold_id, p.series_id, p.ts, greatest(0.0, m.ey - m.b1 * m.e1 - m.b2 * m.e2 + m.b1 * p.view + m.b2 * p.click) AS proxy FROM panel p JOIN k m ON m.series_id = p.series_id WHERE p.view IS NOT NULL AND p.click IS NOT NULL""", "panel", "folds",
+           f="SELECT f.fold_id, series_id, view AS x1, click AS x2, target_all AS y FROM panel JOIN folds f ON f.role = 'development' AND ts <= f.train_end WHERE view IS NOT NULL AND click IS NOT NULL AND target_all IS NOT NULL",
+           mo="SELECT fold_id, series_id, avg(x1) AS e1, avg(x2) AS e2, avg(y) AS ey, covar_pop(x1, x1) AS c11, covar_pop(x2, x2) AS c22, covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1y, covar_pop(x2, y) AS c2y FROM f GROUP BY 1, 2",
            k="SELECT *, (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) AS b1, (c2y * c11 - c1y * c12) / (c11 * c22 - c12 * c12) AS b2 FROM mo"))
 def proxy(spark, d):
-    """Two-signal linear proxy of the total, fitted on history, floored at zero."""
-    p = base.panel(spark, d)
-    model = fits.fit_linear(p.filter(F.col("ts") <= F.lit(base.FOLDS[0].train_end).cast("timestamp_ntz")), KEYS, ["view", "click"], "target_all")
-    return fits.predict_linear(p.filter("view IS NOT NULL AND click IS NOT NULL"), model, KEYS, ["view", "click"], "proxy")
+    """Two-signal linear proxy of the total, fitted on every fold's own history, floored at zero."""
+    p = base.panel(spark, d).select(*KEYS, "ts", "view", "click", "target_all")
+    keys = ["fold_id", *KEYS]
+    model = cut(fits.fit_linear(splits.explode_training(p, DEVELOPMENT, F.col("ts")), keys, ["view", "click"], "target_all"))
+    rows = lookup_join(p.filter("view IS NOT NULL AND click IS NOT NULL"), model.select(*keys), KEYS)
+    return fits.predict_linear(rows, model, keys, ["view", "click"], "proxy")
 
 
 @query("m5_weighted_l1_proxy", "fit_rows:i, intercept:d, beta_view:d, beta_click:d, weighted_error:d, least_squares_error:d, not_worse:b")

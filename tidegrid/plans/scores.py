@@ -340,7 +340,7 @@ def origin_residuals(spark, d):
 
 def _pressure_scope(scope: str) -> str:
     return f"""SELECT {scope} AS scope, p.boundary_pressure_score AS s, r.far_r, r.change, p.high_zone, p.low_zone, CASE WHEN p.boundary_pressure_score >= 0.1 THEN 'high' WHEN p.boundary_pressure_score <= -0.1 THEN 'low' ELSE 'middle' END AS g
-  FROM rel r JOIN pressure p ON p.series_id = r.series_id AND p.ts = r.origin"""
+  FROM rel r JOIN pressure p ON p.fold_id = r.fold_id AND p.series_id = r.series_id AND p.ts = r.origin"""
 
 
 PRESSURE_SQL = {**windows.BOUNDARY_SQL, **RES_SQL, "sc": f"{_pressure_scope(chr(39) + 'pooled' + chr(39))} UNION ALL {_pressure_scope('r.fold_id')}",
@@ -351,14 +351,14 @@ PRESSURE_SQL = {**windows.BOUNDARY_SQL, **RES_SQL, "sc": f"{_pressure_scope(chr(
 
 
 def pressure_relation(spark, d):
-    score = windows.pressure(spark, d).select(*KEYS, F.col("ts").alias("origin"), "boundary_pressure_score", "high_zone", "low_zone")
-    x = cut(residuals(spark, d).join(score, [*KEYS, "origin"]))
+    score = windows.pressure(spark, d).select("fold_id", *KEYS, F.col("ts").alias("origin"), "boundary_pressure_score", "high_zone", "low_zone")
+    x = cut(residuals(spark, d).join(score, ["fold_id", *KEYS, "origin"]))
     group = F.when(F.col("boundary_pressure_score") >= 0.1, "high").when(F.col("boundary_pressure_score") <= -0.1, "low").otherwise("middle")
     return metrics.pressure_relation(x.withColumn("score_group", group), "fold_id", "boundary_pressure_score", "far_signed_percentage_residual", "far_minus_near_actual_ratio")
 
 
 @query("a25_pressure_relation", "scope:s, origin_count:i, high_score_fraction:d, low_score_fraction:d, boundary_zone_fraction:d, high_minus_low_far_residual_pct:d, pressure_residual_spearman:d, pressure_target_change_spearman:d",
-       sql("SELECT * FROM pr", "panel", "forecasts", **PRESSURE_SQL))
+       sql("SELECT * FROM pr", "panel", "forecasts", "folds", **PRESSURE_SQL))
 def pressure_table(spark, d):
     return pressure_relation(spark, d)
 
@@ -369,7 +369,7 @@ def pressure_table(spark, d):
   SELECT max(CASE WHEN scope = 'pooled' THEN pressure_residual_spearman END) AS rho, avg(CASE WHEN scope <> 'pooled' THEN CASE WHEN pressure_residual_spearman < 0 THEN 1.0 ELSE 0.0 END END) AS neg,
     max(CASE WHEN scope = 'pooled' THEN high_minus_low_far_residual_pct END) AS spread, avg(CASE WHEN scope <> 'pooled' THEN CASE WHEN high_minus_low_far_residual_pct < 0 THEN 1.0 ELSE 0.0 END END) AS nsp,
     max(CASE WHEN scope = 'pooled' THEN pressure_target_change_spearman END) AS chg, avg(CASE WHEN scope <> 'pooled' THEN CASE WHEN pressure_target_change_spearman < 0 THEN 1.0 ELSE 0.0 END END) AS nch,
-    min(CASE WHEN scope <> 'pooled' THEN least(high_score_fraction, low_score_fraction) END) AS ext FROM pr)""", "panel", "forecasts", **PRESSURE_SQL))
+    min(CASE WHEN scope <> 'pooled' THEN least(high_score_fraction, low_score_fraction) END) AS ext FROM pr)""", "panel", "forecasts", "folds", **PRESSURE_SQL))
 def inverse_gate(spark, d):
     return gates.inverse_gate(cut(pressure_relation(spark, d)), max_rho=0.0, max_positive_blocks=0.5, max_spread=0.0, max_change=0.0, min_extreme=0.05)
 

@@ -13,6 +13,7 @@ from tidegrid.plans.registry import query
 from tidegrid.session import cut
 
 W = "PARTITION BY series_id ORDER BY ts"
+FOLD_KEYS = ["fold_id", *KEYS]
 
 
 def _rows(n: int) -> str:
@@ -159,20 +160,23 @@ def boundary_frame(spark, d):
                        (F.col("view") - F.col("purchase")).alias("balance"))
 
 
+def fold_contracts(rows):
+    """Reference and zone quantiles per fold and site, from hours up to the fold's train end."""
+    history = splits.explode_training(rows, base.DEVELOPMENT, F.col("ts"))
+    return fits.boundary_contract(history.drop("ts"), FOLD_KEYS, "level", DELTAS, "balance", reference=(0.05, 0.95), zone=(0.2, 0.8), floor=1e-6)
+
+
 def pressure(spark, d):
-    """Boundary pressure score with the contract fitted per site on hours up to the first fold's train end."""
+    """Boundary pressure score of every site hour under every fold's own contract."""
     from tidegrid.operators.features import build_features
     rows = cut(boundary_frame(spark, d))
-    history = rows.filter(F.col("ts") <= F.lit(base.FOLDS[0].train_end).cast("timestamp_ntz"))
-    contract = fits.boundary_contract(history.drop("ts"), KEYS, "level", DELTAS, "balance", reference=(0.05, 0.95),
-                                      zone=(0.2, 0.8), floor=1e-6)
-    x = lookup_join(rows, contract, KEYS)
+    x = lookup_join(rows, fold_contracts(rows), KEYS)
     level = F.coalesce("level", "level_median")
     x = x.withColumns({"position": (level - F.col("reference_low")) / F.col("reference_span"),
                        "low_zone": (level <= F.col("zone_low")).cast("int"),
                        "high_zone": (level >= F.col("zone_high")).cast("int")})
-    x = build_features(x, KEYS, "ts", HOUR, [*features.dwell("high_zone", 6, "high_dwell"),
-                                             *features.dwell("low_zone", 6, "low_dwell")])
+    x = build_features(x, FOLD_KEYS, "ts", HOUR, [*features.dwell("high_zone", 6, "high_dwell"),
+                                                  *features.dwell("low_zone", 6, "low_dwell")])
     bound = lambda c: F.greatest(F.lit(-3.0), F.least(F.lit(3.0), c)) / 3.0
     speeds = [bound(F.coalesce(c, F.lit(0.0)) / F.col(f"{c}_scale")) for c in DELTAS]
     x = x.withColumns({"velocity_mean": (speeds[0] + speeds[1] + speeds[2]) / 3.0,
@@ -194,14 +198,14 @@ def _qdelta(k: int) -> str:
 
 BOUNDARY_SQL = {
     "frame": f"SELECT series_id, ts, target_all AS level, {_qdelta(2)}, {_qdelta(6)}, {_qdelta(12)}, view - purchase AS balance FROM panel",
-    "contract": f"""SELECT series_id, quantile_cont(level, 0.05) AS reference_low, quantile_cont(level, 0.2) AS zone_low, quantile_cont(level, 0.8) AS zone_high,
+    "contract": f"""SELECT fold_id, series_id, quantile_cont(level, 0.05) AS reference_low, quantile_cont(level, 0.2) AS zone_low, quantile_cont(level, 0.8) AS zone_high,
     quantile_cont(level, 0.95) AS reference_high, quantile_cont(level, 0.5) AS level_median, quantile_cont(balance, 0.5) AS balance_median,
     {', '.join(f"greatest(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 1e-6) AS {c}_scale" for c in ('delta_2', 'delta_6', 'delta_12', 'balance'))}
-    FROM frame WHERE ts <= TIMESTAMP '{base.FOLDS[0].train_end}' GROUP BY 1""",
+    FROM frame JOIN folds ON role = 'development' AND ts <= train_end GROUP BY 1, 2""",
     "zoned": """SELECT f.*, c.* EXCLUDE (series_id), coalesce(level, level_median) AS lev, (coalesce(level, level_median) - reference_low) / (reference_high - reference_low) AS position,
     CASE WHEN coalesce(level, level_median) <= zone_low THEN 1 ELSE 0 END AS low_zone, CASE WHEN coalesce(level, level_median) >= zone_high THEN 1 ELSE 0 END AS high_zone,
-    row_number() OVER (PARTITION BY f.series_id ORDER BY ts) AS rn FROM frame f JOIN contract c ON c.series_id = f.series_id""",
-    "dwelt": f"SELECT *, {_DWELL('high_zone')} AS high_dwell, {_DWELL('low_zone')} AS low_dwell FROM zoned",
+    row_number() OVER (PARTITION BY c.fold_id, f.series_id ORDER BY ts) AS rn FROM frame f JOIN contract c ON c.series_id = f.series_id""",
+    "dwelt": f"SELECT *, {_DWELL('high_zone')} AS high_dwell, {_DWELL('low_zone')} AS low_dwell FROM zoned".replace(W, f"PARTITION BY fold_id, {W.removeprefix('PARTITION BY ')}"),
     "parts": """SELECT *, (high_dwell - low_dwell) / 6.0 AS signed_dwell,
     (greatest(-3.0, least(3.0, coalesce(delta_2, 0) / delta_2_scale)) / 3.0 + greatest(-3.0, least(3.0, coalesce(delta_6, 0) / delta_6_scale)) / 3.0
      + greatest(-3.0, least(3.0, coalesce(delta_12, 0) / delta_12_scale)) / 3.0) / 3.0 AS velocity_mean,
@@ -211,18 +215,16 @@ BOUNDARY_SQL = {
 }
 
 
-@query("e15_boundary_pressure", "series_id:s, ts:t, position:d, low_zone:i, high_zone:i, signed_dwell:d, velocity_mean:d, balance_state:d, boundary_pressure_score:d",
-       sql("SELECT * FROM pressure", "panel", **BOUNDARY_SQL))
+@query("e15_boundary_pressure", "fold_id:s, series_id:s, ts:t, position:d, low_zone:i, high_zone:i, signed_dwell:d, velocity_mean:d, balance_state:d, boundary_pressure_score:d",
+       sql("SELECT * FROM pressure", "panel", "folds", **BOUNDARY_SQL))
 def boundary_pressure(spark, d):
     return pressure(spark, d)
 
 
-@query("a28_boundary_contract", "series_id:s, reference_low:d, zone_low:d, zone_high:d, reference_high:d, level_median:d, delta_2_scale:d, delta_6_scale:d, delta_12_scale:d, balance_median:d, balance_scale:d",
-       sql("SELECT * FROM contract", "panel", **{k: BOUNDARY_SQL[k] for k in ("frame", "contract")}))
+@query("a28_boundary_contract", "fold_id:s, series_id:s, reference_low:d, zone_low:d, zone_high:d, reference_high:d, level_median:d, delta_2_scale:d, delta_6_scale:d, delta_12_scale:d, balance_median:d, balance_scale:d",
+       sql("SELECT * FROM contract", "panel", "folds", **{k: BOUNDARY_SQL[k] for k in ("frame", "contract")}))
 def contract(spark, d):
-    rows = cut(boundary_frame(spark, d)).filter(F.col("ts") <= F.lit(base.FOLDS[0].train_end).cast("timestamp_ntz"))
-    return fits.boundary_contract(rows.drop("ts"), KEYS, "level", DELTAS, "balance", reference=(0.05, 0.95),
-                                  zone=(0.2, 0.8), floor=1e-6)
+    return fold_contracts(cut(boundary_frame(spark, d)))
 
 
 @query("e16_point_labels", "series_id:s, ts:t, total__lead_1:d, total__lead_24:d",
