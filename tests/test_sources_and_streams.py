@@ -71,14 +71,36 @@ def test_incomplete_interval_is_null_and_late_rows_are_dropped(spark, tmp_path):
     assert got == {"00:00": (3, 5.0), "00:15": (1, None), "02:00": (1, None), "03:00": (1, None)}
 
 
-def test_fill_and_dwell_state_crosses_micro_batches(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+@pytest.mark.parametrize("batches", [[[0, 1, 2, 3, 4, 5, 6, 7, 30]], [[0, 1], [2, 3], [4, 5], [6, 7], [30]], [[1, 0], [3, 5], [2, 7], [4, 6], [30]]])
+def test_fill_and_dwell_is_the_same_for_any_batches_and_order(spark, tmp_path, batches):
     schema = "series_id string, minute bigint, value double"
-    folder = str(tmp_path / "in")
-    values = [5.0, None, None, None, 9.0, 9.0, None, 1.0]
-    for n in range(4):
-        write_batch(spark, folder, [("s", 2 * n + i, values[2 * n + i]) for i in (0, 1)], schema, n)
-    out = streams.drain(spark, streams.fill_and_dwell(read_stream(spark, folder, schema), limit_minutes=2, step_minutes=1, zone_above=5.0, cap=3))
+    values = {**dict(enumerate([5.0, None, None, None, 9.0, 9.0, None, 1.0])), 30: 1.0}
+    for n, batch in enumerate(batches):
+        write_batch(spark, str(tmp_path / "in"), [("s", 1000 + m, values[m]) for m in batch], schema, n)
+    out = streams.drain(spark, streams.fill_and_dwell(read_stream(spark, str(tmp_path / "in"), schema), limit_minutes=2, step_minutes=1, zone_above=5.0, cap=3, delay="5 minutes"))
     rows = sorted((r.minute, r.filled, r.dwell, r.active) for r in out.collect())
     assert [r[1] for r in rows] == [5.0, 5.0, 5.0, None, 9.0, 9.0, 9.0, 1.0]
     assert [r[2] for r in rows] == [1, 2, 3, 0, 1, 2, 3, 0] and all(r[3] == 1 for r in rows)
+
+
+def test_rows_behind_the_watermark_are_dropped_and_dead_series_forgotten(spark, tmp_path):
+    schema = "series_id string, minute bigint, value double"
+    batches = [[("dead", 0, 7.0), ("live", 0, 7.0)], [("live", 100, 7.0)], [("live", 200, None), ("dead", 5, 9.0)], [("dead", 203, None), ("live", 203, None)], [("live", 400, 1.0)], [("live", 500, 1.0)]]
+    for n, batch in enumerate(batches):
+        write_batch(spark, str(tmp_path / "in"), [(k, 1000 + m, v) for k, m, v in batch], schema, n)
+    out = streams.drain(spark, streams.fill_and_dwell(read_stream(spark, str(tmp_path / "in"), schema), limit_minutes=1000, step_minutes=1, zone_above=5.0, cap=3, delay="5 minutes", ttl_minutes=150))
+    got = {(r.series_id, r.minute - 1000): (r.filled, r.active) for r in out.collect()}
+    assert ("dead", 5) not in got                      # late
+    assert got["live", 203] == (7.0, 1)                # kept alive by its rows
+    assert got["dead", 0] == (7.0, 1) and got["dead", 203] == (None, 0)   # its state ran out meanwhile
+
+
+@pytest.mark.parametrize("batches", [[[0, 1, 2, 9]], [[0], [1], [2], [9]], [[0], [2], [1], [9]]])
+def test_reconciliation_is_the_same_for_any_batches(spark, tmp_path, batches):
+    schema = "series_id string, origin bigint, target bigint, prediction double"
+    for n, batch in enumerate(batches):
+        write_batch(spark, str(tmp_path / "in"), [("s", 1000 + o, 1000 + t, float(10 * o + t)) for o in batch for t in (3, 4)], schema, n)
+    out = streams.drain(spark, streams.reconcile(read_stream(spark, str(tmp_path / "in"), schema), alpha=0.5, step_minutes=1, delay="3 minutes"))
+    got = {(r.origin - 1000, r.target - 1000): r.reconciled for r in out.collect()}
+    assert got == {(0, 3): 3.0, (1, 3): 8.0, (2, 3): 15.5, (0, 4): 4.0, (1, 4): 9.0, (2, 4): 16.5}
+

@@ -15,7 +15,7 @@ from tidegrid.streaming import streams
 def table_stream(spark, frame):
     """A written stage as a file stream: new files of the folder are new input."""
     path = frame.inputFiles()[0].rsplit("/", 1)[0]
-    return spark.readStream.schema(frame.schema).parquet(path)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", streams.FILES).parquet(path)
 
 
 @query("r1_stream_interval_means", "event_type:s, interval_start:t, samples:i, mean:d",
@@ -44,9 +44,17 @@ def unique_rows(spark, d):
     return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"), F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"))
 
 
+DELAY = "1 day"   # rows of one batch and the next may be that far out of order
+
+
+def in_time(df, at):
+    """Files in the order of time, so that no row is later than the delay when its batch comes."""
+    return df.repartitionByRange(16, at).sortWithinPartitions(at)
+
+
 def hourly_values(spark, d):
-    return stage(spark, d, "stream-values", lambda: base.panel(spark, d).select(
-        "series_id", epoch_minutes("ts").alias("minute"), F.col("purchase").alias("value")))
+    return stage(spark, d, "stream-values", lambda: in_time(base.panel(spark, d).select(
+        "series_id", epoch_minutes("ts").alias("minute"), F.col("purchase").alias("value")), "minute"))
 
 
 FILL_SQL = {
@@ -57,11 +65,10 @@ FILL_SQL = {
 
 
 @query("r4_stream_fill_and_dwell", "series_id:s, ts:t, filled:d, dwell:i, active:i",
-       sql("""SELECT series_id, ts, filled, least(6, rn - coalesce(max(CASE WHEN zone = 0 THEN rn END) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING), 0)) AS dwell, CASE WHEN active THEN 1 ELSE 0 END AS active FROM z""", "panel", **FILL_SQL))
+       sql("""SELECT series_id, ts, filled, least(6, rn - coalesce(max(CASE WHEN zone = 0 THEN rn END) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING), 0)) AS dwell, CASE WHEN active THEN 1 ELSE 0 END AS active FROM z QUALIFY ts <= max(ts) OVER () - INTERVAL '1 day'""", "panel", **FILL_SQL))
 def fill_dwell(spark, d):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
     s = table_stream(spark, hourly_values(spark, d))
-    out = streams.drain(spark, streams.fill_and_dwell(s, limit_minutes=4 * HOUR, step_minutes=HOUR, zone_above=40.0, cap=6))
+    out = streams.drain(spark, streams.fill_and_dwell(s, limit_minutes=4 * HOUR, step_minutes=HOUR, zone_above=40.0, cap=6, delay=DELAY))
     return out.withColumn("ts", from_epoch_minutes(F.col("minute")))
 
 
@@ -77,22 +84,21 @@ def episode_stream(spark, d):
 
 
 def persistence_stage(spark, d):
-    return stage(spark, d, "stream-forecasts", lambda: base.forecasts(spark, d).filter(
+    return stage(spark, d, "stream-forecasts", lambda: in_time(base.forecasts(spark, d).filter(
         "model = 'persistence' AND prediction IS NOT NULL").select(
         F.concat_ws("|", "series_id", "fold_id", "target").alias("series_id"), epoch_minutes("origin").alias("origin"),
-        (epoch_minutes("origin") + F.col("horizon_minutes")).alias("target"), "prediction"))
+        (epoch_minutes("origin") + F.col("horizon_minutes")).alias("target"), "prediction"), "origin"))
 
 
 @query("r6_stream_reconciliation", "series_id:s, origin:t, target_ts:t, prediction:d, reconciled:d",
-       "WITH RECURSIVE " + sql("SELECT series_id || '|' || fold_id || '|' || target AS series_id, origin, target_ts, prediction, reconciled FROM chain", "forecasts",
+       "WITH RECURSIVE " + sql("SELECT series_id || '|' || fold_id || '|' || target AS series_id, origin, target_ts, prediction, reconciled FROM chain QUALIFY origin <= max(origin) OVER () - INTERVAL '1 day'", "forecasts",
            f="""SELECT series_id, fold_id, target, origin, prediction, origin + to_minutes(CAST(horizon_minutes AS BIGINT)) AS target_ts FROM forecasts WHERE model = 'persistence' AND prediction IS NOT NULL""",
            linked="""SELECT f.*, p.origin IS NOT NULL AS has_previous FROM f LEFT JOIN f p ON p.series_id = f.series_id AND p.fold_id = f.fold_id AND p.target = f.target AND p.target_ts = f.target_ts AND p.origin = f.origin - INTERVAL '240 minutes'""",
            chain="""SELECT series_id, fold_id, target, origin, target_ts, prediction, prediction AS reconciled FROM linked WHERE NOT has_previous
     UNION ALL SELECT l.series_id, l.fold_id, l.target, l.origin, l.target_ts, l.prediction, 0.7 * l.prediction + 0.3 * c.reconciled FROM linked l JOIN chain c ON c.series_id = l.series_id AND c.fold_id = l.fold_id AND c.target = l.target
       AND c.target_ts = l.target_ts AND l.origin = c.origin + INTERVAL '240 minutes'""").removeprefix("WITH "))
 def reconcile_stream(spark, d):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
-    out = streams.drain(spark, streams.reconcile(table_stream(spark, persistence_stage(spark, d)), alpha=0.7, step_minutes=STEP))
+    out = streams.drain(spark, streams.reconcile(table_stream(spark, persistence_stage(spark, d)), alpha=0.7, step_minutes=STEP, delay=DELAY))
     return out.select("series_id", from_epoch_minutes(F.col("origin")).alias("origin"), from_epoch_minutes(F.col("target")).alias("target_ts"),
                       "prediction", "reconciled")
 
