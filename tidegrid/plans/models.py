@@ -9,7 +9,7 @@ from tidegrid.functions.horizons import expand_horizons, interval_start
 from tidegrid.functions.timeline import on_grid, plus_minutes
 from tidegrid.operators import features, fits, metrics, reconcile, splits, trees
 from tidegrid.operators.compare import union_forecasts
-from tidegrid.operators.sizing import lookup_join
+from tidegrid.operators.sizing import join_keys, lookup_join
 from tidegrid.plans import base
 from tidegrid.plans.base import DEVELOPMENT, HORIZONS, HOUR, KEYS, STEP, STRICT, STRICT_SPEC, TARGETS, sql
 from tidegrid.plans.registry import query
@@ -293,19 +293,25 @@ def rollout(spark, d):
     return long.join(actual, [*KEYS, "origin", "horizon_minutes"]).groupBy("fold_id", "horizon_minutes").agg(*metrics.strict_errors())
 
 
-@query("m10_hierarchical", f"model:s, {STRICT_SPEC}",
-       sql(f"""SELECT model, {STRICT} FROM (SELECT model, part_actual AS actual, greatest(0.0, least(total - other, 400.0, total)) AS prediction FROM (
-  SELECT t.model, t.prediction AS total, CASE t.model WHEN 'persistence' THEN t.prediction - p.prediction ELSE 0.8 * t.prediction END AS other, p.actual AS part_actual FROM forecasts t
-  JOIN forecasts p ON p.target = 'target_part' AND p.model = t.model AND p.series_id = t.series_id AND p.origin = t.origin AND p.horizon_minutes = t.horizon_minutes AND p.fold_id = t.fold_id WHERE t.target = 'target_all')
-  WHERE total IS NOT NULL AND other IS NOT NULL) GROUP BY 1""", "forecasts"))
+@query("m10_hierarchical", f"model:s, fold_id:s, {STRICT_SPEC}",
+       sql(f"SELECT model, fold_id, {STRICT} FROM scored GROUP BY 1, 2", *SUP_NEEDS, **SUP_SQL,
+           ht="SELECT *, now - part_now AS other_now, actual - part_actual AS other_actual FROM str WHERE now IS NOT NULL AND part_now IS NOT NULL AND part_actual IS NOT NULL",
+           hv="SELECT *, now - part_now AS other_now FROM sva WHERE now IS NOT NULL AND part_now IS NOT NULL AND part_actual IS NOT NULL",
+           fa=ols_sql("ht", FH, ["now"], "actual"), fo=ols_sql("ht", FH, ["other_now"], "other_actual"), fp=ols_sql("ht", FH, ["part_now"], "part_actual"),
+           paths=f"SELECT v.fold_id, v.part_actual, v.total, v.other, {linear_sql(['part_now'])} AS direct FROM (SELECT v.*, {linear_sql(['other_now'])} AS other FROM (SELECT v.*, {linear_sql(['now'])} AS total FROM {join_fh('hv', 'fa')}) v JOIN fo m USING (fold_id, horizon_minutes)) v JOIN fp m USING (fold_id, horizon_minutes)",
+           scored="SELECT 'derived' AS model, fold_id, part_actual AS actual, greatest(0.0, least(total - other, 400.0, total)) AS prediction FROM paths UNION ALL SELECT 'direct', fold_id, part_actual, direct FROM paths"))
 def hierarchical(spark, d):
-    """Part derived as total minus a forecast of the rest, against the part's own actual."""
-    from tidegrid.plans.joins import residual_cells
-    r = residual_cells(spark, d).filter("part_actual IS NOT NULL")
-    other = F.when(F.col("model") == "persistence", F.col("total") - F.col("part")).otherwise(F.col("total") * 0.8)
-    r = r.withColumn("other", other).filter("total IS NOT NULL AND other IS NOT NULL")
-    scored = r.select("model", F.col("part_actual").alias("actual"), blend.residual_part(F.col("total"), F.col("other"), 400.0).alias("prediction"))
-    return scored.groupBy("model").agg(*metrics.strict_errors())
+    """Part derived as a forecast of the total minus a forecast of the rest, beside a forecast of the part itself."""
+    x = cells(spark, d).filter("now IS NOT NULL AND part_now IS NOT NULL AND part_actual IS NOT NULL")
+    x = x.withColumns({"other_now": F.col("now") - F.col("part_now"), "other_actual": F.col("actual") - F.col("part_actual")})
+    keys = ["fold_id", "horizon_minutes"]
+    train, rows = cut(training(x)), validation(x)
+    for seen, wanted, out in (("now", "actual", "total"), ("other_now", "other_actual", "other"), ("part_now", "part_actual", "direct")):
+        rows = fits.predict_linear(rows, fits.fit_linear(train, keys, [seen], wanted), keys, [seen], out)
+    derived = blend.residual_part(F.col("total"), F.col("other"), 400.0)
+    models = F.array(F.struct(F.lit("derived").alias("model"), derived.alias("prediction")), F.struct(F.lit("direct").alias("model"), F.col("direct").alias("prediction")))
+    scored = rows.select("fold_id", F.col("part_actual").alias("actual"), F.inline(models))
+    return scored.groupBy("model", "fold_id").agg(*metrics.strict_errors())
 
 
 VARIANTS = {"control": ["now"], "with_level": ["now", "mean_24"], "with_trend": ["now", "delta_6"], "with_season": ["now", "day_before"]}
@@ -334,30 +340,39 @@ def ablation(spark, d):
     return union_forecasts(parts).groupBy("variant", "fold_id").agg(*metrics.strict_errors())
 
 
-@query("m12_label_definition_grid", f"train_label:s, scored_label:s, {STRICT_SPEC}",
-       sql(f"SELECT train_label, scored_label, {STRICT} FROM u GROUP BY 1, 2", *SUP_NEEDS, "panel", **SUP_SQL,
+PROXY_SHARE = 0.3
+
+
+@query("m12_label_definition_grid", f"model_label:s, proxy_label:s, {STRICT_SPEC}",
+       sql(f"SELECT model_label, proxy_label, {STRICT} FROM u GROUP BY 1, 2", *SUP_NEEDS, "panel", **SUP_SQL,
            pt="SELECT s.*, p.target_all AS point FROM sup s LEFT JOIN panel p ON p.series_id = s.series_id AND p.ts = s.target_ts WHERE s.now IS NOT NULL",
            ti="SELECT f.fold_id, p.* FROM pt p JOIN folds f ON f.role = 'development' AND p.label_end <= f.train_end",
            tp="SELECT f.fold_id, p.* FROM pt p JOIN folds f ON f.role = 'development' AND p.target_ts <= f.train_end",
-           vp="SELECT f.fold_id, p.* FROM pt p JOIN folds f ON f.role = 'development' AND p.origin BETWEEN f.validation_start AND f.validation_end",
+           xp="SELECT f.fold_id, p.series_id, p.view, p.click, p.target_all AS y FROM panel p JOIN folds f ON f.role = 'development' AND p.ts <= f.train_end",
+           xi="SELECT f.fold_id, p.series_id, p.view, p.click, l.target_all AS y FROM panel p JOIN labels l ON l.series_id = p.series_id AND l.ts = p.ts JOIN folds f ON f.role = 'development' AND p.ts + INTERVAL '180 minutes' <= f.train_end",
            mi=ols_sql("ti", FH, ["now"], "actual"), mp=ols_sql("tp", FH, ["now"], "point"),
-           g=f"SELECT 'interval' AS train_label, {linear_sql(['now'])} AS prediction, v.actual AS interval_value, v.point FROM {join_fh('vp', 'mi')} UNION ALL SELECT 'point', {linear_sql(['now'])}, v.actual, v.point FROM {join_fh('vp', 'mp')}",
-           u="SELECT train_label, 'interval' AS scored_label, prediction, interval_value AS actual FROM g UNION ALL SELECT train_label, 'point', prediction, point FROM g"))
+           ki=ols_sql("xi", "fold_id, series_id", ["view", "click"], "y"), kp=ols_sql("xp", "fold_id, series_id", ["view", "click"], "y"),
+           vp="SELECT f.fold_id, s.*, p.view, p.click FROM pt s JOIN folds f ON f.role = 'development' AND s.origin BETWEEN f.validation_start AND f.validation_end LEFT JOIN panel p ON p.series_id = s.series_id AND p.ts = s.origin",
+           trees=f"SELECT v.*, 'interval' AS model_label, {linear_sql(['now'])} AS tree FROM {join_fh('vp', 'mi')} UNION ALL SELECT v.*, 'point', {linear_sql(['now'])} FROM {join_fh('vp', 'mp')}",
+           u=f"""SELECT v.model_label, 'interval' AS proxy_label, v.actual, {1 - PROXY_SHARE} * v.tree + {PROXY_SHARE} * {linear_sql(['view', 'click'])} AS prediction FROM trees v JOIN ki m ON m.fold_id = v.fold_id AND m.series_id = v.series_id WHERE v.view IS NOT NULL AND v.click IS NOT NULL
+  UNION ALL SELECT v.model_label, 'point', v.actual, {1 - PROXY_SHARE} * v.tree + {PROXY_SHARE} * {linear_sql(['view', 'click'])} FROM trees v JOIN kp m ON m.fold_id = v.fold_id AND m.series_id = v.series_id WHERE v.view IS NOT NULL AND v.click IS NOT NULL"""))
 def label_grid(spark, d):
-    """Fitted on interval or point labels, scored on interval or point labels."""
+    """Model and two-signal proxy each fitted on interval or point labels, blended, scored on the interval label."""
     x = cells(spark, d).filter("now IS NOT NULL").withColumn("target_ts", plus_minutes("origin", F.col("horizon_minutes")))
-    point = base.panel(spark, d).select(*KEYS, F.col("ts").alias("target_ts"), F.col("target_all").alias("point"))
-    x = cut(x.join(point, [*KEYS, "target_ts"], "left").withColumn("interval", F.col("actual")))
-    keys = ["fold_id", "horizon_minutes"]
+    panel = cut(base.panel(spark, d).select(*KEYS, "ts", "view", "click", "target_all"))
+    point = panel.select(*KEYS, F.col("ts").alias("target_ts"), F.col("target_all").alias("point"))
+    x = cut(join_keys(x, point, [*KEYS, "target_ts"], "left"))
+    keys, site, signals, kinds = ["fold_id", "horizon_minutes"], ["fold_id", *KEYS], ["view", "click"], ("interval", "point")
     # A point label is known at its own moment, an interval label one sample before the horizon ends.
-    known = {"interval": F.col("label_end"), "point": F.col("target_ts")}
-    parts = []
-    for fitted, at in known.items():
-        train = splits.explode_training(x, DEVELOPMENT, at)
-        scored = fits.predict_linear(validation(x), fits.fit_linear(train, keys, ["now"], fitted), keys, ["now"], "prediction")
-        parts.append(scored.select(F.lit(fitted).alias("train_label"), "prediction",
-                                   F.expr("stack(2, 'interval', interval, 'point', point) AS (scored_label, actual)")))
-    return union_forecasts(parts).groupBy("train_label", "scored_label").agg(*metrics.strict_errors())
+    rows = validation(x)
+    for kind, label, at in zip(kinds, ("actual", "point"), ("label_end", "target_ts")):
+        rows = fits.predict_linear(rows, fits.fit_linear(splits.explode_training(x, DEVELOPMENT, F.col(at)), keys, ["now"], label), keys, ["now"], f"model_{kind}")
+    rows = join_keys(rows, panel.select(*KEYS, F.col("ts").alias("origin"), *signals), [*KEYS, "origin"]).filter("view IS NOT NULL AND click IS NOT NULL")
+    interval = join_keys(panel.drop("target_all"), base.labels(spark, d).select(*KEYS, "ts", "target_all"), [*KEYS, "ts"])
+    for kind, history, at in zip(kinds, (interval, panel), (plus_minutes("ts", STEP - HOUR), F.col("ts"))):
+        rows = fits.predict_linear(rows, fits.fit_linear(splits.explode_training(history, DEVELOPMENT, at), site, signals, "target_all"), site, signals, f"proxy_{kind}")
+    items = F.array(*[F.struct(F.lit(a).alias("model_label"), F.lit(b).alias("proxy_label"), (F.col(f"model_{a}") * (1 - PROXY_SHARE) + F.col(f"proxy_{b}") * PROXY_SHARE).alias("prediction")) for a in kinds for b in kinds])
+    return rows.select("actual", F.inline(items)).groupBy("model_label", "proxy_label").agg(*metrics.strict_errors())
 
 
 COLUMN_SETS = {"reduced": ["now"], "restored": ["now", "view_24", "click_24"]}
