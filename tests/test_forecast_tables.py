@@ -225,3 +225,15 @@ def test_optimal_scale_minimises_relative_error(frame):
     scale = metrics.optimal_scale(df, ["g"], "actual", "prediction", "scale").first().scale
     cost = lambda s: np.mean(np.abs(s * p - a) / a)
     assert cost(scale) <= min(cost(s) for s in np.linspace(0.05, 5, 3000)) + 1e-9 and not math.isnan(scale)
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_least_squares_far_from_zero_keeps_its_digits(spark, weight):
+    from tidegrid.operators import fits
+    dice = np.random.default_rng(4)
+    z, w = dice.normal(size=2000), dice.uniform(0.5, 2, 2000)
+    rows = [(str(i % 2), float(1e9 + v), float(3 * v - 7), float(k)) for i, (v, k) in enumerate(zip(z, w))]
+    df = spark.createDataFrame(rows, "g string, x double, y double, w double")
+    for r in fits.fit_linear(df, ["g"], ["x"], "y", weight).collect():
+        assert r.beta_x == pytest.approx(3, rel=1e-6)
+        assert r.intercept + r.beta_x * 1e9 == pytest.approx(-7, abs=1e-5)

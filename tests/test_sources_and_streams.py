@@ -30,6 +30,25 @@ def test_versions_and_registry_refuse_repeats(spark, tmp_path):
         sinks.append_runs(spark, path, df)
 
 
+def test_of_two_writers_with_one_run_id_one_is_refused(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    path = str(tmp_path / "registry")
+
+    def write(n):
+        try:
+            return sinks.append_runs(spark, path, spark.createDataFrame([(f"own{n}", float(n)), ("same", float(n))], "run_id string, mape double")) and n
+        except ValueError as e:
+            return str(e)
+
+    with ThreadPoolExecutor(2) as pool:
+        said = list(pool.map(write, [1, 2]))
+    won = [n for n in said if isinstance(n, int)]
+    assert len(won) == 1 and any("same" in str(x) for x in said)
+    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {(f"own{won[0]}", float(won[0])), ("same", float(won[0]))}
+    lost = 3 - won[0]   # what the refused writer had claimed is free again
+    assert sinks.append_runs(spark, path, spark.createDataFrame([(f"own{lost}", 0.0)], "run_id string, mape double")).count() == 3
+
+
 def test_fingerprint_ignores_order_and_sees_changes(spark):
     df = spark.range(1000).withColumn("v", F.col("id") * 1.5)
     first = readers.table_fingerprint(df).first()

@@ -14,12 +14,24 @@ from tidegrid.session import cut
 
 
 def gram_sums(df: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str, weight: str | None = None) -> DataFrame:
-    """Weighted moments per group as one array: map-side combined, one row per group."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    cols = [F.lit(1.0), *[F.col(x) for x in xs], F.col(y)]
-    terms = [F.sum(w * cols[i] * cols[j]) for i in range(len(cols)) for j in range(i, len(cols))]
-    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*xs, y]])
-    return df.filter(complete).groupBy(*keys).agg(F.array(*terms).alias("_gram"), F.count(F.lit(1)).alias("fit_rows"))
+    """Means and centred second moments per group, map-side combined: ``keys, _means, _covs, fit_rows``.
+
+    Partial moments are merged around their own means, so a column far from zero keeps its digits. Weighted
+    moments take the weighted means first and centre on them in a second pass.
+    """
+    keys, cols = list(keys), [*xs, y]
+    complete = df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    x = lambda i: F.col(cols[i]).cast("double")
+    count = F.count(F.lit(1)).alias("fit_rows")
+    if weight is None:
+        return complete.groupBy(*keys).agg(F.array(*[F.avg(x(i)) for i in range(len(cols))]).alias("_means"),
+                                           F.array(*[F.var_pop(x(i)) if i == j else F.covar_pop(x(i), x(j)) for i, j in pairs]).alias("_covs"), count)
+    w = F.col(weight)
+    means = complete.groupBy(*keys).agg(F.array(*[F.sum(w * x(i)) / F.sum(w) for i in range(len(cols))]).alias("_means"))
+    apart = lambda i: x(i) - F.element_at("_means", i + 1)
+    return lookup_join(complete, means, keys).groupBy(*keys).agg(
+        F.first("_means").alias("_means"), F.array(*[F.sum(w * apart(i) * apart(j)) / F.sum(w) for i, j in pairs]).alias("_covs"), count)
 
 
 def solve_grams(grams: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> DataFrame:
@@ -32,26 +44,23 @@ def solve_grams(grams: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> Dat
         import numpy as np
         for pdf in batches:
             rows = []
-            for g in pdf["_gram"]:
-                m = np.zeros((p + 2, p + 2))
-                m[np.triu_indices(p + 2)] = np.asarray(g, dtype=float)
+            for means, covs in zip(pdf["_means"], pdf["_covs"]):
+                m = np.zeros((p + 1, p + 1))
+                m[np.triu_indices(p + 1)] = np.asarray(covs, dtype=float)
                 m = m + np.triu(m, 1).T
-                n = m[0, 0]
-                mean_x, mean_y = m[0, 1:p + 1] / n, m[0, p + 1] / n
-                cov = m[1:p + 1, 1:p + 1] / n - np.outer(mean_x, mean_x)
-                cxy = m[1:p + 1, p + 1] / n - mean_x * mean_y
+                mean, cov, cxy = np.asarray(means, dtype=float), m[:p, :p], m[:p, p]
                 std = np.sqrt(np.clip(np.diag(cov), 0.0, None))
                 scale = np.where(std > 1e-12, std, 1.0)
                 scaled = np.linalg.pinv(cov / np.outer(scale, scale), rcond=1e-10, hermitian=True) @ (cxy / scale)
                 beta = scaled / scale
-                rows.append([mean_y - beta @ mean_x, *[v for pair in zip(beta, scaled) for v in pair]])
-            out = pdf.drop(columns=["_gram"]).copy()
+                rows.append([mean[p] - beta @ mean[:p], *[v for pair in zip(beta, scaled) for v in pair]])
+            out = pdf.drop(columns=["_means", "_covs"]).copy()
             names = ["intercept", *[f"{k}_{x}" for x in xs for k in ("beta", "scaled")]]
             for i, name in enumerate(names):
                 out[name] = [r[i] for r in rows]
             yield out
 
-    return grams.select(*keys, "fit_rows", "_gram").mapInPandas(
+    return grams.select(*keys, "fit_rows", "_means", "_covs").mapInPandas(
         run, schema=f"{schema}, intercept double, {columns}")
 
 
