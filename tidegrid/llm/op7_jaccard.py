@@ -12,7 +12,10 @@ two among the first ``n // 4 + 2``.
 * The boundary is that of least cost, from the number of sets of each size and the mean list length.
 
 Both kinds of key are dealt over buckets of bounded size. To lose no link without emitting all pairs of
-a list, each list first compares its members with one leader. Members that are then in one component need no
+a list, entries carry a bound: if a list's key is the first that two sets share, what follows it in the shorter
+rest is all that they can share besides. Sets that agree on a common passage alone meet far back in their order, where
+little is left, and drop out of its lists by size. Every similar pair keeps the list of its first shared key.
+Each list then compares its members with one leader. Members that are then in one component need no
 further comparison. Where a list still holds several components, all members outside its largest one are
 compared with all others. Candidates are pruned by an exact bound (cell counts of both sets bound their
 overlap) and then verified on the whole sets. Lists are joined by Spark, so a list held by a third of all
@@ -42,7 +45,7 @@ BUCKET = 400_000
 BLOOM = 1 << 26  # bits
 NO_ID = -(1 << 62)
 _STEPS = [np.uint64(pow(0xA24BAED4963EE407, k, 1 << 64)) for k in range(1, N + 1)]
-ENTRY = np.dtype([("key", "<u4"), ("size", "<u4"), ("set", "<i8")])
+ENTRY = np.dtype([("key", "<u4"), ("size", "<u4"), ("far", "<u4"), ("set", "<i8")])
 
 
 def shingle_sets(column, n: int = N):
@@ -157,7 +160,7 @@ def entries(docs: DataFrame, rank: np.ndarray, light: int, buckets: int) -> Data
     def run(batches):
         order, done = np.frombuffer(zlib.decompress(shared.value), np.uint8), set()
         for batch in slices(batches, "text"):
-            keys, sets, sizes, ones = [], [], [], []
+            keys, sets, sizes, ones, fars = [], [], [], [], []
             for v in shingle_sets(batch["text"]):
                 n = len(v)
                 if n < 2 or (own := set_id(v)) in done:
@@ -169,16 +172,17 @@ def entries(docs: DataFrame, rank: np.ndarray, light: int, buckets: int) -> Data
                 if n <= light:
                     i, j = np.triu_indices(len(first), 1)
                     low, high = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
-                    parts.append((mixed(low * _STEPS[0] + high), False))
+                    parts.append((mixed(low * _STEPS[0] + high), n - j + 1, False))
                 if 4 * n > 3 * light:
-                    parts.append((first[:p], True))
-                for k, single in parts:
-                    keys.append(k), sets.append(np.full(len(k), own)), sizes.append(np.full(len(k), n)), ones.append(np.full(len(k), single))
+                    parts.append((first[:p], n - np.arange(p), True))
+                for k, far, single in parts:
+                    keys.append(k), fars.append(far), sets.append(np.full(len(k), own)), sizes.append(np.full(len(k), n)), ones.append(np.full(len(k), single))
             if not keys:
                 continue
             key, single = np.concatenate(keys), np.concatenate(ones)
             packed = np.empty(len(key), ENTRY)
             packed["key"], packed["size"], packed["set"] = (key >> np.uint64(32)).astype(np.uint32), np.concatenate(sizes), np.concatenate(sets)
+            packed["far"] = np.concatenate(fars)
             place = (key % np.uint64(buckets)).astype(np.int64) * 2 + single
             by = np.argsort(place, kind="stable")
             place, packed = place[by], packed[by]
@@ -191,27 +195,36 @@ def entries(docs: DataFrame, rank: np.ndarray, light: int, buckets: int) -> Data
 
 
 def lists(dealt: DataFrame, light: int) -> DataFrame:
-    """Rows (a, b): a leader and a member of the same list; rows (list, set, size, single): lists of three or more."""
-    schema = "a bigint, b bigint, list bigint, set bigint, size bigint, single boolean"
+    """Rows (a, b): a leader and a member of the same list; rows (list, set, size, far, single): lists of three or more."""
+    schema = "a bigint, b bigint, list bigint, set bigint, size bigint, far bigint, single boolean"
 
     def run(group: pa.Table) -> pa.Table:
         single = group["single"][0].as_py()
         rows = np.frombuffer(b"".join(group["entries"].to_pylist()), ENTRY)
-        rows = rows[np.lexsort((mixed(rows["set"].view(np.uint64)), rows["key"]))]  # the leader comes first
+        # The leader comes first; of a set that is listed twice, the entry that allows more.
+        rows = rows[np.lexsort((-rows["far"].astype(np.int64), rows["set"], mixed(np.ascontiguousarray(rows["set"]).view(np.uint64)), rows["key"]))]
         keep = np.ones(len(rows), bool)
         keep[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["set"][1:] != rows["set"][:-1])
-        rows = rows[keep]
+        rows = _partnered(_partnered(rows[keep]))
+        if not len(rows):
+            return pa.table({n: pa.nulls(0, t) for n, t in zip(("a", "b", "list", "set", "size", "far", "single"), [*[pa.int64()] * 6, pa.bool_()])})
         first = np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]])
         starts = np.flatnonzero(first)
         number = np.cumsum(first) - 1
         count = np.diff(np.concatenate([starts, [len(rows)]]))
         leader = starts[number]
-        able = ~first & _able(rows["size"], rows["size"][leader], single, light)
+        able = ~first & _able(rows["size"], rows["size"][leader], single, light) & _reach(rows["size"], rows["far"], rows["size"][leader], rows["far"][leader])
         pairs = np.unique(np.stack([rows["set"][leader][able], rows["set"][able]], 1), axis=0)
         more = (count >= 3)[number]
         mark = np.zeros(len(starts), np.uint64)
         np.add.at(mark, number, mixed(rows["set"].view(np.uint64) + np.uint64(single)))
-        _, once = np.unique(mark, return_index=True)
+        met, once, same = np.unique(mark, return_index=True, return_inverse=True)
+        # Of lists with the same members only one is given on, with the most that any of them allows.
+        order = np.lexsort((-rows["far"].astype(np.int64), rows["set"], same[number]))
+        start = np.ones(len(rows), bool)
+        start[1:] = (same[number[order[1:]]] != same[number[order[:-1]]]) | (rows["set"][order[1:]] != rows["set"][order[:-1]])
+        most = np.empty(len(rows), np.int64)
+        most[order] = rows["far"][order[start]][np.cumsum(start) - 1]
         fresh = np.zeros(len(starts), bool)
         fresh[once] = True
         more &= fresh[number]
@@ -221,7 +234,7 @@ def lists(dealt: DataFrame, light: int) -> DataFrame:
         join = lambda x, y: pa.chunked_array([x, y])
         return pa.table({"a": join(pa.array(pairs[:, 0]), none(m, big)), "b": join(pa.array(pairs[:, 1]), none(m, big)),
                          "list": join(none(n, big), pa.array(mark[number][more].view(np.int64))), "set": join(none(n, big), pa.array(rows["set"][more])),
-                         "size": join(none(n, big), pa.array(rows["size"][more].astype(np.int64))), "single": join(none(n, pa.bool_()), pa.array(np.full(m, single)))})
+                         "size": join(none(n, big), pa.array(rows["size"][more].astype(np.int64))), "far": join(none(n, big), pa.array(most[more])), "single": join(none(n, pa.bool_()), pa.array(np.full(m, single)))})
 
     return cut(dealt.groupBy("bucket", "single").applyInArrow(run, schema))
 
@@ -233,6 +246,26 @@ def _able(x, y, single: bool, light: int):
     return able & (np.maximum(x, y) > light) if single else able
 
 
+def _reach(x, far_x, y, far_y):
+    """Whether two sets can be similar enough if their list's key is the first they share: ``far`` bounds the overlap."""
+    return (100 + SIMILARITY) * np.minimum(far_x, far_y).astype(np.int64) >= SIMILARITY * (x.astype(np.int64) + y)
+
+
+def _partnered(rows: np.ndarray) -> np.ndarray:
+    """Entries (by key) without those that no size in their list suits.
+
+    An entry allows partners of at most ``most`` elements; it needs one that small, and one that allows its own size.
+    """
+    if not len(rows):
+        return rows
+    starts = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
+    count = np.diff(np.concatenate([starts, [len(rows)]]))
+    size = rows["size"].astype(np.int64)
+    most = (100 + SIMILARITY) * rows["far"].astype(np.int64) // SIMILARITY - size
+    least, widest = np.repeat(np.minimum.reduceat(size, starts), count), np.repeat(np.maximum.reduceat(most, starts), count)
+    return rows[(least <= most) & (size <= widest) & np.repeat(count > 1, count)]
+
+
 def _needed(a: int, b: int) -> int:
     """The least overlap of sets of ``a`` and ``b`` elements that are similar enough."""
     return -(-SIMILARITY * (a + b) // (100 + SIMILARITY))
@@ -324,16 +357,17 @@ def _bloom(ids: DataFrame) -> bytes:
 
 def remaining(found: DataFrame, parts: DataFrame, light: int) -> DataFrame:
     """Pairs (a, b) of one list that are in different components so far and weren't compared."""
-    rows = found.where("list IS NOT NULL").select("list", "set", "size", "single").distinct()
+    rows = found.where("list IS NOT NULL").groupBy("list", "set", "size", "single").agg(F.max("far").alias("far"))
     rows = rows.join(parts.select(F.col("id").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     mixed_lists = rows.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("list")
     rows = cut(rows.join(mixed_lists, "list"))
     shares = rows.groupBy("list", "component").agg(F.count("*").alias("c"))
     main = shares.groupBy("list").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    odd = rows.join(main, "list").where("component <> main").select("list", F.col("set").alias("x"), F.col("size").alias("nx"), F.col("component").alias("cx"), "main")
-    both = odd.join(rows.select("list", "single", F.col("set").alias("y"), F.col("size").alias("ny"), F.col("component").alias("cy")), "list")
+    odd = rows.join(main, "list").where("component <> main").select("list", F.col("set").alias("x"), F.col("size").alias("nx"), F.col("far").alias("fx"), F.col("component").alias("cx"), "main")
+    both = odd.join(rows.select("list", "single", F.col("set").alias("y"), F.col("size").alias("ny"), F.col("far").alias("fy"), F.col("component").alias("cy")), "list")
     # Two that are both outside the largest component meet once.
     both = both.where("cx <> cy AND (cy = main OR x < y)")
+    both = both.where(f"{100 + SIMILARITY} * least(fx, fy) >= {SIMILARITY} * (nx + ny)")
     both = both.where(f"100 * least(nx, ny) >= {SIMILARITY} * greatest(nx, ny) AND (NOT single OR greatest(nx, ny) > {light})")
     done = found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return cut(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
