@@ -142,3 +142,9 @@ def test_adjacent_keeps_null_keys(frame):
     rows = [(None, "2025-01-01 00:00:00"), (None, "2025-01-02 00:00:00"), ("a", "2025-01-01 00:00:00")]
     out = chunks.adjacent(frame(rows, "k string, ts timestamp_ntz"), ["k"], "ts", "before").collect()
     assert len(out) == 3 and sum(r.before is not None for r in out) == 1
+
+
+def test_an_empty_library_gives_no_neighbours(spark):
+    df = spark.createDataFrame([("a", 1, [1.0, 2.0], "d")], "k string, item int, v array<double>, day string")
+    out = neighbors.nearest_neighbors(df, df.limit(0), ["k"], query="item", item="item", vector="v", day="day", k=2, per_day=1)
+    assert out.columns == ["k", "query_id", "item_id", "day", "distance", "neighbor_rank"] and out.count() == 0

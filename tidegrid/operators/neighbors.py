@@ -106,13 +106,18 @@ def diverse_top_k(distances: DataFrame, query: Sequence[str], item: str, day: st
 def nearest_neighbors(queries: DataFrame, library: DataFrame, keys: Sequence[str], *, query: str, item: str,
                       vector: str, day: str, k: int, per_day: int, skip_self: bool = False, pivots: int | None = None,
                       block_rows: int = BLOCK_ROWS, batch_rows: int | None = None) -> DataFrame:
-    """``keys, query_id, item_id, day, distance, neighbor_rank`` of the k nearest, at most ``per_day`` of a day."""
+    """``keys, query_id, item_id, day, distance, neighbor_rank`` of the k nearest, at most ``per_day`` of a day.
+
+    An empty library has no neighbours to give: no rows.
+    """
     keys = list(keys)
     lib = library.select(*keys, F.col(item).alias("item_id"), F.col(day).alias("day"), F.col(vector).alias("vector"))
     pivots = pivots or max(1, min(PIVOTS, lib.count() // CELL_ROWS))
     table = pick_pivots(lib, "item_id", "vector", pivots)
     if not table:
-        raise ValueError("the library is empty")
+        none = lambda c: F.lit(None).cast(lib.schema[c].dataType).alias(c)
+        found = queries.limit(0).select(*keys, F.col(query).alias("query_id"), none("item_id"), none("day"))
+        return found.withColumns({"distance": F.lit(0.0), "neighbor_rank": F.lit(0)})
     home = F.array_position("_pd", F.array_min("_pd")).cast("int") - 1
     lib = pivot_distances(lib, "vector", table).withColumn("cell", home).withColumn("_near", F.array_min("_pd"))
     lib = cut(lib.drop("_pd"))
