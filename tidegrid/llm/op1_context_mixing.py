@@ -26,6 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -34,7 +35,7 @@ from tidegrid.session import cut
 
 BITS = 22  # of a table given to score_texts
 TABLES, TOKENS = 3, 3
-SLICE, PIECE = 16 << 20, 1 << 20
+SLICE, PIECE = 12 << 20, 1 << 20
 LANE = 1024
 GATES, RATE, START, PRIOR = 4, 0.02, 0.4, 0.1
 STEP = 12.0  # steps of a table's log-odds
@@ -107,19 +108,19 @@ class Code:
                 paths[node] = path
             else:
                 open_ += [(child, [*path, (node - 256, bit)]) for bit, child in enumerate(children[node])]
-        self.lengths = np.array([len(paths[b]) for b in range(256)])
-        self.first = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.lengths = np.array([len(paths[b]) for b in range(256)], np.int32)
+        self.first = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int32)
         flat = [step for b in range(256) for step in paths[b]]
         spread = np.random.default_rng(3).permutation(1 << 16)[:256]
         # Twice the node's offset in the tables, and the bit.
-        self.steps = np.array([2 * spread[node] + bit for node, bit in flat], np.int64)
+        self.steps = np.array([2 * spread[node] + bit for node, bit in flat], np.int32)
 
     def expand(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``steps`` of all bits of all bytes, and each byte's number of bits."""
         lengths = self.lengths[x]
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(lengths, dtype=np.int32)
         at = np.repeat(self.first[x] - (ends - lengths), lengths)
-        at += np.arange(len(at))
+        at += np.arange(len(at), dtype=np.int32)
         return self.steps.take(at), lengths
 
 
@@ -254,7 +255,7 @@ class Index:
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        self.mask = np.uint64((1 << max(4, int(4 * len(keys)).bit_length())) - 1)
+        self.mask = np.uint64((1 << max(4, int(2 * len(keys)).bit_length())) - 1)
         self.at = np.full(int(self.mask) + 1, -1, np.int32)
         left, slot = np.arange(len(keys), dtype=np.int32), (mixed(keys) & self.mask).astype(np.int64)
         while len(left):
@@ -361,7 +362,7 @@ def replies_of(gathered: DataFrame, code: Code) -> DataFrame:
                 else:
                     size = first[at + 1] - first[at]
                     found = flat[np.repeat(first[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                out.append((r["slice"], kind, r["shard"], zlib.compress(found.astype(np.int32 if kind == TOKENS else np.int8).tobytes(), 1), None, None))
+                out.append((r["slice"], kind, r["shard"], zlib.compress(found.astype(np.int64 if kind == TOKENS else np.int8).tobytes(), 1), None, None))
         types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
         return pa.table({n.split()[0]: pa.array(x, t) for n, x, t in zip(REPLY.split(", "), zip(*out), types)})
 
@@ -376,31 +377,31 @@ def score_slices(gathered: DataFrame, replies: DataFrame, code: Code, shards: in
     shared = gathered.sparkSession.sparkContext.broadcast(code)
 
     def run(group: pa.Table) -> pa.Table:
-        code, rows = shared.value, group.to_pylist()
-        mine = next(r for r in rows if r["body"] is not None)
-        body, starts = np.frombuffer(zlib.decompress(mine["body"]), np.uint8), np.frombuffer(zlib.decompress(mine["starts"]), np.int64)
+        code, own = shared.value, group.filter(pc.is_valid(group["body"]))
+        body, starts = (np.frombuffer(zlib.decompress(own[c][0].as_buffer()), t) for c, t in (("body", np.uint8), ("starts", np.int64)))
+        ids = own["ids"][0].as_py()
         index, found, first = [], [], []
         for kind, (keys, _) in enumerate(distinct(body, starts, np.zeros(len(starts) - 1, bool))[0]):
             # Texts give the same rows again, so replies need not carry them.
             keys = keys[dealt(keys, kind, shards)[0]]
             index.append(Index(keys))
-            form = np.int32 if kind == TOKENS else np.int8
-            own = sorted((r["shard"], r["found"]) for r in rows if r["kind"] == kind)
-            found.append(np.concatenate([np.zeros(0, form), *(np.frombuffer(zlib.decompress(f), form) for _, f in own)]))
-            first.append(np.concatenate([[0], np.cumsum(code.lengths[(keys & np.uint64(255)).astype(np.int64)])]))
+            form = np.int64 if kind == TOKENS else np.int8
+            replies = group.filter(pc.equal(group["kind"], kind)).select(["shard", "found"]).sort_by("shard")["found"]
+            found.append(np.concatenate([np.zeros(0, form), *(np.frombuffer(zlib.decompress(f.as_buffer()), form) for f in replies)]))
+            first.append(np.concatenate([[0], np.cumsum(code.lengths[(keys & np.uint64(255)).astype(np.int64)])]).astype(np.int32))
         out = []
         for a, b in _pieces(starts):
             own, begins = body[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
             x, begin = stream(own, begins)
             steps, lengths = code.expand(x)
-            within = np.arange(len(steps)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            within = np.arange(len(steps), dtype=np.int32) - np.repeat(np.cumsum(lengths, dtype=np.int32) - lengths, lengths)
             inputs = [found[k].take(np.repeat(first[k][index[k].find(c << np.uint64(8) | x)], lengths) + within) for k, c in enumerate(contexts(x, begin))]
             _, _, h, row = runs(own, begins)
-            known = found[TOKENS][index[TOKENS].find(h)] if len(h) else np.zeros(0, np.int32)
+            known = found[TOKENS][index[TOKENS].find(h)] if len(h) else np.zeros(0, np.int64)
             n = b - a
             out.append((np.bincount(row, minlength=n), np.bincount(row, known > 0, n).astype(np.int64), np.bincount(row, np.log10(known + 0.5), n).astype(float), mix_texts(inputs, begin, steps, lengths), np.diff(begin)))
         words, hits, sums, scores, sizes = (np.concatenate(c) for c in zip(*out))
-        return pa.table({"doc_id": pa.array(mine["ids"], pa.int64()), "held_out": pa.array([fold_of(i) == 1 for i in mine["ids"]]), "words": words.astype(np.int64), "hits": hits, "sums": sums, "score": scores, "bytes": sizes.astype(np.int64)})
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([fold_of(i) == 1 for i in ids]), "words": words.astype(np.int64), "hits": hits, "sums": sums, "score": scores, "bytes": sizes.astype(np.int64)})
 
     own = gathered.where("shard IS NULL").select("slice", "body", "starts", "ids")
     both = own.unionByName(replies.where("slice IS NOT NULL").select("slice", "kind", "shard", "found"), allowMissingColumns=True)
