@@ -180,24 +180,59 @@ def test_op8_odd_rows(spark, odd_docs, no_docs):
     assert all(r.score < 0.01 and r.predicted == 0 for r in toxicity.classify(docs, nothing).collect())
 
 
-def test_op9_is_a_distribution_and_counts_add_up(spark):
-    texts = spark.createDataFrame([("Abc abd!",), ("abc",), (None,), ("",)], "text string").repartition(3)
-    counted = {}
-    for r in quality.count_grams(texts).collect():
-        counted |= {r.shard * quality.SHARD + g: n for g, n in zip(np.frombuffer(r.grams, np.int32).tolist(), np.frombuffer(r.counts, np.int64).tolist())}
-    want = Counter()
-    for t in ("Abc abd!", "abc", "", ""):
-        x = [63] * 3 + [int(quality.CLASS[b]) for b in t.encode()] + [63]
-        want.update(((x[i] * 64 + x[i + 1]) * 64 + x[i + 2]) * 64 + x[i + 3] for i in range(len(x) - 3))
-    assert counted == dict(want)
-    bits = quality.expand(quality.train(texts)).astype(float) / quality.SCALE
-    assert (2.0 ** -bits).reshape(-1, 64).sum(1) == pytest.approx(1, abs=5e-3)
-
-
-def test_op9_interpolation_by_hand():
-    counts, lower, d = np.array([3, 1, 0] + [0] * 61), np.full(64, 1 / 64), np.array([0, 0.5, 1.0, 1.5])
-    p = quality.interpolate(counts, lower, d)
-    assert p[0, 0] == pytest.approx((1.5 + 2.0 / 64) / 4) and p[0, 1] == pytest.approx((0.5 + 2.0 / 64) / 4) and p[0, 2] == pytest.approx(2.0 / 64 / 4)
+def plain_kneser_ney(texts):
+    """p(gram) of a modified Kneser-Ney model of byte 5-grams, said with dictionaries."""
+    def grams_of(text):
+        x = b"\xff" * 4 + bytes(b | 32 if 65 <= b <= 90 else b for b in (text or "").encode()) + b"\xff"
+        return [x[i : i + 5] for i in range(len(x) - 4)]
+
+    seen = {5: Counter(g for t in texts for g in grams_of(t))}
+    for k in (4, 3, 2, 1):
+        seen[k] = Counter(g[1:] for g in seen[k + 1])
+    off = {}
+    for k in seen:
+        n = [max(1, sum(v == i for v in seen[k].values())) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        off[k] = [0] + [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i) for i in (1, 2, 3)]
+    follow = {k: {} for k in seen}
+    for k in seen:
+        for g, v in seen[k].items():
+            follow[k].setdefault(g[:-1], []).append(v)
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        after = follow[len(g)].get(g[:-1])
+        if not after:
+            return p(g[1:])
+        d, v = off[len(g)], seen[len(g)].get(g, 0)
+        return (v - d[min(v, 3)]) / sum(after) + sum(d[min(v, 3)] for v in after) / sum(after) * p(g[1:])
+
+    return p, grams_of
+
+
+def test_op9_bits_of_every_document_equal_a_plain_model(spark, odd_docs):
+    docs, labels = made(spark, 60)
+    short = odd_docs.where("doc_id IS NULL OR doc_id NOT IN (4, 10)").select("doc_id", "text", "lang", "source", "n_chars").withColumn("doc_id", F.col("doc_id") + 5000)
+    every = docs.union(short)
+    trusted = labels.where("doc_id % 3 != 0").select("doc_id").union(spark.createDataFrame([(5002,), (5011,), (9999,)], "doc_id bigint"))
+    rows = every.collect()
+    ids = {r.doc_id for r in trusted.collect()}
+    p, grams_of = plain_kneser_ney([r.text for r in rows if r.doc_id in ids and fold(r.doc_id) != 0])
+    want = sorted((r.doc_id or -1, sum(-math.log2(p(g)) for g in grams_of(r.text)) / len(grams_of(r.text))) for r in rows)
+    for size in (2_000, 8 << 20):  # many slices, shards and blocks, or one
+        found = quality.score(every.select(F.struct("doc_id", "lang", "text").alias("row")), trusted, size=size).collect()
+        got = sorted((r.doc_id or -1, r.bits_per_byte) for r in found)
+        assert [i for i, _ in got] == [i for i, _ in want] and [b for _, b in got] == pytest.approx([b for _, b in want], abs=3e-3)
+    # What may follow a context adds up to one.
+    assert sum(p(b"ra t"[-4:] + bytes([b])) for b in range(256)) == pytest.approx(1)
+
+
+def test_op9_a_text_of_many_megabytes_is_one_slice_of_bounded_pieces(spark):
+    docs = spark.createDataFrame([(1, "en", "on and on it went " * 700_000), (2, "en", "on and on"), (3, "en", None)], "doc_id bigint, lang string, text string")
+    trusted = spark.createDataFrame([(1,), (2,)], "doc_id bigint")
+    bits = {r.doc_id: r.bits_per_byte for r in quality.score(docs.select(F.struct(*docs.columns).alias("row")), trusted).collect()}
+    assert set(bits) == {1, 2, 3} and bits[1] < bits[2] < bits[3]
 
 
 def test_op9_keeps_good_text_and_rejects_noise(spark, odd_docs, no_docs):
