@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegrid.llm.common import LOWER, fold, fold_of, slices, table, texts_of, wrapped
+from tidegrid.llm.op1_context_mixing import Index
 from tidegrid.session import cut
 
 ORDER, BORDER = 5, 0xFF
@@ -48,20 +49,19 @@ GATHERED = "slice long, shard int, part int, trained boolean, keys binary, count
 def grams(column) -> tuple[np.ndarray, np.ndarray]:
     """The 5-gram that ends at every byte and at the end of every row, and where each row's begin (the last: the end)."""
     body, starts = texts_of(column)
-    first = starts + np.arange(len(starts))
-    raw = np.full(int(first[-1]), BORDER, np.uint8)
-    place = np.ones(len(raw), bool)
-    place[first[1:] - 1] = False
-    raw[place] = LOWER[body]
-    codes = raw.astype(np.int64)
-    for d in range(1, ORDER):
-        shifted = np.full(len(raw), BORDER, np.int64)
-        shifted[d:] = raw[:-d]
-        for j in range(d):  # the first bytes of each row look at borders
-            at = first[:-1] + j
-            shifted[at[at < first[1:]]] = BORDER
-        codes |= shifted << (8 * d)
-    return codes, first
+    ahead = ORDER - 1
+    begin = starts + (ahead + 1) * np.arange(len(starts))
+    raw = np.full(int(begin[-1]), BORDER, np.uint8)
+    wanted = np.ones(len(raw), bool)
+    for j in range(ahead):
+        wanted[begin[:-1] + j] = False
+    text = wanted.copy()
+    text[begin[1:] - 1] = False
+    raw[text] = LOWER[body]
+    two = raw[1:].astype(np.int32) | raw[:-1].astype(np.int32) << 8
+    four = two[2:].astype(np.int64) | two[:-2].astype(np.int64) << 16
+    codes = four[1:] | raw[:-ahead].astype(np.int64) << 32
+    return codes[wanted[ahead:]], starts + np.arange(len(starts))
 
 
 def levels(top: np.ndarray) -> list[np.ndarray]:
@@ -305,10 +305,10 @@ def score(docs: DataFrame, trusted: DataFrame, whole: bool = False, size: int =
             own[at], back[at] = (np.frombuffer(zlib.decompress(v), np.int16) for v in got[s])
         ends = np.cumsum([len(k) for k in known])[:-1]
         bits = bits_of(known[-1], known, np.split(own, ends), np.split(back, ends))
-        out = []
+        out, places = [], Index(known[-1].view(np.uint64))
         for piece in _pieces(group):
             codes, first = grams(piece["text"])
-            sums = np.add.reduceat(bits[np.searchsorted(known[-1], codes)].astype(np.int64), first[:-1])
+            sums = np.add.reduceat(bits[places.find(codes.view(np.uint64))].astype(np.int64), first[:-1])
             row = piece["row"]
             columns = [pc.struct_field(row, "doc_id"), pc.struct_field(row, "lang"), pa.array(sums / SCALE / np.diff(first))]
             out.append(pa.RecordBatch.from_arrays([*([row] if whole else []), *columns], names))
