@@ -135,3 +135,9 @@ def test_op10_files(spark, sf, library, odd_docs, no_docs, tmp_path):
             one = op10_token_files.read_tokens(spark, folder, "doc_id = 7")
             assert [r.ids for r in one.collect()] == [np.append(ids_of(library, dict(rows)[7]), 2).tolist()]
             assert "EqualTo(doc_id,7)" in one._jdf.queryExecution().toString()
+
+
+def test_op10_files_are_ordered_by_part_number(spark):
+    rows = [("f/part-100000-a.orc", 3, 0, [7, 2]), ("f/part-99999-a.orc", 1, 0, [5, 6, 2]), ("f/part-99999-a.orc", 2, 1, [2])]
+    read = spark.createDataFrame(rows, "file string, doc_id bigint, ordinal bigint, ids array<int>")
+    assert {r.doc_id: r.start for r in op10_token_files.layout(read).collect()} == {1: 0, 2: 3, 3: 4}

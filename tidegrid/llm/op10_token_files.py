@@ -72,9 +72,10 @@ def layout(rows: DataFrame) -> DataFrame:
     read = cut(rows.mapInArrow(run, "file string, doc_id bigint, ordinal bigint, n_tokens bigint, ids_crc32 bigint"))
     before = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))
     placed = read.withColumn("start", F.coalesce(before, F.lit(0)))
-    # Part numbers ascend with the ranges of doc_id.
+    # Part numbers ascend with the ranges of doc_id; as text, 100000 would come before 99999.
+    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("long")
     files = read.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    earlier = F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = F.sum("total").over(Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1))
     files = files.select("file", F.coalesce(earlier, F.lit(0)).alias("base"))
     return placed.join(files, "file").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
