@@ -52,6 +52,16 @@ def in_time(df, at):
     return df.repartitionByRange(16, at).sortWithinPartitions(at)
 
 
+def closed(df, moment, minutes):
+    """With one row of a series of its own, ``minutes`` after the newest: the watermark passes every real row, so all are emitted.
+
+    Nothing comes after the closing row, so it stays behind the watermark itself and never leaves the state.
+    """
+    end = df.agg((F.max(moment[0]) + minutes).alias("_end")).filter("_end IS NOT NULL")
+    end = end.select(F.lit("").alias("series_id"), *[F.col("_end").alias(c) for c in moment])
+    return df.unionByName(end, allowMissingColumns=True)
+
+
 def hourly_values(spark, d):
     return stage(spark, d, "stream-values", lambda: in_time(base.panel(spark, d).select(
         "series_id", epoch_minutes("ts").alias("minute"), F.col("purchase").alias("value")), "minute"))
@@ -84,14 +94,14 @@ def episode_stream(spark, d):
 
 
 def persistence_stage(spark, d):
-    return stage(spark, d, "stream-forecasts", lambda: in_time(base.forecasts(spark, d).filter(
+    return stage(spark, d, "stream-forecasts", lambda: in_time(closed(base.forecasts(spark, d).filter(
         "model = 'persistence' AND prediction IS NOT NULL").select(
         F.concat_ws("|", "series_id", "fold_id", "target").alias("series_id"), epoch_minutes("origin").alias("origin"),
-        (epoch_minutes("origin") + F.col("horizon_minutes")).alias("target"), "prediction"), "origin"))
+        (epoch_minutes("origin") + F.col("horizon_minutes")).alias("target"), "prediction"), ["origin", "target"], base.DAY + STEP), "origin"))
 
 
 @query("r6_stream_reconciliation", "series_id:s, origin:t, target_ts:t, prediction:d, reconciled:d",
-       "WITH RECURSIVE " + sql("SELECT series_id || '|' || fold_id || '|' || target AS series_id, origin, target_ts, prediction, reconciled FROM chain QUALIFY origin <= max(origin) OVER () - INTERVAL '1 day'", "forecasts",
+       "WITH RECURSIVE " + sql("SELECT series_id || '|' || fold_id || '|' || target AS series_id, origin, target_ts, prediction, reconciled FROM chain", "forecasts",
            f="""SELECT series_id, fold_id, target, origin, prediction, origin + to_minutes(CAST(horizon_minutes AS BIGINT)) AS target_ts FROM forecasts WHERE model = 'persistence' AND prediction IS NOT NULL""",
            linked="""SELECT f.*, p.origin IS NOT NULL AS has_previous FROM f LEFT JOIN f p ON p.series_id = f.series_id AND p.fold_id = f.fold_id AND p.target = f.target AND p.target_ts = f.target_ts AND p.origin = f.origin - INTERVAL '240 minutes'""",
            chain="""SELECT series_id, fold_id, target, origin, target_ts, prediction, prediction AS reconciled FROM linked WHERE NOT has_previous
