@@ -130,7 +130,7 @@ def test_a_closed_stream_emits_every_row(spark, tmp_path):
     """The newest rows are no more than the delay old, and nothing but the closing row comes after them."""
     schema = "series_id string, origin bigint, target bigint, prediction double"
     rows = [("s", 1000 + o, 1000 + o + h, float(o)) for o in range(4) for h in (1, 2, 3)]
-    live.closed(spark.createDataFrame(rows, schema), ["origin", "target"], 4).write.parquet(str(tmp_path / "in"))
+    live.closed(spark.createDataFrame(rows, schema), ["origin", "target"], 4).coalesce(1).write.parquet(str(tmp_path / "in"))
     out = streams.drain(spark, streams.reconcile(read_stream(spark, str(tmp_path / "in"), schema), alpha=0.5, step_minutes=1, delay="3 minutes"))
     assert sorted((r.series_id, r.origin, r.target, r.prediction) for r in out.collect()) == sorted(rows)
     assert live.closed(spark.createDataFrame([], schema), ["origin", "target"], 4).count() == 0
