@@ -174,3 +174,40 @@ def test_an_empty_library_gives_no_neighbours(spark):
     df = spark.createDataFrame([("a", 1, [1.0, 2.0], "d")], "k string, item int, v array<double>, day string")
     out = neighbors.nearest_neighbors(df, df.limit(0), ["k"], query="item", item="item", vector="v", day="day", k=2, per_day=1)
     assert out.columns == ["k", "query_id", "item_id", "day", "distance", "neighbor_rank"] and out.count() == 0
+
+
+def test_large_blocks_equal_brute_force(monkeypatch):
+    """Matrix products leave the right pairs: copies, far values that cost precision, with and without a limit."""
+    monkeypatch.setattr(neighbors, "CELLS", 40_000)
+    rng = np.random.default_rng(12)
+    matrix = np.concatenate([rng.normal(size=(1500, 8)), np.repeat(rng.normal(size=(1, 8)), 300, 0), rng.normal(1e7, 1, (200, 8))])
+    ids, days = np.arange(len(matrix)) * 3, rng.integers(0, 5, len(matrix))
+    asked, names = matrix[::40], ids[::40]
+    dist = np.sqrt(np.mean(np.square(matrix[None] - asked[:, None]), axis=2))
+    want = [neighbors._pick(row, ids, days, name, 6, 2) for row, name in zip(dist, names)]
+    for limit in (np.full(len(asked), np.inf), np.array([row[w[-1]] for row, w in zip(dist, want)])):
+        found = neighbors._search_block(matrix, ids, days, asked, names, limit.copy(), 6, 2)
+        q, i, d = (np.concatenate([f[c] for f in found]) for c in range(3))
+        assert (d == dist[q, i]).all() and len(q) < 40 * len(asked)
+        for n in range(len(asked)):
+            mine = np.sort(i[q == n])
+            picked = neighbors._pick(dist[n, mine], ids[mine], days[mine], names[n], 6, 2)
+            assert list(mine[picked]) == want[n]
+
+
+def test_many_small_keys_are_not_cut_into_cells(spark, monkeypatch):
+    """Cells follow the largest key's rows, so a small library is searched whole; groups share tasks."""
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 30)
+    asked = []
+    monkeypatch.setattr(neighbors, "pick_pivots", lambda *a, pick=neighbors.pick_pivots: asked.append(a[3]) or pick(*a))
+    rng = np.random.default_rng(13)
+    pdf = pd.DataFrame({"k": np.repeat(np.arange(60), 25), "item": np.arange(1500), "day": rng.integers(0, 9, 1500), "v": list(rng.normal(size=(1500, 3)))})
+    lib = spark.createDataFrame(pdf)
+    out = neighbors.nearest_neighbors(lib, lib, ["k"], query="item", item="item", vector="v", day="day", k=3, per_day=1, skip_self=True).toPandas()
+    assert asked == [1] and len(out) == 4500
+    for k, part in pdf.groupby("k"):
+        points = np.stack(part.v)
+        for item, point in zip(part.item.iloc[:3], points):
+            d = np.sqrt(np.mean((points - point) ** 2, axis=1))
+            want = part.item.to_numpy()[neighbors._pick(d, part.item.to_numpy(), part.day.to_numpy(), item, 3, 1)]
+            assert list(out[out.query_id == item].sort_values("neighbor_rank").item_id) == list(want)
