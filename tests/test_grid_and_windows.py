@@ -196,3 +196,29 @@ def test_sliding_order_statistics_equal_pandas(spark, rows):
         own = got[got.k.isna() if key is None else got.k == key].sort_values("ts")
         for name, column in want.items():
             np.testing.assert_allclose(own[name].to_numpy(float), column.to_numpy(float), rtol=1e-9, atol=1e-9, equal_nan=True, err_msg=f"{name} {key}")
+
+
+def _joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_history_and_grid_join_no_rows(frame):
+    """Only one row a series is joined for the check, which no filter on top may lose; the grid needs no join at all."""
+    schema = "series_id string, ts timestamp_ntz, x double"
+    train = frame([("a", "2025-01-01 00:00:00", 1.0), ("a", "2025-01-01 01:00:00", 2.0)], schema)
+    test = frame([("a", "2025-01-01 02:00:00", 3.0), ("b", "2025-01-01 09:00:00", 4.0)], schema)
+    both = grid.contiguous_union(train, test, ["series_id"], "ts", 60)
+    assert _joins(both) == 1 and both.count() == 4 and both.filter("partition = 'test'").count() == 2
+    apart = grid.contiguous_union(train, frame([("a", "2025-01-01 03:00:00", 3.0)], schema), ["series_id"], "ts", 60)
+    with pytest.raises(Exception, match="not contiguous"):
+        apart.filter("partition = 'test'").collect()
+    assert _joins(grid.complete_grid(train, ["series_id"], "ts", 60)) == 0
+
+
+def test_grid_of_several_pieces_keeps_repeated_rows_and_drops_those_off_the_grid(frame):
+    rows = [("a", "2025-01-01 00:00:00", 1.0), ("a", "2025-01-01 00:07:00", 9.0), ("a", "2025-01-01 00:20:30", 9.0), ("a", "2025-01-01 02:00:00", 2.0),
+            ("a", "2025-01-01 02:00:00", 3.0), ("a", "2025-01-01 08:20:00", 4.0), (None, "2025-01-01 05:00:00", 5.0)]
+    out = grid.complete_grid(frame(rows, "series_id string, ts timestamp_ntz, x double"), ["series_id"], "ts", 20, chunk=50).collect()
+    mine = sorted((str(r.ts)[11:16], r.x or 0.0, r.inserted) for r in out if r.series_id == "a")
+    assert len(mine) == 27 and [m for m in mine if not m[2]] == [("00:00", 1.0, 0), ("02:00", 2.0, 0), ("02:00", 3.0, 0), ("08:20", 4.0, 0)]
+    assert len({m[0] for m in mine}) == 26 and [(r.x, r.inserted) for r in out if r.series_id is None] == [(5.0, 0)]

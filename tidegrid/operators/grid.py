@@ -49,16 +49,28 @@ def complete_grid(df: DataFrame, keys: Sequence[str], ts: str, step: int, *,
     """
     keys = list(keys)
     spans = df.groupBy(*keys).agg(F.min(epoch_minutes(ts)).alias("_lo"), F.max(epoch_minutes(ts)).alias("_hi"))
-    pieces = spans.select("*", F.explode(F.sequence(F.floor(F.col("_lo") / chunk), F.floor(F.col("_hi") / chunk)))
-                          .alias("_piece")).repartition(*keys, "_piece")
+    pieces = spans.select("*", F.explode(F.sequence(F.floor(F.col("_lo") / chunk), F.floor(F.col("_hi") / chunk))).alias("_piece"))
     first = F.greatest(F.col("_lo"), F.col("_lo") + F.ceil((F.col("_piece") * chunk - F.col("_lo")) / step) * step)
     last = F.least(F.col("_hi"), (F.col("_piece") + 1) * chunk - 1)
-    grid = (pieces.withColumn("_first", first).withColumn("_last", last).filter("_first <= _last")
-            .select(*keys, F.explode(F.sequence("_first", "_last", F.lit(step).cast("bigint"))).alias("_m"))
-            .select(*keys, from_epoch_minutes(F.col("_m")).alias(ts)))
-    marked = df.withColumn("_seen", F.lit(1))
-    return (join_keys(grid, marked, [*keys, ts], "left")
-            .withColumn(inserted, F.when(F.col("_seen").isNull(), 1).otherwise(0)).drop("_seen"))
+    # One opening row a piece knows its first and last moment; each row fills the steps up to the next one.
+    opening = (pieces.withColumn("_m", first).withColumn("_last", last).filter("_m <= _last")
+               .select(*keys, "_piece", "_m", "_lo", "_last", F.lit(0).alias("_seen")))
+    rows = df.withColumn("_m", epoch_minutes(ts)).filter(from_epoch_minutes(F.col("_m")) == F.col(ts))
+    rows = rows.withColumns({"_piece": F.floor(F.col("_m") / chunk), "_seen": F.lit(1)})
+    piece = Window.partitionBy(*keys, "_piece")
+    both = rows.unionByName(opening, allowMissingColumns=True).withColumns({"_lo": F.max("_lo").over(piece), "_last": F.max("_last").over(piece)})
+    both = both.filter((F.col("_m") - F.col("_lo")) % step == 0)
+    both = both.withColumn("_next", F.lead("_m").over(piece.orderBy("_m", "_seen")))
+    start = F.col("_m") + F.col("_seen") * step   # an opening row stands for its own moment unless a row does
+    end = F.coalesce(F.col("_next") - step, F.col("_last"))
+    steps = F.when(start <= end, F.sequence(start, end, F.lit(step).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    item = lambda m, seen: F.struct(m.alias("m"), F.lit(seen).alias("seen"))
+    filled = F.transform(steps, lambda m: item(m, 0))
+    filled = F.when(F.col("_seen") == 1, F.concat(F.array(item(F.col("_m"), 1)), filled)).otherwise(filled)
+    values = [c for c in df.columns if c not in (*keys, ts)]
+    return (both.select(*keys, *values, F.explode(filled).alias("_at"))
+            .select(*keys, from_epoch_minutes(F.col("_at.m")).alias(ts),
+                    *[F.when(F.col("_at.seen") == 1, F.col(f"`{c}`")).alias(c) for c in values], (1 - F.col("_at.seen")).alias(inserted)))
 
 
 def sample_on_grid(df: DataFrame, ts: str, step: int) -> DataFrame:
@@ -117,7 +129,8 @@ def contiguous_union(train: DataFrame, test: DataFrame, keys: Sequence[str], ts:
     ends = train.groupBy(*keys).agg(F.max(ts).alias("_end"))
     starts = test.groupBy(*keys).agg(F.min(ts).alias("_start"))
     joined_up = F.assert_true(F.col("_start") == plus_minutes("_end", step), F.lit("train and test are not contiguous"))
-    joint = join_keys(ends, starts, keys).select(*keys, joined_up.cast("string").alias("_ok"))
     both = train.withColumn("partition", F.lit("train")).unionByName(test.withColumn("partition", F.lit("test")))
-    # The check must survive column pruning, so its column is part of the filter.
-    return join_keys(both, joint, keys, "left").filter(F.coalesce("_ok", F.lit("")) != "no").drop("_ok")
+    # One row a series is checked, and none of them left: the rows themselves are neither joined nor sorted for it.
+    # The outcome is a column and the filter on it, so that neither pruning nor a filter on top loses the check.
+    joint = join_keys(ends, starts, keys).select(*keys, joined_up.cast("string").alias("partition")).filter("partition IS NOT NULL")
+    return both.unionByName(joint, allowMissingColumns=True)
