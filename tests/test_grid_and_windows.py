@@ -222,3 +222,12 @@ def test_grid_of_several_pieces_keeps_repeated_rows_and_drops_those_off_the_grid
     mine = sorted((str(r.ts)[11:16], r.x or 0.0, r.inserted) for r in out if r.series_id == "a")
     assert len(mine) == 27 and [m for m in mine if not m[2]] == [("00:00", 1.0, 0), ("02:00", 2.0, 0), ("02:00", 3.0, 0), ("08:20", 4.0, 0)]
     assert len({m[0] for m in mine}) == 26 and [(r.x, r.inserted) for r in out if r.series_id is None] == [(5.0, 0)]
+
+
+def test_window_tasks_follow_the_rows(spark, minutes, tmp_path, monkeypatch):
+    monkeypatch.setattr(chunks, "TASK_ROWS", 20)
+    minutes(range(200), step=60).write.parquet(str(tmp_path / "x"))
+    df = spark.read.parquet(str(tmp_path / "x"))
+    build = lambda d, **more: features.build_features(d, ["series_id"], "ts", 60, [features.lag("x", 2)], **more)
+    assert build(df).rdd.getNumPartitions() == 10 and build(df.filter("x >= 0"), rows=300).rdd.getNumPartitions() == 15
+    assert build(df).filter("x__lag_2 = x - 2").count() == 198

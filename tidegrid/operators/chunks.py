@@ -18,6 +18,7 @@ from tidegrid.operators.sizing import join_keys
 CHUNK = "_chunk"
 HOME = "_home"
 WEEK = 7 * 1440
+TASK_ROWS = 1_000_000   # rows of a window task aimed at, where the rows come straight from files
 QUARTER = 91 * 1440
 
 
@@ -49,14 +50,31 @@ def chunk_window(keys: Sequence[str], ts: str, *ties: str):
     return Window.partitionBy(*keys, CHUNK).orderBy(ts, *ties)
 
 
+def window_tasks(df: DataFrame, rows: int | None = None) -> int | None:
+    """Partitions that keep a window task at about ``TASK_ROWS`` rows; None if the session's own number does.
+
+    Compressed grids are a tenth of the size of their sorted rows, so partitions planned by their bytes grow with the
+    input. Unless ``rows`` is given, only a written stage is counted, from its files' footers, where that costs no scan.
+    """
+    if rows is None and df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return None
+    tasks = -(-(df.count() if rows is None else rows) // TASK_ROWS)
+    return tasks if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def windowed(df: DataFrame, keys: Sequence[str], ts: str, stages: Sequence[Callable], *, back: int = 0,
-             ahead: int = 0, length: int | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+             ahead: int = 0, length: int | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None,
+             rows: int | None = None) -> DataFrame:
     """Apply window stages in order; each stage maps a window spec to ``{name: Column}``.
 
     Later stages may read columns of earlier ones. ``back``/``ahead`` is the total reach of the
     chained frames, in minutes. All stages share one exchange and one sort. ``prepare`` sees the chunks first.
+    ``rows``, if known, sets the number of tasks.
     """
     out = with_halo(df, ts, back=back, ahead=ahead, length=length)
+    tasks = window_tasks(df, rows)
+    if tasks:
+        out = out.repartition(tasks, *keys, CHUNK)
     if prepare:
         out = prepare(out)
     w = chunk_window(keys, ts)

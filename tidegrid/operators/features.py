@@ -283,8 +283,8 @@ def sequence_window(df: DataFrame, keys: Sequence[str], ts: str, columns: Sequen
 
 
 def build_features(df: DataFrame, keys: Sequence[str], ts: str, step: int, features: Iterable[Feature],
-                   chunk: int | None = None) -> DataFrame:
-    """All features of a complete grid in one exchange and one sort."""
+                   chunk: int | None = None, rows: int | None = None) -> DataFrame:
+    """All features of a complete grid in one exchange and one sort; ``rows``, if known, sets the number of tasks."""
     wanted: dict[str, Feature] = {}
 
     def visit(f: Feature) -> None:
@@ -302,7 +302,7 @@ def build_features(df: DataFrame, keys: Sequence[str], ts: str, step: int, featu
         max((-f.oldest for f in plan if f.stage == s), default=0) for s in stages[:-1])
     build = [lambda w, s=s: {f.name: f.build(w) for f in plan if f.stage == s} for s in stages]
     prepare = (lambda x: sliding_medians(x, keys, ts, ordered)) if ordered else None
-    out = windowed(df, keys, ts, build, back=reach * step, length=chunk, prepare=prepare)
+    out = windowed(df, keys, ts, build, back=reach * step, length=chunk, prepare=prepare, rows=rows)
     return out.drop(*[f.name for f in wanted.values() if f.hidden])
 
 

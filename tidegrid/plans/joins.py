@@ -509,7 +509,7 @@ def history(spark, d):
     u = base.users(spark, d).drop("inserted")
     cut = F.lit("2024-01-24 23:00:00").cast("timestamp_ntz")
     both = grid.contiguous_union(u.filter(F.col("ts") <= cut), u.filter(F.col("ts") > cut), KEYS, "ts", HOUR)
-    built = features.build_features(both, KEYS, "ts", HOUR, [features.rolling("total", 24, "mean", 1)])
+    built = features.build_features(both, KEYS, "ts", HOUR, [features.rolling("total", 24, "mean", 1)], rows=u.count())
     return built.filter("partition = 'test'")
 
 
