@@ -166,3 +166,28 @@ def test_op7_boundary_and_bound():
     for n, m in ((3, 4), (50, 60), (1000, 3000)):
         a, b = (np.unique(random.integers(0, 2 * m, k).astype(np.uint64)) for k in (n, m))
         assert op7_jaccard.overlap_bound(op7_jaccard.cells(a), op7_jaccard.cells(b)) >= len(np.intersect1d(a, b))
+
+
+def test_op7_copies_around_the_limit_meet_few_others(spark, monkeypatch):
+    random = np.random.default_rng(3)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for i in range(400):
+        words = list(base)
+        for k in random.choice(150, 1 + i % 3 if i % 50 else 6, replace=False):
+            words[k] = f"x{random.integers(1 << 30)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    want = smallest(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    met, verify = [], op7_jaccard.verify
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(op7_jaccard, "verify", counted)
+    monkeypatch.setattr(op7_jaccard, "REACH", 16, raising=False)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in op7_jaccard.join_near(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert len(set(want)) > 1
+    assert sum(met) < 40 * len(texts), met  # 100 a text when each met all others at once

@@ -16,8 +16,9 @@ a list, entries carry a bound: if a list's key is the first that two sets share,
 rest is all that they can share besides. Sets that agree on a common passage alone meet far back in their order, where
 little is left, and drop out of its lists by size. Every similar pair keeps the list of its first shared key.
 Each list then compares its members with one leader. Members that are then in one component need no
-further comparison. Where a list still holds several components, all members outside its largest one are
-compared with all others. Candidates are pruned by an exact bound (cell counts of both sets bound their
+further comparison. Where a list still holds several components, the members outside its largest one meet
+a few of the others, those still outside 32 times as many, and so on until what is left has met all the others: copies
+around the limit find one of the many they resemble long before all pairs are formed. Candidates are pruned by an exact bound (cell counts of both sets bound their
 overlap) and then verified on the whole sets. Lists are joined by Spark, so a list held by a third of all
 rows is a skewed join and never one task's memory.
 
@@ -36,12 +37,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidegrid.llm.common import mixed, slices, table, texts_of, words, wrapped
 from tidegrid.llm.components import components
-from tidegrid.session import cut
+from tidegrid.session import cut, small_batches
 
 N, SIMILARITY = 5, 75
 SLOTS, PARTS = 1 << 24, 16
 CELLS = 64
 BUCKET = 400_000
+REACH = 64  # others that a member meets in the first round
 BLOOM = 1 << 26  # bits
 NO_ID = -(1 << 62)
 _STEPS = [np.uint64(pow(0xA24BAED4963EE407, k, 1 << 64)) for k in range(1, N + 1)]
@@ -271,18 +273,9 @@ def _needed(a: int, b: int) -> int:
     return -(-SIMILARITY * (a + b) // (100 + SIMILARITY))
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Exactly those of ``pairs(a, b)`` that are similar enough and join components, with the links ``known`` so far; all components."""
-    left, right = (classes.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"cells_{x}")) for x in "ab")
-
-    def bound(batches):
-        for batch in batches:
-            keep = [overlap_bound(x, y) >= _needed(n, m) for n, x, m, y in zip(*(batch[c].to_pylist() for c in ("n_a", "cells_a", "n_b", "cells_b")))]
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    likely = cut(pairs.join(left, "a").join(right, "b").mapInArrow(bound, "a bigint, b bigint"))
-    ends = likely.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(classes, "set").select("set", "first_id")
-    shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(_bloom(ends), 1))
+def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set, items) of the classes ``wanted(set, first_id)``, and of few others."""
+    shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(_bloom(wanted), 1))
 
     def read(batches):
         bits = np.frombuffer(zlib.decompress(shared.value), np.uint8)
@@ -296,7 +289,26 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, known: DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.binary()))], ["set", "items"])
 
     # Only the first document of a class gives its set.
-    sets = cut(docs.select("doc_id", "text").mapInArrow(read, "set bigint, items binary"))
+    return cut(docs.select("doc_id", "text").mapInArrow(read, "set bigint, items binary"))
+
+
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, known: DataFrame | None = None, sets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Exactly those of ``pairs(a, b)`` that are similar enough and join components, with the links ``known`` so far; all components.
+
+    ``sets`` holds what the pairs need, if it was read before; those few pairs are compared at once.
+    """
+    left, right = (classes.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"cells_{x}")) for x in "ab")
+
+    def bound(batches):
+        for batch in batches:
+            keep = [overlap_bound(x, y) >= _needed(n, m) for n, x, m, y in zip(*(batch[c].to_pylist() for c in ("n_a", "cells_a", "n_b", "cells_b")))]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    likely = cut(pairs.join(left, "a").join(right, "b").mapInArrow(bound, "a bigint, b bigint"))
+    sets_read = sets is not None
+    if not sets_read:
+        ends = likely.select(F.col("a").alias("set")).union(likely.select("b")).distinct()
+        sets = _sets(ends.join(classes, "set").select("set", "first_id"), docs)
 
     def compare(batches):
         for batch in batches:
@@ -309,9 +321,14 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, known: DataFra
 
     def exact(some: DataFrame) -> DataFrame:
         left, right = (sets.select(F.col("set").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
+        if sets_read:  # for more pairs than these
+            left, right = left.join(some, "a", "left_semi"), right.join(some, "b", "left_semi")
         # A member's set goes to its leader's.
         return cut(some.join(right, "b").select("a", "b", "items_b").join(left, "a").select("a", "b", "items_a", "items_b").mapInArrow(compare, "a bigint, b bigint"))
 
+    if sets_read:
+        links = cut(known.unionByName(exact(likely)))
+        return links, cut(components(links))
     # Each member meets one leader first; then what is in one component needs no more comparison.
     best = cut(likely.groupBy("b").agg(F.min_by("a", F.xxhash64("a")).alias("a")))
     links = exact(best)
@@ -355,26 +372,61 @@ def _bloom(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def remaining(found: DataFrame, parts: DataFrame, light: int) -> DataFrame:
-    """Pairs (a, b) of one list that are in different components so far and weren't compared."""
-    rows = found.where("list IS NOT NULL").groupBy("list", "set", "size", "single").agg(F.max("far").alias("far"))
+def divided(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """``rows(list, set, size, single, far)`` of the lists that hold several components so far, with their component."""
     rows = rows.join(parts.select(F.col("id").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     mixed_lists = rows.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("list")
-    rows = cut(rows.join(mixed_lists, "list"))
+    return cut(rows.join(mixed_lists, "list"))
+
+
+def remaining(rows: DataFrame, light: int, reach: int, done: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one of the ``divided`` lists that are in different components and aren't ``done``: about ``reach``
+    for each member outside the list's largest component, and all of them in lists that are no longer than that.
+    """
     shares = rows.groupBy("list", "component").agg(F.count("*").alias("c"))
-    main = shares.groupBy("list").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    odd = rows.join(main, "list").where("component <> main").select("list", F.col("set").alias("x"), F.col("size").alias("nx"), F.col("far").alias("fx"), F.col("component").alias("cx"), "main")
-    both = odd.join(rows.select("list", "single", F.col("set").alias("y"), F.col("size").alias("ny"), F.col("far").alias("fy"), F.col("component").alias("cy")), "list")
+    main = shares.groupBy("list").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("n"))
+    # A power of two of parts: what met in one part is in one part again when there are fewer.
+    main = main.select("list", "main", F.expr(f"shiftleft(1L, CAST(ceil(log2(greatest(n / {reach}.0D, 1D))) AS INT))").alias("parts"))
+    rows = rows.join(main, "list")
+    odd = rows.where("component <> main").select("list", F.col("set").alias("x"), F.col("size").alias("nx"), F.col("far").alias("fx"), F.col("component").alias("cx"), "main",
+                                                 F.pmod(F.xxhash64("set", "list"), "parts").alias("part"))
+    both = odd.join(rows.select("list", "single", F.col("set").alias("y"), F.col("size").alias("ny"), F.col("far").alias("fy"), F.col("component").alias("cy"),
+                                F.pmod(F.xxhash64("set"), "parts").alias("part")), ["list", "part"])
     # Two that are both outside the largest component meet once.
     both = both.where("cx <> cy AND (cy = main OR x < y)")
     both = both.where(f"{100 + SIMILARITY} * least(fx, fy) >= {SIMILARITY} * (nx + ny)")
     both = both.where(f"100 * least(nx, ny) >= {SIMILARITY} * greatest(nx, ny) AND (NOT single OR greatest(nx, ny) > {light})")
-    done = found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return cut(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
 
 
+def connected(found: DataFrame, links: DataFrame, parts: DataFrame, classes: DataFrame, docs: DataFrame, light: int) -> DataFrame:
+    """All components, from the ``links`` and components (``parts``) that the comparisons with leaders left."""
+    done = found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rows = found.where("list IS NOT NULL").groupBy("list", "set", "size", "single").agg(F.max("far").alias("far"))
+    sets, reach = None, REACH
+    while True:
+        held = divided(rows, parts)
+        most = held.groupBy("list").count().agg(F.max("count")).first()[0]
+        if most is None:
+            return parts
+        rest = remaining(held, light, reach, done)
+        if not rest.isEmpty():
+            if sets is None:
+                sets = _sets(held.select("set").distinct().join(classes, "set").select("set", "first_id"), docs)
+            links, parts = verify(rest, classes, docs, links, sets)
+            done = done.unionByName(rest)
+        if most <= reach:
+            return parts
+        rows, reach = held.drop("component"), 32 * reach
+
+
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, set, n) of all documents and (set, component, component_id) of all sets."""
+    with small_batches(docs.sparkSession):
+        return _groups(docs)
+
+
+def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     described = describe(docs)
     rank = ranks(described)
     rows = described.where("part IS NULL")
@@ -385,9 +437,7 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = sum(c * ((n // 4 + 2) * (n // 4 + 1) // 2 if n <= light else n // 4 + 1) for n, c in sizes)
     found = lists(entries(docs, rank, light, max(64, total // BUCKET)), light)
     links, parts = verify(cut(found.where("a IS NOT NULL").select("a", "b").distinct()), classes, docs)
-    rest = remaining(found, parts, light)
-    if not rest.isEmpty():
-        _, parts = verify(rest, classes, docs, links)
+    parts = connected(found, links, parts, classes, docs, light)
     known = classes.select("set", "first_id").join(parts.select(F.col("id").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     least = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
     return rows.select("doc_id", "set", "n"), cut(known.join(least, "component").select("set", "component", "component_id"))
