@@ -1,5 +1,7 @@
+import hashlib
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +61,19 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     assert readers.fingerprint_matches(df, frozen).first().matches is True
 
 
+def test_long_files_are_hashed_in_rounds(spark, tmp_path):
+    random = np.random.default_rng(5)
+    sizes = {"short": 999, "even": 3000, "a long one": 4001, "longer": 6000}
+    want = set()
+    for name, size in sizes.items():
+        data = random.integers(0, 256, size, dtype=np.uint8).tobytes()
+        (tmp_path / f"{name}.bin").write_bytes(data)
+        want.add((f"{name}.bin", size, hashlib.sha256(data).hexdigest()))
+    for step in (1000, 3000, 1 << 20):
+        assert {tuple(r) for r in readers.file_fingerprints(spark, f"{tmp_path}/*.bin", step).collect()} == want
+    assert readers.file_fingerprints(spark, f"{tmp_path}/*.bin", 1000).columns == ["file_name", "length", "sha256"]
+
+
 def test_family_key(spark):
     df = spark.createDataFrame([("/x/Gas_train.csv",), ("gas-test.csv",), ("load.csv",)], "p string")
     assert [r.k for r in df.select(readers.family_key(F.col("p")).alias("k")).collect()] == ["gas", "gas", "load"]
