@@ -261,3 +261,10 @@ def test_pipeline_stages(spark, sf):
     assert not [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
     packed = corpus_pipeline.packing(spark, docs, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(text)
+
+
+def test_op1_rows_go_to_their_shards_unwritten(spark, odd_docs, monkeypatch):
+    written, cut = [], mixing.cut
+    monkeypatch.setattr(mixing, "cut", lambda df: written.append(df.columns) or cut(df))
+    assert mixing.score(odd_docs).count() == odd_docs.count()
+    assert written and not any("keys" in columns for columns in written)

@@ -286,31 +286,54 @@ def _pieces(starts: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-GATHERED = "slice bigint, shard int, kind int, keys binary, counts binary, bytes binary, body binary, starts binary, ids array<bigint>"
+KEPT = "slice bigint, bytes binary, body binary, starts binary, ids array<bigint>"
+GATHERED = "slice bigint, shard int, kind int, keys binary, counts binary"
 
 
-def gather(docs: DataFrame, shards: int) -> DataFrame:
-    """Per slice of texts: the texts and their byte counts (no shard), and by shard the distinct rows of each table and the tokens, with training counts."""
-    names = [c.split()[0] for c in GATHERED.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.list_(pa.int64())]
+def keep(docs: DataFrame) -> DataFrame:
+    """Each slice's texts and the byte counts of those that train; written, as slices must stay what they are."""
+    names, types = [c.split()[0] for c in KEPT.split(", ")], [pa.int64(), *[pa.binary()] * 3, pa.list_(pa.int64())]
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 32
+        number, codec = TaskContext.get().partitionId() << 32, pa.Codec("zstd", compression_level=9)
         for batch in _joined(batches):
             body, starts = texts_of(batch["text"])
-            ids = batch["doc_id"].to_pylist()
+            ids, histogram = batch["doc_id"].to_pylist(), np.zeros(256, np.int64)
             trains = _trains(ids)
-            found, histogram = distinct(body, starts, trains)
-            columns = [(number, None, None, None, None, histogram.tobytes(), zlib.compress(body.tobytes(), 1), zlib.compress(starts.astype(np.int64).tobytes(), 1), ids)]
-            for k, (keys, n) in enumerate(found):
-                order, ends = dealt(keys, k, shards)
-                for s in np.flatnonzero(np.diff(ends)):
-                    mine = order[ends[s] : ends[s + 1]]
-                    columns.append((number, int(s), k, _packed(keys[mine]), zlib.compress(n[mine].astype(np.int32).tobytes(), 1), None, None, None, None))
+            for a, b in _pieces(starts):
+                x, begin = stream(body[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
+                histogram += np.bincount(x[np.repeat(trains[a:b], np.diff(begin))], minlength=256)
+            row = (number, histogram.tobytes(), codec.compress(body.tobytes(), asbytes=True), zlib.compress(starts.astype(np.int64).tobytes(), 1), ids)
             number += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*columns), types)], names)
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, types)], names)
+
+    return cut(docs.select("doc_id", "text").mapInArrow(run, KEPT))
+
 
-    return cut(docs.select("doc_id", "text").mapInArrow(run, GATHERED))
+def _texts(body: pa.Scalar, starts: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of a kept slice, and where each begins."""
+    starts = np.frombuffer(zlib.decompress(starts.as_buffer()), np.int64)
+    return np.frombuffer(pa.decompress(body.as_buffer(), int(starts[-1]), "zstd", asbytes=True) if starts[-1] else b"", np.uint8), starts
+
+
+def gather(kept: DataFrame, shards: int) -> DataFrame:
+    """Per slice and shard the distinct rows of each table and the tokens, with training counts."""
+    names = [c.split()[0] for c in GATHERED.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
+    def run(batches):
+        for batch in batches:
+            for number, ids, *texts in zip(batch["slice"].to_pylist(), batch["ids"], batch["body"], batch["starts"]):
+                columns = []
+                for k, (keys, n) in enumerate(distinct(*_texts(*texts), _trains(ids.as_py()))[0]):
+                    order, ends = dealt(keys, k, shards)
+                    for s in np.flatnonzero(np.diff(ends)):
+                        mine = order[ends[s] : ends[s + 1]]
+                        columns.append((number, int(s), k, _packed(keys[mine]), zlib.compress(n[mine].astype(np.int32).tobytes(), 1)))
+                if columns:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*columns), types)], names)
+
+    return kept.select("slice", "ids", "body", "starts").mapInArrow(run, GATHERED)
 
 
 def _joined(batches):
@@ -366,19 +389,19 @@ def replies_of(gathered: DataFrame, code: Code) -> DataFrame:
         types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
         return pa.table({n.split()[0]: pa.array(x, t) for n, x, t in zip(REPLY.split(", "), zip(*out), types)})
 
-    return cut(gathered.where("shard IS NOT NULL").select("shard", "slice", "kind", "keys", "counts").groupBy("shard").applyInArrow(shard, REPLY))
+    return cut(gathered.groupBy("shard").applyInArrow(shard, REPLY))
 
 
 SCORED = "doc_id bigint, held_out boolean, words bigint, hits bigint, sums double, score double, bytes bigint"
 
 
-def score_slices(gathered: DataFrame, replies: DataFrame, code: Code, shards: int) -> DataFrame:
+def score_slices(kept: DataFrame, replies: DataFrame, code: Code, shards: int) -> DataFrame:
     """``SCORED`` of every text, where its slice meets the replies."""
-    shared = gathered.sparkSession.sparkContext.broadcast(code)
+    shared = kept.sparkSession.sparkContext.broadcast(code)
 
     def run(group: pa.Table) -> pa.Table:
         code, own = shared.value, group.filter(pc.is_valid(group["body"]))
-        body, starts = (np.frombuffer(zlib.decompress(own[c][0].as_buffer()), t) for c, t in (("body", np.uint8), ("starts", np.int64)))
+        body, starts = _texts(own["body"][0], own["starts"][0])
         ids = own["ids"][0].as_py()
         index, found, first = [], [], []
         for kind, (keys, _) in enumerate(distinct(body, starts, np.zeros(len(starts) - 1, bool))[0]):
@@ -403,7 +426,7 @@ def score_slices(gathered: DataFrame, replies: DataFrame, code: Code, shards: in
         words, hits, sums, scores, sizes = (np.concatenate(c) for c in zip(*out))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([fold_of(i) == 1 for i in ids]), "words": words.astype(np.int64), "hits": hits, "sums": sums, "score": scores, "bytes": sizes.astype(np.int64)})
 
-    own = gathered.where("shard IS NULL").select("slice", "body", "starts", "ids")
+    own = kept.select("slice", "body", "starts", "ids")
     both = own.unionByName(replies.where("slice IS NOT NULL").select("slice", "kind", "shard", "found"), allowMissingColumns=True)
     return both.groupBy("slice").applyInArrow(run, SCORED)
 
@@ -412,7 +435,7 @@ def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits, bytes, bits_per_byte) of every document; the bytes are those scored, the end sign included."""
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     shards = shards or max(32, 4 * docs.rdd.getNumPartitions())
-    gathered = gather(docs, shards)
+    kept = keep(docs)
     # A few hundred bytes for each slice of texts, added up before they come here.
     def add(batches):
         total = np.zeros(256, np.int64)
@@ -421,16 +444,17 @@ def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
                 total += np.frombuffer(b, np.int64)
         yield pa.RecordBatch.from_pydict({"bytes": [total.tobytes()]})
 
-    histogram = sum((np.frombuffer(r["bytes"], np.int64) for r in gathered.where("bytes IS NOT NULL").select("bytes").mapInArrow(add, "bytes binary").collect()), np.zeros(256, np.int64))
+    histogram = sum((np.frombuffer(r["bytes"], np.int64) for r in kept.select("bytes").mapInArrow(add, "bytes binary").collect()), np.zeros(256, np.int64))
     code = Code(histogram)
-    replies = replies_of(gathered, code)
+    # Rows go straight to their shards: written too, they would lie on disk twice.
+    replies = replies_of(gather(kept, shards), code)
     whole = replies.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
     ends = int(histogram[END])  # each training text has one end
     n, kinds = (whole["n"] or 0) + ends, (whole["v"] or 0) + (ends > 0)
     tokens = F.col("words") + 1
     total = float(np.log10(n + 0.5 * (kinds + 1)))
     bits = F.col("score") * -float(np.log2(10))
-    return score_slices(gathered, replies, code, shards).select(
+    return score_slices(kept, replies, code, shards).select(
         "doc_id", "held_out", tokens.alias("n_tokens"), (F.col("hits") + int(ends > 0)).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("sums") + float(np.log10(ends + 0.5)) - tokens * total).alias("base_score"), "score", bits.alias("bits"), "bytes", (bits / F.col("bytes")).alias("bits_per_byte"))
 
