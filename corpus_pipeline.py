@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.llm import op4_packing, op7_jaccard, op8_toxicity, op9_quality
 from tidegrid.llm.common import table
-from tidegrid.session import cut
+from tidegrid.session import cut, small_batches
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +42,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+    with small_batches(spark):
+        for _, stage in STAGES:
+            docs = cut(stage(spark, docs, sf_dir))
     return docs
