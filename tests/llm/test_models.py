@@ -246,6 +246,16 @@ def test_op9_keeps_good_text_and_rejects_noise(spark, odd_docs, no_docs):
     assert quality.classify(no_docs, labels).count() == 0 and quality.classify(odd_docs, labels.limit(0)).where("kept").count() == odd_docs.count()
 
 
+def test_op9_texts_reach_python_in_small_batches(spark, odd_docs, monkeypatch):
+    written, cut = [], quality.cut
+    monkeypatch.setattr(quality, "cut", lambda df: written.append((df.columns, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))) or cut(df))
+    labels = made(spark, 40)[1]
+    assert quality.classify(odd_docs, labels).count() == odd_docs.count()
+    assert quality.keep_good(odd_docs, labels).count() <= odd_docs.count()
+    texts = [rows for columns, rows in written if "bits_per_byte" in columns and "unseen" not in columns or "keys" in columns]
+    assert len(texts) == 4 and max(texts) <= 1000
+
+
 def test_pipeline_stages(spark, sf):
     docs = table(spark, sf, "documents")
     columns = docs.columns
