@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences: toxicity, quality, near duplicates, packing.
 
-Every stage works on all rows that the one before kept, is written as Parquet and read again. All but the
-last return the columns of ``documents``. Nulls, empty texts, repeated rows and extra columns are
+Every stage works on all rows that the one before kept, is written as Parquet and read again. A stage writes what Python
+makes itself: the size of the batches that Python gets is read when rows are made, so a frame handed out lazily would get
+Spark's 10,000 whole texts at a time. All but the last return the columns of ``documents``. Nulls, empty texts, repeated rows and extra columns are
 treated as the stages' operators say; rows without doc_id stay unless they repeat another document.
 """
 
@@ -16,22 +17,24 @@ from tidegrid.session import cut, small_batches
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose chance of a toxic token is below a half."""
-    return op8_toxicity.keep_clean(docs, op8_toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    with small_batches(spark):
+        return cut(op8_toxicity.keep_clean(docs, op8_toxicity.learn(docs, table(spark, sf_dir, "labels"))))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the perplexity limits of their language."""
-    return op9_quality.keep_good(docs, table(spark, sf_dir, "labels"))
+    return cut(op9_quality.keep_good(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near duplicates."""
-    return op7_jaccard.keep_one(docs)
+    return cut(op7_jaccard.keep_one(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 tokens."""
-    return op4_packing.pack(docs)
+    with small_batches(spark):
+        return cut(op4_packing.pack(docs))
 
 
 STAGES = [("toxicity", toxicity), ("quality", quality), ("near_duplicates", near_duplicates), ("packing", packing)]
@@ -42,7 +45,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    with small_batches(spark):
-        for _, stage in STAGES:
-            docs = cut(stage(spark, docs, sf_dir))
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
     return docs

@@ -256,6 +256,12 @@ def test_op9_texts_reach_python_in_small_batches(spark, odd_docs, monkeypatch):
     assert len(texts) == 4 and max(texts) <= 1000
 
 
+def test_pipeline_stages_hand_out_what_is_written(spark, sf):
+    docs = table(spark, sf, "documents").limit(50)
+    for _, stage in corpus_pipeline.STAGES:
+        assert "InArrow" not in stage(spark, docs, sf)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pipeline_stages(spark, sf):
     docs = table(spark, sf, "documents")
     columns = docs.columns

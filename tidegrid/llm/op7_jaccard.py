@@ -466,7 +466,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["row"], sets], ["row", "set"])
 
     unnamed = wrapped(docs.where("doc_id IS NULL"), "text")
-    unnamed = unnamed.mapInArrow(add, T.StructType([unnamed.schema["row"], T.StructField("set", T.LongType())])).join(known, "set", "left")
+    with small_batches(docs.sparkSession):
+        unnamed = cut(unnamed.mapInArrow(add, T.StructType([unnamed.schema["row"], T.StructField("set", T.LongType())])))
+    unnamed = unnamed.join(known, "set", "left")
     empty = unnamed.where("set IS NULL").select("row.*")
     unnamed = unnamed.where("set IS NOT NULL AND component_id IS NULL").dropDuplicates(["component"]).select("row.*")
     return named.unionByName(empty).unionByName(unnamed)
