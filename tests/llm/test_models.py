@@ -99,6 +99,24 @@ def test_op1_learns(spark, sf):
     assert trained.score > trained.base and held.score > 1.25 * held.base
 
 
+def test_op1_pieces_mixed_together_score_as_alone():
+    rng, begin = np.random.default_rng(5), np.array([0, 3, 3 + 2 * mixing.LANE + 7, 2 * mixing.LANE + 11])
+    held, alone = [], []
+    for _ in range(3):
+        lengths = rng.integers(1, 9, begin[-1])
+        inputs = [rng.integers(-127, 128, lengths.sum()).astype(np.int8) for _ in range(mixing.TABLES)]
+        steps = rng.integers(0, 2, lengths.sum())
+        alone.append(mixing.mix_texts(inputs, begin, steps, lengths))
+        held.append(([*inputs, steps.astype(np.int8)], mixing.lanes(begin, lengths)))
+    assert np.array_equal(mixing.mix_pieces(held), np.concatenate(alone)) and not held
+
+
+def test_op1_keys_without_counts():
+    body, starts = texts_of(pa.array(["on and on it went", "", None, "On   and off"] * 9))
+    for (keys, _), own in zip(mixing.distinct(body, starts, np.ones(len(starts) - 1, bool))[0], mixing.distinct_keys(body, starts)):
+        assert np.array_equal(keys, own)
+
+
 def test_op6_round_trip(spark, sf, tmp_path):
     import base64
     from hashlib import sha1

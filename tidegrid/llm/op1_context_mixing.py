@@ -31,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegrid.llm.common import BASE, LOWER, SPACE, _inverse, _powers, fold_of, mixed, runs, slices, table, texts_of
-from tidegrid.session import cut
+from tidegrid.session import cut, small_batches
 
 BITS = 22  # of a table given to score_texts
 TABLES, TOKENS = 3, 3
-SLICE, PIECE = 12 << 20, 1 << 20
-LANE = 1024
+SLICE, PIECE, TOGETHER = 12 << 20, 1 << 20, 6 << 20
+LANE, BLOCK = 1024, 64
 GATES, RATE, START, PRIOR = 4, 0.02, 0.4, 0.1
 STEP = 12.0  # steps of a table's log-odds
 END, BLANK = 10, 32
@@ -144,54 +144,78 @@ def score_texts(body: np.ndarray, starts: np.ndarray, code: Code, tables: np.nda
 
 def mix_texts(inputs: list[np.ndarray], begin: np.ndarray, steps: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """log10 of the chance of each text from the predictors' log-odds of all its bits."""
-    bit = (steps & 1).astype(np.int8)
+    return mix_pieces([([*inputs, (steps & 1).astype(np.int8)], lanes(begin, lengths))])
+
+
+def lanes(begin: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of at most LANE bytes of one text: its number, the first bit and the number of bits."""
     first = np.concatenate([[0], np.cumsum(lengths)])
-    # Lanes: runs of at most LANE bytes of one text.
     sizes = np.diff(begin)
-    lanes = -(-sizes // LANE)
-    row = np.repeat(np.arange(len(sizes)), lanes)
-    number = np.arange(len(row)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    many = -(-sizes // LANE)
+    row = np.repeat(np.arange(len(sizes)), many)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
     left = begin[row] + number * LANE
     start, end = first[left], first[np.minimum(left + LANE, begin[row + 1])]
-    costs = _mix(inputs, bit, start, end - start)
-    return np.bincount(row, costs, len(sizes)) / -np.log(10)
-
-
-def _mix(inputs: list[np.ndarray], bit: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Nats that each lane costs."""
+    return row, start, end - start
+
+
+def mix_pieces(held: list[tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> np.ndarray:
+    """log10 of the chance of each text of several pieces, whose lanes advance together; ``held`` (the predictors' log-odds and
+    the bits; the lanes) is emptied.
+    """
+    rows, starts, sizes, texts, bits = [], [], [], 0, 0
+    for values, (row, start, size) in held:
+        rows.append(row + texts), starts.append(start + bits), sizes.append(size)
+        texts += int(row[-1]) + 1
+        bits += len(values[-1])
+    columns = [list(c) for c in zip(*(values for values, _ in held))]
+    held.clear()
+    padded = []
+    while columns:
+        padded.append(np.concatenate([*columns.pop(0), np.zeros(BLOCK, np.int8)]))
+    costs = _mix(padded, np.concatenate(starts), np.concatenate(sizes))
+    return np.bincount(np.concatenate(rows), costs, texts) / -np.log(10)
+
+
+def _mix(values: list[np.ndarray], start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Nats that each lane costs, from the predictors' log-odds and the bits; ``BLOCK`` more of them than lanes reach."""
     order = np.argsort(-size, kind="stable")
     start, size = start[order], size[order]
     n = len(start)
     reach = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")  # lanes that are that long
-    weights = np.full((TABLES, GATES * n), START, np.float32)
+    # The weights of a gate and lane lie together, so that one place is read and written for all predictors.
+    weights = np.full((GATES * n, 4), START, np.float32).view(np.complex128).ravel()
     cost = np.zeros(n)
-    for at in range(0, int(size[0]), 64):
-        steps = min(64, int(size[0]) - at)
+    own, cell, lane, room = np.empty(n, np.complex128), np.empty(n, np.intp), np.arange(n), np.empty((2, n), np.float32)
+    w = own.view(np.float32).reshape(-1, 4)
+    views = [np.lib.stride_tricks.sliding_window_view(v, BLOCK) for v in values]
+    for at in range(0, int(size[0]), BLOCK):
+        steps = min(BLOCK, int(size[0]) - at)
         m = reach[at]
-        where = np.minimum(start[:m] + at + np.arange(steps)[:, None], len(bit) - 1)
-        raw = [i.take(where) for i in inputs]
+        *raw, came = (np.ascontiguousarray(v[start[:m] + at].T[:steps]) for v in views)
         gate = (np.abs(raw[-1]) > 2 * STEP).view(np.int8) + 2 * (np.abs(raw[-2]) > 2 * STEP).view(np.int8)
-        cell = gate.astype(np.intp) * n + np.arange(m)
         stretch = [r.astype(np.float32) * np.float32(1 / STEP) for r in raw]
-        came = bit.take(where).astype(np.float32)
+        came = came.astype(np.float32)
         chance = np.full((steps, m), 0.5, np.float32)
         for s in range(steps):
             k = reach[at + s]
-            c = cell[s, :k]
-            own = [w.take(c) for w in weights]
+            c, miss, part = cell[:k], *room[:, :k]
+            np.multiply(gate[s, :k], n, out=c, dtype=np.intp)
+            c += lane[:k]
+            weights.take(c, out=own[:k], mode="clip")
             ins = [x[s, :k] for x in stretch]
-            dot = own[0] * ins[0]
-            for w, x in zip(own[1:], ins[1:]):
-                dot += w * x
-            np.negative(dot, out=dot)
-            np.exp(dot, out=dot)
-            dot += 1
-            p = np.divide(1, dot, out=chance[s, :k])
-            miss = came[s, :k] - p
+            p = np.multiply(w[:k, 0], ins[0], out=chance[s, :k])
+            for i in range(1, TABLES):
+                p += np.multiply(w[:k, i], ins[i], out=part)
+            np.negative(p, out=p)
+            np.exp(p, out=p)
+            p += 1
+            np.divide(1, p, out=p)
+            np.subtract(came[s, :k], p, out=miss)
             miss *= np.float32(RATE)
             for i in range(TABLES):
-                own[i] += miss * ins[i]
-                weights[i][c] = own[i]
+                w[:k, i] += np.multiply(miss, ins[i], out=part)
+            weights[c] = own[:k]
         live = at + np.arange(steps)[:, None] < size[:m]
         paid = np.log(np.maximum(np.abs(chance + (came - 1)), np.float32(1e-7)))
         cost[:m] -= np.where(live, paid, 0).sum(0, dtype=np.float64)
@@ -243,6 +267,24 @@ def distinct(body: np.ndarray, starts: np.ndarray, trains: np.ndarray) -> tuple[
     return [_merge(parts) for parts in found], histogram
 
 
+def distinct_keys(body: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """The keys of ``distinct`` without counts."""
+    found = [[] for _ in range(TABLES + 1)]
+    for a, b in _pieces(starts):
+        own, begins = body[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
+        x, begin = stream(own, begins)
+        for k, context in enumerate(contexts(x, begin)):
+            found[k].append(_once(context << np.uint64(8) | x))
+        found[TOKENS].append(_once(runs(own, begins)[2]))
+    return [_once(np.concatenate(parts)) for parts in found]
+
+
+def _once(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys in order; ``keys`` is sorted in its place."""
+    keys.sort()
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]]
+
+
 def dealt(keys: np.ndarray, kind: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of keys by shard, and where each shard's begin in it."""
     shard = (mixed((keys if kind == TOKENS else keys >> np.uint64(8)) + np.uint64(kind)) % np.uint64(shards)).astype(np.int64)
@@ -404,7 +446,7 @@ def score_slices(kept: DataFrame, replies: DataFrame, code: Code, shards: int) -
         body, starts = _texts(own["body"][0], own["starts"][0])
         ids = own["ids"][0].as_py()
         index, found, first = [], [], []
-        for kind, (keys, _) in enumerate(distinct(body, starts, np.zeros(len(starts) - 1, bool))[0]):
+        for kind, keys in enumerate(distinct_keys(body, starts)):
             # Texts give the same rows again, so replies need not carry them.
             keys = keys[dealt(keys, kind, shards)[0]]
             index.append(Index(keys))
@@ -412,7 +454,7 @@ def score_slices(kept: DataFrame, replies: DataFrame, code: Code, shards: int) -
             replies = group.filter(pc.equal(group["kind"], kind)).select(["shard", "found"]).sort_by("shard")["found"]
             found.append(np.concatenate([np.zeros(0, form), *(np.frombuffer(zlib.decompress(f.as_buffer()), form) for f in replies)]))
             first.append(np.concatenate([[0], np.cumsum(code.lengths[(keys & np.uint64(255)).astype(np.int64)])]).astype(np.int32))
-        out = []
+        out, held, scores = [], [], []
         for a, b in _pieces(starts):
             own, begins = body[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
             x, begin = stream(own, begins)
@@ -422,9 +464,13 @@ def score_slices(kept: DataFrame, replies: DataFrame, code: Code, shards: int) -
             _, _, h, row = runs(own, begins)
             known = found[TOKENS][index[TOKENS].find(h)] if len(h) else np.zeros(0, np.int64)
             n = b - a
-            out.append((np.bincount(row, minlength=n), np.bincount(row, known > 0, n).astype(np.int64), np.bincount(row, np.log10(known + 0.5), n).astype(float), mix_texts(inputs, begin, steps, lengths), np.diff(begin)))
-        words, hits, sums, scores, sizes = (np.concatenate(c) for c in zip(*out))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([fold_of(i) == 1 for i in ids]), "words": words.astype(np.int64), "hits": hits, "sums": sums, "score": scores, "bytes": sizes.astype(np.int64)})
+            out.append((np.bincount(row, minlength=n), np.bincount(row, known > 0, n).astype(np.int64), np.bincount(row, np.log10(known + 0.5), n).astype(float), np.diff(begin)))
+            held.append(([*inputs, (steps & 1).astype(np.int8)], lanes(begin, lengths)))
+            # Pieces are mixed together: the more lanes advance at once, the less a step costs each.
+            if b == len(starts) - 1 or sum(len(v[-1]) for v, _ in held) >= 4 * TOGETHER:
+                scores.append(mix_pieces(held))
+        words, hits, sums, sizes = (np.concatenate(c) for c in zip(*out))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([fold_of(i) == 1 for i in ids]), "words": words.astype(np.int64), "hits": hits, "sums": sums, "score": np.concatenate(scores), "bytes": sizes.astype(np.int64)})
 
     own = kept.select("slice", "body", "starts", "ids")
     both = own.unionByName(replies.where("slice IS NOT NULL").select("slice", "kind", "shard", "found"), allowMissingColumns=True)
@@ -435,7 +481,8 @@ def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits, bytes, bits_per_byte) of every document; the bytes are those scored, the end sign included."""
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     shards = shards or max(32, 4 * docs.rdd.getNumPartitions())
-    kept = keep(docs)
+    with small_batches(docs.sparkSession):
+        kept = keep(docs)
     # A few hundred bytes for each slice of texts, added up before they come here.
     def add(batches):
         total = np.zeros(256, np.int64)
