@@ -207,13 +207,14 @@ def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Field:
     """Fits the field in one task, on the bounded sample."""
     def run(batches: Iterator[pa.RecordBatch]):
         h, row, toxic, rows = [], [], [], 0
-        for batch in batches:
+        for batch in slices(batches, "text"):
             found, own, _, _, n = tokens(batch["text"])
             h.append(found), row.append(own + rows), toxic.append(batch["toxic"].to_numpy(zero_copy_only=False) == 1)
             rows += n
         if rows:
-            field = fit(np.concatenate(h, axis=1), np.concatenate(row), np.concatenate(toxic))
-            field = lighten(field, np.concatenate(h, axis=1))
+            whole = np.concatenate(h, axis=1)
+            h.clear()
+            field = lighten(fit(whole, np.concatenate(row), np.concatenate(toxic)), whole)
             yield pa.RecordBatch.from_pydict({"kinds": [field.kinds.tobytes()], "weights": [field.weights.astype(np.float32).tobytes()], "bias": [float(field.bias)], "moves": [field.moves.tobytes()]})
 
     found = sample(docs, labels, size).coalesce(1).mapInArrow(run, "kinds binary, weights binary, bias double, moves binary").first()
