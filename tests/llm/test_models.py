@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidegrid.llm import op1_context_mixing as mixing, op6_warc as warc, op8_toxicity as toxicity, op9_quality as quality
-from tidegrid.llm.common import table, texts_of
+from tidegrid.llm.common import table, texts_of, tidy
+from tidegrid.session import small_batches
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -280,6 +281,36 @@ def test_pipeline_stages_hand_out_what_is_written(spark, sf):
         assert "InArrow" not in stage(spark, docs, sf)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_task_gives_back_the_memory_it_freed():
+    kept = []
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    def work(rows):
+        held = [np.ones(60_000, np.uint8) for _ in range(4000)]
+        kept.append(np.ones(60_000, np.uint8))  # above what is freed, so that it isn't given back by itself
+        return rows, len(held)
+
+    def task(batches):
+        for batch in batches:
+            yield work(batch)
+
+    before = resident()
+    assert list(tidy(task)(iter([1, 2]))) == [(1, 4000), (2, 4000)] and resident() - before < 100e6
+    assert tidy(lambda group: work(group))("g") == ("g", 4000) and resident() - before < 100e6
+    assert tidy(lambda left, right: work((left, right)))("l", "r") == (("l", "r"), 4000) and resident() - before < 100e6
+
+
+def test_small_batches_hold_for_python_and_parquet(spark):
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(n) for n in names]
+    with small_batches(spark):
+        assert [int(spark.conf.get(n)) for n in names] == [1000, 1000]
+    assert [spark.conf.get(n) for n in names] == before
+
+
 def test_pipeline_stages(spark, sf):
     docs = table(spark, sf, "documents")
     columns = docs.columns

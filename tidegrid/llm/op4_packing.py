@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.llm import bpe
-from tidegrid.llm.common import slices, table
+from tidegrid.llm.common import slices, table, tidy
 
 CAPACITY = 1024
 END = 0
@@ -100,7 +100,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
         if ids:
             yield packed()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]

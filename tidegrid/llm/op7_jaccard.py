@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidegrid.llm.common import mixed, slices, table, texts_of, words, wrapped
+from tidegrid.llm.common import mixed, slices, table, texts_of, tidy, words, wrapped
 from tidegrid.llm.components import components
 from tidegrid.session import cut, small_batches
 
@@ -104,7 +104,7 @@ def describe(docs: DataFrame) -> DataFrame:
             if counts.any():
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types[:4]), pa.array([part], types[4]), pa.array([zlib.compress(counts.tobytes(), 1)])], names)
 
-    return cut(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, set bigint, n bigint, cells binary, part int, counts binary"))
+    return cut(docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, set bigint, n bigint, cells binary, part int, counts binary"))
 
 
 def _slot(v: np.ndarray) -> np.ndarray:
@@ -124,7 +124,7 @@ def ranks(described: DataFrame) -> np.ndarray:
         return pa.table({"part": group["part"][:1], "counts": [zlib.compress(steps.tobytes(), 1)]})
 
     out = np.zeros((PARTS, SLOTS // PARTS), np.uint8)
-    for row in described.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
+    for row in described.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(tidy(add), "part int, counts binary").collect():
         out[row["part"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
     return out.ravel()
 
@@ -193,7 +193,7 @@ def entries(docs: DataFrame, rank: np.ndarray, light: int, buckets: int) -> Data
             at = place[starts[:-1]]
             yield pa.RecordBatch.from_arrays([pa.array((at // 2).astype(np.int32)), pa.array(at % 2 == 1), pa.array(blobs, pa.binary())], ["bucket", "single", "entries"])
 
-    return docs.select("text").mapInArrow(run, "bucket int, single boolean, entries binary")
+    return docs.select("text").mapInArrow(tidy(run), "bucket int, single boolean, entries binary")
 
 
 def lists(dealt: DataFrame, light: int) -> DataFrame:
@@ -238,7 +238,7 @@ def lists(dealt: DataFrame, light: int) -> DataFrame:
                          "list": join(none(n, big), pa.array(mark[number][more].view(np.int64))), "set": join(none(n, big), pa.array(rows["set"][more])),
                          "size": join(none(n, big), pa.array(rows["size"][more].astype(np.int64))), "far": join(none(n, big), pa.array(most[more])), "single": join(none(n, pa.bool_()), pa.array(np.full(m, single)))})
 
-    return cut(dealt.groupBy("bucket", "single").applyInArrow(run, schema))
+    return cut(dealt.groupBy("bucket", "single").applyInArrow(tidy(run), schema))
 
 
 def _able(x, y, single: bool, light: int):
@@ -289,7 +289,7 @@ def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.binary()))], ["set", "items"])
 
     # Only the first document of a class gives its set.
-    return cut(docs.select("doc_id", "text").mapInArrow(read, "set bigint, items binary"))
+    return cut(docs.select("doc_id", "text").mapInArrow(tidy(read), "set bigint, items binary"))
 
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, known: DataFrame | None = None, sets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -304,7 +304,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, known: DataFra
             keep = [overlap_bound(x, y) >= _needed(n, m) for n, x, m, y in zip(*(batch[c].to_pylist() for c in ("n_a", "cells_a", "n_b", "cells_b")))]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    likely = cut(pairs.join(left, "a").join(right, "b").mapInArrow(bound, "a bigint, b bigint"))
+    likely = cut(pairs.join(left, "a").join(right, "b").mapInArrow(tidy(bound), "a bigint, b bigint"))
     sets_read = sets is not None
     if not sets_read:
         ends = likely.select(F.col("a").alias("set")).union(likely.select("b")).distinct()
@@ -324,7 +324,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, known: DataFra
         if sets_read:  # for more pairs than these
             left, right = left.join(some, "a", "left_semi"), right.join(some, "b", "left_semi")
         # A member's set goes to its leader's.
-        return cut(some.join(right, "b").select("a", "b", "items_b").join(left, "a").select("a", "b", "items_a", "items_b").mapInArrow(compare, "a bigint, b bigint"))
+        return cut(some.join(right, "b").select("a", "b", "items_b").join(left, "a").select("a", "b", "items_a", "items_b").mapInArrow(tidy(compare), "a bigint, b bigint"))
 
     if sets_read:
         links = cut(known.unionByName(exact(likely)))
@@ -366,7 +366,7 @@ def _bloom(ids: DataFrame) -> bytes:
                 both |= np.frombuffer(zlib.decompress(b), np.uint8)
         yield pa.RecordBatch.from_pydict({"bits": [zlib.compress(both.tobytes(), 1)]})
 
-    partial = ids.mapInArrow(part, "bits binary").repartition(8).mapInArrow(fold, "bits binary")
+    partial = ids.mapInArrow(tidy(part), "bits binary").repartition(8).mapInArrow(tidy(fold), "bits binary")
     for (bits,) in partial.collect():
         out |= np.frombuffer(zlib.decompress(bits), np.uint8)
     return out.tobytes()
@@ -467,7 +467,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     unnamed = wrapped(docs.where("doc_id IS NULL"), "text")
     with small_batches(docs.sparkSession):
-        unnamed = cut(unnamed.mapInArrow(add, T.StructType([unnamed.schema["row"], T.StructField("set", T.LongType())])))
+        unnamed = cut(unnamed.mapInArrow(tidy(add), T.StructType([unnamed.schema["row"], T.StructField("set", T.LongType())])))
     unnamed = unnamed.join(known, "set", "left")
     empty = unnamed.where("set IS NULL").select("row.*")
     unnamed = unnamed.where("set IS NOT NULL AND component_id IS NULL").dropDuplicates(["component"]).select("row.*")

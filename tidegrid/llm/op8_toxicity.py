@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegrid.llm.common import BASE, fold, fold_of, mixed, runs, slices, table, texts_of
+from tidegrid.llm.common import BASE, fold, fold_of, mixed, runs, slices, table, texts_of, tidy
 from tidegrid.session import cut
 
 SAMPLE = 2_000
@@ -217,7 +217,7 @@ def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Field:
             field = lighten(fit(whole, np.concatenate(row), np.concatenate(toxic)), whole)
             yield pa.RecordBatch.from_pydict({"kinds": [field.kinds.tobytes()], "weights": [field.weights.astype(np.float32).tobytes()], "bias": [float(field.bias)], "moves": [field.moves.tobytes()]})
 
-    found = sample(docs, labels, size).coalesce(1).mapInArrow(run, "kinds binary, weights binary, bias double, moves binary").first()
+    found = sample(docs, labels, size).coalesce(1).mapInArrow(tidy(run), "kinds binary, weights binary, bias double, moves binary").first()
     if found is None:
         return Field(np.zeros(0, np.uint64), np.zeros((1, 3)), -12.0, np.zeros((2, 2)))
     return Field(np.frombuffer(found["kinds"], np.uint64), np.frombuffer(found["weights"], np.float32).reshape(-1, 3).astype(float), found["bias"], np.frombuffer(found["moves"]).reshape(2, 2))
@@ -257,7 +257,7 @@ def classify(docs: DataFrame, field: Field) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(held), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, SPANS)],
                                              ["doc_id", "held_out", "score", "predicted", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int, spans array<struct<begin: bigint, end: bigint>>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, held_out boolean, score double, predicted int, spans array<struct<begin: bigint, end: bigint>>")
 
 
 def keep_clean(docs: DataFrame, field: Field) -> DataFrame:
@@ -268,7 +268,7 @@ def keep_clean(docs: DataFrame, field: Field) -> DataFrame:
         for batch in slices(batches, "text"):
             yield batch.filter(pa.array(tag(shared.value, batch["text"])[0] < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

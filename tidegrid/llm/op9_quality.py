@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidegrid.llm.common import LOWER, fold, fold_of, slices, table, texts_of, wrapped
+from tidegrid.llm.common import LOWER, fold, fold_of, slices, table, texts_of, tidy, wrapped
 from tidegrid.llm.op1_context_mixing import Index
 from tidegrid.session import cut, small_batches
 
@@ -152,7 +152,7 @@ def blocks(docs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["slice", "block"])
 
     dealt = docs.select(_slice(F.col("row.doc_id"), F.col("row.text"), n).alias("slice"), "row")
-    return dealt.mapInArrow(pack, "slice long, block binary")
+    return dealt.mapInArrow(tidy(pack), "slice long, block binary")
 
 
 def _dealt_rows(s: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -209,7 +209,7 @@ def gather(packed: DataFrame, trusted: DataFrame, n: int, shards: int, parts: in
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), EMPTY)], schema=EMPTY)
 
     own = trusted.select("doc_id", _slice(F.col("doc_id"), None, n).alias("slice"))
-    return cut(packed.groupBy("slice").cogroup(own.groupBy("slice")).applyInArrow(run, GATHERED))
+    return cut(packed.groupBy("slice").cogroup(own.groupBy("slice")).applyInArrow(tidy(run), GATHERED))
 
 
 EMPTY = pa.schema([("slice", pa.int64()), ("shard", pa.int32()), ("part", pa.int32()), ("trained", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -226,7 +226,7 @@ def counted(gathered: DataFrame) -> DataFrame:
         found, n = _merged(keys, [np.frombuffer(zlib.decompress(c.as_py()), np.int64) for c in group["counts"]])
         return pa.table({"gram": found, "n": n})
 
-    summed = gathered.where("trained").select("shard", "part", "keys", "counts").groupBy("shard", "part").applyInArrow(add, "gram long, n long")
+    summed = gathered.where("trained").select("shard", "part", "keys", "counts").groupBy("shard", "part").applyInArrow(tidy(add), "gram long, n long")
     return summed.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -276,7 +276,7 @@ def replies(gathered: DataFrame, model: DataFrame, shards: int, parts: int) -> D
     shard = (F.col("key") % SPREAD % shards).cast("int")
     copies = model.select("key", "own", "back", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     asked = gathered.where("NOT trained").select("slice", "shard", "part", "keys")
-    return cut(asked.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(answer, "slice long, shard int, own binary, back binary"))
+    return cut(asked.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(tidy(answer), "slice long, shard int, own binary, back binary"))
 
 
 def _steps(bits: pa.ChunkedArray, none: int) -> np.ndarray:
@@ -316,7 +316,7 @@ def score(docs: DataFrame, trusted: DataFrame, whole: bool = False, size: int =
         return pa.Table.from_batches(out)
 
     schema = docs.select(*(["row"] if whole else []), F.col("row.doc_id").alias("doc_id"), F.col("row.lang").alias("lang")).schema.add("bits_per_byte", "double")
-    return packed.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, schema)
+    return packed.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(tidy(run), schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

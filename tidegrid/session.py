@@ -87,11 +87,13 @@ def cut(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """What is run inside hands Python at most ``rows`` rows at a time: 10,000 whole texts, Spark's default, are held several times over by each task."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    """What is run inside hands Python at most ``rows`` rows at a time, and reads as many from Parquet: 10,000 whole texts, Spark's default, are held several times over by each task."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in before.items():
+        spark.conf.set(name, str(min(rows, int(value)) if int(value) > 0 else rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
