@@ -6,13 +6,14 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidegrid.llm import op1_context_mixing as mixing, op6_warc as warc, op8_toxicity as toxicity, op9_quality as quality
 from tidegrid.llm.common import table, texts_of, tidy
-from tidegrid.session import small_batches
+from tidegrid.session import cut, small_batches
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -303,6 +304,14 @@ def test_a_task_gives_back_the_memory_it_freed():
     assert tidy(lambda left, right: work((left, right)))("l", "r") == (("l", "r"), 4000) and resident() - before < 100e6
 
 
+def test_written_texts_lie_in_small_row_groups(spark):
+    texts = spark.range(0, 40_000, 1, 1).select("id", F.concat(*[F.sha2(F.concat("id", F.lit(f"-{i}")), 256) for i in range(16)]).alias("text"))
+    written = cut(texts)
+    assert written.count() == 40_000 and written.dtypes == texts.dtypes
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in written.inputFiles()]
+    assert max(m.row_group(g).total_byte_size for m in files for g in range(m.num_row_groups)) < 20 << 20
+
+
 def test_small_batches_hold_for_python_and_parquet(spark):
     names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
     before = [spark.conf.get(n) for n in names]

@@ -35,6 +35,7 @@ def build_session(cpus: int | str = "*", app: str = "tidegrid", **conf: str) ->
 
 _LOCAL_ROOTS: dict[str, str] = {}
 _STAGES: dict[tuple[str, str, str], str] = {}
+ROW_GROUP = 16 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -77,11 +78,12 @@ def cut(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write an intermediate table to the shared folder and go on from the file.
 
     Cuts the lineage for good (survives lost executors), keeps later plans short, and gives the
-    optimizer the true size, so a small table is broadcast on evidence and a large one is not.
+    optimizer the true size, so a small table is broadcast on evidence and a large one is not. A task reads
+    whole row groups, so these are small: Parquet's 128 MB would lie in one task, however finely files are split.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tidegrid-{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
