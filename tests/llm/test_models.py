@@ -1,5 +1,6 @@
 import itertools
 import math
+import os
 import re
 from collections import Counter
 from zlib import crc32
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidegrid.llm import op1_context_mixing as mixing, op6_warc as warc, op8_toxicity as toxicity, op9_quality as quality
 from tidegrid.llm.common import table, texts_of, tidy
-from tidegrid.session import cut, small_batches
+from tidegrid.session import cut, scratch_root, small_batches
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -276,6 +277,16 @@ def test_op9_texts_reach_python_in_small_batches(spark, odd_docs, monkeypatch):
     assert len(texts) == 4 and max(texts) <= 1000
 
 
+def test_pipeline_stages_leave_only_their_result(spark, sf):
+    docs = table(spark, sf, "documents").limit(50)
+    folder = f"{scratch_root(spark)}/tidegrid-{spark.sparkContext.applicationId}".removeprefix("file://")
+    for _, stage in corpus_pipeline.STAGES:
+        before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+        result = stage(spark, docs, sf)
+        left = set(os.listdir(folder)) - before
+        assert len(left) == 1 and all(left.copy().pop() in f for f in result.inputFiles()) and result.count() > 0
+
+
 def test_pipeline_stages_hand_out_what_is_written(spark, sf):
     docs = table(spark, sf, "documents").limit(50)
     for _, stage in corpus_pipeline.STAGES:

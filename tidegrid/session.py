@@ -35,6 +35,7 @@ def build_session(cpus: int | str = "*", app: str = "tidegrid", **conf: str) ->
 
 _LOCAL_ROOTS: dict[str, str] = {}
 _STAGES: dict[tuple[str, str, str], str] = {}
+_CUTS: list[str] = []
 ROW_GROUP = 16 << 20
 
 
@@ -84,9 +85,21 @@ def cut(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tidegrid-{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", ROW_GROUP).partitionBy(*partition_by).parquet(path)
+    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def last_cut(spark: SparkSession) -> Iterator[None]:
+    """Of what is cut inside, all but the last is deleted at the end: the result, written last, needs nothing of it."""
+    first = len(_CUTS)
+    yield
+    for path in _CUTS[first:-1]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _CUTS[first:]
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """What is run inside hands Python at most ``rows`` rows at a time, and reads as many from Parquet: 10,000 whole texts, Spark's default, are held several times over by each task."""
